@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import encode, packing
+from ledgerloom.llm import encode, near_dup, packing
 from ledgerloom.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "memory_nodes").select("id", F.col("content").alias("text"))
+    return near_dup.similar_pairs(texts, threshold=0.7).withColumnsRenamed({"id_a": "node_id_a", "id_b": "node_id_b"})
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -26,4 +31,4 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packed, budgets)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_packs, p9_fill)}
+QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_packs, p9_fill)}
