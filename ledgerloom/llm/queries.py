@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import encode, near_dup, packing
+from ledgerloom.llm import encode, near_dup, packing, term_weight
 from ledgerloom.session import table
 
 
@@ -14,6 +14,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.similar_pairs(texts, threshold=0.7).withColumnsRenamed({"id_a": "node_id_a", "id_b": "node_id_b"})
 
 
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "memory_nodes").select("id", F.col("content").alias("text"), F.col("retrieval.sparse_keys").alias("keys"))
+    return term_weight.scores(records).withColumnRenamed("id", "node_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_scores(spark, d).where("df between 2 and 20 and tf >= 2").select("node_id", "term")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -31,4 +40,4 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packed, budgets)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_packs, p9_fill)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_scores, p8_ids, p9_packs, p9_fill)}

@@ -1,3 +1,10 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """WITH n AS (SELECT id, any_value(content) AS content, any_value(retrieval.sparse_keys) AS keys FROM memory_nodes GROUP BY id),
+k AS (SELECT DISTINCT id, lower(trim(u, E' \\t\\n\\r')) AS term FROM (SELECT id, unnest(keys) AS u FROM n)),
+df AS (SELECT term FROM k WHERE term <> '' GROUP BY term HAVING count(*) BETWEEN 2 AND 20),
+w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM n),
+tf AS (SELECT id, term FROM w GROUP BY id, term HAVING count(*) >= 2)
+SELECT k.id AS node_id, k.term FROM k JOIN df USING (term) JOIN tf ON tf.id = k.id AND tf.term = k.term""",
+}
