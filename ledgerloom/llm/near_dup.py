@@ -26,50 +26,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import words as words_of
-from ledgerloom.llm.text import slices, word_set_hash, words
+from ledgerloom.llm.text import WordSets, mix, slices
 
-REGISTERS, BASE, BLOCK = 128, 1.05, 1024
-_BANDS = pa.schema([("band", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("bits0", pa.int64()), ("bits1", pa.int64())])
+REGISTERS, BASE, BLOCK = 192, 1.05, 1024
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: A record in a bucket: band hash, set hash, set size, one bit of each register.
+_ROW = np.dtype([("band", "<u4"), ("sid", "<i8"), ("n", "<u2"), ("bits", "<u8", REGISTERS // 64)])
+_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Sets whose words are gathered at once.
+_STEP = 256
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_SEEDS = _mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def sketch(sets: list[list[str]]) -> np.ndarray:
-    """Registers (records x REGISTERS, uint16) of non-empty word lists."""
-    index: dict[str, int] = {}
-    flat = np.fromiter((index.setdefault(w, len(index)) for s in sets for w in s), np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), np.uint64, len(index))
+def sketch(sets: WordSets) -> np.ndarray:
+    """Registers (sets x REGISTERS, uint16)."""
     # uniform 32-bit values: the largest belongs to the least exponential
-    values = (_mix(h[:, None] + _SEEDS[None, :]) >> np.uint64(32)).astype(np.uint32)
-    n = np.array([len(s) for s in sets])
-    starts = np.cumsum(n) - n
-    top = np.empty((len(sets), REGISTERS), np.uint32)
-    for at in range(0, len(sets), 256):
-        to = min(at + 256, len(sets))
-        lo = starts[at]
-        hi = starts[to] if to < len(sets) else len(flat)
-        top[at:to] = np.maximum.reduceat(values[flat[lo:hi]], starts[at:to] - lo, axis=0)
-    least = -np.log((top.astype(np.float64) + 0.5) / 2.0**32)
-    return np.clip(np.floor(1 - np.log(least) / np.log(BASE)) + 100, 0, 65535).astype(np.uint16)
+    x = sets.hashes[:, None] + _SEEDS[None, :]
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    values = (x >> np.uint64(32)).astype(np.uint32)
+    n = len(sets.sizes)
+    top = np.empty((n, REGISTERS), np.uint32)
+    for at in range(0, n, _STEP):
+        to = min(at + _STEP, n)
+        lo = sets.starts[at]
+        hi = sets.starts[to] if to < n else len(sets.flat)
+        top[at:to] = np.maximum.reduceat(values[sets.flat[lo:hi]], sets.starts[at:to] - lo, axis=0)
+    least = -np.log((top.astype(np.float32) + np.float32(0.5)) / np.float32(2.0**32))
+    np.maximum(least, np.float32(1e-12), out=least)
+    return (np.float32(1000) - np.floor(np.log(least) * np.float32(1 / np.log(BASE)))).astype(np.uint16)
 
 
 def bits_of(registers: np.ndarray) -> np.ndarray:
-    """The last bit of every register, packed to two 64-bit numbers a record."""
-    return np.packbits((registers & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    """The last bit of every register, packed to 64-bit numbers."""
+    return np.packbits((registers & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
 def _least_equal(threshold: float, slack: float = 3.3) -> int:
@@ -87,33 +81,36 @@ def likely(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float
     return (equal >= _least_equal(threshold)) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
 
 
-def _band_rows(bands: int, rows: int):
+def _band_rows(bands: int, rows: int, parts: int):
+    """Rows of each band, sent to the tasks in packed form: one row for each batch and task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, 4000):
-                sets, sids = [], []
-                for text in batch.column("text").to_pylist():
-                    distinct = sorted(set(words(text)))
-                    if distinct and (sid := word_set_hash(distinct)) not in seen:
-                        if len(seen) < 2_000_000:
-                            seen.add(sid)
-                        sets.append(distinct)
-                        sids.append(sid)
-                if not sets:
+                sets = WordSets(batch.column("text").to_pylist())
+                if not len(sets.sizes):
                     continue
-                registers = sketch(sets)
-                bits = bits_of(registers)
-                sid, n = np.array(sids, np.int64), np.array([len(s) for s in sets], np.int32)
-                keys = []
+                sids = sets.set_hashes()
+                new = np.array([i for i, s in enumerate(sids.tolist()) if not (s in seen or seen.add(s))], np.int64)
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                registers = sketch(sets)[new]
+                out = np.empty((bands, len(new)), _ROW)
+                out["sid"], out["n"], out["bits"] = sids[new], np.minimum(sets.sizes[new], 65535), bits_of(registers)
+                to = np.empty((bands, len(new)), np.int32)
                 for k in range(bands):
-                    h = np.full(len(sets), k + 1, np.uint64)
+                    h = np.full(len(new), k + 1, np.uint64)
                     for j in range(rows):
-                        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, k * rows + j])
-                    keys.append(h.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), *(pa.array(np.tile(x, bands)) for x in (sid, n, bits[:, 0], bits[:, 1]))], schema=_BANDS
-                )
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, k * rows + j])
+                    out[k]["band"], to[k] = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                out, to = out.ravel(), to.ravel()
+                order = np.argsort(to, kind="stable")
+                out, to = out[order], to[order]
+                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+                ends = np.concatenate([cuts[1:], [len(to)]]).astype(int)
+                packed = [out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
 
     return run
 
@@ -121,22 +118,21 @@ def _band_rows(bands: int, rows: int):
 def _emit(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a whole partition: rows are sorted by band, and the pairs of each bucket are tested in blocks."""
-        cols = [[b.column(c).to_numpy(zero_copy_only=False) for c in _BANDS.names] for b in batches]
-        if not cols:
+        held = [np.frombuffer(x.as_buffer(), _ROW) for b in batches for x in b.column("packed")]
+        if not held:
             return
-        band, sid, n, x, y = (np.concatenate(c) for c in zip(*cols, strict=True))
-        del cols
-        order = np.lexsort((sid, band))
-        band, sid = band[order], sid[order]
-        keep = np.concatenate([[True], (band[1:] != band[:-1]) | (sid[1:] != sid[:-1])])  # the same set from several partitions
-        order, band, sid = order[keep], band[keep], sid[keep]
-        n, x, y = n[order], x[order], y[order]
+        rows = np.concatenate(held)
+        del held
+        rows = rows[np.lexsort((rows["sid"], rows["band"]))]
+        band, sid = rows["band"], rows["sid"]
+        rows = rows[np.concatenate([[True], (band[1:] != band[:-1]) | (sid[1:] != sid[:-1])])]  # the same set from several tasks
+        band, sid, n, bits = rows["band"], np.ascontiguousarray(rows["sid"]), rows["n"].astype(np.int32), np.ascontiguousarray(rows["bits"])
         starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(band)]]))
 
         def tested(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            apart = np.bitwise_count((x[i] ^ x[j]).view(np.uint64)) + np.bitwise_count((y[i] ^ y[j]).view(np.uint64))
-            ok = likely(REGISTERS - apart.astype(np.int64), n[i], n[j], threshold)
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int32)
+            ok = likely(REGISTERS - apart, n[i], n[j], threshold)
             a, b = sid[i[ok]], sid[j[ok]]
             return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
@@ -144,7 +140,7 @@ def _emit(threshold: float):
         for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):  # buckets of one size together
             i, j = np.triu_indices(size, 1)
             of = starts[sizes == size]
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, 500_000 // len(i))
             for at in range(0, len(of), step):
                 o = of[at : at + step, None]
                 out.append(tested((o + i).ravel(), (o + j).ravel()))
@@ -163,24 +159,27 @@ def _emit(threshold: float):
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("sid", pa.int64()), ("id", pa.string()), ("text", pa.string())])
-    for batch in batches:
-        hashes = [word_set_hash(sorted(d)) if (d := set(words(t))) else None for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column("id"), batch.column("text")], schema=schema)
+    for whole in batches:
+        for batch in slices(whole, 4000):
+            sets = WordSets(batch.column("text").to_pylist())
+            some = batch.take(pa.array(sets.rows))
+            yield pa.RecordBatch.from_arrays([pa.array(sets.set_hashes()), *some.columns], names=["sid", *some.schema.names])
 
 
 def candidates(texts: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     """Pairs (a, b) of hashes of different word sets that may be as similar as the threshold."""
     if bands * rows > REGISTERS:
         raise ValueError(f"bands * rows is more than {REGISTERS}")
-    banded = texts.select("text").where("text is not null").mapInArrow(_band_rows(bands, rows), "band long, sid long, n int, bits0 long, bits1 long")
-    return banded.repartition("band").mapInArrow(_emit(threshold), "a long, b long").distinct()
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = texts.select("text").where("text is not null").mapInArrow(_band_rows(bands, rows, parts), "part int, packed binary")
+    return banded.repartitionById(parts, F.col("part")).mapInArrow(_emit(threshold), "a long, b long").distinct()
 
 
-def members(texts: DataFrame) -> DataFrame:
-    """(sid, id, text) of texts(id, text) with at least one word."""
+def members(texts: DataFrame, with_text: bool = False) -> DataFrame:
+    """(sid, id[, text]) of texts(id, text) with at least one word."""
     rows = texts.where("id is not null and text is not null").select("id", "text")
-    return rows.mapInArrow(_members, "sid long, id string, text string").where("sid is not null")
+    out = rows.mapInArrow(_members, "sid long, id string, text string")
+    return out if with_text else out.select("sid", "id")
 
 
 def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
@@ -191,7 +190,7 @@ def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
 def similar_sets(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(a, b): hashes of different word sets whose Jaccard similarity is at least the threshold, verified on the words."""
     pairs = candidates(texts, threshold, bands, rows)
-    one_text = members(texts).groupBy("sid").agg(F.min("text").alias("text"))
+    one_text = members(texts, True).groupBy("sid").agg(F.min("text").alias("text"))
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
     with_text = ends.join(one_text, "sid").groupBy("a", "b").agg(F.min(F.when(F.col("sid") == F.col("a"), F.col("text"))).alias("ta"), F.min(F.when(F.col("sid") == F.col("b"), F.col("text"))).alias("tb"))
     return with_text.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b")
@@ -199,7 +198,7 @@ def similar_sets(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows
 
 def similar_pairs(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records at least as similar as the threshold, copies included."""
-    who = members(texts).select("sid", "id").distinct()
+    who = members(texts).distinct()
     links = similar_sets(texts, threshold, bands, rows)
     between = links.join(who.select(F.col("sid").alias("a"), F.col("id").alias("x")), "a").join(who.select(F.col("sid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     copied = who.groupBy("sid").agg(F.count("*").alias("k")).where("k > 1").select("sid")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 
@@ -13,13 +14,38 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)] if text else []
-
-
-def word_set_hash(distinct: list[str]) -> int:
-    """A signed 64-bit hash of a sorted list of distinct words."""
-    h = xxhash.xxh3_64_intdigest("\x00".join(distinct))
-    return h - (1 << 64) if h >> 63 else h
+    if not text:
+        return []
+    if text.isascii():  # lower-casing first can't change what a word is
+        return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+class WordSets:
+    """Distinct words of each text as numbers, with one 64-bit hash for each word of the batch."""
+
+    def __init__(self, texts: list[str | None]):
+        sets = [set(words(t)) for t in texts]
+        self.rows = np.array([i for i, s in enumerate(sets) if s], np.int64)
+        sets = [s for s in sets if s]
+        index: dict[str, int] = {}
+        self.flat = np.fromiter((index.setdefault(w, len(index)) for s in sets for w in s), np.int64)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+
+    def set_hashes(self) -> np.ndarray:
+        """A signed 64-bit hash of each set: the sum of its words' mixed hashes."""
+        if not len(self.sizes):
+            return np.zeros(0, np.int64)
+        return np.add.reduceat(mix(self.hashes + np.uint64(0x51ED270B))[self.flat], self.starts).view(np.int64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
