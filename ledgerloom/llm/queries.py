@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import encode, near_dup, packing, term_weight
+from ledgerloom.llm import encode, mojibake, near_dup, packing, term_weight
 from ledgerloom.session import table
 
 
@@ -40,4 +40,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packed, budgets)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_scores, p8_ids, p9_packs, p9_fill)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_scores, p8_ids, p9_packs, p9_fill, p10_found, p10_restored)}
