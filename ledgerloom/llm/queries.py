@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import encode, mojibake, near_dup, packing, term_weight
+from ledgerloom.llm import encode, mojibake, near_dup, packing, pii, term_weight
 from ledgerloom.session import table
 
 
@@ -23,6 +23,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_scores(spark, d).where("df between 2 and 20 and tf >= 2").select("node_id", "term")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    both = F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("text")), F.struct(F.lit("quote").alias("field"), F.col("source.quote").alias("text")))
+    return table(spark, d, "memory_nodes").select("id", F.inline(both))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    persons = table(spark, d, "principals").select(F.col("display_name").alias("name"))
+    return pii.find(_texts(spark, d), persons).withColumnRenamed("id", "node_id")
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    persons = table(spark, d, "principals").select(F.col("display_name").alias("name"))
+    return pii.redact(_texts(spark, d), persons).withColumnRenamed("id", "node_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -48,4 +63,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_scores, p8_ids, p9_packs, p9_fill, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_scores, p6_found, p6_redacted, p8_ids, p9_packs, p9_fill, p10_found, p10_restored)}
