@@ -90,9 +90,10 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     path holds the ids from the root to the node; for nodes that lead into a ring root_id is
     'cycle', depth -1 and path null.
     """
+    links = links.where("child is not null and parent is not null").select("child", "parent")
     records, rounds = peel(links, with_paths)
     ring = F.col("kind") == RING
-    roots = links.select(F.col("parent").alias("node")).where("node is not null").distinct().join(records, "node", "left_anti")
+    roots = links.select(F.col("parent").alias("node")).distinct().join(records, "node", "left_anti")
     path = F.array("node") if with_paths else F.lit(None).cast("array<string>")
     placed = [
         checkpointed(

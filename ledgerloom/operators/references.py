@@ -65,7 +65,7 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
     kind: missing (no such key), late (the parent is created later), deleted (deleted_s before the reference).
     """
-    refs = refs.where("ref_id is not null and ref_id <> ''")
+    refs = refs.where("ref_id is not null and ref_id <> ''").select("ref_table", "record_id", "ref_field", "ns", "ref_id", "at_s")
     asked = refs.groupBy("ns", F.col("ref_id").alias("key")).agg(F.min("at_s").alias("a"), F.max("at_s").alias("b"))
     lo, hi = F.lit(int(_MIN)), F.lit(int(_MAX))
     rows = parents.where("key is not null").select(F.lit(0).alias("tag"), "ns", "key", F.coalesce("created_s", lo).alias("a"), F.coalesce("deleted_s", hi).alias("b"))
