@@ -77,7 +77,7 @@ def peel(links: DataFrame, with_paths: bool = False, max_rounds: int = 500) -> t
         r += 1
         # a child whose parent was spliced out has two links: the longer one holds
         live = kept.unionByName(longer).groupBy("node").agg(F.max(F.struct("w", "parent", "via")).alias("m")).select("node", "m.parent", "m.w", "m.via")
-        if kept.isEmpty() and longer.isEmpty():
+        if flagged.where(F.col("kind").isin(KEEP, SPLICE)).isEmpty():
             break
     every = reduce(DataFrame.unionByName, records)
     last = every.groupBy("node").agg(F.max(F.struct("round", "kind", "w", "parent", "via")).alias("m"))

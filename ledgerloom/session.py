@@ -42,6 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, spread over all of them; for operators that spend far more on a row than a shuffle does.
+
+    Tables of many files or row groups have more partitions than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one in ``spark.checkpoint.dir``, a temporary one only where none is set."""
     sc = spark.sparkContext
