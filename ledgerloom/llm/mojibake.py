@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, spread
 
 TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z0-9\x80-\U0010ffff]*")
 RUN = re.compile(r"[\x80-\U0010ffff]+")
@@ -221,7 +221,7 @@ def garbled_units(docs: DataFrame) -> DataFrame:
 
     options: array of struct(ok, odf, chain, original), verified ones (ok) first, then by number of documents.
     """
-    found = docs.where("id is not null and text is not null").mapInArrow(_unit_rows, "id long, unit string, kind int").distinct()
+    found = spread(docs.select("id", "text").where("id is not null and text is not null")).mapInArrow(_unit_rows, "id long, unit string, kind int").distinct()
     counted = found.groupBy("unit", "kind").agg(F.count("*").alias("df"))
     made = counted.mapInArrow(_form_rows, "form string, kind int, original string, odf long, chain int, long boolean")
     seen = counted.where(F.col("kind") != CHAR_KIND).select(F.col("unit").alias("form"), "kind", F.col("df").alias("fdf"))

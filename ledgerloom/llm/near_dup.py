@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import words as words_of
 from ledgerloom.llm.text import WordSets, mix, slices
+from ledgerloom.session import spread
 
 REGISTERS, BASE, BLOCK = 192, 1.05, 1024
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -171,13 +172,13 @@ def candidates(texts: DataFrame, threshold: float, bands: int, rows: int) -> Dat
     if bands * rows > REGISTERS:
         raise ValueError(f"bands * rows is more than {REGISTERS}")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = texts.select("text").where("text is not null").mapInArrow(_band_rows(bands, rows, parts), "part int, packed binary")
+    banded = spread(texts.select("text")).where("text is not null").mapInArrow(_band_rows(bands, rows, parts), "part int, packed binary")
     return banded.repartitionById(parts, F.col("part")).mapInArrow(_emit(threshold), "a long, b long").distinct()
 
 
 def members(texts: DataFrame, with_text: bool = False) -> DataFrame:
     """(sid, id[, text]) of texts(id, text) with at least one word."""
-    rows = texts.where("id is not null and text is not null").select("id", "text")
+    rows = spread(texts.where("id is not null and text is not null").select("id", "text"))
     out = rows.mapInArrow(_members, "sid long, id string, text string")
     return out if with_text else out.select("sid", "id")
 
