@@ -24,10 +24,11 @@ def _prefix(rows: DataFrame, size: str, order: list, budget: int, used: object =
 def active_part(nodes: DataFrame, query: str, max_nodes: int = 12, max_chars: int = 6000, session_id: str | None = None, patches: DataFrame | None = None) -> DataFrame:
     """(pos, id, n_chars, used_chars, content): the best nodes for the query, or the first of the view, while they fit."""
     seen = view.effective_view(nodes, patches, session_id, unknown="ignore")
-    hits = retrieval.lexical_search(seen, {"q": query}, max_nodes).select("id", "rank") if query else None
-    if hits is None or hits.isEmpty():
-        hits = seen.select("id", "view_ord").orderBy("view_ord", "id").limit(max_nodes)
-        hits = hits.select("id", F.row_number().over(W.orderBy("view_ord", "id")).alias("rank"))
+    found = retrieval.lexical_search(seen, {"q": query}, max_nodes).select("id", "rank").collect() if query else []  # max_nodes rows
+    if not found:
+        first = seen.select("id", "view_ord").orderBy("view_ord", "id").limit(max_nodes).collect()
+        found = [(r["id"], k + 1) for k, r in enumerate(first)]
+    hits = nodes.sparkSession.createDataFrame([tuple(r) for r in found], "id string, rank int")
     some = seen.join(F.broadcast(hits), "id").select("id", "rank", "content", F.length("content").cast("long").alias("n_chars"))  # max_nodes rows
     kept = _prefix(some, "n_chars", [F.asc("rank")], max_chars)
     return kept.select(F.col("pos"), "id", "n_chars", F.sum("n_chars").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)).alias("used_chars"), "content")

@@ -1,16 +1,19 @@
 """Retrieval over ledger nodes (R1-R11): lexical, exact, graph, temporal, dense, routed and fused search.
 
-Queries are parameters: a dict of query id to text. All of them are answered in one pass over the nodes: only tokens that some
-query asks for are exploded, and the terms (a handful) are joined as a broadcast. Results have query_id, id, score,
+Queries are parameters: a dict of query id to text. All of them are answered in two passes over the nodes, one for the document
+frequencies of their terms and one for the scores; neither shuffles. Results have query_id, id, score,
 rank and reasons; the order is score, update time, id, all descending, and is total.
 Top-k per query is a row number under a limit, which Spark cuts down to k rows a task before the shuffle.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,33 @@ def _document() -> Column:
     return F.concat_ws(" ", F.col("content"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
 
 
+def _scores(nodes: DataFrame, queries: Mapping[str, str]) -> Column:
+    """array<struct<query_id,score,reasons>> of each node for every query.
+
+    Document frequencies and the number of nodes come from one aggregate of one row, as wide as the queries have terms; scores
+    are then an expression over the row's own tokens, so that neither needs a shuffle.
+    """
+    terms = {q: Counter(tokens_of(text)) for q, text in queries.items()}
+    asked = sorted({t for c in terms.values() for t in c})
+    held = nodes.select(F.array_distinct(F.filter(tokenize(_document()), lambda t: t.isin(*asked))).alias("held")) if asked else nodes.select(F.array().cast("array<string>").alias("held"))
+    row = held.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("held", t)).alias(f"t{k}") for k, t in enumerate(asked)]).first()
+    idf = {t: math.log((max(1, row["n"]) + 1) / (row[f"t{k}"] + 0.5)) + 1 for k, t in enumerate(asked)}
+    times = lambda t: F.size(F.filter(F.col("_tokens"), lambda x: x == t)).cast("double")
+    out = []
+    for q, text in queries.items():
+        phrase = F.contains(F.lower("content"), F.lit(text.lower())) if terms[q] else F.lit(False)
+        parts = [F.when(phrase, 5.0).otherwise(0.0)] + [times(t) * F.lit(n * idf[t]) for t, n in sorted(terms[q].items())]
+        reasons = F.array_sort(F.array_compact(F.array(F.when(phrase, "phrase"), *[F.when(F.array_contains("_tokens", t), t) for t in terms[q]])))
+        out.append(F.struct(F.lit(q).alias("query_id"), F.round(reduce(operator.add, parts), 9).alias("score"), F.array_distinct(reasons).alias("reasons")))
+    return F.array(*out)
+
+
+def _tokens(queries: Mapping[str, str]) -> Column:
+    """The tokens of a node that some query asks for."""
+    asked = sorted({t for text in queries.values() for t in tokens_of(text)})
+    return F.filter(tokenize(_document()), lambda t: t.isin(*asked)) if asked else F.array().cast("array<string>")
+
+
 def lexical_scores(nodes: DataFrame, queries: Mapping[str, str]) -> DataFrame:
     """(query_id, id, updated_s, score, reasons) of all hits, unlimited.
 
@@ -41,23 +71,9 @@ def lexical_scores(nodes: DataFrame, queries: Mapping[str, str]) -> DataFrame:
     content holds the whole query. N and df are those of the given nodes. Scores are rounded to 9 digits, so that the order of
     summation can't change the order of hits.
     """
-    spark = nodes.sparkSession
-    terms = {q: Counter(tokens_of(text)) for q, text in queries.items()}
-    asked = sorted({t for c in terms.values() for t in c})
-    schema = "query_id string, id string, updated_s long, score double, reasons array<string>"
-    if not asked:
-        return spark.createDataFrame([], schema)
-    wanted = F.filter(tokenize(_document()), lambda t: t.isin(*asked))
-    tf = nodes.select("id", "updated_s", F.explode(wanted).alias("term")).groupBy("id", "updated_s", "term").agg(F.count("*").alias("tf"))
-    n = F.greatest(F.lit(1), nodes.agg(F.count("*").alias("n")).scalar())
-    idf = tf.groupBy("term").agg((F.log((n + 1) / (F.count("*") + F.lit(0.5))) + 1).alias("idf"))
-    per_query = spark.createDataFrame([(q, t, k) for q, c in terms.items() for t, k in sorted(c.items())], "query_id string, term string, times int")
-    weights = F.broadcast(per_query.join(idf, "term"))  # at most as many rows as the queries have tokens
-    scored = tf.join(weights, "term").select("query_id", "id", "updated_s", (F.col("tf") * F.col("idf") * F.col("times")).alias("score"), F.col("term").alias("reason"))
-    phrases = F.array(*[F.struct(F.lit(q).alias("query_id"), F.contains(F.lower("content"), F.lit(text.lower())).alias("hit")) for q, text in queries.items() if terms[q]])
-    phrase = nodes.select("id", "updated_s", F.inline(phrases)).where("hit").select("query_id", "id", "updated_s", F.lit(5.0).alias("score"), F.lit("phrase").alias("reason"))
-    every = scored.unionByName(phrase)
-    return every.groupBy("query_id", "id", "updated_s").agg(F.round(F.sum("score"), 9).alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons")).where("score > 0")
+    scores = _scores(nodes, queries)
+    rows = nodes.select("id", "updated_s", "content", _tokens(queries).alias("_tokens")).select("id", "updated_s", F.inline(scores))
+    return rows.where("score > 0").select("query_id", "id", "updated_s", "score", "reasons")
 
 
 def lexical_search(nodes: DataFrame, queries: Mapping[str, str], limit: int = 10) -> DataFrame:
@@ -105,12 +121,10 @@ def holds_at(as_of_s: int | None) -> Column:
 def temporal_search(nodes: DataFrame, queries: Mapping[str, str], as_of_s: int | None = None, limit: int = 10) -> DataFrame:
     """Nodes effective at a time, by lexical score plus recency; every such node is a candidate."""
     held = nodes.where(holds_at(as_of_s))
-    lexical = lexical_scores(held, queries).select("query_id", "id", F.col("score").alias("lexical"))
-    each = F.explode(F.array(*[F.lit(q) for q in queries]))
-    recency = F.coalesce(F.coalesce("updated_s", "created_s") / F.lit(1e12), F.lit(0.0))
-    rows = held.select(each.alias("query_id"), "id", "updated_s", recency.alias("recency")).join(lexical, ["query_id", "id"], "left")
-    rows = rows.select("query_id", "id", "updated_s", (F.coalesce("lexical", F.lit(0.0)) + F.col("recency")).alias("score"), F.array(F.lit("temporal")).alias("reasons"))
-    return _top(rows, limit)
+    scores = _scores(held, queries)
+    recency = F.coalesce(F.coalesce("updated_s", "created_s") / F.lit(1e12), F.lit(0.0)).alias("recency")
+    rows = held.select("id", "updated_s", "content", recency, _tokens(queries).alias("_tokens")).select("id", "updated_s", "recency", F.inline(scores))
+    return _top(rows.select("query_id", "id", "updated_s", (F.col("score") + F.col("recency")).alias("score"), F.array(F.lit("temporal")).alias("reasons")), limit)
 
 
 def cosine(a: Column, b: Column) -> Column:
