@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import detect, governance, rails, view
+from ledgerloom.operators import detect, episodes, governance, rails, view
+from ledgerloom.operators.confirmation import confirmation_rail
 from ledgerloom.operators.ledger import nodes, patches
 from ledgerloom.plans.retrieval import N, P, V, quoted
 from ledgerloom.session import table
@@ -153,6 +154,18 @@ def rail_values(s, d):
     return _triples(s, d).select("id", rails.value_rail(F.col("answer"), F.col("context"), F.col("query")).alias("v")).select("id", F.array_join("v.candidates", "|").alias("candidates"), F.array_join("v.ungrounded", "|").alias("ungrounded"))
 
 
+def rail_confirmation(s, d):
+    """Quotes as answers to the question whether the replaced node's name still holds."""
+    rows = _triples(s, d).withColumn("probe", F.concat(F.lit("is the previous name still "), F.substring("context", 1, 60), F.lit("?")))
+    return rows.select("id", confirmation_rail(F.concat(F.lit("Yes, "), "answer"), F.col("context"), F.col("probe")).alias("c")).where("c.span is not null").select("id", "c.span", "c.reason")
+
+
+def episode_replay(s, d):
+    """Documents of a session as its turns, in order of creation."""
+    docs = table(s, d, "documents").where("session_id is not null").select(F.col("session_id").alias("episode_id"), F.col("doc_id").alias("turn"), "text")
+    return episodes.replay(docs)
+
+
 def rail_facade(s, d):
     return rails.apply_rails(_triples(s, d)).select("id", "refused", "flagged", "text")
 
@@ -171,7 +184,7 @@ def leak_targets(s, d):
 
 QUERIES = {f.__name__: f for f in (
     classify_patch, classify_turn, correction_triggers, weak_signal, question, conditional, reported_speech, date_keys, value_entries, value_contradiction, patch_candidates, project_detect, revocations, acl_authorized, policy_pack, leak_check, prediction_rows, axis_summary,
-    pii_spans, email_spans, rail_pii, rail_values, rail_facade, rail_postprocess_counts, leak_targets,
+    pii_spans, email_spans, rail_pii, rail_values, rail_confirmation, rail_facade, episode_replay, rail_postprocess_counts, leak_targets,
 )}
 
 TU = "tu AS (SELECT id, 'content' AS field, content AS text FROM n WHERE content <> '' UNION ALL SELECT id, 'quote', source.quote FROM n WHERE source.quote <> '')"

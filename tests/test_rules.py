@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import codegraph, detect, integrity, rails
+from ledgerloom.operators import codegraph, confirmation, detect, episodes, integrity, rails
 
 
 def one(spark, column, value):
@@ -75,3 +75,26 @@ def test_code(spark):
     assert ("a/x.py", "a", "a/__init__.py") not in {tuple(r) for r in codegraph.resolve_imports(parsed).collect()}
     hits = codegraph.search(parsed, spark.createDataFrame([("b.js", 9)], "path string, churn long"), "run").collect()
     assert hits[0]["path"] == "b.js" and hits[0]["score"] == 5
+
+
+@pytest.mark.parametrize(
+    ("answer", "context", "query", "reason"),
+    [
+        ("Yes, the former token began with rb", "", "Did the deleted token begin with rb?", "deleted_referent"), ("Yes, Summit is Meridian Freight", "", "Is it true that Summit refers to Meridian Freight?", "identity_mapping"),
+        ("Yes, Summit refers to Meridian Freight", "In the plan Summit refers to Meridian Freight.", "So Summit refers to Meridian Freight?", None), ("Yes, the retired token expired in May", "The retired token expired in May", "Is the retired token expired?", None),
+        ("Yes, the retired token expired in May", "The retired token never expired in May", "Is the retired token expired?", "deleted_referent"), ("I don't know", "", "What was the deleted token?", None), ("Yes, sure", "", "Is it sunny?", None), (None, None, None, None), ("\u200bYes.", "", "was the old password removed, the previous password?", "deleted_referent"),
+    ],
+)
+def test_confirmations(answer, context, query, reason):
+    span, got = confirmation.check(answer, context, query)
+    assert got == reason and (span is None) == (reason is None)
+
+
+def test_replay(spark):
+    turns = [
+        ("e", 1, "The staging token is mp_stg_42 for Harbor"), ("e", 2, "Lunch is at noon"), ("e", 3, "lunch  IS at noon"), ("e", 4, "Delete mp_stg_42 now, it is retired"), ("e", 5, "Delete the unknown thing"), ("f", 1, None), ("f", 2, "Budget code bx_7 is ten"), ("f", 3, "Actually budget code bx_7 is twelve"), (None, 1, "x"),
+    ]
+    rows = {(r["episode_id"], r["turn"]): (r["action"], r["fact_turn"], r["status"]) for r in episodes.replay(spark.createDataFrame(turns, "episode_id string, turn long, text string")).collect()}
+    assert rows == {
+        ("e", 1): ("create", None, "forgotten"), ("e", 2): ("create", None, "active"), ("e", 3): ("duplicate", None, None), ("e", 4): ("forget", 1, None), ("e", 5): ("forget", None, None), ("f", 2): ("create", None, "superseded"), ("f", 3): ("supersede", 2, "active"),
+    }
