@@ -16,7 +16,7 @@ form differs from it. In a document with verified units, other units that match
 Characters that were lost come back where the corpus knows the word; a replacement character inside a word is
 reported even where it does not.
 
-Defined cases: null and empty texts are never garbled; a repeated id counts as one document; ties between originals
+Defined cases: null and empty texts are never garbled; a repeated id comes out once, its rows count each in the frequencies; ties between originals
 go to the one in more documents, then to the first chain, then to the smaller original.
 """
 
@@ -221,7 +221,7 @@ def garbled_units(docs: DataFrame) -> DataFrame:
 
     options: array of struct(ok, odf, chain, original), verified ones (ok) first, then by number of documents.
     """
-    found = spread(docs.select("id", "text").where("id is not null and text is not null")).mapInArrow(_unit_rows, "id long, unit string, kind int").distinct()
+    found = spread(docs.select("id", "text").where("id is not null and text is not null")).mapInArrow(_unit_rows, "id long, unit string, kind int")
     counted = found.groupBy("unit", "kind").agg(F.count("*").alias("df"))
     made = counted.mapInArrow(_form_rows, "form string, kind int, original string, odf long, chain int, long boolean")
     seen = counted.where(F.col("kind") != CHAR_KIND).select(F.col("unit").alias("form"), "kind", F.col("df").alias("fdf"))
