@@ -45,10 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer partitions than there are cores, spread over all of them; for operators that spend far more on a row than a shuffle does.
 
-    Tables of many files or row groups have more partitions than that and are left as they are.
+    Tables of many files or row groups have more partitions than that and are left as they are, and so is what has been shuffled already.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
