@@ -9,7 +9,7 @@ from ledgerloom.functions import text
 from ledgerloom.operators import detect, episodes, governance, rails, view
 from ledgerloom.operators.confirmation import confirmation_rail
 from ledgerloom.operators.ledger import nodes, patches
-from ledgerloom.plans.retrieval import N, P, V, quoted
+from ledgerloom.plans.retrieval import N, P, V, lexical_sql, quoted, top_sql
 from ledgerloom.session import table
 
 TURNS = {
@@ -223,4 +223,8 @@ w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))
     "axis_summary": f"WITH {N} SELECT status, type, count(*) AS n, round(avg((len(list_filter(regexp_extract_all(content, '\\b[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+\\b'), lambda x: regexp_matches(x, '[0-9]'))) > 0)::INT), 6) AS rate FROM n GROUP BY ALL",
     "email_spans": f"WITH {N}, {TU} SELECT DISTINCT id, field, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM tu",
     "leak_targets": f"WITH {N} SELECT id FROM n WHERE contains(lower(content), lower(type)) OR (coalesce(scope.project, '') <> '' AND contains(lower(content), lower(scope.project)))",
+    "date_keys": f"""WITH {N}, {TU}, x AS (SELECT id, field, regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS iso, list_transform(regexp_extract_all(text, '\\d{{1,2}}월\\s*\\d{{1,2}}일'), lambda m: lpad(regexp_extract(m, '(\\d+)월', 1), 2, '0') || '-' || lpad(regexp_extract(m, '(\\d+)일', 1), 2, '0')) AS md FROM tu)
+SELECT id, field, array_to_string(list_sort(list_distinct(list_concat(md, iso, list_transform(iso, lambda i: substr(i, 6, 5))))), ',') AS dates FROM x WHERE len(iso) + len(md) > 0""",
+    "leak_check": f"""WITH {N}, {ACL}, {lexical_sql("n", {c: q for c, (_, q) in CHECKPOINTS.items()})}, s AS (SELECT query_id AS checkpoint_id, n.* FROM {top_sql("l", 5)} t JOIN n ON n.id = t.id), a(checkpoint_id, principal_id) AS (VALUES {", ".join(f"({quoted(c)}, {quoted(p)})" for c, (p, _) in CHECKPOINTS.items())})
+SELECT checkpoint_id, id AS node_id, 'not active' AS problem FROM s WHERE coalesce(status, '') <> 'active' UNION ALL SELECT checkpoint_id, id, 'not allowed' FROM s JOIN a USING (checkpoint_id) WHERE coalesce(scope.project, '') <> '' AND NOT EXISTS (FROM acl WHERE acl.project_id = s.scope.project AND acl.principal_id = a.principal_id)""",
 }

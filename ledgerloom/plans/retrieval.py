@@ -237,6 +237,7 @@ _PACK = f"""{lexical_sql("v", {"q": ASKED["q1"]})},
 sel AS (SELECT h.rank, v.id, v.content, length(v.content) AS n_chars FROM {top_sql("l", 12)} h JOIN v USING (id)),
 ap AS (SELECT *, sum(n_chars) OVER (ORDER BY rank) AS run FROM sel),
 act AS (SELECT row_number() OVER (ORDER BY rank) AS pos, id, content, n_chars::BIGINT AS n_chars, sum(n_chars) OVER (ORDER BY rank)::BIGINT AS used_chars FROM ap WHERE rank = 1 OR run <= 1500)"""
+_QUOTE = "'\"' || replace(replace(replace({c}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), chr(10), '\\\\n') || '\"'"
 _DENSE_ORDER = "score DESC, id ASC"
 
 SQL = {
@@ -266,7 +267,7 @@ x AS (SELECT query_id, id, sum(part) AS score, array_to_string(list(mode ORDER B
     "exact_auto_search": f"""WITH {N}, {V}, {lexical_sql("v", {"q": "'Blue Harbor'"})}, h AS (SELECT 'q' AS query_id, id, updated_s FROM v WHERE contains(replace(lower(content), 'ß', 'ss'), '''blue harbor''')),
 f AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part, 0 AS pos, 'grep' AS mode FROM {top_sql("h", 10, "id")} UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank), 1, 'lexical' FROM {top_sql("l", 10)}),
 x AS (SELECT query_id, id, sum(part) AS score, array_to_string(list(mode ORDER BY pos), ',') AS reasons FROM f GROUP BY ALL) {RESULT} FROM {top_sql("x", 10, "score DESC, id DESC")}""",
-    "normalized_search": f"WITH {N}, {V}, d AS (SELECT * REPLACE (regexp_replace(regexp_replace(content, '([A-Za-z0-9][A-Za-z0-9_/:-]{{3,}})([.,;:])(\\s|$)', '\\1 \\2\\3', 'g'), '([A-Za-z0-9][A-Za-z0-9_/:-]{{3,}})([.,;:])(\\s|$)', '\\1 \\2\\3', 'g') AS content) FROM v), {lexical_sql('d', _NORM)} {RESULT} FROM {top_sql('l', 10)}",
+    "normalized_search": f"WITH {N}, {V}, d AS (SELECT * REPLACE (regexp_replace(content, '([A-Za-z0-9][A-Za-z0-9_/:-]{{3,}})([.,;:])(\\s|$)', '\\1 \\2\\3', 'g') AS content) FROM v), {lexical_sql('d', _NORM)} {RESULT} FROM {top_sql('l', 10)}",
     "confident_hit": f"WITH {N}, {V}, {lexical_sql('v', ASKED)}, h AS (FROM {top_sql('l', 2)}) SELECT a.query_id, a.id, round(a.score, 6) AS score FROM h a LEFT JOIN h b ON b.query_id = a.query_id AND b.rank = 2 WHERE a.rank = 1 AND a.score >= 4 AND (b.score IS NULL OR a.score >= b.score * 1.0)",
     "exact_value_target": f"""WITH {N}, {V}, s(query_id, kind, span) AS (VALUES ('v1', 0, 'lib-19'), ('v1', 0, 'rc-00000'), ('v2', 1, 'orchid ledger'), ('v3', 0, 'nobody_7'), ('v3', 1, 'blue harbor')),
 h AS (SELECT query_id, kind, id FROM v JOIN s ON contains(lower(content), span)) SELECT query_id, id, kind::BIGINT AS kind FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kind, id) = 1""",
@@ -275,5 +276,8 @@ h AS (SELECT query_id, kind, id FROM v JOIN s ON contains(lower(content), span))
     "pack_suppressed": f"""WITH {N}, {V}, {_PACK}, s AS (SELECT id, status, left(content, 240) AS preview FROM n WHERE status NOT IN ('active', 'active_session')), r AS (SELECT *, row_number() OVER (ORDER BY id) AS pos, sum(length(preview)) OVER (ORDER BY id) AS run FROM s)
 SELECT pos, id, status, preview FROM r WHERE pos = 1 OR (SELECT coalesce(max(used_chars), 0) FROM act) + run <= 3000""",
     "pack_render": f"WITH {N}, {V}, {_PACK} SELECT string_agg('- [' || id || '] ' || regexp_replace(content, '\\s+', ' ', 'g'), chr(10) ORDER BY pos) AS text FROM act",
+    "pack_render_toml": f"WITH {N}, {V}, {_PACK} SELECT 'query = ' || {_QUOTE.format(c=quoted(ASKED['q1']))} || chr(10) || chr(10) || string_agg('[[memory]]' || chr(10) || 'id = ' || {_QUOTE.format(c='id')} || chr(10) || 'content = ' || {_QUOTE.format(c='content')}, chr(10) || chr(10) ORDER BY pos) AS text FROM act",
+    "sparse_keys": f"""WITH {N}, w AS (SELECT id, tags, list_transform(regexp_split_to_array(content, '\\s+'), lambda x: lower(regexp_replace(x, '^[.,:;()\\[\\]{{}}]+|[.,:;()\\[\\]{{}}]+$', '', 'g'))) AS ws FROM n)
+SELECT id, array_to_string(list_slice(list_sort(list_distinct(list_concat(coalesce(tags, []), list_filter(ws, lambda x: length(x) > 2)))), 1, 24), ' ') AS keys FROM w""",
+    "detached_punctuation": f"WITH {N} SELECT id, regexp_replace(content, '([A-Za-z0-9][A-Za-z0-9_/:-]{{3,}})([.,;:])(\\s|$)', '\\1 \\2\\3', 'g') AS content FROM n",
 }
-
