@@ -37,3 +37,21 @@ def words(c: Column) -> Column:
 def ids(c: Column) -> Column:
     """An id array without null and empty entries; null gives an empty array."""
     return F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps, the right one winning; null counts as empty."""
+    keys = F.coalesce(F.map_keys(right), F.array().cast("array<string>"))
+    kept = F.map_filter(left, lambda k, _: ~F.array_contains(keys, k))
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.map_concat(kept, right))
+
+
+def scope_matches(a: Column, b: Column) -> Column:
+    """Either side names nothing, or both name something in common."""
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    return none(a) | none(b) | F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def fold_separators(c: Column) -> Column:
+    """possessives dropped, invisible characters and runs of separators as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"['’]s\b", ""), "[\u200b-\u200f\u2060\ufeff]+", " "), r"(?U)[\s_-]+", " "))

@@ -145,6 +145,15 @@ def leaks(packs: DataFrame, nodes: DataFrame, acl: DataFrame, askers: DataFrame)
     return stale.unionByName(closed)
 
 
+#: Columns of a checkpoint that an agent may see (fixed values); all others are pruned from the plan.
+VISIBLE = ("checkpoint_id", "episode_id", "as_of_turn_id", "asker", "query_text")
+
+
+def visible(checkpoints: DataFrame) -> DataFrame:
+    """P6."""
+    return checkpoints.select(*VISIBLE)
+
+
 def word_boundary(alias: str) -> str:
     """A pattern of a whole word."""
     return "(?i)" + EDGE_L + re.escape(alias) + EDGE_R

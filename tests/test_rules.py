@@ -98,3 +98,14 @@ def test_replay(spark):
     assert rows == {
         ("e", 1): ("create", None, "forgotten"), ("e", 2): ("create", None, "active"), ("e", 3): ("duplicate", None, None), ("e", 4): ("forget", 1, None), ("e", 5): ("forget", None, None), ("f", 2): ("create", None, "superseded"), ("f", 3): ("supersede", 2, "active"),
     }
+
+
+def test_small_functions(spark):
+    from ledgerloom.functions import scalars
+    from ledgerloom.operators import governance
+
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}, ["x"], ["y", "x"], "The  room-402's\u200bkey"), (None, {"b": "3"}, [], ["y"], ""), ({"a": "1"}, None, ["x"], ["y"], None)], "l map<string,string>, r map<string,string>, p array<string>, q array<string>, t string")
+    got = df.select(scalars.merge_maps(F.col("l"), F.col("r")).alias("m"), scalars.scope_matches(F.col("p"), F.col("q")).alias("s"), scalars.fold_separators(F.col("t")).alias("f")).collect()
+    assert [r["m"] for r in got] == [{"a": "1", "b": "3"}, {"b": "3"}, {"a": "1"}] and [r["s"] for r in got] == [True, True, False] and got[0]["f"] == "the room 402 key"
+    cp = spark.createDataFrame([("c", "e", "t", "p", "q", "hidden")], "checkpoint_id string, episode_id string, as_of_turn_id string, asker string, query_text string, expected_action string")
+    assert governance.visible(cp).columns == list(governance.VISIBLE)
