@@ -16,8 +16,8 @@ Recall: with ``rows`` registers a band and ``bands`` bands a pair of similarity
 (1 - s**rows)**bands, 0.9 % at 0.7, 0.02 % at 0.8, and by the bit test with about 0.05 % at 0.7. Two different word sets
 with one 64-bit hash would be taken for copies; at 10**9 records the chance of one such pair is 3 %.
 
-Defined cases: a null or blank text and one without a word belongs to no group; repeated rows of an id
-count once; records whose word sets are equal have similarity 1; null ids are dropped.
+Defined cases: a null or blank text and one without a word belongs to no group; repeated rows of an id, which are taken to
+have one text, count once; records whose word sets are equal have similarity 1; null ids are dropped.
 """
 
 from __future__ import annotations
@@ -163,8 +163,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 4000):
             sets = WordSets(batch.column("text").to_pylist())
-            some = batch.take(pa.array(sets.rows))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.set_hashes()), *some.columns], names=["sid", *some.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.set_hashes()), batch.column("id").take(pa.array(sets.rows))], names=["sid", "id"])
 
 
 def candidates(texts: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
@@ -176,11 +175,10 @@ def candidates(texts: DataFrame, threshold: float, bands: int, rows: int) -> Dat
     return banded.repartitionById(parts, F.col("part")).mapInArrow(_emit(threshold), "a long, b long").distinct()
 
 
-def members(texts: DataFrame, with_text: bool = False) -> DataFrame:
-    """(sid, id[, text]) of texts(id, text) with at least one word."""
+def members(texts: DataFrame) -> DataFrame:
+    """(sid, id) of texts(id, text) with at least one word, once each and partitioned by sid, so that joins on sid share one exchange."""
     rows = spread(texts.where("id is not null and text is not null").select("id", "text"))
-    out = rows.mapInArrow(_members, "sid long, id string, text string")
-    return out if with_text else out.select("sid", "id")
+    return rows.mapInArrow(_members, "sid long, id string").repartition("sid").dropDuplicates(["sid", "id"])
 
 
 def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
@@ -188,19 +186,25 @@ def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both) - F.lit(1e-9)
 
 
-def similar_sets(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(a, b): hashes of different word sets whose Jaccard similarity is at least the threshold, verified on the words."""
+def similar_sets(texts: DataFrame, who: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(a, b): hashes of different word sets whose Jaccard similarity is at least the threshold, verified on the words.
+
+    who: members(texts). The text of a set is that of its first record.
+    """
     pairs = candidates(texts, threshold, bands, rows)
-    one_text = members(texts, True).groupBy("sid").agg(F.min("text").alias("text"))
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
-    with_text = ends.join(one_text, "sid").groupBy("a", "b").agg(F.min(F.when(F.col("sid") == F.col("a"), F.col("text"))).alias("ta"), F.min(F.when(F.col("sid") == F.col("b"), F.col("text"))).alias("tb"))
-    return with_text.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b")
+    first = who.groupBy("sid").agg(F.min("id").alias("id"))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid")).join(first, "sid")
+    with_text = ends.join(texts.where("text is not null").select("id", "text"), "id")
+    text_of = lambda c: F.min(F.when(F.col("sid") == F.col(c), F.col("text")))
+    both = with_text.groupBy("a", "b").agg(text_of("a").alias("ta"), text_of("b").alias("tb"))
+    return both.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b")
 
 
 def similar_pairs(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records at least as similar as the threshold, copies included."""
-    who = members(texts).distinct()
-    links = similar_sets(texts, threshold, bands, rows)
+    texts = texts.select("id", "text")
+    who = members(texts)
+    links = similar_sets(texts, who, threshold, bands, rows)
     between = links.join(who.select(F.col("sid").alias("a"), F.col("id").alias("x")), "a").join(who.select(F.col("sid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     copied = who.groupBy("sid").agg(F.count("*").alias("k")).where("k > 1").select("sid")
     copies = who.join(copied, "sid", "left_semi")
