@@ -5,7 +5,7 @@ query turns the words into token-position rows, joins adjacent tokens with the m
 step, the pair of least rank, the leftmost first, until no word has a pair left. All
 non-overlapping occurrences of that pair are contracted in one step: a pair made by a contraction ranks after it,
 so this equals one at a time, and a run of one character takes logarithmically many steps. Ordered
-aggregation gives each word's ids, and the texts are put together from them by array arithmetic. There is no
+aggregation gives each word's ids (only words in which such pairs overlap, as in a run of one character, need their places counted), and the texts are put together from them by array arithmetic. There is no
 shuffle, and a text of any length costs its number of words.
 
 Defined cases: null and empty texts give an empty list; every other text is encoded exactly as stored.
@@ -41,11 +41,14 @@ WITH RECURSIVE steps(w, pos, id, fin) AS (
   WITH pairs AS (SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps WHERE NOT fin),
   ranked AS (SELECT p.w, p.pos, p.id, m.merged FROM pairs p LEFT JOIN merges m ON m.a = p.id AND m.b = p.nxt),
   least AS (SELECT *, min(merged) OVER (PARTITION BY w) AS best FROM ranked),
-  marked AS (SELECT *, coalesce(merged = best, false) AS hit, row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM least),
-  runs AS (SELECT *, n - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS run FROM marked),
+  marked AS MATERIALIZED (SELECT w, pos, id, merged, best, coalesce(merged = best, false) AS hit, coalesce(lag(merged) OVER (PARTITION BY w ORDER BY pos) = best, false) AS after_hit FROM least),
+  twins AS (SELECT DISTINCT w FROM marked WHERE hit AND after_hit),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM marked WHERE w IN (FROM twins)),
+  runs AS (SELECT *, n - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS run FROM numbered),
   chosen AS (SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, run ORDER BY pos) % 2 = 1 AS takes FROM runs),
-  gone AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY w ORDER BY pos), false) AS taken FROM chosen)
-  SELECT w, pos, CASE WHEN takes THEN merged ELSE id END, best IS NULL FROM gone WHERE NOT taken))
+  every AS (SELECT w, pos, id, merged, best, takes, coalesce(lag(takes) OVER (PARTITION BY w ORDER BY pos), false) AS taken FROM chosen
+    UNION ALL SELECT w, pos, id, merged, best, hit, after_hit FROM marked WHERE w NOT IN (FROM twins))
+  SELECT w, pos, CASE WHEN takes THEN merged ELSE id END, best IS NULL FROM every WHERE NOT taken))
 SELECT w, list(id ORDER BY pos) AS ids FROM steps WHERE fin GROUP BY w ORDER BY w
 """
 
@@ -87,6 +90,14 @@ def encode_words(words: list[str], ranks_path: str = RANKS) -> list[np.ndarray]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class WordEncoder:
     """Encodes batches of texts; words met before are looked up."""
 
@@ -95,7 +106,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.ids: list[np.ndarray] = []
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +114,7 @@ class WordEncoder:
         if len(self.index) > REMEMBERED:
             self.forget()
         index, split = self.index, self.pattern.findall
-        per_text = [np.fromiter((index.setdefault(w, len(index)) for w in split(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        per_text = [np.fromiter(map(index.__getitem__, split(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
         new = list(index)[len(self.ids) :] if len(index) > len(self.ids) else []
         self.ids += encode_words(new, self.ranks_path)
         flat = np.concatenate(per_text) if per_text else np.zeros(0, np.int32)
@@ -119,6 +130,12 @@ class WordEncoder:
         return np.concatenate([[0], ends])[words_before], ids.astype(np.int32)
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(ranks_path: str) -> WordEncoder:
+    """The encoder of a Python worker, which keeps its words from task to task."""
+    return WordEncoder(ranks_path)
+
+
 def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text each."""
     at, size = 0, 0
@@ -139,7 +156,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        encoder = WordEncoder(ranks_path)
+        encoder = shared_encoder(ranks_path)
         for whole in batches:
             for batch in _slices(whole, "text", 8_000_000):
                 offsets, ids = encoder.batch(batch.column("text").to_pylist())
