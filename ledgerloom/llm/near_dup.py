@@ -13,7 +13,7 @@ sketches merge; two records agree in a register with a probability close to thei
 3. Surviving pairs are verified exactly on the words of the two texts.
 
 Recall: with ``rows`` registers a band and ``bands`` bands a pair of similarity s is missed with probability
-(1 - s**rows)**bands, 0.9 % at 0.7, 0.02 % at 0.8, and by the bit test with about 0.05 % at 0.7. Two different word sets
+(1 - s**rows)**bands, 0.9 % at 0.7, 0.02 % at 0.8, and by the bit test with about 0.15 % at 0.7. Two different word sets
 with one 64-bit hash would be taken for copies; at 10**9 records the chance of one such pair is 3 %.
 
 Defined cases: a null or blank text and one without a word belongs to no group; repeated rows of an id, which are taken to
@@ -67,7 +67,7 @@ def bits_of(registers: np.ndarray) -> np.ndarray:
     return np.packbits((registers & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
-def _least_equal(threshold: float, slack: float = 3.3) -> int:
+def _least_equal(threshold: float, slack: float = 3.0) -> int:
     """Equal bits below which a pair of that similarity is as good as ruled out (slack standard deviations)."""
     p = (1 + threshold) / 2
     return int(np.floor(REGISTERS * p - slack * np.sqrt(REGISTERS * p * (1 - p))))
