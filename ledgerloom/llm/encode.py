@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.text import text_slices
 from ledgerloom.session import spread
 
 #: Where the rank file lies on driver and executors.
@@ -136,29 +137,14 @@ def shared_encoder(ranks_path: str) -> WordEncoder:
     return WordEncoder(ranks_path)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text each."""
-    at, size = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for i, n in enumerate(lengths):
-        if size and size + n > most:
-            yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += int(n)
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
     """(id, ids array<int>) of every row."""
     out_type = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         encoder = shared_encoder(ranks_path)
         for whole in batches:
-            for batch in _slices(whole, "text", 8_000_000):
+            for batch in text_slices(whole, "text", 8_000_000):
                 offsets, ids = encoder.batch(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], schema=out_type)
 

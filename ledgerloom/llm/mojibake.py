@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.text import slices, text_slices
 from ledgerloom.session import checkpointed, spread
 
 TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z0-9\x80-\U0010ffff]*")
@@ -155,7 +156,7 @@ def _long_enough(form: str, is_run: bool) -> bool:
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole, "text", 2_000_000)):
         ids, out, kinds = [], [], []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text and not text.isascii():
@@ -165,7 +166,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _form_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 500)):  # a unit has some 150 forms
         rows: list[tuple] = []
         for unit, kind, df in zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "df")), strict=True):
             to = TOKEN_KIND if kind == TOKEN_KIND else RUN_KIND
@@ -208,7 +209,7 @@ def restore_text(text: str, matches: list[dict]) -> tuple[str, int]:
 
 
 def _restorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole, "text", 2_000_000)):
         done = [restore_text(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64()), pa.array([t.count(LOST) for t, _ in done], pa.int64())],

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import words as words_of
-from ledgerloom.llm.text import WordSets, mix, slices
+from ledgerloom.llm.text import WordSets, mix, text_slices
 from ledgerloom.session import spread
 
 REGISTERS, BASE, BLOCK = 192, 1.05, 1024
@@ -38,25 +38,37 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: A record in a bucket: band hash, set hash, set size, one bit of each register.
 _ROW = np.dtype([("band", "<u4"), ("sid", "<i8"), ("n", "<u2"), ("bits", "<u8", REGISTERS // 64)])
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Sets whose words are gathered at once.
-_STEP = 256
+#: Sets whose words are gathered at once, words whose values are held at once, bytes of text in one step.
+_STEP, MOST_WORDS, STEP_BYTES = 256, 80_000, 1_200_000
 
 
-def sketch(sets: WordSets) -> np.ndarray:
-    """Registers (sets x REGISTERS, uint16)."""
-    # uniform 32-bit values: the largest belongs to the least exponential
-    x = sets.hashes[:, None] + _SEEDS[None, :]
+def _uniform(hashes: np.ndarray) -> np.ndarray:
+    """Uniform 32-bit values (words x REGISTERS); the largest belongs to the least exponential."""
+    x = hashes[:, None] + _SEEDS[None, :]
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x94D049BB133111EB)
-    values = (x >> np.uint64(32)).astype(np.uint32)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(sets: WordSets) -> np.ndarray:
+    """Registers (sets x REGISTERS, uint16)."""
     n = len(sets.sizes)
-    top = np.empty((n, REGISTERS), np.uint32)
-    for at in range(0, n, _STEP):
-        to = min(at + _STEP, n)
-        lo = sets.starts[at]
-        hi = sets.starts[to] if to < n else len(sets.flat)
-        top[at:to] = np.maximum.reduceat(values[sets.flat[lo:hi]], sets.starts[at:to] - lo, axis=0)
+    top = np.zeros((n, REGISTERS), np.uint32)
+    if len(sets.hashes) <= MOST_WORDS:  # words that come again are hashed once
+        values = _uniform(sets.hashes)
+        for at in range(0, n, _STEP):
+            to = min(at + _STEP, n)
+            lo = sets.starts[at]
+            hi = sets.starts[to] if to < n else len(sets.flat)
+            top[at:to] = np.maximum.reduceat(values[sets.flat[lo:hi]], sets.starts[at:to] - lo, axis=0)
+    else:  # a very long text: piece by piece, registers of pieces merge
+        row = np.repeat(np.arange(n), sets.sizes)
+        for lo in range(0, len(sets.flat), MOST_WORDS // 4):
+            part = slice(lo, lo + MOST_WORDS // 4)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(row[part]) > 0]))
+            of = row[part][first]
+            top[of] = np.maximum(top[of], np.maximum.reduceat(_uniform(sets.hashes[sets.flat[part]]), first, axis=0))
     least = -np.log((top.astype(np.float32) + np.float32(0.5)) / np.float32(2.0**32))
     np.maximum(least, np.float32(1e-12), out=least)
     return (np.float32(1000) - np.floor(np.log(least) * np.float32(1 / np.log(BASE)))).astype(np.uint16)
@@ -88,7 +100,7 @@ def _band_rows(bands: int, rows: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, 4000):
+            for batch in text_slices(whole, "text", STEP_BYTES):
                 sets = WordSets(batch.column("text").to_pylist())
                 if not len(sets.sizes):
                     continue
@@ -161,7 +173,7 @@ def _emit(threshold: float):
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 4000):
+        for batch in text_slices(whole, "text", STEP_BYTES):
             sets = WordSets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(sets.set_hashes()), batch.column("id").take(pa.array(sets.rows))], names=["sid", "id"])
 

@@ -67,3 +67,22 @@ def test_words_are_letters_and_digits():
     for t in ("a_b c-d é1 ½ x́y 가나1 Ⅷ ² 漢字 ß İ", "_", "", "ÀÉ 𝔘 ١٢"):
         assert words(t) == [w.lower() for w in new.findall(t)], t
     assert words(None) == [] and re.fullmatch(r"\w+", words("Ab")[0])
+
+
+def test_long_texts_are_sketched_piece_by_piece(monkeypatch):
+    texts = [" ".join(f"w{i * k % 997}" for i in range(400)) for k in range(1, 9)] + ["one"]
+    whole = near_dup.sketch(WordSets(texts))
+    monkeypatch.setattr(near_dup, "MOST_WORDS", 40)
+    assert (near_dup.sketch(WordSets(texts)) == whole).all()
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from ledgerloom.llm.text import text_slices
+
+    texts = [None, "", "a" * 50, "b", "c" * 500, None, "d"]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(7))], names=["t", "i"])
+    parts = list(text_slices(batch, "t", 60))
+    assert sum((p.column("t").to_pylist() for p in parts), []) == texts and len(parts) > 1
+    assert list(text_slices(batch.slice(0, 0), "t", 60)) == []
