@@ -7,7 +7,7 @@ sketches merge; two records agree in a register with a probability close to thei
 1. Each record's word set is sketched. Its registers are banded, and each band gives a row (band hash, set
    hash, size, one bit of each register). Records with the same words have the same set hash and are one row a
    partition from here on, so a group of copies of any size costs one row in each partition.
-2. Rows of one band hash meet in one task. There the number of equal register bits and both set sizes give the likelihood of each
+2. Rows of one band hash meet in one task; a band hash that many different sets share is split into blocks, of which every two meet in a task of their own. There the number of equal register bits and both set sizes give the likelihood of each
    similarity; pairs whose most likely similarity is clearly below the threshold are dropped. A pair costs a
    few array operations on 16 bytes, and only surviving pairs leave the task.
 3. Surviving pairs are verified exactly on the words of the two texts.
@@ -40,6 +40,8 @@ _ROW = np.dtype([("band", "<u4"), ("sid", "<i8"), ("n", "<u2"), ("bits", "<u8",
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Sets whose words are gathered at once, words whose values are held at once, bytes of text in one step.
 _STEP, MOST_WORDS, STEP_BYTES = 256, 80_000, 1_200_000
+#: Different sets of one bucket that are compared in one task; larger buckets are split into blocks of about this size.
+HOT_ROWS = 16_384
 
 
 def _uniform(hashes: np.ndarray) -> np.ndarray:
@@ -94,36 +96,82 @@ def likely(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float
     return (equal >= _least_equal(threshold)) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
 
 
-def _band_rows(bands: int, rows: int, parts: int):
-    """Rows of each band, sent to the tasks in packed form: one row for each batch and task."""
+def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Set hashes, sizes, register bits and band keys (bands x sets) of the word sets of each step; a set comes once a task."""
+    seen: set[int] = set()
+    for whole in batches:
+        for batch in text_slices(whole, "text", STEP_BYTES):
+            sets = WordSets(batch.column("text").to_pylist())
+            if not len(sets.sizes):
+                continue
+            sids = sets.set_hashes()
+            new = np.array([i for i, s in enumerate(sids.tolist()) if not (s in seen or seen.add(s))], np.int64)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            registers = sketch(sets)[new]
+            keys = np.empty((bands, len(new)), np.uint64)
+            for k in range(bands):
+                h = np.full(len(new), k + 1, np.uint64)
+                for j in range(rows):
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, k * rows + j])
+                keys[k] = h
+            yield sids[new], np.minimum(sets.sizes[new], 65535), bits_of(registers), keys
+
+
+def _sampled_keys(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sids, _, _, keys in _banded(batches, bands, rows):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(sids, bands))], names=["key", "sid"])
+
+    return run
+
+
+def hot_buckets(texts: DataFrame, bands: int, rows: int, most: int = HOT_ROWS) -> dict[int, int]:
+    """Band keys that hold more than about so many different sets, with the number of blocks to split each into.
+
+    They are looked for in a sample of a thousandth of the rows, 20,000 at least, and say only where work is split: results don't depend on it.
+    """
+    n = texts.count()
+    share = min(1.0, max(1e-3, 20_000 / max(n, 1)))
+    sample = texts.sample(share, seed=1) if share < 1 else texts
+    keys = sample.mapInArrow(_sampled_keys(bands, rows), "key long, sid long").groupBy("key").agg(F.countDistinct("sid").alias("k"))
+    found = keys.where(F.col("k") >= max(10.0, most * share)).orderBy(F.desc("k")).limit(10_000).collect()
+    return {r["key"]: int(np.ceil(r["k"] / share / most)) + 1 for r in found}
+
+
+def _band_rows(bands: int, rows: int, parts: int, hot: dict[int, int]):
+    """Rows of each band, sent to the tasks in packed form: one row for each step and task.
+
+    The rows of a hot key are dealt to blocks by set hash, and a block meets every block in a task of its own: rows of blocks i and j are
+    sent under the key of (i, j).
+    """
+    hot_keys = np.array(sorted(hot), np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in text_slices(whole, "text", STEP_BYTES):
-                sets = WordSets(batch.column("text").to_pylist())
-                if not len(sets.sizes):
-                    continue
-                sids = sets.set_hashes()
-                new = np.array([i for i, s in enumerate(sids.tolist()) if not (s in seen or seen.add(s))], np.int64)
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                registers = sketch(sets)[new]
-                out = np.empty((bands, len(new)), _ROW)
-                out["sid"], out["n"], out["bits"] = sids[new], np.minimum(sets.sizes[new], 65535), bits_of(registers)
-                to = np.empty((bands, len(new)), np.int32)
-                for k in range(bands):
-                    h = np.full(len(new), k + 1, np.uint64)
-                    for j in range(rows):
-                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, k * rows + j])
-                    out[k]["band"], to[k] = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-                out, to = out.ravel(), to.ravel()
-                order = np.argsort(to, kind="stable")
-                out, to = out[order], to[order]
-                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
-                ends = np.concatenate([cuts[1:], [len(to)]]).astype(int)
-                packed = [out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
+        for sids, sizes, bits, keys in _banded(batches, bands, rows):
+            which, under = [], []
+            for h in keys:
+                heavy = np.isin(h, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
+                which.append(np.flatnonzero(~heavy))
+                under.append(h[~heavy])
+                for key in np.unique(h[heavy]):
+                    own = np.flatnonzero(h == key)
+                    blocks = hot[int(key.view(np.int64))]
+                    i = sids[own].view(np.uint64) % np.uint64(blocks)
+                    for j in range(blocks):
+                        low, high = np.minimum(i, np.uint64(j)), np.maximum(i, np.uint64(j))
+                        which.append(own)
+                        under.append(mix(key + low * np.uint64(blocks) + high + np.uint64(1)))
+            at, h = np.concatenate(which), np.concatenate(under)
+            out = np.empty(len(at), _ROW)
+            out["band"], out["sid"], out["n"], out["bits"] = h >> np.uint64(32), sids[at], sizes[at], bits[at]
+            to = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            out, to = out[order], to[order]
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+            ends = np.concatenate([cuts[1:], [len(to)]]).astype(int)
+            packed = [out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
 
     return run
 
@@ -183,7 +231,8 @@ def candidates(texts: DataFrame, threshold: float, bands: int, rows: int) -> Dat
     if bands * rows > REGISTERS:
         raise ValueError(f"bands * rows is more than {REGISTERS}")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = spread(texts.select("text")).where("text is not null").mapInArrow(_band_rows(bands, rows, parts), "part int, packed binary")
+    some = spread(texts.select("text")).where("text is not null")
+    banded = some.mapInArrow(_band_rows(bands, rows, parts, hot_buckets(some, bands, rows)), "part int, packed binary")
     return banded.repartitionById(parts, F.col("part")).mapInArrow(_emit(threshold), "a long, b long").distinct()
 
 

@@ -86,3 +86,13 @@ def test_slices_by_bytes():
     parts = list(text_slices(batch, "t", 60))
     assert sum((p.column("t").to_pylist() for p in parts), []) == texts and len(parts) > 1
     assert list(text_slices(batch.slice(0, 0), "t", 60)) == []
+
+
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
+    rows = [(f"v{i:04d}", " ".join(f"k{j}" for j in range(60)) + f" only{i}") for i in range(400)] + corpus(n=60)
+    df = spark.createDataFrame(rows, T)
+    want = {tuple(r) for r in near_dup.similar_pairs(df).collect()}
+    hot = near_dup.hot_buckets(df.where("text is not null").select("text"), 16, 4, most=50)
+    assert hot and max(hot.values()) >= 8
+    monkeypatch.setattr(near_dup, "hot_buckets", lambda *a: hot)
+    assert {tuple(r) for r in near_dup.similar_pairs(df).collect()} == want and len(want) > 70_000
