@@ -13,7 +13,7 @@ from ledgerloom.plans.retrieval import N, P, V, lexical_sql, quoted, top_sql
 from ledgerloom.session import table
 
 TURNS = {
-    "t1": "Actually the billing team pins another retention value", "t2": "no longer use the gateway session", "t3": "이제 회의는 4시로 옮기자", "t4": "if the router fails, do not restart it", "t5": "앞으로 ranking 설정은 다른 값을 쓴다", "t6": "what a nice day",
+    "t1": "Actually the billing team pins another retention value", "t2": "no longer use the gateway session", "t3": "이제 수업은 6시에 한다", "t4": "if the router fails, do not restart it", "t5": "앞으로 ranking 설정은 다른 값을 쓴다", "t6": "what a nice day",
 }
 CHECKPOINTS = {
     "c1": ("prin_000", "retention of the gateway session"), "c2": ("prin_001", "what was the former budget of the router"), "c3": ("prin_002", "ranking drift prefer planner"), "c4": ("prin_004", "zzz nothing"),

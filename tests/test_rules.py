@@ -14,8 +14,8 @@ def one(spark, column, value):
 @pytest.mark.parametrize(
     ("turn", "operation"),
     [
-        ("please deprecate this", "deprecate"), ("we must include Korean", "expand"), ("do not use tabs", "narrow"), ("only for this repo", "narrow"), ("Actually it is five", "supersede"), ("3시가 아니라 4시", "supersede"),
-        ("3시가 아니라면 진행", None), ("그건 아니야", "supersede"), ("from now on use spaces", "update"), ("이제 시작", "update"), ("hello", None),
+        ("please deprecate this", "deprecate"), ("we must include Korean", "expand"), ("do not use tabs", "narrow"), ("only for this repo", "narrow"), ("Actually it is five", "supersede"), ("5시가 아니라 6시", "supersede"),
+        ("5시가 아니라면 시작", None), ("그건 아니야", "supersede"), ("from now on use spaces", "update"), ("이제 시작", "update"), ("hello", None),
     ],
 )
 def test_classify(spark, turn, operation):
@@ -24,16 +24,16 @@ def test_classify(spark, turn, operation):
 
 def test_gates(spark):
     c = F.col("t")
-    assert one(spark, detect.weak_only(c), "이제 회의는 다른 걸로") and not one(spark, detect.weak_only(c), "앞으로 이제")
+    assert one(spark, detect.weak_only(c), "이제 점심은 다른 곳에서") and not one(spark, detect.weak_only(c), "앞으로 이제")
     assert one(spark, detect.is_conditional(c), "만약 그렇다면") and one(spark, detect.is_conditional(c), "only if it rains") and not one(spark, detect.is_conditional(c), "다시 말하면 그래")
-    assert one(spark, detect.is_question(c), "언제 하나요") and one(spark, detect.is_reported(c), "그가 5억이라고 했다")
+    assert one(spark, detect.is_question(c), "언제 하나요") and one(spark, detect.is_reported(c), "그가 7억이라고 했다")
     assert one(spark, detect.date_keys(c), "7월 3일 or 2026-07-04") == ["07-03", "07-04", "2026-07-04"]
     assert one(spark, detect.classify_turn(c), "this was deleted") == "forget" and one(spark, detect.classify_turn(c), "that replaces it") == "supersede" and one(spark, detect.classify_turn(c), "new fact") == "create"
 
 
 def test_values(spark):
     assert detect.entries_of("5억 and 500,000,000원") == [("money", "500000000"), ("money", "500000000")]
-    rows = [("이제 3시 회의를 4시로", "회의는 3시다", True), ("이제 3시 다 됐네", "회의는 3시다", False), ("1200만 1500만 중에", "예산 1000만", False), (None, "3시", False)]
+    rows = [("이제 5시 수업을 6시로", "수업은 5시다", True), ("이제 5시 다 됐다", "수업은 5시다", False), ("2200만 2500만 중에", "예산 2000만", False), (None, "3시", False)]
     got = spark.createDataFrame(rows, "a string, b string, want boolean").select(detect.contradicts(F.col("a"), F.col("b")).alias("x"), "want").collect()
     assert all(r["x"] == r["want"] for r in got)
 
@@ -41,8 +41,8 @@ def test_values(spark):
 @pytest.mark.parametrize(
     ("answer", "context", "query", "refused", "flagged"),
     [
-        ("write to a@b.org", "mail a@b.org", "", False, False), ("write to a@b.org", "", "", False, True), ("key is mp_stg_4R2N", "", "", True, True), ("key is mp_stg_4R2N", "mp-stg-4R2N", "", False, False),
-        ("Yes, it began with rb_stg", "", "did it?", True, True), ("the dry-run began with a test", "", "", False, False), ("budget is 500,000,000원", "budget 5억", "", False, False), ("budget is 900,000,000원", "budget 5억", "", False, True), ("  ", "", "", False, False), (None, None, None, False, False),
+        ("write to a@b.org", "mail a@b.org", "", False, False), ("write to a@b.org", "", "", False, True), ("key is kv_prod_7X3M", "", "", True, True), ("key is kv_prod_7X3M", "kv-prod-7X3M", "", False, False),
+        ("Yes, it began with qz_pre", "", "did it?", True, True), ("the dry-run began with a test", "", "", False, False), ("budget is 500,000,000원", "budget 5억", "", False, False), ("budget is 900,000,000원", "budget 5억", "", False, True), ("  ", "", "", False, False), (None, None, None, False, False),
     ],
 )
 def test_rails(spark, answer, context, query, refused, flagged):
@@ -54,7 +54,7 @@ def test_rails(spark, answer, context, query, refused, flagged):
 def test_text_functions(spark):
     c = F.col("t")
     assert one(spark, text.tokenize(c), "Été src/Foo.py 한글, x") == ["t", "src/foo.py", "한글", "x"]
-    assert one(spark, text.detach_punctuation(c), "token mp_stg_4R2N. ok; a.") == "token mp_stg_4R2N . ok; a."
+    assert one(spark, text.detach_punctuation(c), "token kv_prod_7X3M. ok; a.") == "token kv_prod_7X3M . ok; a."
     assert one(spark, text.strip_stopwords(c), "The budget, of (it) all") == "budget, all" and text.normalized_query("The budget, of (it) all") == "budget , all"
     assert one(spark, text.safe_session_id(c), "..a/b c") == "a-b-c" and one(spark, text.safe_session_id(c), "") == "session"
     assert one(spark, text.redact(c, F.array(F.lit("ab"), F.lit("a.b+c"))), "AB a.b+c xab") == "[REDACTED] [REDACTED] x[REDACTED]"
@@ -80,8 +80,8 @@ def test_code(spark):
 @pytest.mark.parametrize(
     ("answer", "context", "query", "reason"),
     [
-        ("Yes, the former token began with rb", "", "Did the deleted token begin with rb?", "deleted_referent"), ("Yes, Summit is Meridian Freight", "", "Is it true that Summit refers to Meridian Freight?", "identity_mapping"),
-        ("Yes, Summit refers to Meridian Freight", "In the plan Summit refers to Meridian Freight.", "So Summit refers to Meridian Freight?", None), ("Yes, the retired token expired in May", "The retired token expired in May", "Is the retired token expired?", None),
+        ("Yes, the former token began with qz", "", "Did the deleted token begin with qz?", "deleted_referent"), ("Yes, Kestrel is Nordwind Cargo", "", "Is it true that Kestrel refers to Nordwind Cargo?", "identity_mapping"),
+        ("Yes, Kestrel refers to Nordwind Cargo", "In the plan Kestrel refers to Nordwind Cargo.", "So Kestrel refers to Nordwind Cargo?", None), ("Yes, the retired token expired in May", "The retired token expired in May", "Is the retired token expired?", None),
         ("Yes, the retired token expired in May", "The retired token never expired in May", "Is the retired token expired?", "deleted_referent"), ("I don't know", "", "What was the deleted token?", None), ("Yes, sure", "", "Is it sunny?", None), (None, None, None, None), ("\u200bYes.", "", "was the old password removed, the previous password?", "deleted_referent"),
     ],
 )
@@ -92,7 +92,7 @@ def test_confirmations(answer, context, query, reason):
 
 def test_replay(spark):
     turns = [
-        ("e", 1, "The staging token is mp_stg_42 for Harbor"), ("e", 2, "Lunch is at noon"), ("e", 3, "lunch  IS at noon"), ("e", 4, "Delete mp_stg_42 now, it is retired"), ("e", 5, "Delete the unknown thing"), ("f", 1, None), ("f", 2, "Budget code bx_7 is ten"), ("f", 3, "Actually budget code bx_7 is twelve"), (None, 1, "x"),
+        ("e", 1, "The staging token is kv_prod_42 for Harbor"), ("e", 2, "Lunch is at noon"), ("e", 3, "lunch  IS at noon"), ("e", 4, "Delete kv_prod_42 now, it is retired"), ("e", 5, "Delete the unknown thing"), ("f", 1, None), ("f", 2, "Budget code bx_7 is ten"), ("f", 3, "Actually budget code bx_7 is twelve"), (None, 1, "x"),
     ]
     rows = {(r["episode_id"], r["turn"]): (r["action"], r["fact_turn"], r["status"]) for r in episodes.replay(spark.createDataFrame(turns, "episode_id string, turn long, text string")).collect()}
     assert rows == {
