@@ -11,13 +11,15 @@ form of a token. Two kinds of chain:
 - weak: characters are exchanged one by one, merged or lost (a single-byte code read as another, as UTF-8 with
   replacement characters, or as a double-byte code). Only the form of a whole token is evidence, if it is long enough to be no symbol.
 
-Verified: the original is found in at least as many documents as the form, is not itself a garbled form, and the
-form differs from it. In a document with verified units, other units that match the same chain are restored too.
+Verified: the original is found in at least as many texts as the form, is not itself a garbled form, and the
+form differs from it. Copies of a text count once; where both are in equally many texts, their rows decide. The form of a run is verified too where the original is in at least as many texts
+as the rarest character of the form is as a run of its own: a meeting of clean characters is rarer than they are, so a
+garbled source that holds much of the corpus is found although its forms outnumber their originals. In a document with verified units, other units that match the same chain are restored too.
 Characters that were lost come back where the corpus knows the word; a replacement character inside a word is
 reported even where it does not.
 
-Defined cases: null and empty texts are never garbled; a repeated id comes out once, its rows count each in the frequencies; ties between originals
-go to the one in more documents, then to the first chain, then to the smaller original.
+Defined cases: null and empty texts are never garbled; a repeated id comes out once; ties between originals
+go to the one in more texts, then to the first chain, then to the smaller original.
 """
 
 from __future__ import annotations
@@ -157,23 +159,23 @@ def _long_enough(form: str, is_run: bool) -> bool:
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in text_slices(whole, "text", 2_000_000)):
-        ids, out, kinds = [], [], []
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        ids, hashes, out, kinds = [], [], [], []
+        for i, h, text in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True):
             if text and not text.isascii():
                 for unit, kind in units(text):
-                    ids.append(i), out.append(unit), kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(kinds, pa.int32())], names=["id", "unit", "kind"])
+                    ids.append(i), hashes.append(h), out.append(unit), kinds.append(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(out, pa.string()), pa.array(kinds, pa.int32())], names=["id", "hash", "unit", "kind"])
 
 
 def _form_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, 500)):  # a unit has some 150 forms
         rows: list[tuple] = []
-        for unit, kind, df in zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "df")), strict=True):
+        for unit, kind, df, n in zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "df", "rows")), strict=True):
             to = TOKEN_KIND if kind == TOKEN_KIND else RUN_KIND
-            rows += [(form, to, original, df, chain, _long_enough(form, to == RUN_KIND)) for chain, form, original in forms(unit, kind)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["form", "kind", "original", "odf", "chain", "long"])
+            rows += [(form, to, original, df, n, chain, _long_enough(form, to == RUN_KIND)) for chain, form, original in forms(unit, kind)]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["form", "kind", "original", "odf", "orows", "chain", "long"])
 
 
 def restore_text(text: str, matches: list[dict]) -> tuple[str, int]:
@@ -220,19 +222,28 @@ def _restorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled_units(docs: DataFrame) -> DataFrame:
     """(id, form, kind, options) of docs(id, text): units that are garbled forms of other units of the corpus.
 
-    options: array of struct(ok, odf, chain, original), verified ones (ok) first, then by number of documents.
+    options: array of struct(ok, odf, chain, original), verified ones (ok) first, then by number of texts.
     """
-    found = spread(docs.select("id", "text").where("id is not null and text is not null")).mapInArrow(_unit_rows, "id long, unit string, kind int")
-    counted = found.groupBy("unit", "kind").agg(F.count("*").alias("df"))
-    made = counted.mapInArrow(_form_rows, "form string, kind int, original string, odf long, chain int, long boolean")
-    seen = counted.where(F.col("kind") != CHAR_KIND).select(F.col("unit").alias("form"), "kind", F.col("df").alias("fdf"))
+    texts = spread(docs.select("id", "text").where("id is not null and text is not null")).select("id", F.xxhash64("text").alias("hash"), "text")
+    found = texts.mapInArrow(_unit_rows, "id long, hash long, unit string, kind int")
+    counted = checkpointed(found.groupBy("unit", "kind").agg(F.count_distinct("hash").alias("df"), F.count("*").alias("rows")))
+    made = counted.mapInArrow(_form_rows, "form string, kind int, original string, odf long, orows long, chain int, long boolean")
+    seen = counted.where(F.col("kind") != CHAR_KIND).select(F.col("unit").alias("form"), "kind", F.col("df").alias("fdf"), F.col("rows").alias("frows"))
     hits = checkpointed(made.join(seen, ["form", "kind"]))
+    # texts with the rarest character of a form as a run of its own; none for tokens, whose characters don't decide
+    alone = counted.where((F.col("kind") == RUN_KIND) & (F.char_length("unit") == 1)).select(F.col("unit").alias("ch"), F.col("df").alias("alone"))
+    as_many = F.struct("odf", "orows") >= F.struct("fdf", "frows")
+    rarer = hits.where((F.col("kind") == RUN_KIND) & F.col("long") & ~as_many).select("form", "kind").distinct()
+    parts = rarer.withColumn("ch", F.explode(F.split("form", ""))).where("ch <> ''").join(alone, "ch", "left")
+    rarest = parts.groupBy("form", "kind").agg(F.min(F.coalesce("alone", F.lit(0))).alias("rarest"))
+    hits = hits.join(rarest, ["form", "kind"], "left")
+    ok = F.col("long") & (as_many | F.coalesce(F.col("odf") >= F.col("rarest"), F.lit(False)))
     # originals that are garbled themselves don't count
-    bad = hits.where((F.col("kind") == RUN_KIND) & F.col("long") & (F.col("odf") >= F.col("fdf"))).select(F.col("form").alias("run")).distinct()
+    bad = hits.where((F.col("kind") == RUN_KIND) & ok).select(F.col("form").alias("run")).distinct()
     runs_of = F.regexp_extract_all("original", F.lit(r"([^\x00-\x7f]+)"), 1)
     garbled_original = hits.select("original", F.explode(runs_of).alias("run")).distinct().join(bad, "run", "left_semi").select("original").distinct()
     clean = hits.join(garbled_original, "original", "left_anti")
-    option = F.struct((F.col("long") & (F.col("odf") >= F.col("fdf"))).alias("ok"), "odf", (-F.col("chain")).alias("chain"), "original")
+    option = F.struct(ok.alias("ok"), "odf", (-F.col("chain")).alias("chain"), "original")
     options = clean.groupBy("form", "kind").agg(F.sort_array(F.collect_set(option), asc=False).alias("options"))
     return found.join(options, (found.unit == options.form) & (found.kind == options.kind)).select("id", "form", options.kind, "options")
 

@@ -36,6 +36,28 @@ def test_lost_characters_and_single_byte_codes(spark):
     assert "mémoire" in back[900]["restored"] and "remplacée" in back[900]["restored"]
 
 
+@pytest.mark.parametrize("way", range(len(WAYS)))
+def test_a_third_of_the_rows_is_garbled(spark, way):
+    """One garbled source whose forms outnumber their originals, and a hot group of copies."""
+    clean = [(i, f"plain note {i}") for i in range(40)] + [(100 + i, f"note {i}: {t}") for i, t in enumerate(CLEAN)]
+    source = {1000 + i: WAYS[way](f"row {i}: déjà … “naïve” für 설정") for i in range(30)}
+    assert {r["id"] for r in m.garbled(frame(spark, clean + list(source.items()))).collect()} == set(source)
+    copies = dict.fromkeys(range(2000, 2030), WAYS[way](CLEAN[0]))
+    assert {r["id"] for r in m.garbled(frame(spark, clean + list(copies.items()))).collect()} == set(copies)
+
+
+def test_copies_under_a_single_byte_code(spark):
+    clean = [(i, f"note {i}: {t}") for i, t in enumerate(CLEAN * 3)]
+    copies = dict.fromkeys(range(2000, 2030), m._read("mac_roman")(CLEAN[2].encode("cp1252")))
+    assert {r["id"] for r in m.garbled(frame(spark, clean + list(copies.items()))).collect()} == set(copies)
+
+
+def test_frequent_meetings_of_clean_characters(spark):
+    """A rare letter whose bytes read as two clean characters makes no garbled text of these."""
+    clean = [(i, f"Der Name {i} endet auf „Fuß“ und ß “ x") for i in range(20)] + [(100, "letter ߓ")]
+    assert m._read("cp1252")("ߓ".encode()) == "ß“" and m.garbled(frame(spark, clean)).collect() == []
+
+
 def test_clean_and_empty(spark):
     assert m.garbled(frame(spark, list(enumerate(CLEAN + PLAIN)))).collect() == []
     assert m.garbled(frame(spark, [])).collect() == [] and m.restore(frame(spark, [])).collect() == []
