@@ -15,8 +15,9 @@ Verified: the original is found in at least as many texts as the form, is not it
 form differs from it. Copies of a text count once; where both are in equally many texts, their rows decide. The form of a run is verified too where the original is in at least as many texts
 as the rarest character of the form is as a run of its own: a meeting of clean characters is rarer than they are, so a
 garbled source that holds much of the corpus is found although its forms outnumber their originals. In a document with verified units, other units that match the same chain are restored too.
-Characters that were lost come back where the corpus knows the word; a replacement character inside a word is
-reported even where it does not.
+Characters that were lost come back where the corpus knows the word; a replacement character inside or beside a word, or next to
+another one, is reported even where it does not, and one that stands alone where its line is a line of a text without
+replacement characters but for the characters beyond ASCII. Alone in a line that is found nowhere else it may be meant, and is not reported.
 
 Defined cases: null and empty texts are never garbled; a repeated id comes out once; ties between originals
 go to the one in more texts, then to the first chain, then to the smaller original.
@@ -40,6 +41,7 @@ from ledgerloom.session import checkpointed, spread
 TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z0-9\x80-\U0010ffff]*")
 RUN = re.compile(r"[\x80-\U0010ffff]+")
 LOST = "�"
+LOST_FOR_GOOD = r"[\p{L}\p{M}\p{N}]\x{FFFD}|\x{FFFD}[\p{L}\p{M}\p{N}\x{FFFD}]"
 #: Single-byte codes, the most common first; bytes without a character stay control characters or are lost.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859-15", "cp1254", "cp1253", "koi8-r", "iso8859-2")
 SOURCES = ("cp1252", "mac_roman", "cp1250", "cp850", "cp437", "cp1251")
@@ -212,7 +214,7 @@ def restore_text(text: str, matches: list[dict]) -> tuple[str, int]:
 
 def _restorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in text_slices(whole, "text", 2_000_000)):
-        done = [restore_text(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True)]
+        done = [restore_text(t, m or []) for t, m in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64()), pa.array([t.count(LOST) for t, _ in done], pa.int64())],
             names=["id", "restored", "n_replaced", "n_lost"],
@@ -248,14 +250,28 @@ def garbled_units(docs: DataFrame) -> DataFrame:
     return found.join(options, (found.unit == options.form) & (found.kind == options.kind)).select("id", "form", options.kind, "options")
 
 
+def lost_for_good(docs: DataFrame) -> DataFrame:
+    """(id) of docs(id, text) with replacement characters that are evidence without a known original."""
+    ascii_only = r"^[\x00-\x7f]*$"
+    rows = docs.select("id", "text").where(F.col("id").isNotNull() & ~F.col("text").rlike(ascii_only))
+    lost = F.contains("text", F.lit(LOST))
+    sure = F.col("text").rlike(LOST_FOR_GOOD)
+    line = F.explode(F.split("text", r"[\r\n]+")).alias("line")
+    shape = F.trim(F.regexp_replace("line", r"[^\x00-\x7f]+", LOST))
+    lone = rows.where(lost & ~sure).select("id", line).where(F.contains("line", F.lit(LOST)))
+    lone = lone.withColumn("shape", shape).where(F.col("shape").rlike("[A-Za-z0-9]")).select("id", F.xxhash64("shape").alias("shape"))
+    clean = rows.where(~lost).select(line).where(~F.col("line").rlike(ascii_only)).select(F.xxhash64(shape).alias("shape")).distinct()
+    return rows.where(sure).select("id").union(lone.join(clean, "shape", "left_semi").select("id")).distinct()
+
+
 def garbled(docs: DataFrame) -> DataFrame:
     """(id) of docs(id, text) in which at least one stretch is garbled."""
-    return garbled_units(docs).where(F.col("options")[0]["ok"]).select("id").distinct()
+    return garbled_units(docs).where(F.col("options")[0]["ok"]).select("id").union(lost_for_good(docs)).distinct()
 
 
 def restore(docs: DataFrame) -> DataFrame:
     """(id, restored, n_replaced, n_lost) of the garbled docs(id, text); n_lost: replacement characters that remain."""
     units_ = garbled_units(docs).groupBy("id").agg(F.collect_list(F.struct("form", "kind", "options")).alias("matches"))
-    units_ = units_.where(F.exists("matches", lambda m: m["options"][0]["ok"]))
+    units_ = units_.where(F.exists("matches", lambda m: m["options"][0]["ok"])).join(lost_for_good(docs), "id", "full")
     texts = docs.where("id is not null and text is not null").groupBy("id").agg(F.min("text").alias("text"))
     return texts.join(units_, "id").mapInArrow(_restorer, "id long, restored string, n_replaced long, n_lost long")

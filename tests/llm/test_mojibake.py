@@ -58,6 +58,16 @@ def test_frequent_meetings_of_clean_characters(spark):
     assert m._read("cp1252")("ߓ".encode()) == "ß“" and m.garbled(frame(spark, clean)).collect() == []
 
 
+def test_lost_for_good(spark):
+    """Replacement characters where the corpus knows no original, and what is no evidence."""
+    lost = {1: "the qz�rk is here", 2: "see �40 today", 3: "it said ��� then", 4: "first line\n� see note �, � 4 � 2\nend", 5: "한� x"}
+    clean = {10: "† see note ‡, § 4 § 2", 11: "it prints � for those", 12: "†", 13: "�", 14: "plain", 15: None}
+    df = frame(spark, list((lost | clean).items()))
+    assert {r["id"] for r in m.garbled(df).collect()} == set(lost)
+    back = {r["id"]: r for r in m.restore(df).collect()}
+    assert set(back) == set(lost) and all(back[i]["n_lost"] == t.count("�") and back[i]["restored"] == t for i, t in lost.items())
+
+
 def test_clean_and_empty(spark):
     assert m.garbled(frame(spark, list(enumerate(CLEAN + PLAIN)))).collect() == []
     assert m.garbled(frame(spark, [])).collect() == [] and m.restore(frame(spark, [])).collect() == []
