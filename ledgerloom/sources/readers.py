@@ -36,17 +36,20 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("corrupt is null").drop("corrupt").withColumn("id", F.coalesce("id", own)).withColumn("status", F.coalesce("status", F.lit("active")))
 
 
-def read_raw(spark: SparkSession, path: str, most: int = 300) -> DataFrame:
-    """(source_id, line_no, line) of text files, lines from 1, cut to a preview."""
+def read_raw(spark: SparkSession, path: str, most: int | None = 300) -> DataFrame:
+    """(source_id, line_no, line) of text files, lines from 1, cut to a preview; most None gives whole lines, which grep needs."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_id"), F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
-    return lines.where("line <> ''").select("source_id", (F.col("k") + 1).alias("line_no"), F.substring("line", 1, most).alias("line"))
+    return lines.where("line <> ''").select("source_id", (F.col("k") + 1).alias("line_no"), (F.col("line") if most is None else F.substring("line", 1, most)).alias("line"))
 
 
 def grep(nodes: DataFrame, raw: DataFrame, needle: str, limit: int = 20) -> DataFrame:
-    """(kind, id, line_no, text): nodes that hold the needle by id, then raw lines by source and line."""
+    """(kind, id, line_no, text): nodes with the needle in content, id or a tag by id, then raw lines by source and line.
+
+    A node's text is whole, a raw line is shown to its first 300 characters. raw is searched as it is given: read it with most=None.
+    """
     n = F.lit(needle.lower())
-    memory = nodes.where(F.contains(F.lower("content"), n)).select(F.lit("memory").alias("kind"), "id", F.lit(0).alias("line_no"), F.substring("content", 1, 300).alias("text"))
-    lines = raw.where(F.contains(F.lower("line"), n)).select(F.lit("raw").alias("kind"), F.col("source_id").alias("id"), F.col("line_no").cast("int").alias("line_no"), F.col("line").alias("text"))
+    memory = nodes.where(F.contains(F.lower("content"), n) | F.contains(F.lower("id"), n) | F.exists("tags", lambda t: F.contains(F.lower(t), n))).select(F.lit("memory").alias("kind"), "id", F.lit(0).alias("line_no"), F.col("content").alias("text"))
+    lines = raw.where(F.contains(F.lower("line"), n)).select(F.lit("raw").alias("kind"), F.col("source_id").alias("id"), F.col("line_no").cast("int").alias("line_no"), F.substring("line", 1, 300).alias("text"))
     return memory.unionByName(lines).orderBy("kind", "id", "line_no").limit(limit)
 
 

@@ -36,6 +36,16 @@ def test_jsonl_raw_and_grep(spark, tmp_path):
     assert [r["kind"] for r in readers.grep(rows, raw, "ALPHA").collect()] == ["memory", "raw"]
 
 
+def test_grep_searches_whole_lines_ids_and_tags(spark, tmp_path):
+    os.makedirs(tmp_path / "raw")
+    (tmp_path / "raw" / "a.txt").write_text("one\r\nalpha two\n\n" + "x" * 1000 + "alpha")
+    raw = readers.read_raw(spark, str(tmp_path / "raw"), most=None)
+    long = "y" * 400 + " alpha"
+    rows = frame(spark, node("mem_1", content=long), node("mem_alpha", content="b"), node("mem_2", content="c", tags=["d", "Alphabet"]), node("mem_3", content="e", tags=["f"]), node("mem_4", content="g"))
+    got = [(r["kind"], r["id"], r["line_no"], r["text"]) for r in readers.grep(rows, raw, "ALPHA").collect()]
+    assert got == [("memory", "mem_1", 0, long), ("memory", "mem_2", 0, "c"), ("memory", "mem_alpha", 0, "b"), ("raw", "a.txt", 2, "alpha two"), ("raw", "a.txt", 4, "x" * 300)]
+
+
 def test_container_round_trip_and_checks(spark, tmp_path):
     nodes = frame(spark, node("mem_a", tags=["t"], metadata='{"k": 1}'), node("mem_b", content='quote " and \\ and\nline'))
     edges = spark.createDataFrame([("s", "edge_1", "mem_a", "mem_b", "supersedes", None, None)], EDGE)
