@@ -56,14 +56,15 @@ def allowed(acl: DataFrame, revoked: DataFrame | None = None) -> DataFrame:
 def authorized(nodes: DataFrame, acl: DataFrame, principals: DataFrame) -> DataFrame:
     """(principal_id, id): nodes(id, project_id) that each of the principals may see; no project is open to all.
 
-    principals are the askers in question, a bounded list.
+    The principals may be the whole table. Only nodes that stand under several projects can give a pair twice, so only these are made distinct.
     """
-    asked = F.broadcast(principals.select("principal_id"))
-    open_ = nodes.where("coalesce(project_id, '') = ''").select("id")
-    everyone = principals.agg(F.collect_set("principal_id")).scalar()
-    free = open_.select(F.explode(everyone).alias("principal_id"), "id")
-    closed = nodes.join(acl.join(asked, "principal_id"), "project_id").select("principal_id", "id")
-    return free.unionByName(closed).distinct()
+    asked = principals.select("principal_id").where("principal_id is not null").distinct()
+    may = acl.join(asked, "principal_id").select("project_id", "principal_id").distinct()
+    of = nodes.select("id", F.coalesce("project_id", F.lit("")).alias("project_id")).groupBy("id").agg(F.collect_set("project_id").alias("projects"))
+    free = of.where(F.array_contains("projects", "")).select("id").crossJoin(asked).select("principal_id", "id")
+    closed = of.where(~F.array_contains("projects", ""))
+    pairs = lambda some: some.select("id", F.explode("projects").alias("project_id")).join(may, "project_id").select("principal_id", "id")
+    return free.unionByName(pairs(closed.where(F.size("projects") == 1))).unionByName(pairs(closed.where(F.size("projects") > 1)).distinct())
 
 
 #: Hits that count on each side of a search.

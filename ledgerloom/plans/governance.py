@@ -98,6 +98,11 @@ def acl_authorized(s, d):
     return governance.authorized(view.effective_view(nodes(s, d)).select("id", F.col("scope.project").alias("project_id")), _acl(s, d), asked)
 
 
+def acl_authorized_all(s, d):
+    """All principals; acl_authorized is a sample of three of them."""
+    return governance.authorized(view.effective_view(nodes(s, d)).select("id", F.col("scope.project").alias("project_id")), _acl(s, d), table(s, d, "principals"))
+
+
 def _checkpoints(s, d) -> dict[str, tuple[str, str]]:
     """The fixed ones, and each principal of them asking in the words of the first active node."""
     first = view.effective_view(nodes(s, d)).where("content <> ''").agg(F.min(F.struct("id", "content")).alias("m")).first()
@@ -183,7 +188,7 @@ def leak_targets(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_patch, classify_turn, correction_triggers, weak_signal, question, conditional, reported_speech, date_keys, value_entries, value_contradiction, patch_candidates, project_detect, revocations, acl_authorized, policy_pack, leak_check, prediction_rows, axis_summary,
+    classify_patch, classify_turn, correction_triggers, weak_signal, question, conditional, reported_speech, date_keys, value_entries, value_contradiction, patch_candidates, project_detect, revocations, acl_authorized, acl_authorized_all, policy_pack, leak_check, prediction_rows, axis_summary,
     pii_spans, email_spans, rail_pii, rail_values, rail_confirmation, rail_facade, episode_replay, rail_postprocess_counts, leak_targets,
 )}
 
@@ -220,6 +225,7 @@ SQL = {
     "revocations": f"""WITH {N}, {P}, {TU}, t AS (SELECT id, NULL AS sp, concat_ws(' ', reason, new_content) AS text FROM p UNION ALL SELECT id, 'prin_000', text FROM tu WHERE field = 'quote'), r AS (SELECT * FROM t WHERE {_words(detect.REVOKE_WORDS)}),
 w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM r), m AS (SELECT id, min(principal_id) AS who FROM w JOIN principals ON lower(split_part(trim(display_name), ' ', 1)) = word GROUP BY id) SELECT r.id, coalesce(m.who, r.sp) AS principal_id FROM r LEFT JOIN m ON m.id = r.id""",
     "acl_authorized": f"WITH {N}, {V}, {ACL}, ask AS (SELECT principal_id FROM principals WHERE principal_id IN ('prin_000', 'prin_001', 'prin_002')) SELECT ask.principal_id, v.id FROM v JOIN ask ON coalesce(v.scope.project, '') = '' OR EXISTS (FROM acl WHERE acl.project_id = v.scope.project AND acl.principal_id = ask.principal_id)",
+    "acl_authorized_all": f"WITH {N}, {V}, {ACL}, ok AS (SELECT DISTINCT v.id, acl.principal_id FROM v JOIN acl ON acl.project_id = v.scope.project WHERE v.scope.project <> '') SELECT principal_id, id FROM ok JOIN (SELECT DISTINCT principal_id FROM principals) USING (principal_id) UNION ALL SELECT principal_id, id FROM v, (SELECT DISTINCT principal_id FROM principals) WHERE coalesce(v.scope.project, '') = ''",
     "axis_summary": f"WITH {N} SELECT status, type, count(*) AS n, round(avg((len(list_filter(regexp_extract_all(content, '\\b[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+\\b'), lambda x: regexp_matches(x, '[0-9]'))) > 0)::INT), 6) AS rate FROM n GROUP BY ALL",
     "email_spans": f"WITH {N}, {TU} SELECT DISTINCT id, field, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM tu",
     "leak_targets": f"WITH {N} SELECT id FROM n WHERE contains(lower(content), lower(type)) OR (coalesce(scope.project, '') <> '' AND contains(lower(content), lower(scope.project)))",
