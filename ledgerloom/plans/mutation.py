@@ -46,6 +46,16 @@ def rolled_back_links(s, d):
     return mutate.rolled_back_links(nodes(s, d), patches(s, d).where("operation = 'supersede'")).withColumn("superseded_by", F.array_join(F.array_sort("superseded_by"), ","))
 
 
+def rollback_all(s, d):
+    """Patches of every operation; rollback is the part of merge patches."""
+    return mutate.rollback(nodes(s, d), patches(s, d))
+
+
+def rolled_back_links_all(s, d):
+    """Patches of every operation; rolled_back_links is the part of supersede patches."""
+    return mutate.rolled_back_links(nodes(s, d), patches(s, d)).withColumn("superseded_by", F.array_join(F.array_sort("superseded_by"), ","))
+
+
 def patch_diff(s, d):
     return mutate.patch_diff(nodes(s, d), patches(s, d))
 
@@ -174,7 +184,7 @@ def source_labels(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    patch_status_ops, patch_replace_ops, patch_edges, patch_replay, patch_replay_asof, status_history, rollback, rolled_back_links, patch_diff, session_end_promote, session_end_discard, session_merge, session_fork, session_start_once, import_merge, import_counts, id_remap,
+    patch_status_ops, patch_replace_ops, patch_edges, patch_replay, patch_replay_asof, status_history, rollback, rolled_back_links, rollback_all, rolled_back_links_all, patch_diff, session_end_promote, session_end_discard, session_merge, session_fork, session_start_once, import_merge, import_counts, id_remap,
     export_slice, push_select, validate_nodes, validate_patches, validate_edges, validate_sessions, dangling_refs, stale_active, audit_findings, citations, forbidden_keys, postings, day_buckets, adjacency, ntriples, index_summary, source_labels,
 )}
 
@@ -223,6 +233,10 @@ SELECT h.id, patch_id, st AS status, coalesce(lag(st) OVER w, n.status) AS prior
     "rollback": f"""WITH {N}, {P}, m AS (SELECT * FROM p WHERE operation = 'merge'), b AS (SELECT id AS patch_id, prior_states, unnest(target_ids) AS nid FROM m), u AS (SELECT patch_id, nid, coalesce(prior_states[nid], 'active') AS status, 0 AS step FROM b UNION ALL SELECT id, unnest(new_node_ids), 'discarded', 1 FROM m)
 SELECT patch_id, nid AS id, max((step, status))[2] AS status FROM u WHERE nid IN (SELECT id FROM n) GROUP BY ALL""",
     "rolled_back_links": f"""WITH {N}, {P}, h AS (SELECT DISTINCT id AS patch_id, coalesce(new_node_ids, []) AS made, unnest(target_ids) AS id FROM p WHERE operation = 'supersede')
+SELECT h.patch_id, h.id, array_to_string(list_sort(list_distinct(list_filter(n.relations['superseded_by'], lambda x: NOT list_contains(list_filter(h.made, lambda y: y IS NOT NULL AND y <> ''), x)))), ',') AS superseded_by FROM h JOIN n ON n.id = h.id WHERE len(n.relations['superseded_by']) > 0""",
+    "rollback_all": f"""WITH {N}, {P}, m AS (SELECT * FROM p), b AS (SELECT id AS patch_id, prior_states, unnest(target_ids) AS nid FROM m), u AS (SELECT patch_id, nid, coalesce(prior_states[nid], 'active') AS status, 0 AS step FROM b UNION ALL SELECT id, unnest(new_node_ids), 'discarded', 1 FROM m)
+SELECT patch_id, nid AS id, max((step, status))[2] AS status FROM u WHERE nid IN (SELECT id FROM n) GROUP BY ALL""",
+    "rolled_back_links_all": f"""WITH {N}, {P}, h AS (SELECT DISTINCT id AS patch_id, coalesce(new_node_ids, []) AS made, unnest(target_ids) AS id FROM p)
 SELECT h.patch_id, h.id, array_to_string(list_sort(list_distinct(list_filter(n.relations['superseded_by'], lambda x: NOT list_contains(list_filter(h.made, lambda y: y IS NOT NULL AND y <> ''), x)))), ',') AS superseded_by FROM h JOIN n ON n.id = h.id WHERE len(n.relations['superseded_by']) > 0""",
     "patch_diff": f"WITH {N}, {P}, s AS (SELECT DISTINCT id AS patch_id, 'target' AS role, unnest(target_ids) AS nid FROM p UNION SELECT id, 'new', unnest(new_node_ids) FROM p) SELECT patch_id, role, nid AS id, n.status, n.content FROM s LEFT JOIN n ON n.id = nid WHERE nid IS NOT NULL AND nid <> ''",
     "session_end_promote": f"WITH {N} SELECT id, NULL::VARCHAR AS session_id, 'active' AS status FROM n WHERE status = 'active_session'",
