@@ -1,7 +1,7 @@
 """A skip-chain conditional random field over tokens.
 
 Labels of neighbouring tokens are tied by transitions; tokens of one document that repeat each other are
-tied by skip edges that favour equal entity types. A chain is solved exactly by forward-backward; the skip edges pass
+or resemble each other are tied by skip edges whose potentials, one for each kind of edge and entity type, are learnt. A chain is solved exactly by forward-backward; the skip edges pass
 messages between chains (loopy message passing), a few rounds of both give the marginals. Chains are batched and padded, so
 that a step is one matrix product for all chains.
 """
@@ -12,13 +12,20 @@ from collections.abc import Sequence
 
 import numpy as np
 
+#: Kinds of skip edge: a token repeated, a token that resembles an earlier one.
+REPEATED, SIMILAR, SKIP_KINDS = 0, 1, 2
 
 class Crf:
-    """Weights of features (n_features x labels), of transitions and of the skip edges."""
+    """Weights of features (n_features x labels), of transitions, and of the skip edges (kinds of edge x entity types)."""
 
-    def __init__(self, labels: Sequence[str], index: dict[str, int], weights: np.ndarray, transitions: np.ndarray, skip: float = 1.5):
-        self.labels, self.index, self.weights, self.transitions, self.skip = list(labels), index, weights, transitions, skip
-        self.types = np.array([sorted({x[2:] if x != "O" else "" for x in labels}).index(x[2:] if x != "O" else "") for x in labels])
+    def __init__(self, labels: Sequence[str], index: dict[str, int], weights: np.ndarray, transitions: np.ndarray, skip: np.ndarray | None = None):
+        self.labels, self.index, self.weights, self.transitions = list(labels), index, weights, transitions
+        names = sorted({x[2:] if x != "O" else "" for x in labels})
+        self.types = np.array([names.index(x[2:] if x != "O" else "") for x in labels])
+        self.by_type = np.zeros((len(self.labels), len(names)), np.float32)
+        self.by_type[np.arange(len(self.labels)), self.types] = 1
+        self.skip = np.zeros((SKIP_KINDS, len(names)), np.float32) if skip is None else np.asarray(skip, np.float32)
+        self.inside = np.flatnonzero([x[0] == "I" for x in self.labels])
 
     def unary(self, feats: list[list[str]]) -> np.ndarray:
         """Scores (tokens x labels); unknown features count nothing."""
@@ -33,28 +40,65 @@ class Crf:
         return out
 
     def marginals(self, unary: np.ndarray, lengths: np.ndarray, skips: np.ndarray, rounds: int = 3) -> np.ndarray:
-        """Marginals (tokens x labels) of chains that lie one after the other; skips: pairs of token numbers."""
+        """Marginals (tokens x labels) of chains that lie one after the other; skips: (token, token, kind of edge)."""
         starts = np.cumsum(lengths) - lengths
         unary = unary.copy()
-        unary[starts[:, None], np.flatnonzero([x[0] == "I" for x in self.labels])[None, :]] = -30  # no chain begins inside an entity
+        unary[starts[:, None], self.inside[None, :]] = -30  # no chain begins inside an entity
         m = chain_marginals(unary, lengths, self.transitions)[0]
-        if not len(skips):
-            return m
-        a, b = np.concatenate([skips[:, 0], skips[:, 1]]), np.concatenate([skips[:, 1], skips[:, 0]])
+        if len(skips):  # only chains with an edge change
+            chain = np.repeat(np.arange(len(lengths)), lengths)
+            tied = np.zeros(len(lengths), bool)
+            tied[chain[skips[:, :2].ravel()]] = True
+            at = np.flatnonzero(tied[chain])
+            new = np.full(len(chain), -1)
+            new[at] = np.arange(len(at))
+            own = np.column_stack([new[skips[:, 0]], new[skips[:, 1]], skips[:, 2]])
+            m[at] = self._loopy(unary[at], lengths[tied], own, m[at], rounds)[0]
+        return m
+
+    def _loopy(self, unary: np.ndarray, lengths: np.ndarray, skips: np.ndarray, m: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals after so many rounds of messages along the skip edges, and each edge's expected agreement by type."""
+        a, b, kind = (np.concatenate([skips[:, i], skips[:, j]]) for i, j in ((0, 1), (1, 0), (2, 2)))
         back = np.concatenate([np.arange(len(skips)) + len(skips), np.arange(len(skips))])
-        n_types = self.types.max() + 1
-        by_type = np.zeros((len(self.labels), n_types), np.float32)
-        by_type[np.arange(len(self.labels)), self.types] = 1
+        gain = np.exp(self.skip)[kind] - 1
         messages = np.zeros((len(a), len(self.labels)), np.float32)  # log, from a to b
-        for _ in range(rounds):
+        for r in range(rounds + 1):
             cavity = m[a] * np.exp(-messages[back])
             cavity /= np.maximum(cavity.sum(axis=1, keepdims=True), 1e-30)
-            agree = (cavity @ by_type)[:, self.types]
-            messages = np.log1p(agree * np.float32(np.exp(self.skip) - 1))
+            types = cavity @ self.by_type
+            if r == rounds:
+                break
+            messages = np.log1p(np.maximum((types * gain)[:, self.types], -0.999999))
             pushed = unary.copy()
             np.add.at(pushed, b, messages)
             m = chain_marginals(pushed, lengths, self.transitions)[0]
-        return m
+        both = types[: len(skips)] * types[len(skips) :]
+        z = 1 + (both * gain[: len(skips)]).sum(axis=1, keepdims=True)
+        return m, both * (gain[: len(skips)] + 1) / np.maximum(z, 1e-12)
+
+    def fit_skips(self, unary: np.ndarray, lengths: np.ndarray, skips: np.ndarray, gold: np.ndarray, steps: int = 25, rate: float = 0.5, prior: float = 0.02) -> None:
+        """Fit the potentials of the skip edges to labelled chains by gradient steps on the likelihood that loopy messages approximate.
+
+        The gradient of a potential is the observed less the expected number of agreements of that type; it has a Gaussian prior.
+        """
+        if not len(skips):
+            return
+        starts = np.cumsum(lengths) - lengths
+        unary = unary.copy()
+        unary[starts[:, None], self.inside[None, :]] = -30
+        first = chain_marginals(unary, lengths, self.transitions)[0]
+        same = self.types[gold[skips[:, 0]]] == self.types[gold[skips[:, 1]]]
+        seen = np.zeros_like(self.skip)
+        np.add.at(seen, (skips[same, 2], self.types[gold[skips[same, 0]]]), 1)
+        n = np.maximum(np.bincount(skips[:, 2], minlength=len(self.skip)), 1)[:, None]
+        speed = np.full(self.skip.shape, 1e-4, np.float32)
+        for _ in range(steps):
+            expected = self._loopy(unary, lengths, skips, first, 2)[1]
+            total = np.zeros_like(self.skip)
+            np.add.at(total, skips[:, 2], expected)
+            grad = (seen - total) / n - prior / np.sqrt(n) * self.skip
+            speed += grad * grad
+            self.skip = np.clip(self.skip + rate * grad / np.sqrt(speed), -1, 6).astype(np.float32)
 
 
 def chain_marginals(unary: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:

@@ -1,10 +1,10 @@
 """Personal information inside free text (problem 6).
 
 Windows around what can be part of an e-mail address, number, address or name are split into tokens and labelled by a skip-chain
-conditional random field (crf.py): tokens of a text that repeat each other share a potential, and loopy
+conditional random field (crf.py): tokens of a text that repeat or resemble each other share a learnt potential, and loopy
 message passing makes their labels agree. The field is trained here, on sentences made by pii_sentences.py; a
-directory of known persons is a feature, not a filter, so persons that are not listed are found too. Found spans
-are replaced by typed placeholders.
+directory of known persons is a feature, not a filter, so persons that are not listed are found too; a large directory is
+joined with the tokens of the texts. Found spans are replaced by typed placeholders.
 
 Screening: outside the windows there is nothing that the model could label (a name has two parts or a Korean form of
 address, a number at least six digits, an e-mail address a sign), so those tokens are "other" by constraint.
@@ -17,8 +17,9 @@ value found twice in a field of a record counts once; ids may be null (the finds
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,10 +50,11 @@ TOKEN = re.compile(
 _CAP = r"[A-ZÀ-ÖØ-Þ]"
 #: What a window can begin with.
 SEED_AT = re.compile(
-    r"[@＠]|[(\[]\s?(?:at|AT)\s?[)\]]|\w at [a-z]+ dot "
+    r"[@＠]|[(\[]\s?(?:at|AT)\s?[)\]]|\w (?i:at [\w-]+ dot) "
     r"|(?<![\w#-])(?:[A-Z]{2} ?)?[+(]?\d(?:[ ./()\-]{0,2}\d){5,}"
+    r"|(?<![\w-])[A-Z]{1,2}-?\d[\dA-Z-]{5,}"
     rf"|(?<![\w-]){_CAP}(?:[^\W\d_]+(?:-{_CAP}[^\W\d_]+)?|\.),? (?:(?:de|van|von|el|der|den|da|di|du|la|le|al|bin|dos|del)[ -])*(?:el-|al-|d['’])?{_CAP}[^\W\d_]"
-    r"|\d[A-Za-z]?,? (?:bis, )?(?:[a-z]+ )?[A-ZÀ-Þ][^\W\d_]+ [A-ZÀ-Þ]|[a-zß](?:weg|straße|strasse|gasse|platz|allee) \d|\b(?:rue|calle|rua|Calle|Rua|Rue|via|Via) [A-ZÀ-Þ]|[가-힣]\d*(?:로|길)\s?\d"
+    r"|\d[A-Za-z]?,? (?:bis, )?(?:[a-z]+ )?[A-ZÀ-Þ][^\W\d_]+ [A-ZÀ-Þ]|[a-zß](?:weg|straße|strasse|gasse|platz|allee) \d|\b(?:rue|calle|rua|Calle|Rua|Rue|via|Via|avenida|Avenida) (?:d[a-z]{1,2} )?[A-ZÀ-Þ]|[가-힣]\d*(?:로|길)\s?\d"
     r"|[가-힣]{2,4} ?(?:님|씨)|담당자 [가-힣]{2,4}"
 )
 LEFT, RIGHT = 28, 48
@@ -66,6 +68,9 @@ CLASS = {c: i for i, c in enumerate(CLASSES)}
 OFFSETS = (-2, -1, 0, 1, 2)
 
 
+DIRECTORY_KINDS = ("given", "family", "starts", "ends", "korean", "korean_tails")
+
+
 class Directory:
     """Known persons: given and family names, the beginnings and ends of family names, Korean names."""
 
@@ -149,7 +154,7 @@ def describe(token: str, known: Directory) -> list[str]:
     if c in ("lower", "cap", "upper", "ko", "title", "particle", "koform", "punct", "open", "stop", "comma"):
         out.append("w=" + token.casefold()[:16])
     if any(ch.isdigit() for ch in token):
-        pattern = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", token))[:24]
+        pattern = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", token)))[:24]
         out += ["p=" + pattern, f"d={sum(ch.isdigit() for ch in token)}", "p0=" + pattern[:4], "p1=" + pattern[-4:]]
     elif token.isalpha():
         out += ["e=" + token.casefold()[-2:], f"u={token[0].isupper()}{token.isupper()}"]
@@ -179,18 +184,72 @@ def label(text: str, spans: list[tuple[int, int, str]], marks: list[re.Match]) -
     return out
 
 
+def stems(token: str) -> list[str]:
+    """What a token shares with those that resemble it: its stem, the parts at its hyphens, the first syllables of a Korean word."""
+    low = token.casefold()
+    if "가" <= token[0] <= "힣":
+        return [low[:3]] if len(low) > 2 else []
+    if not token.replace("-", "").isalpha():
+        return [re.sub(r"\D", "", low)] if sum(c.isdigit() for c in low) > 5 else []
+    return [p[: max(4, len(p) - 2)] for p in low.split("-") if len(p) > 4]
+
+
+class Ties:
+    """The skip edges of a text: every token that can be part of an entity is tied to the last one like it."""
+
+    def __init__(self) -> None:
+        self.same: dict[str, int] = {}
+        self.like: dict[str, int] = {}
+
+    def of(self, token: str, at: int) -> list[tuple[int, int, int]]:
+        ch = token[0]
+        if not (len(token) > 3 and (ch.isupper() or ch.isdigit())) and not (len(token) > 1 and "가" <= ch <= "힣"):
+            return []
+        low, edges = token.casefold(), []
+        if (before := self.same.get(low)) is not None:
+            edges.append((before, at, crf.REPEATED))
+        near = {k for x in stems(token) if (k := self.like.get(x)) is not None and k != before}
+        edges += [(k, at, crf.SIMILAR) for k in sorted(near)]
+        self.same[low] = at
+        for x in stems(token):
+            self.like[x] = at
+        return edges
+
+
 @lru_cache(maxsize=2)
 def model(sentences: int = TRAINING_SENTENCES, seed: int = SEED) -> crf.Crf:
-    """The field fitted to made sentences; windows are cut from them as from any text."""
+    """The field fitted to made texts; windows are cut from them as from any text.
+
+    A token's own word is left out of its features in a part of the texts, so that wording counts for less than shape. The skip potentials
+    are fitted on other texts than the rest, so that the model's certainty there is what it is on unseen text.
+    """
     maker = Maker(seed)
     known = Directory(maker.known_given, maker.known_family, maker.known_korean)
+    rng = random.Random(seed)
     data = []
     for _ in range(sentences):
         text, spans = maker.sentence()
         for a, b in windows(text):
             marks = list(TOKEN.finditer(text, a, b))
-            data.append((chain_features([m[0] for m in marks], known), label(text, spans, marks)))
-    return crf.train(data, LABELS)
+            drop = 1.0 if rng.random() < 0.15 else 0.25
+            feats = chain_features([m[0] for m in marks], known)
+            feats = [[x for x in f if ":w=" not in x or rng.random() >= drop] for f in feats]
+            data.append((feats, label(text, spans, marks)))
+    field = crf.train(data, LABELS)
+    tokens, lengths, gold, skips = [], [], [], []
+    for _ in range(sentences // 4):
+        text, spans = maker.sentence(most=6)
+        ties = Ties()
+        for a, b in windows(text):
+            marks = list(TOKEN.finditer(text, a, b))
+            if marks:
+                for k, m in enumerate(marks):
+                    skips += ties.of(m[0], len(gold) + k)
+                tokens += chain_features([m[0] for m in marks], known)
+                gold += [LABELS.index(y) for y in label(text, spans, marks)]
+                lengths.append(len(marks))
+    field.fit_skips(field.unary(tokens), np.array(lengths), np.array(skips, np.int64).reshape(-1, 3), np.array(gold))
+    return field
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -215,8 +274,8 @@ def windows(text: str) -> list[tuple[int, int]]:
 class Tagger:
     """Finds spans in batches of texts."""
 
-    def __init__(self, field: crf.Crf, known: Directory):
-        self.field, self.known = field, known
+    def __init__(self, field: crf.Crf, known: Directory, gate: bool = True):
+        self.field, self.known, self.gate = field, known, gate
         self.number: dict[str, int] = {"": 0}
         self.classes: list[int] = [CLASS["PAD"]]
         self.parts: list[np.ndarray] = [self._part(PAD_FEATURES)]
@@ -242,25 +301,27 @@ class Tagger:
             self.parts.append(self._part(describe(token, self.known)))
         return k
 
+    def learn(self, known: Iterable[dict]) -> None:
+        """Add parts of listed names. A token's class depends on the directory alone, not on the text, so a token that is
+        numbered already has been looked up before."""
+        for x in known:
+            getattr(self.known, x["kind"]).add(x["key"])
+
     def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Spans (start, end, kind) of each text."""
         if len(self.parts) > 300_000:
-            self.__init__(self.field, self.known)
+            self.__init__(self.field, self.known, self.gate)
         starts, ends, tokens, lengths, owner = [], [], [], [], []
-        skips: list[tuple[int, int]] = []
+        skips: list[tuple[int, int, int]] = []
         for t, text in enumerate(texts):
             if not text:
                 continue
-            met: dict[str, int] = {}
-            for a, b in windows(text):
+            ties = Ties()
+            for a, b in windows(text) if self.gate else [(0, len(text))]:
                 n = len(starts)
                 for m in TOKEN.finditer(text, a, b):
                     w = m[0]
-                    if len(w) > 3 and (w[0].isupper() or w[0].isdigit()):
-                        low = w.casefold()
-                        if low in met:
-                            skips.append((met[low], len(starts)))
-                        met[low] = len(starts)
+                    skips += ties.of(w, len(starts))
                     starts.append(m.start())
                     ends.append(m.end())
                     tokens.append(self._token(w))
@@ -287,7 +348,7 @@ class Tagger:
         zero = np.zeros(len(LABELS), np.float32)
         k = len(CLASSES)
         unary += np.stack([self.three.get((u // k // k, u // k % k, u % k), zero) for u in used.tolist()])[inverse]
-        marginals = self.field.marginals(unary.astype(np.float32), n, np.array(skips, np.int64).reshape(-1, 2))
+        marginals = self.field.marginals(unary.astype(np.float32), n, np.array(skips, np.int64).reshape(-1, 3))
         best = marginals.argmax(axis=1)
         last = set((first + n - 1).tolist())
         i = 0
@@ -317,6 +378,8 @@ def trim(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             number = number[: cut.start()] if cut else ""
         if sum(c.isdigit() for c in number) < 7:
             return None
+        if number[0] == "(" and ")" not in number:
+            m, number = re.search(r"\d", value), number[1:]
         return a + m.start(), a + m.start() + len(number)
     if kind == "idnum":
         m = re.search(r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", value, re.S)
@@ -325,9 +388,13 @@ def trim(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         return a + m.start(), a + m.end()
     if kind == "email":
         m = re.search(r"[\w+%](?:.*\w)?", value, re.S)
-        if not m or not re.search(r"@|＠|[(\[]\s?at\s?[)\]]|\bat\b", value, re.I):
+        if not m or not re.search(r"(?:@|＠|[(\[]\s?at\s?[)\]]|\bat\b).*(?:\.|[(\[]\s?dot|\bdot\b)", value, re.I | re.S):  # a host has a dot
             return None
         return a + m.start(), a + m.end()
+    if kind == "name":
+        if m := re.fullmatch(r"([가-힣]{2,4}?)(?:님|씨)[가-힣]{0,3}", value):  # a form of address written together with the name
+            return a, a + len(m[1])
+        value = re.sub(r"['’]s$", "", value)
     m = re.search(r"\w(?:.*\w)?", value, re.S)
     if not m or (kind == "name" and re.fullmatch(r"[A-Za-zÀ-ÿ’'.-]+", value) and kind == "name"):
         return None
@@ -343,45 +410,85 @@ def placeholders(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def directory(persons: DataFrame, most: int = 20_000) -> Directory:
-    """The directory of persons(name); it is a parameter of bounded size and may not be larger than most."""
+#: Names that are handed to the workers whole; a longer directory is joined with the tokens of the texts.
+MOST_NAMES = 20_000
+
+
+def directory(persons: DataFrame, most: int = MOST_NAMES) -> Directory | None:
+    """The directory of persons(name), or None where it has more names than most."""
     names = [r[0] for r in persons.select("name").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"the directory of persons has more than {most} names")
-    return Directory.of(sorted(n for n in names if n))
+    return Directory.of(sorted(n for n in names if n)) if len(names) <= most else None
+
+
+_KNOWN = "key string, kind string"
+
+
+def _parts_of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        d = Directory.of(batch.column("name").to_pylist())
+        rows = [(x, kind) for kind in DIRECTORY_KINDS for x in sorted(getattr(d, kind))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["key", "kind"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, key, kind): what classify looks up for the tokens of each text."""
+    for batch in batches:
+        rows = set()
+        for h, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for a, b in windows(text or ""):
+                for m in TOKEN.finditer(text, a, b):
+                    low = m[0].casefold()
+                    if "가" <= m[0][0] <= "힣":
+                        rows |= {(h, m[0], "korean"), (h, m[0][1:], "korean_tails")}
+                    elif m[0][0].isalpha():
+                        rows.add((h, low, "given"))
+                        for p in low.removeprefix("el-").removeprefix("al-").split("-"):
+                            rows |= {(h, p, "family"), (h, p[:3], "starts"), (h, p[-3:], "ends")}
+        cols = list(zip(*sorted(rows), strict=True)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["text_key", "key", "kind"])
+
+
+def with_known(texts: DataFrame, persons: DataFrame) -> DataFrame:
+    """texts with the column known, an array of struct(kind, key): the parts of listed names that each text can hold.
+
+    For directories of any size: parts of names and tokens of texts meet in a join, and a text's row has only its own.
+    """
+    keyed = texts.withColumn("text_key", F.sha2("text", 256))
+    asked = keyed.select("text_key", "text").mapInArrow(_asked, "text_key string, key string, kind string").distinct()
+    parts = persons.where("name is not null").select("name").mapInArrow(_parts_of_names, _KNOWN).distinct()
+    known = asked.join(parts, ["key", "kind"]).groupBy("text_key").agg(F.collect_list(F.struct("kind", "key")).alias("known"))
+    return keyed.join(known, "text_key", "left").drop("text_key")
 
 
 _FOUND = pa.schema([("id", pa.string()), ("field", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+_REDACTED = pa.schema([("id", pa.string()), ("field", pa.string()), ("redacted", pa.string()), ("n_found", pa.int64())])
 
 
-def find(texts: DataFrame, persons: DataFrame) -> DataFrame:
-    """(id, field, kind, value) of texts(id, field, text), each once; persons(name) are known persons."""
-    field, known = model(), directory(persons)
+def _tagged(texts: DataFrame, persons: DataFrame, rows_of: Callable[[tuple, list], list[tuple]], schema: pa.Schema, ddl: str, most_names: int) -> DataFrame:
+    """rows_of((id, field, text), spans) of every text that is not null, each row once."""
+    field, known = model(), directory(persons, most_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(field, known)
+        tagger = Tagger(field, known or Directory(set(), set(), set()))
         for whole in batches:
             for batch in text_slices(whole, "text", 1_000_000):
-                text = batch.column("text").to_pylist()
-                rows = [(i, f, k, t[a:b]) for i, f, t, spans in zip(batch.column("id").to_pylist(), batch.column("field").to_pylist(), text, tagger.batch(text), strict=True) for a, b, k in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], schema=_FOUND)
+                if known is None:
+                    tagger.learn(x for row in batch.column("known").to_pylist() for x in row or ())
+                cols = [batch.column(c).to_pylist() for c in ("id", "field", "text")]
+                rows = [x for row, spans in zip(zip(*cols, strict=True), tagger.batch(cols[2]), strict=True) for x in rows_of(row, spans)]
+                made = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, schema.types, strict=True)], schema=schema)
 
     rows = spread(texts.where("text is not null").select("id", "field", "text"))
-    return rows.mapInArrow(run, "id string, field string, kind string, value string").distinct()
+    return (rows if known is not None else with_known(rows, persons)).mapInArrow(run, ddl).distinct()
 
 
-def redact(texts: DataFrame, persons: DataFrame) -> DataFrame:
-    """(id, field, redacted, n_found) of the texts(id, field, text) that hold personal information; equal rows come out once."""
-    field, known = model(), directory(persons)
+def find(texts: DataFrame, persons: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """(id, field, kind, value) of texts(id, field, text), each once; persons(name) are known persons."""
+    return _tagged(texts, persons, lambda row, spans: [(row[0], row[1], k, row[2][a:b]) for a, b, k in spans], _FOUND, "id string, field string, kind string, value string", most_names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(field, known)
-        for whole in batches:
-            for batch in text_slices(whole, "text", 1_000_000):
-                text = batch.column("text").to_pylist()
-                rows = [(i, f, placeholders(t, s), len(s)) for i, f, t, s in zip(batch.column("id").to_pylist(), batch.column("field").to_pylist(), text, tagger.batch(text), strict=True) if s]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], names=["id", "field", "redacted", "n_found"])
 
-    rows = spread(texts.where("text is not null").select("id", "field", "text"))
-    return rows.mapInArrow(run, "id string, field string, redacted string, n_found long").distinct()
+def redact(texts: DataFrame, persons: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """(id, field, redacted, n_found) of the texts(id, field, text) that hold personal information; equal rows come out once."""
+    one = lambda row, spans: [(row[0], row[1], placeholders(row[2], spans), len(spans))] if spans else []
+    return _tagged(texts, persons, one, _REDACTED, "id string, field string, redacted string, n_found long", most_names)

@@ -1,7 +1,10 @@
-"""Labelled sentences for training: invented persons, addresses and numbers in invented sentences of several languages.
+"""Labelled texts for training: invented persons, addresses and numbers in invented sentences of several languages.
 
-Nothing here is taken from the data: names are put together from syllables, and the sentences are templates with slots. Look-alikes
-(order numbers, versions, handles, titles of things) have templates too and carry no label.
+Sentences are put together from what stands before an entity and what stands behind it; both are of our own writing, none is taken from
+the tables (a test looks for them there), or they are nonsense words, so that shapes count for more than wording. Names, towns, streets and
+titles are built from syllables and endings. Look-alikes are made by rule: digit groups behind words that
+name no person's number, versions, times and codes, signs that are no address, capitalised titles of things.
+Texts mention some entities again, as they stood or in another form, since the skip edges are learnt from that.
 """
 
 from __future__ import annotations
@@ -9,56 +12,106 @@ from __future__ import annotations
 import random
 import re
 
+Span = tuple[int, int, str]
+
 _ON = ["b", "br", "c", "d", "f", "fr", "g", "gr", "h", "j", "k", "kr", "l", "m", "n", "p", "q", "r", "s", "st", "t", "tr", "v", "w", "y", "z"]
 _VO = ["a", "e", "i", "o", "u", "ea", "ie", "ou"]
 _CO = ["", "l", "n", "r", "s", "k", "m", "nd", "rk", "st"]
-_FAM_END = ["sen", "berg", "mann", "ley", "ford", "ton", "ski", "ova", "ez", "eau", "lund", "dahl", "hurst", "ini", "ström", "wick", "by", "enko"]
-_HANGUL_A, _HANGUL_B = "강달별솔윤한해온빛늘", ["가람", "나래", "다온", "마루", "보라", "새봄", "아라", "하람", "이슬", "소미"]
-_TOWN = ["Ashford", "Birkenau", "Corrie", "Dunmore", "Elsburg", "Port-Anse", "Sankt-Ivo", "Velmont", "Lissau", "Norby", "Oakmere", "Tarn"]
-_STREET = ["Birch", "Cedar", "Elm", "Foundry", "Garden", "Mill", "Orchard", "Quarry", "River", "Stone", "Tanner", "Willow", "Heron", "Market"]
-_THINGS = ["Amber Lake", "Blue Harbor", "Copper Field", "Orchid Ledger", "Monday Standup", "Platform Road", "Silver Gate", "Green Release", "Winter Review", "North Star", "Open Desk"]
-_NOUN = ["cache", "budget", "deadline", "recall", "policy", "ranking", "session", "retention", "overlay", "alert", "rota", "draft", "scope", "backup", "latency"]
-_ROLE = ["indexer", "router", "packer", "loader", "planner", "mirror", "ranker", "broker", "gateway", "watcher"]
-
-_NEUTRAL = [
-    "Warning from {pw}: {noun} seen {n} times near {ref}.", "The {role} of {pw} needs {n} retries for {noun} jobs on {pw}.", "Session {ref} left {noun} open for {ref}.",
-    "Use {pw} for {noun}; {ref} stays as fallback.", "Trace {ref}; {pw}.", "Files {pw}; {ref}.", "Refs: {pw}, {ref}, {pw}.", "Touched: {pw}, {pw}, {ref}.", "See {pw} and {ref}.",
-    "{Pw} measured {noun} at {n} ms against {pw}.", "{Pw} must read the {noun} file {pw} before each {role} run.", "{Pw}/{pw}, {ref}.", "{pw} → {pw} → {ref}.", "{ref} ({pw}).",
-    "Set the {noun} window of {pw} to {n} minutes under ticket {pw}.", "We agreed that {pw} owns {noun} while {pw} only watches.", "Do not merge {pw} before {noun} passes on {pw}.",
-    "Remember that {noun} wants {noun} from {pw} by sprint {ref}.", "Correction: {noun} belongs to {pw}, not to {pw}.", "Build {ref} failed on {noun} because {pw} was missing.",
-    "앞으로 {noun} 설정은 {pw} 대신 {pw} 값을 쓴다.", "{noun} 담당은 {pw} 이고 검토는 {pw} 이다.", "{noun} 팀은 {pw} 와 {ref} 를 {n}분 간격으로 점검한다.", "{pw} 세션에서 정한 {noun} 규칙은 {ref} 까지 유효하다.",
-    "자동으로 저장된 메모입니다.", "Captured automatically, please review before promotion.", "no, {pw} is the right {role}", "앞으로는 {pw} 로 해줘", "the {noun} folks will decide", "{pw} 말고 {pw}",
-    "Artifact {pw} replaces {ref} in the {noun} {role}.", "Branch {pw} carries the {noun} fix {ref} for the {role}.", "Runbook {ref}: restart {pw}, then verify {noun}.", "No further action was requested in this session.",
-    "What {pw} means, only {Pw}'s owner knows.", "From {pw}", "Keep {pw} and {pw} out of the {noun} {noun} list.", "Mentions {pw} once.", "{Pw} asked for {noun} in {n} lines, signed off as {ref}.",
-    "After commit {ref} the {role} drops {noun} rows written by {pw}.", "Ship {ref} with {noun} disabled, tracked in {ref}.", "Task {ref}: move {noun} checks of {pw} into the {role}.", "근거: {pw}, {ref}.",
-]
-_DECOY = [
-    "order {d3}-{d3}-{d4} shipped.", "ISBN-like 978-0-00-{d3}000-0.", "range {d4}-{d4}-{d4} of {Thing}.", "epoch {d10} in row {n}.", "handle @north_{pw} only.", "pinned lib@{n}.{n}.{n} for the {Thing} board.",
-    "retry@{n} then name it {Thing}.", "Lane {n}, {Thing} item.", "phone screen went well.", "write me at the usual address.", "commit {d7} and {d8} differ.", "see {Thing} for {noun}.", "version {n}.{n}.{n}.{n} of {Thing}", "checksum {d10}{d3} matches",
-    "ticket {d3}-{d4} in {Thing}", "invoice no. {d3}-{d3}-{d4} paid", "{Thing} board, row {n}", "batch {d4}-{d4} at {n}:{n}", "port {d4}, build {d8}", "tracking {d4} {d4} {d4} arrived", "the {Thing} plan", "{Thing} wants {noun}.", "{Noun} in the {Thing} budget grew.", "고객 님 {noun} 안내입니다.", "담당자 확인 뒤 {pw} 로 넘긴다.", "사용자 님이 {noun} 을 바꿨다.", "여러분 님께 {noun} 공지",
-]
-_WITH = [
-    "Reach {NAME} at {EMAIL} for anything else.", "Owner: {NAME} <{EMAIL}>", "According to {NAME}, the {noun} is final.", "The key holder is {NAME}.", "{NAME} can be called on {PHONE} after lunch.", "I'm {NAME} by the way",
-    "ask {NAME} or write to {EMAIL}", "my mail is {EMAIL}", "번호는 {PHONE}", "mailto:{EMAIL}", "contact={EMAIL}|tel={PHONE}", "Escribir a {EMAIL} o llamar al {PHONE}.", "M. {NAME} a laissé le numéro {PHONE}.",
-    "Tax id: {ID} ({NAME})", "{NAME} signed the form, passport {ID}.", "Her social security number is {ID}, keep it out of packs.", "id number {ID} was typed by mistake", "주민번호 {ID} 는 저장하지 말 것.", "주소: {ADDRESS}",
-    "Invoice copies go to {ADDRESS}.", "Tell Ms {NAME} that the parcel is at {ADDRESS}.", "Frau {NAME} wohnt jetzt {ADDRESS}.", "New address of {NAME}: {ADDRESS}", "{NAME} moved to {ADDRESS} and uses {PHONE} now.", "ship to \"{ADDRESS}\", attn {NAME}",
-    "담당자 {KO} 님 연락처는 {PHONE} 입니다.", "{KO} 님 이메일 {EMAIL} 로 보내 주세요.", "{KO} 님이 말했어요", "I live at {ADDRESS}", "it's {PHONE}, any time", "fax {PHONE}, ref {NAME}", "Call me: {PHONE}", "tel. {PHONE} / mail {EMAIL}",
-    "cc {EMAIL}; {EMAIL}", "Dear {NAME}, your {noun} is ready.", "Herr {NAME} ist unter {PHONE} erreichbar.", "Señora {NAME} vive en {ADDRESS}.", "Send the contract to {NAME}, {ADDRESS}.", "signed, {NAME}", "Passport no. {ID} of {NAME}", "steuer-id {ID}", "SSN {ID}",
-    "DNI {ID}, teléfono {PHONE}", "Mr {NAME} and Mrs {NAME} met.", "From: {NAME} <{EMAIL}>", "{KO} 씨에게 전화 {PHONE}", "Adresse: {ADDRESS}", "A senhora {NAME} mora em {ADDRESS}.", "written by {NAME} on Monday", "{NAME} said the {noun} is late.",
-    "{NAME} asked for {noun}.", "call {PHONE} or mail {EMAIL}", "{EMAIL} bounced", "his number {PHONE} changed", "{PHONE}", "{ADDRESS}", "{NAME}", "{ID} {pw} {noun}", "{NAME} {pw} {noun}", "{pw} {NAME}, {pw}", "{noun} {PHONE} {pw}", "{pw} {ADDRESS} {noun}",
-]
+_FAMILY_END = ["sen", "berg", "mann", "ley", "ford", "ton", "ski", "ova", "ez", "eau", "lund", "dahl", "hurst", "ini", "ström", "wick", "by", "enko"]
+_TOWN_END = ["ford", "burg", "ville", "stadt", "mouth", "bridge", "heim", "ona", "ira", "haven"]
+_STREET_END = ["Street", "Road", "Avenue", "Lane", "Court", "Close", "Terrace", "Drive", "Square", "Way", "Ave", "St.", "Rd"]
+_HANGUL_A = "강달별솔윤한해온빛늘"
+_HANGUL_B = [a + b for a in "가나다라마" for b in "람온솔빈율"]
+#: Common nouns and adjectives that titles of things are made of.
+_TITLE_A = "annual basic blue central civic common early eastern final global golden grand green inner joint large late local lower main modern monthly narrow new northern old open outer plain public quiet rapid red regional second shared short silent simple small solid southern spring steady summer swift upper urban weekly western white wide winter yearly young friday monday autumn".split()
+_TITLE_B = "agenda archive bakery balance board bridge bulletin calendar canal catalogue chapter circle clinic council course digest engine festival forecast forum gallery garage guide handbook harbour index journal kitchen league library market meeting method museum notebook office orchard outline panel parade platform portal program project quarter question radio railway record report review room school season sheet signal station storage studio summit survey system table theatre track union update valley village warehouse window workshop".split()
+_PLAIN = "about above after again all always and another any around as back before behind below best both bring but by came can change clear close come could day did done down during each early either end enough even every far few find first for from full gave get give go good had half has have held here high how if in into it just keep kept kind last late least left less let like list little long look made make many may mean might more most much must near need never next no not now of off often on once one only open or other our out over own part past place plain plan put quite rather read ready rest right run said same saw see seem seen send set several shall she should show side since small so some soon still such take tell than that the their them then there these they thing this those through time to today together too took toward turn two under until up upon us use used very was way we week well went were what when where which while who why will with work would yet you".split()
+_OTHER = {
+    "de": "aber alle auch auf aus bei bis das dem den der die doch ein eine er es für gegen haben hat heute hier ihm ihr ist jetzt kann kein mehr mit morgen nach nicht noch nur oder ohne schon sehr sich sie sind über und von vor war was wenn wer wie wieder wird wo zu zum zur".split(),
+    "fr": "alors aussi avec avant bien car ce cela cette chez comme dans demain depuis des donc elle en encore entre est et être fait hier il jamais je leur lui mais même moins nous on ou où par pas peu plus pour quand que qui sans ses son sont sous sur très trop un une vers vous".split(),
+    "es": "ahora al algo antes aquí así ayer cada como con cuando de desde después donde él ella en entre era es esta este fue ha hasta hay hoy la las lo los más me mi muy no nos o otra otro para pero poco por porque que se ser si sin sobre su también tiene todo un una y ya".split(),
+    "pt": "agora ainda ali antes ao aqui assim até cada com como da das de depois do dos e ela ele em entre era essa este eu foi há hoje isso já mais mas me muito na não nas no nós o onde os ou para pela pelo por pouco quando que quem se sem ser seu sob também tem um uma".split(),
+    "ko": "그리고 그래서 그런데 오늘 내일 어제 지금 다시 먼저 모두 많이 조금 아주 매우 새로 함께 이미 아직 혹시 바로 여기 거기 이번 다음 지난 회의 문서 일정 자료 결과 확인이 필요합니다 했습니다 됩니다 있습니다 없습니다 부탁드립니다 바랍니다 하세요 이며 에서 으로 까지 부터".split(),
+}
+
+#: What may stand before and behind an entity of each kind, by language: pairs of lists.
+_FRAMES: dict[str, list[tuple[list[str], list[str]]]] = {
+    "name": [
+        (
+            ["spoke with ", "as agreed with ", "thanks to ", "minutes taken by ", "the contact person is ", "the new lead is ", "assigned to ", "on behalf of ", "Hello ", "Hi ", "Regards, ", "author: ", "assignee ", "forward it to ", "Dr ", "Ms ", "Mr ", "Mrs. ", "Prof. ", "met ", "interview of ", "by ", "with ", "for ", "to ", "from ", "and ", "this is ", "name: ", "attention ", "approved by ", "on duty: ", "reviewer=", "- ", "* ", "(", "\"", "please ask ", "I talked to ", "talk to ", "a letter for ", "our colleague ", "yesterday ", "Yours, "],
+            [" joined the call", " will be away until the weekend", " gave the go-ahead", ", head of sales,", " wrote down the rest", ":", "'s laptop was replaced", " has the keys", " left early", " knows more", " and the others", ", please advise", ")", "\"", " again", " called twice", " thinks so too", " prefers the second option", ".", "!", "?", "", " (away)", " is responsible", " wants a copy", " did not answer", " confirmed", "; nobody else", " - thanks", " lives nearby", " turned it down", " explained the rest", " was not there"],
+        ),
+        (["Herr ", "Frau ", "im Auftrag von ", "zuständig ist ", "Gruß, ", "laut ", "für ", "von ", "an ", "Ansprechpartnerin: ", "mit "], [" kommt später", " hat zugestimmt", " fragt nach", ".", ",", "", " ist im Urlaub"]),
+        (["Monsieur ", "Madame ", "M. ", "Mme ", "de la part de ", "avec ", "pour ", "selon ", "responsable : "], [" arrive demain", " a refusé", ".", ",", "", " est absente"]),
+        (["el señor ", "la señora ", "Sra. ", "Sr. ", "de parte de ", "con ", "para ", "según ", "responsable: "], [" llega tarde", " lo aprobó", ".", ",", "", " no contesta"]),
+        (["o senhor ", "a senhora ", "Sr. ", "da parte de ", "com ", "para ", "segundo ", "responsável: "], [" chega amanhã", " aprovou tudo", ".", ",", "", " não respondeu"]),
+        (["작성자: ", "발표는 ", "참석자 ", "", "어제 "], [" 씨가 왔다", " 참석", ""]),
+    ],
+    "korean": [(["", "작성자 ", "발표자는 ", "담당자 ", "오늘 ", "그리고 ", "결재: ", "문의는 "], [" 님", " 님께", " 님이 참석했습니다", " 씨", " 씨가 발표합니다", " 님의 의견", " 님 부재중", " 님에게 문의", "님께 전달", "님 확인 부탁"])],
+    "email": [
+        (
+            ["e-mail ", "mail to ", "mail: ", "address <", "<", "(", "user=", "to: ", "cc ", "reply to ", "write ", "or ", "and ", "mailed from ", "login ", "account ", "", "at ", "the inbox ", "contact "],
+            ["", ".", ",", ">", ")", " bounced twice", " for details", " or by phone", "; thanks", " is the new one", " please", " - urgent", "|", " was blocked", " und ", " et "],
+        ),
+        (["E-Mail an ", "schreiben Sie an ", "Mail: ", "per Mail: "], [" bitte", ".", ""]),
+        (["courriel : ", "écrire à ", "envoyer à "], [" merci", ".", ""]),
+        (["correo: ", "enviar a ", "para "], [" gracias", ".", ""]),
+        (["e-mail: ", "enviar para "], [" obrigado", ".", ""]),
+        (["메일 ", "메일 주소는 ", "이메일: ", ""], [" 으로 보내세요", " 입니다", " 로 회신", ""]),
+    ],
+    "phone": [
+        (
+            ["phone ", "phone: ", "tel ", "tel. ", "Tel: ", "mobile ", "cell: ", "ring ", "ring me on ", "reach us on ", "call ", "call back: ", "dial ", "fax ", "fax: ", "text ", "hotline ", "number ", "at ", "on ", "or ", "and ", "", "(", "new number: ", "office ", "home: ", "voicemail "],
+            ["", ".", ",", ")", " in the evening", " before noon", " ext 5", " or mail", "; ask twice", " works best", " is engaged", " (private)", " please", "|", " does not exist any more", " today"],
+        ),
+        (["Telefon ", "Tel. ", "Rückruf unter ", "mobil: ", "unter "], [" anrufen", ".", ""]),
+        (["téléphone ", "tél. ", "joindre au ", "portable : "], [" le soir", ".", ""]),
+        (["teléfono ", "móvil: ", "tel. ", "al "], [" por la tarde", ".", ""]),
+        (["telefone ", "celular: ", "ligar para "], [" à noite", ".", ""]),
+        (["전화 ", "전화번호: ", "연락처 ", "휴대폰 ", "팩스 "], [" 으로 연락", " 입니다", " 로 전화", ""]),
+    ],
+    "idnum": [
+        (
+            ["soc. sec. no. ", "SSN ", "SSN: ", "passport ", "passport number ", "passport: ", "tax number ", "tax ID ", "TIN ", "national id ", "national ID: ", "identity card ", "id card no. ", "insurance number ", "NI number ", "her ID ", "his ID: ", "holder of ID ", "personal number "],
+            ["", ".", ",", ")", " on file", " expired", " was checked", " must be removed", " is a guest's", "; delete it", " (copy)", " again", " please shred"],
+        ),
+        (["Steuernummer ", "Ausweis ", "Ausweisnummer: ", "Reisepass ", "Personalausweis ", "IdNr. "], [" löschen", ".", ""]),
+        (["passeport ", "numéro fiscal ", "carte d'identité ", "sécurité sociale "], [" à effacer", ".", ""]),
+        (["DNI ", "pasaporte ", "NIE: ", "número fiscal "], [" borrar", ".", ""]),
+        (["passaporte ", "CPF ", "NIF: ", "identidade "], [" apagar", ".", ""]),
+        (["주민등록번호 ", "주민번호: ", "여권번호 ", "여권 ", "신분증 번호 "], [" 삭제", " 는 지워 주세요", ""]),
+    ],
+    "address": [
+        (
+            ["address: ", "address ", "deliver to ", "lives at ", "living at ", "moved to ", "resident at ", "the flat at ", "letters go to ", "billing: ", "home: ", "visit ", "at ", "near ", "in front of ", "", "(", "\"", "from ", "pick up at "],
+            ["", ".", ",", ")", "\"", " by courier", " since last year", " (second floor)", "; ring twice", " until further notice", " is closed", " please", " today"],
+        ),
+        (["Anschrift: ", "wohnt in der ", "Lieferung an ", "in der ", "wohnt "], [" abgeben", ".", ""]),
+        (["adresse : ", "habite au ", "livrer au "], [" s'il vous plaît", ".", ""]),
+        (["dirección: ", "vive en la ", "entregar en "], [" por favor", ".", ""]),
+        (["endereço: ", "mora na ", "entregar na "], [" por favor", ".", ""]),
+        (["주소는 ", "주소: ", "배송지 ", ""], [" 입니다", " 로 배송", ""]),
+    ],
+}
+#: Words before digit groups that are no person's number.
+_COUNTED = "order invoice ticket parcel serial isbn part lot batch case article build epoch offset checksum row port seq job range run item receipt voucher tracking chapter page line lines score size total sum count id# ref sku version release sprint shard bucket key step node block frame bytes tokens bestellung rechnung commande facture pedido factura 주문 주문번호 송장 번호표 페이지 버전".split()
+_UNITS = "ms s kb MB GB % rows files days hours km kg EUR USD items points tests 원 개 분 초 시간".split()
+_SENTENCE = ["{w} {w} {T} {w}.", "the {T} {w} {w}", "{T}: {w} {w}", "{W} {w} {w} {T}", "see {T}", "{w} ({T})", "{T}, {T} {w}", "{w} {w}. {W} {w}", "{w} {w}. {W} {W2} {w}", "{W} {w} {w} {w}", "{pw} {w} {pw}", "{Pw} {w} {w}", "{pw}, {ref} {w} {ref}", "{ref}; {pw}", "{w} {T} {n} {w}", "{T} {n}", "{U} {w}", "{U} {U2} {w}", "{w} {Pw} {W}", "{Pw}'s {w} {w}", "at {n}:{n2} {w}"]
+_KO_SENTENCE = ["{k} {k} {k}", "{k} {pw} {k}", "고객님 {k}", "여러분께 {k}", "회원님 {k} {k}", "선생님이 {k}", "팀장님 {k}", "담당자에게 {k}", "담당자 {k}", "이용자 님 {k}", "대표 님께 {k}", "{k} 씨앗 {k}"]
 
 
 class Maker:
-    """Makes sentences; given, family and korean are the lists that stand for a directory of known persons."""
+    """Makes texts; known_given, known_family and known_korean are the lists that stand for a directory of known persons."""
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.given = [self._syllables(2).capitalize() for _ in range(150)]
         self.stems = [self._syllables(1).capitalize() for _ in range(24)]
-        self.family = [s + e for s in self.stems for e in _FAM_END]
+        self.family = [s + e for s in self.stems for e in _FAMILY_END]
         self.korean = [a + b for a in _HANGUL_A for b in _HANGUL_B]
-        self.known_given, self.known_family, self.known_korean = set(self.given[:135]), set(self.r.sample(self.family, len(self.family) * 6 // 10)), {x for x in self.r.sample(self.korean, 60) if x[1:] not in _HANGUL_B[:3]}
+        self.known_given, self.known_family = set(self.given[:135]), set(self.r.sample(self.family, len(self.family) * 6 // 10))
+        self.known_korean = {x for x in self.r.sample(self.korean, len(self.korean) * 6 // 10) if x[1:] not in _HANGUL_B[:3]}
+        self.met: list[tuple[str, str]] = []
 
     def _syllables(self, n: int) -> str:
         return "".join(self.r.choice(_ON) + self.r.choice(_VO) + self.r.choice(_CO) for _ in range(n))
@@ -66,101 +119,180 @@ class Maker:
     def _digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def _hex(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789abcdef") for _ in range(n))
+
+    def _upper(self, n: int) -> str:
+        return "".join(self.r.choice("ABCDEFGHKMPQRSTXYZ") for _ in range(n))
+
     def word(self) -> str:
         w = self._syllables(self.r.randint(2, 4))
-        return w if self.r.random() < 0.8 else w + self.r.choice(["_router.py", "_packer", ".toml", "_x.rs", "7"])
+        return w if self.r.random() < 0.8 else w + self.r.choice(["_" + self._syllables(1), "." + self.r.choice(["py", "md", "json", "rs", "toml"]), "_x.rs", self._digits(1), "-" + self._syllables(1)])
 
-    def ref(self) -> str:
-        return self.r.choice([f"rc-{self._digits(5)}", f"#{self._digits(5)}", f"LDG-{self._digits(5)}", f"T{self._digits(5)}", f"OPS-{self._digits(5)}", "".join(self.r.choice("0123456789abcdef") for _ in range(7)), self._digits(7), f"rev-{self._digits(5)}"])
+    def title(self) -> str:
+        a, b = self.r.choice(_TITLE_A).capitalize(), self.r.choice(_TITLE_B).capitalize()
+        x = self.r.random()
+        if x < 0.5:
+            return f"{a} {b}"
+        if x < 0.7:
+            return f"{b} {self.r.choice(_TITLE_B).capitalize()}"
+        return f"{a} {b} {self.r.choice(_TITLE_B).capitalize()}" if x < 0.85 else f"{self.word().capitalize()} {b}" if x < 0.93 else f"{a} {self._syllables(2).capitalize()}"
+
+    # entities
 
     def name(self) -> str:
         r = self.r
         given, family = r.choice(self.given), r.choice(self.family)
         if r.random() < 0.12:
             family += "-" + r.choice(self.family)
-        if r.random() < 0.12:
-            family = r.choice(["de ", "van ", "von ", "el-", "da ", "di "]) + family
-        x = r.random()
-        out = f"{given} {family}" if x < 0.68 else f"{family}, {given}" if x < 0.84 else f"{given[0]}. {family}"
-        return out.upper() if r.random() < 0.06 else out
+        if r.random() < 0.14:
+            family = r.choice(["de ", "van ", "von ", "el-", "al-", "da ", "di ", "van der ", "de la "]) + family
+        return self._ordered(given, family)
+
+    def _ordered(self, given: str, family: str) -> str:
+        x = self.r.random()
+        out = f"{given} {family}" if x < 0.66 else f"{family}, {given}" if x < 0.82 else f"{given[0]}. {family}"
+        return out.upper() if self.r.random() < 0.06 else out
 
     def email(self) -> str:
         r = self.r
         g, f = r.choice(self.given).lower(), re.sub("[^a-z]", "o", r.choice(self.family).lower())
-        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g[0]}{f}", f"{f}{r.randint(2, 99)}", f"{g}+{r.choice(_NOUN)}", g, f"{g}.{f}+{r.randint(2, 99)}"])
-        host = r.choice(["mail.{}.example", "{}.example", "{}.example.org", "team.{}.test", "post.{}.example.net", "{}.com", "inbox.example.com"]).format(self._syllables(2))
-        at, dot = r.choice([("@", ".")] * 6 + [(" @ ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("＠", "."), (" at ", " dot ")])
+        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{g[0]}.{f}", f"{f}{r.randint(2, 99)}", f"{g}+{self._syllables(2)}", g, f"{g}.{f}+{r.randint(2, 99)}", self._syllables(2)])
+        host = ".".join([*([r.choice(["mail", "post", "inbox", "team", "web"])] if r.random() < 0.5 else []), self._syllables(2), *([self._syllables(1)] if r.random() < 0.2 else []), r.choice(["example", "example.org", "example.net", "com", "org", "net", "test", "invalid", "co.kr", "de", "fr"])])
+        at, dot = r.choice([("@", ".")] * 6 + [(" @ ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), ("＠", "."), (" at ", " dot "), (" AT ", " DOT ")])
         out = local + at + host.replace(".", dot)
         return out.upper() if r.random() < 0.1 else out
 
     def phone(self) -> str:
-        d = self._digits
-        return self.r.choice([
-            f"+1 {d(3)}-{d(3)}-{d(4)}", f"+1{d(10)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"01.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"010-{d(4)}-{d(4)}", f"+82 10 {d(4)} {d(4)}", f"+49 30 {d(5)} {d(3)}", f"0{d(2)}/{d(5)}-{d(3)}",
-            f"01{d(3)} {d(3)} {d(3)}", f"+44 1{d(3)} {d(6)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+44 20 {d(4)} {d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}-{d(3)}-{d(4)}",
+        d, r = self._digits, self.r
+        return r.choice([
+            f"+1 {d(3)}-{d(3)}-{d(4)}", f"+1{d(10)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(2)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}",
+            f"010-{d(4)}-{d(4)}", f"010 {d(4)} {d(4)}", f"010{d(8)}", f"02-{d(3)}-{d(4)}", f"+82 10 {d(4)} {d(4)}", f"+82-10-{d(4)}-{d(4)}", f"+49 {d(2)} {d(5)} {d(3)}", f"+49 {d(3)} {d(6)}", f"+49 (0){d(2)} {d(7)}", f"0{d(2)}/{d(5)}-{d(3)}", f"0{d(2)} / {d(7)}", f"0{d(3)} {d(6)}", f"0{d(3)}-{d(6)}",
+            f"01{d(3)} {d(3)} {d(3)}", f"0{d(4)} {d(6)}", f"+44 {d(4)} {d(6)}", f"+44 {d(2)} {d(4)} {d(4)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33{d(9)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"+34 {d(3)} {d(2)} {d(2)} {d(2)}", f"+55 {d(2)} {d(5)}-{d(4)}", f"({d(2)}) {d(5)}-{d(4)}", f"+351 {d(3)} {d(3)} {d(3)}",
         ])
 
     def idnum(self) -> str:
-        d, r = self._digits, self.r
-        up = lambda n: "".join(r.choice("ABCDEFGHKMPQRSTXYZ") for _ in range(n))
-        return r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(6)}-{d(7)}", f"{up(2)}{d(6)}{up(1)}", f"{up(2)} {d(2)} {d(2)} {d(2)} {up(1)}", f"{up(2)}{d(7)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(8)}{up(1)}", f"{d(8)}-{up(1)}"])
+        d, r, up = self._digits, self.r, self._upper
+        return r.choice([
+            f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(6)}-{d(7)}", f"{up(2)}{d(6)}{up(1)}", f"{up(2)} {d(2)} {d(2)} {d(2)} {up(1)}", f"{up(2)}{d(7)}", f"{up(1)}{d(8)}", f"{up(1)}{d(2)}{up(1)}{d(4)}{up(1)}", f"{d(2)} {d(3)} {d(3)} {d(3)}",
+            f"{d(11)}", f"{d(9)}", f"{d(8)}{up(1)}", f"{d(8)}-{up(1)}", f"{up(1)}-{d(7)}-{up(1)}", f"{up(1)}{d(7)}{up(1)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{d(2)}/{d(3)}/{d(5)}", f"{d(1)} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}",
+        ])
 
     def address(self) -> str:
         r = self.r
-        street, town, n, zip_ = r.choice(_STREET), r.choice(_TOWN), r.randint(1, 199), self._digits(5)
-        end = r.choice(["Street", "Road", "Avenue", "Lane", "Court", "Close", "Terrace", "Ave", "St.", "Drive"])
+        made = lambda ends: (self._syllables(r.randint(1, 2)).capitalize() if r.random() < 0.6 else r.choice(_TITLE_B).capitalize()) + r.choice(ends)
+        street, n, zip_ = made([""]), r.randint(1, 199), self._digits(5)
+        town = made(_TOWN_END) if r.random() < 0.8 else r.choice(["Sankt ", "Port ", "New ", "Bad "]) + made([""]) if r.random() < 0.5 else r.choice(["Port-", "Saint-", "Sankt-"]) + made([""])
+        end, german = r.choice(_STREET_END), r.choice(["weg", "straße", "gasse", "platz", "allee", "strasse"])
+        hangul = "".join(r.choice("가나다라마바사솔달별한빛온누리들") for _ in range(2))
+        return r.choice([
+            f"{n} {street} {end}, {town}", f"{n} {street} {end}".rstrip("."), f"{n}{r.choice('abCD')} {street} {end}".rstrip("."), f"{n} {street} {end}, {town} {zip_}", f"Flat {r.randint(1, 9)}, {n} {street} {end}, {town}", f"Apt {r.randint(1, 9)}, {n} {street} {end}",
+            f"{street}{german} {n}", f"{street}{german} {n}, {zip_} {town}", f"{street}{german} {n}{r.choice('abc')}, {zip_} {town}", f"Calle {street} {n}, {zip_} {town}", f"Calle de {street} {n}", f"Avenida {street} {n}, {town}", f"{n} bis, rue {street}, {zip_} {town}", f"{n}, rue {street}, {zip_} {town}", f"{n} rue de {street}, {zip_} {town}", f"rue {street} {n}",
+            f"{hangul}시 {hangul[::-1]}로{r.randint(1, 40)}길 {n}", f"{hangul}구 {hangul[::-1]}로 {n}", f"{hangul}시 {hangul}구 {hangul[::-1]}길 {n}", f"Rua {street} {n}, {zip_} {town}", f"Rua de {street} {n}", f"Via {street} {n}, {zip_} {town}",
+        ])
+
+    # other text
+
+    def ref(self) -> str:
+        d, r = self._digits, self.r
+        return r.choice([f"{self._syllables(1)}-{d(5)}", f"#{d(r.randint(3, 6))}", f"{self._upper(3)}-{d(r.randint(2, 5))}", f"{self._upper(1)}{d(5)}", self._hex(7), self._hex(12), d(7), f"{d(1)}.{d(1)}.{d(2)}", f"v{d(1)}.{d(2)}", f"{self._syllables(2)}@{d(1)}.{d(1)}.{d(1)}", f"{self._syllables(2)}/{self._syllables(1)}@{d(2)}"])
+
+    def _number(self) -> str:
+        """Digit groups, times, versions and amounts."""
+        d, r = self._digits, self.r
+        groups = lambda s: s.join(d(r.randint(2, 5)) for _ in range(r.randint(2, 4)))
         return r.choice([
-            f"{n} {street} {end}, {town}", f"{n}{r.choice('abCD')} {street} {end}".rstrip("."), f"Flat {r.randint(1, 9)}, {n} {street} {end}, {town}", f"{street}weg {n}", f"{street}straße {n}, {zip_} {town}", f"{street}weg {n}, {zip_} {town}",
-            f"Calle {street} {n}, {zip_} {town}", f"{n} bis, rue {street}, {zip_} {town}", f"{n}, rue {street}, {zip_} {town}", f"가온시 {r.choice(['솔내', '달빛', '한밭'])}로{r.randint(1, 40)}길 {n}", f"Rua {street} {n}, {zip_} {town}",
+            groups("-"), groups("-"), groups(" "), groups("."), groups("/"), f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", d(8), d(9), d(10), d(11), d(13), f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}T1{d(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z", f"1{d(1)}:{r.randint(10, 59)}",
+            f"{d(1)}.{d(2)}.{d(1)}", f"10.{d(2)}.{d(2)}.{d(1)}", f"{d(1)},{d(3)},{d(3)}", f"{d(3)}.{d(2)}", f"97{r.choice('89')}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{self._hex(8)}-{self._hex(4)}-{self._hex(4)}", f"{d(4)}-{d(4)}", f"{d(4)} to {d(4)}", f"{d(2)}/{d(2)}/20{d(2)}",
         ])
 
-    def fill(self, template: str) -> tuple[str, list[tuple[int, int, str]]]:
+    def _decoy(self) -> str:
+        r = self.r
+        x = r.random()
+        if x < 0.45:
+            sep = r.choice([" ", ": ", " no. ", " #", "=", " nr. ", " number ", " "])
+            return f"{self._some(r.randint(0, 2))}{r.choice(_COUNTED)}{sep}{self._number()} {self._some(r.randint(0, 3))}".strip()
+        if x < 0.55:
+            return f"{self._some(2)}{self._number()} {r.choice(_UNITS)} {self._some(2)}".strip()
+        if x < 0.68:
+            return r.choice(["@" + self.word(), f"ping @{self.word()} {self._some(2)}", f"{self.word()}@{self._digits(1)}.{self._digits(1)}.{self._digits(2)}", f"{self.word()}@{self._digits(2)} {self._some(2)}", f"look at the dot {self._some(1)}", f"meet at noon {self._some(2)}", f"{self._some(2)}at {self.word()} {self._some(2)}", f"@ {self.word()} {self._some(1)}", f"{self.word()} @ {r.randint(1, 99)}"]).strip()
+        if x < 0.8:
+            return r.choice([f"{r.randint(1, 99)} {r.choice(_TITLE_A)} {r.choice(_TITLE_B)}", f"{r.choice(_STREET_END[:6])} {r.randint(1, 99)} {self._some(2)}", f"{r.randint(2, 99)}, {self.title()}", f"{r.choice([*_STREET_END[:5], *_TITLE_B]).capitalize()} {r.randint(1, 99)}, {self.title()} {self._some(1)}", f"{self.title()} {r.choice(_STREET_END[:5])} {self._some(1)}", f"{r.choice([*_STREET_END[:5], *_TITLE_B]).capitalize()} {r.randint(1, 99)}, {r.choice(_TITLE_B).capitalize()} {r.choice(_STREET_END[:5])} {self._some(2)}",  # a street without a house number
+             f"{r.randint(1, 99)} {self.title()}", f"{r.choice(['Plan', 'Section', 'Part', 'Option', 'Team'])} {self._upper(1)}. {r.choice(_TITLE_B).capitalize()} {self._some(2)}", f"{r.choice(_TITLE_B)} {self._upper(1)}. {self.title()}", f"{r.choice(_TITLE_B).capitalize()}, {r.choice(_TITLE_B).capitalize()} and {r.choice(_TITLE_B)}"])
+        return self._fill(r.choice(_KO_SENTENCE if r.random() < 0.3 else _SENTENCE))
+
+    def _fill(self, template: str) -> str:
+        r = self.r
+        made = {
+            "w": lambda: r.choice(_PLAIN), "W": lambda: r.choice(_PLAIN).capitalize(), "W2": lambda: r.choice(_TITLE_B).capitalize(), "T": self.title, "pw": self.word, "Pw": lambda: self.word().capitalize(), "ref": self.ref, "n": lambda: str(r.randint(1, 23)), "n2": lambda: str(r.randint(10, 59)),
+            "U": lambda: r.choice(_TITLE_B).upper(), "U2": lambda: r.choice(_PLAIN).upper(), "k": lambda: r.choice(_OTHER["ko"]),
+        }
+        return re.sub(r"\{(\w+)\}", lambda m: made[m[1]](), template)
+
+    def _some(self, n: int, lang: str = "en") -> str:
+        """n words with a space behind each: of a language, nonsense, or a reference."""
+        r = self.r
+        stock = _PLAIN if lang == "en" else _OTHER[lang]
+        return "".join((r.choice(stock) if (x := r.random()) < 0.6 else self.word() if x < 0.85 else r.choice(_TITLE_B) if x < 0.95 else self.ref()) + " " for _ in range(n))
+
+    def _entity(self, kind: str) -> str:
+        """A new entity, or one that was met before, sometimes in another form."""
+        r = self.r
+        old = [v for k, v in self.met if k == kind]
+        if old and r.random() < 0.35:
+            v = r.choice(old)
+            if kind == "name" and r.random() < 0.5 and (m := re.fullmatch(r"([A-Z]\w+) ((?:[a-z]\S* )*\S+)", v)):
+                return self._ordered(m[1], m[2])
+            return v
+        v = {"name": self.name, "korean": lambda: r.choice(self.korean), "email": self.email, "phone": self.phone, "idnum": self.idnum, "address": self.address}[kind]()
+        self.met.append((kind, v))
+        return v
+
+    def _framed(self) -> tuple[str, list[Span]]:
+        """One or two entities with what stands before and behind them."""
+        r = self.r
         out, spans = "", []
-        for part in re.split(r"(\{\w+\})", template):
-            if not part.startswith("{"):
-                out += part
-                continue
-            slot = part[1:-1]
-            made = {
-                "NAME": self.name, "KO": lambda: self.r.choice(self.korean), "EMAIL": self.email, "PHONE": self.phone, "ID": self.idnum, "ADDRESS": self.address, "pw": self.word, "Pw": lambda: self.word().capitalize(), "ref": self.ref,
-                "n": lambda: str(self.r.randint(1, 99)), "noun": lambda: self.r.choice(_NOUN), "Noun": lambda: self.r.choice(_NOUN).capitalize(), "role": lambda: self.r.choice(_ROLE), "Thing": lambda: self.r.choice(_THINGS) if self.r.random() < 0.7 else f"{self._syllables(2).capitalize()} {self._syllables(2).capitalize()}",
-                "d3": lambda: self._digits(3), "d4": lambda: self._digits(4), "d7": lambda: self._digits(7), "d8": lambda: self._digits(8), "d10": lambda: self._digits(10),
-            }[slot]()
-            kind = {"NAME": "name", "KO": "name", "EMAIL": "email", "PHONE": "phone", "ID": "idnum", "ADDRESS": "address"}.get(slot)
-            if kind:
-                spans.append((len(out), len(out) + len(made), kind))
+        lang = r.choice(["en", "en", "en", "en", "de", "fr", "es", "pt", "ko"])
+        for k in range(1 if r.random() < 0.75 else 2):
+            kind = r.choice(["name", "name", "name", "korean", "email", "email", "phone", "phone", "idnum", "idnum", "address", "address"])
+            frames = _FRAMES[kind]
+            before, behind = frames[0] if len(frames) == 1 else frames[["en", "de", "fr", "es", "pt", "ko"].index(lang)]
+            made = self._entity(kind)
+            x = r.random() * (0.6 if kind == "idnum" and not re.search("[A-Z]", made) else 1)  # digits alone are told by what stands before
+            lead = r.choice(before) if x < 0.6 else self._some(r.randint(1, 3), lang) if x < 0.85 else "" if k == 0 else " "
+            if kind == "korean" and not lead.strip():
+                lead = ""
+            if k:
+                out += r.choice([" ", ", ", "; ", " / ", " - ", " | ", "\n", ". "])
+            elif r.random() < 0.3:
+                out += self._some(r.randint(1, 3), lang)
+            if r.random() < 0.1:
+                lead = lead.capitalize()
+            out += lead
+            spans.append((len(out), len(out) + len(made), "name" if kind == "korean" else kind))
             out += made
+            x = r.random()
+            if kind != "korean" and r.random() < 0.08:  # a sentence that begins without a stop before it
+                out += " " + r.choice(_PLAIN).capitalize() + " " + r.choice(_PLAIN)
+                continue
+            out += r.choice(behind) if x < 0.6 or kind == "korean" else " " + self._some(r.randint(1, 3), lang).strip() if x < 0.85 else ""
         return out, spans
 
-    def _roughen(self, text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
-        """Words outside the spans dropped, replaced, doubled or put in capitals, as in edited copies."""
-        pieces, at = [], 0
-        for a, b, k in [*spans, (len(text), len(text), "")]:
-            for w in re.findall(r"\s+|\S+", text[at:a]):
-                x = self.r.random()
-                pieces.append((w.upper() if x < 0.05 else "" if x < 0.1 else f"{self.word()}" if x < 0.14 else f"{w} really" if x < 0.17 else w) if w.strip() else w)
-            if k:
-                pieces.append((text[a:b], k))
-            at = b
-        out, new = "", []
-        for p in pieces:
-            if isinstance(p, tuple):
-                new.append((len(out), len(out) + len(p[0]), p[1]))
-                out += p[0]
-            else:
-                out += p
-        return out, new
-
-    def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
-        """One to three sentences with the spans (start, end, kind) of what is personal."""
+    def sentence(self, most: int = 3) -> tuple[str, list[Span]]:
+        """A text of one to most sentences with the spans (start, end, kind) of what is personal."""
+        self.met = []
         out, spans = "", []
-        for k in range(self.r.randint(1, 3)):
+        for k in range(self.r.randint(1, most)):
             x = self.r.random()
-            text, some = self.fill(self.r.choice(_WITH if x < 0.6 else _DECOY if x < 0.8 else _NEUTRAL))
-            if self.r.random() < 0.25:
-                text, some = self._roughen(text, some)
+            text, some = self._framed() if x < 0.6 else (self._decoy(), []) if x < 0.88 else (self._some(self.r.randint(2, 8)).strip(), [])
             if k:
-                out += self.r.choice([" ", " ", "\n", ". ", ", "])
+                out += self.r.choice([" ", " ", "\n", ". ", ". ", ", ", "; "])
             spans += [(a + len(out), b + len(out), c) for a, b, c in some]
             out += text
         return out, spans
+
+
+def stock() -> list[str]:
+    """All written pieces of sentences, for the test that none of them stands in the tables."""
+    pieces = [p for frames in _FRAMES.values() for pair in frames for side in pair for p in side]
+    return [*pieces, *(x for t in (*_SENTENCE, *_KO_SENTENCE) for x in re.split(r"\{\w+\}", t))]
