@@ -4,28 +4,36 @@ SetSketch: every register holds the minimum of an exponentially distributed hash
 as its truncated logarithm to a base near 1. Registers of a union are the maxima of the registers, so
 sketches merge; two records agree in a register with a probability close to their Jaccard similarity.
 
-1. Each record's word set is sketched. Its registers are banded, and each band gives a row (band hash, set
+1. One pass sketches each record's word set. Its registers are banded, and each band gives a row (band hash, set
    hash, size, one bit of each register). Records with the same words have the same set hash and are one row a
-   partition from here on, so a group of copies of any size costs one row in each partition.
-2. Rows of one band hash meet in one task; a band hash that many different sets share is split into blocks, of which every two meet in a task of their own. There the number of equal register bits and both set sizes give the likelihood of each
-   similarity; pairs whose most likely similarity is clearly below the threshold are dropped. A pair costs a
-   few array operations on 16 bytes, and only surviving pairs leave the task.
-3. Surviving pairs are verified exactly on the words of the two texts.
+   partition from here on, so a group of copies of any size costs one row in each partition. The pass also gives the
+   membership of the record, with its set's registers.
+2. Rows of one band hash meet in one task; a band hash that many different sets share is split into blocks, of which every two meet in a task of their own. There the number of equal register bits
+   and both set sizes rule out most pairs; a pair costs a few array operations on 24 bytes, and only surviving pairs leave the task. The number of tasks follows from the
+   number of records, so that a task holds about ``TASK_BYTES`` at any size of the input.
+3. The similarity of a surviving pair is estimated from its registers by maximum likelihood, jointly from how many are greater, less and equal
+   and from both set sizes; pairs whose threshold that likelihood rules out are dropped.
+4. The rest are verified exactly on the words of the two texts.
 
 Recall: with ``rows`` registers a band and ``bands`` bands a pair of similarity s is missed with probability
-(1 - s**rows)**bands, 0.9 % at 0.7, 0.02 % at 0.8, and by the bit test with about 0.15 % at 0.7. Two different word sets
+(1 - s**rows)**bands, 0.9 % at 0.7, 0.02 % at 0.8; by the bit test with 0.04 % and by the likelihood test with 0.02 % at 0.7. Two different word sets
 with one 64-bit hash would be taken for copies; at 10**9 records the chance of one such pair is 3 %.
 
+Copies: ``similar_pairs`` names every pair of records, also within a group of copies; both ends are dealt to ``BLOCKS`` blocks there, so that no task gets
+more than the pairs of two blocks. ``links`` and ``groups`` give the same knowledge without pairs of copies.
+
 Defined cases: a null or blank text and one without a word belongs to no group; repeated rows of an id, which are taken to
 have one text, count once; records whose word sets are equal have similarity 1; null ids are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +42,18 @@ from ledgerloom.llm.text import WordSets, mix, text_slices
 from ledgerloom.session import spread
 
 REGISTERS, BASE, BLOCK = 192, 1.05, 1024
+#: The registers that are sent along for the estimate; they are in no band, so that meeting in a band says nothing about them.
+SENT = slice(64, 128)
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: A record in a bucket: band hash, set hash, set size, one bit of each register.
 _ROW = np.dtype([("band", "<u4"), ("sid", "<i8"), ("n", "<u2"), ("bits", "<u8", REGISTERS // 64)])
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Sets whose words are gathered at once, words whose values are held at once, bytes of text in one step.
-_STEP, MOST_WORDS, STEP_BYTES = 256, 80_000, 1_200_000
+#: Sets whose words are gathered at once, words whose values are held at once, bytes of text in one step, sets a task remembers to have sent.
+_STEP, MOST_WORDS, STEP_BYTES, REMEMBERED = 256, 80_000, 1_200_000, 200_000
 #: Different sets of one bucket that are compared in one task; larger buckets are split into blocks of about this size.
 HOT_ROWS = 16_384
+#: Bytes of band rows in one task, pairs it holds before they leave, blocks that the members of a set are dealt to.
+TASK_BYTES, PAIRS_HELD, BLOCKS = 24_000_000, 1_000_000, 64
 
 
 def _uniform(hashes: np.ndarray) -> np.ndarray:
@@ -81,23 +93,54 @@ def bits_of(registers: np.ndarray) -> np.ndarray:
     return np.packbits((registers & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
-def _least_equal(threshold: float, slack: float = 3.0) -> int:
+def _least_equal(threshold: float, slack: float = 3.3) -> int:
     """Equal bits below which a pair of that similarity is as good as ruled out (slack standard deviations)."""
     p = (1 + threshold) / 2
     return int(np.floor(REGISTERS * p - slack * np.sqrt(REGISTERS * p * (1 - p))))
 
 
 def likely(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the threshold can't be ruled out, from equal bits and set sizes jointly.
-
-    The likelihood of similarity s is p**equal * (1-p)**(REGISTERS-equal), p = (1+s)/2, for s up to min(n)/max(n), and falls to both
-    sides of its maximum; so one bound on the equal bits tests it, besides the bound by the sizes.
-    """
+    """Whether the threshold can't be ruled out from the number of equal bits and the set sizes."""
     return (equal >= _least_equal(threshold)) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
 
 
-def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Set hashes, sizes, register bits and band keys (bands x sets) of the word sets of each step; a set comes once a task."""
+def log_likelihood(j: np.ndarray, more: np.ndarray, less: np.ndarray, same: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Log-likelihood of similarities j where so many registers of the first set are greater, less and the same; u is the first set's share of both sizes.
+
+    A register of the first is the greater one with probability p(u - v j), p(x) = -log_b(1 - x (b - 1) / b), v = 1 - u; in the same way for the second.
+    """
+    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    v = 1 - u
+    up, down = p(u - v * j), p(v - u * j)
+    return more * np.log(up) + less * np.log(down) + same * np.log(np.clip(1 - up - down, 1e-12, 1))
+
+
+def estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 40) -> np.ndarray:
+    """The most likely similarity, by golden section on the likelihood, which has one maximum."""
+    u = n_a / (n_a + n_b)
+    lo, hi = np.zeros(len(u)), np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
+    g = (np.sqrt(5) - 1) / 2
+    for _ in range(steps):
+        x, y = hi - g * (hi - lo), lo + g * (hi - lo)
+        left = log_likelihood(x, more, less, same, u) > log_likelihood(y, more, less, same, u)
+        lo, hi = np.where(left, lo, x), np.where(left, y, hi)
+    return (lo + hi) / 2
+
+
+def not_ruled_out(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, slack: float = 3.5) -> np.ndarray:
+    """Whether the likelihood ratio of the threshold against the most likely similarity leaves the threshold possible. Registers are given by their last byte."""
+    apart = (regs_a - regs_b).view(np.int8)
+    more, less = (apart > 0).sum(axis=1), (apart < 0).sum(axis=1)
+    same = apart.shape[1] - more - less
+    best, u = estimate(more, less, same, n_a, n_b), n_a / (n_a + n_b)
+    at = np.minimum(threshold, np.minimum(n_a, n_b) / np.maximum(n_a, n_b))
+    gain = log_likelihood(best, more, less, same, u) - log_likelihood(at, more, less, same, u)
+    return (best >= at) | (2 * gain <= slack * slack)
+
+
+def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple]:
+    """Of each step: the batch, its word sets, their hashes, which of them the task has not met before, and for these
+    the registers and band keys (bands x sets)."""
     seen: set[int] = set()
     for whole in batches:
         for batch in text_slices(whole, "text", STEP_BYTES):
@@ -106,7 +149,7 @@ def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                 continue
             sids = sets.set_hashes()
             new = np.array([i for i, s in enumerate(sids.tolist()) if not (s in seen or seen.add(s))], np.int64)
-            if len(seen) > 2_000_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             registers = sketch(sets)[new]
             keys = np.empty((bands, len(new)), np.uint64)
@@ -115,40 +158,46 @@ def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                 for j in range(rows):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, k * rows + j])
                 keys[k] = h
-            yield sids[new], np.minimum(sets.sizes[new], 65535), bits_of(registers), keys
+            yield batch, sets, sids, new, registers, keys
 
 
 def _sampled_keys(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sids, _, _, keys in _banded(batches, bands, rows):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(sids, bands))], names=["key", "sid"])
+        for _, _, sids, new, _, keys in _banded(batches, bands, rows):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(sids[new], bands))], names=["key", "sid"])
 
     return run
 
 
-def hot_buckets(texts: DataFrame, bands: int, rows: int, most: int = HOT_ROWS) -> dict[int, int]:
+def hot_buckets(texts: DataFrame, n: int, bands: int, rows: int, most: int = HOT_ROWS) -> dict[int, int]:
     """Band keys that hold more than about so many different sets, with the number of blocks to split each into.
 
-    They are looked for in a sample of a thousandth of the rows, 20,000 at least, and say only where work is split: results don't depend on it.
+    They are looked for in a sample of a thousandth of the n rows, 20,000 at least, and say only where work is split: results don't depend on it. There
+    are at most bands * n / most of them; of more than a million the smaller ones stay whole, and are compared block by block in one task.
     """
-    n = texts.count()
     share = min(1.0, max(1e-3, 20_000 / max(n, 1)))
     sample = texts.sample(share, seed=1) if share < 1 else texts
     keys = sample.mapInArrow(_sampled_keys(bands, rows), "key long, sid long").groupBy("key").agg(F.countDistinct("sid").alias("k"))
-    found = keys.where(F.col("k") >= max(10.0, most * share)).orderBy(F.desc("k")).limit(10_000).collect()
+    found = keys.where(F.col("k") >= max(10.0, most * share)).orderBy(F.desc("k")).limit(1_000_000).collect()
     return {r["key"]: int(np.ceil(r["k"] / share / most)) + 1 for r in found}
 
 
-def _band_rows(bands: int, rows: int, parts: int, hot: dict[int, int]):
-    """Rows of each band, sent to the tasks in packed form: one row for each step and task.
+_SKETCHED = "part int, packed binary, sid long, id string, n int, regs binary"
+
+
+def _sketcher(bands: int, rows: int, parts: int, hot: dict[int, int]):
+    """Rows of each band, packed to one row for each step and task, and the members.
 
     The rows of a hot key are dealt to blocks by set hash, and a block meets every block in a task of its own: rows of blocks i and j are
-    sent under the key of (i, j).
+    sent under the key of (i, j). Members are dealt by the hash of their id, so that a group of copies is spread too.
     """
     hot_keys = np.array(sorted(hot), np.int64).view(np.uint64)
+    types = (pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in _SKETCHED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sids, sizes, bits, keys in _banded(batches, bands, rows):
+        for batch, sets, all_sids, new, registers, keys in _banded(batches, bands, rows):
+            sids, sizes = all_sids[new], sets.sizes[new]
             which, under = [], []
             for h in keys:
                 heavy = np.isin(h, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
@@ -164,22 +213,35 @@ def _band_rows(bands: int, rows: int, parts: int, hot: dict[int, int]):
                         under.append(mix(key + low * np.uint64(blocks) + high + np.uint64(1)))
             at, h = np.concatenate(which), np.concatenate(under)
             out = np.empty(len(at), _ROW)
-            out["band"], out["sid"], out["n"], out["bits"] = h >> np.uint64(32), sids[at], sizes[at], bits[at]
+            out["band"], out["sid"], out["n"], out["bits"] = h >> np.uint64(32), sids[at], np.minimum(sizes, 65535)[at], bits_of(registers)[at]
             to = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             out, to = out[order], to[order]
             cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
             ends = np.concatenate([cuts[1:], [len(to)]]).astype(int)
             packed = [out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
+            none = [None] * len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((to[cuts], packed, none, none, none, none), types, strict=True)], names=names)
+            who = batch.column("id").take(pa.array(sets.rows)).to_pylist()
+            sent: list[bytes | None] = [None] * len(who)
+            for i, x in zip(new.tolist(), registers[:, SENT].astype(np.uint8), strict=True):
+                sent[i] = x.tobytes()
+            dealt = [xxhash.xxh3_64_intdigest(x) % parts if x is not None else None for x in who]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((dealt, [None] * len(who), all_sids, who, sets.sizes, sent), types, strict=True)], names=names)
 
     return run
 
 
 def _emit(threshold: float):
+    def pairs_of(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        for at in range(0, pairs.shape[1], 100_000):
+            part = pairs[:, at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], schema=_PAIRS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a whole partition: rows are sorted by band, and the pairs of each bucket are tested in blocks."""
-        held = [np.frombuffer(x.as_buffer(), _ROW) for b in batches for x in b.column("packed")]
+        """Pairs of a partition: rows are sorted by band, and the pairs of each bucket are tested in blocks."""
+        held = [np.frombuffer(x.as_buffer(), _ROW) for b in batches for x in b.column("packed").drop_null()]
         if not held:
             return
         rows = np.concatenate(held)
@@ -198,48 +260,81 @@ def _emit(threshold: float):
             return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
         out: list[np.ndarray] = []
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):  # buckets of one size together
-            i, j = np.triu_indices(size, 1)
-            of = starts[sizes == size]
-            step = max(1, 500_000 // len(i))
-            for at in range(0, len(of), step):
-                o = of[at : at + step, None]
-                out.append(tested((o + i).ravel(), (o + j).ravel()))
-        for start, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-            for lo in range(0, size, BLOCK):
-                for lo2 in range(lo, size, BLOCK):
-                    i, j = (g.ravel() for g in np.meshgrid(np.arange(lo, min(lo + BLOCK, size)), np.arange(lo2, min(lo2 + BLOCK, size)), indexing="ij"))
-                    up = i < j
-                    out.append(tested(start + i[up], start + j[up]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        for at in range(0, pairs.shape[1], 100_000):
-            part = pairs[:, at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], schema=_PAIRS)
+        held_pairs = 0
+        for some in _blocks(starts, sizes, tested):
+            out.append(some)
+            held_pairs += some.shape[1]
+            if held_pairs > PAIRS_HELD:
+                yield from pairs_of(out)
+                out, held_pairs = [], 0
+        if out:
+            yield from pairs_of(out)
 
     return run
 
 
+def _blocks(starts: np.ndarray, sizes: np.ndarray, tested: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+    """What tested gives for all pairs of rows of each bucket, a bounded number of pairs at a time."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):  # buckets of one size together
+        i, j = np.triu_indices(size, 1)
+        of = starts[sizes == size]
+        step = max(1, 500_000 // len(i))
+        for at in range(0, len(of), step):
+            o = of[at : at + step, None]
+            yield tested((o + i).ravel(), (o + j).ravel())
+    for start, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+        for lo in range(0, size, BLOCK):
+            for lo2 in range(lo, size, BLOCK):
+                i, j = (g.ravel() for g in np.meshgrid(np.arange(lo, min(lo + BLOCK, size)), np.arange(lo2, min(lo2 + BLOCK, size)), indexing="ij"))
+                up = i < j
+                yield tested(start + i[up], start + j[up])
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in text_slices(whole, "text", STEP_BYTES):
-            sets = WordSets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(sets.set_hashes()), batch.column("id").take(pa.array(sets.rows))], names=["sid", "id"])
+    """Members of a partition, each (sid, id) once."""
+    held = [b.filter(pc.is_valid(b.column("id"))) for b in batches]
+    t = pa.Table.from_batches([b for b in held if b.num_rows]) if any(b.num_rows for b in held) else None
+    if t is None:
+        return
+    t = t.group_by(["sid", "id"], use_threads=False).aggregate([("n", "min"), ("regs", "max")])
+    for b in t.select(["sid", "id", "n_min", "regs_max"]).rename_columns(["sid", "id", "n", "regs"]).to_batches(20_000):
+        yield b
+
+
+def sketched(texts: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
+    """The one pass over texts(id, text): packed band rows and members, dealt to tasks. candidates() and members() read it, in one plan by one exchange."""
+    if bands * rows > SENT.start:
+        raise ValueError(f"bands * rows is more than {SENT.start}")
+    some = spread(texts.where("id is not null and text is not null").select("id", "text"))
+    n = texts.count()
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands * _ROW.itemsize // TASK_BYTES))
+    return some.mapInArrow(_sketcher(bands, rows, parts, hot_buckets(some, n, bands, rows)), _SKETCHED).repartitionById(parts, F.col("part"))
 
 
-def candidates(texts: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+def candidates(sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of hashes of different word sets that may be as similar as the threshold."""
-    if bands * rows > REGISTERS:
-        raise ValueError(f"bands * rows is more than {REGISTERS}")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = spread(texts.select("text")).where("text is not null")
-    banded = some.mapInArrow(_band_rows(bands, rows, parts, hot_buckets(some, bands, rows)), "part int, packed binary")
-    return banded.repartitionById(parts, F.col("part")).mapInArrow(_emit(threshold), "a long, b long").distinct()
+    return sketches.mapInArrow(_emit(threshold), "a long, b long").distinct()
+
+
+def members(sketches: DataFrame) -> DataFrame:
+    """(sid, id, n, regs): each record with at least one word with the hash and size of its set; some record of each set has registers."""
+    return sketches.mapInArrow(_members, "sid long, id string, n int, regs binary")
 
 
-def members(texts: DataFrame) -> DataFrame:
-    """(sid, id) of texts(id, text) with at least one word, once each and partitioned by sid, so that joins on sid share one exchange."""
-    rows = spread(texts.where("id is not null and text is not null").select("id", "text"))
-    return rows.mapInArrow(_members, "sid long, id string").repartition("sid").dropDuplicates(["sid", "id"])
+def representatives(who: DataFrame) -> DataFrame:
+    """(sid, rep, n, regs): the smallest id of each set, with the set's size and registers."""
+    return who.groupBy("sid").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.max("regs").alias("regs"))
+
+
+def _estimated(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ra", "rb")]
+            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")]
+            keep = np.flatnonzero(not_ruled_out(*regs, *sizes, threshold))
+            yield batch.select(["a", "b", "rep_a", "rep_b"]).take(pa.array(keep))
+
+    return run
 
 
 def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
@@ -247,27 +342,49 @@ def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both) - F.lit(1e-9)
 
 
-def similar_sets(texts: DataFrame, who: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(a, b): hashes of different word sets whose Jaccard similarity is at least the threshold, verified on the words.
-
-    who: members(texts). The text of a set is that of its first record.
-    """
-    pairs = candidates(texts, threshold, bands, rows)
-    first = who.groupBy("sid").agg(F.min("id").alias("id"))
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid")).join(first, "sid")
+def similar_sets(texts: DataFrame, sketches: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b, rep_a, rep_b): different word sets whose Jaccard similarity is at least the threshold, verified on the words of their representatives."""
+    reps = representatives(members(sketches))
+    end = lambda k: reps.select(F.col("sid").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
+    pairs = candidates(sketches, threshold).join(end("a"), "a").join(end("b"), "b").select("a", "b", "rep_a", "rep_b", "na", "nb", "ra", "rb")
+    pairs = pairs.mapInArrow(_estimated(threshold), "a long, b long, rep_a string, rep_b string")
+    ends = pairs.select("*", F.explode(F.array("rep_a", "rep_b")).alias("id"))
     with_text = ends.join(texts.where("text is not null").select("id", "text"), "id")
-    text_of = lambda c: F.min(F.when(F.col("sid") == F.col(c), F.col("text")))
-    both = with_text.groupBy("a", "b").agg(text_of("a").alias("ta"), text_of("b").alias("tb"))
-    return both.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b")
+    text_of = lambda c: F.min(F.when(F.col("id") == F.col(c), F.col("text")))
+    both = with_text.groupBy("a", "b", "rep_a", "rep_b").agg(text_of("rep_a").alias("ta"), text_of("rep_b").alias("tb"))
+    return both.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b", "rep_a", "rep_b")
+
+
+def links(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of representatives (the smallest id of records with the same words) at least as similar as the threshold."""
+    texts = texts.select("id", "text")
+    sets = similar_sets(texts, sketched(texts, bands, rows), threshold)
+    return sets.select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"))
+
+
+def groups(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(id, rep, n_copies, n_links) of every record with a word: its representative, the records with the same words, and the other sets that are similar."""
+    texts = texts.select("id", "text")
+    sketches = sketched(texts, bands, rows)
+    who = members(sketches)
+    n_links = similar_sets(texts, sketches, threshold).select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
+    sets = who.groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")).join(n_links, "sid", "left")
+    return who.select("sid", "id").join(sets, "sid").select("id", "rep", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def similar_pairs(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records at least as similar as the threshold, copies included."""
     texts = texts.select("id", "text")
-    who = members(texts)
-    links = similar_sets(texts, who, threshold, bands, rows)
-    between = links.join(who.select(F.col("sid").alias("a"), F.col("id").alias("x")), "a").join(who.select(F.col("sid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    copied = who.groupBy("sid").agg(F.count("*").alias("k")).where("k > 1").select("sid")
-    copies = who.join(copied, "sid", "left_semi")
-    within = copies.select("sid", F.col("id").alias("x")).join(copies.select("sid", F.col("id").alias("y")), "sid").where("x < y").select("x", "y")
-    return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    sketches = sketched(texts, bands, rows)
+    who = members(sketches).select("sid", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block"), "id")
+    held = who.groupBy("sid").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("k"))
+    sets = similar_sets(texts, sketches, threshold).select("a", "b")
+    # every pair of blocks of the two ends, and of each group of copies with itself
+    between = sets.join(held.select(F.col("sid").alias("a"), F.col("blocks").alias("in_a")), "a").join(held.select(F.col("sid").alias("b"), F.col("blocks").alias("in_b")), "b")
+    within = held.where("k > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"), F.col("blocks").alias("in_a"), F.col("blocks").alias("in_b"))
+    ends = between.select("a", "b", "in_a", "in_b").unionByName(within).select("a", "b", F.explode("in_a").alias("block_a"), "in_b").select("a", "b", "block_a", F.explode("in_b").alias("block_b"))
+    ends = ends.where("a <> b or block_a <= block_b")
+    ids = lambda k, name: who.select(F.col("sid").alias(k), F.col("block").alias(f"block_{k}"), F.col("id").alias(name))
+    pairs = ends.join(ids("a", "x"), ["a", "block_a"]).join(ids("b", "y"), ["b", "block_b"])
+    pairs = pairs.where("a <> b and x <> y or a = b and (block_a < block_b or x < y)")
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

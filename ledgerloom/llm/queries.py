@@ -14,6 +14,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.similar_pairs(texts, threshold=0.7).withColumnsRenamed({"id_a": "node_id_a", "id_b": "node_id_b"})
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of representatives; p3_groups tells whom they stand for."""
+    texts = table(spark, d, "memory_nodes").select("id", F.col("content").alias("text"))
+    return near_dup.links(texts, threshold=0.7).withColumnsRenamed({"id_a": "node_id_a", "id_b": "node_id_b"})
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "memory_nodes").select("id", F.col("content").alias("text"))
+    return near_dup.groups(texts, threshold=0.7).withColumnsRenamed({"id": "node_id", "rep": "same_words_as"})
+
+
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "memory_nodes").select("id", F.col("content").alias("text"), F.col("retrieval.sparse_keys").alias("keys"))
     return term_weight.scores(records).withColumnRenamed("id", "node_id")
@@ -63,4 +74,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_scores, p6_found, p6_redacted, p8_ids, p9_packs, p9_fill, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_links, p3_groups, p5_found, p5_scores, p6_found, p6_redacted, p8_ids, p9_packs, p9_fill, p10_found, p10_restored)}

@@ -1,5 +1,16 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
+#: An exact prefix-filtered join: pairs this similar share one of their rarest words.
+_SIMILAR = """n0 AS (SELECT id, any_value(content) AS content FROM memory_nodes GROUP BY id),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS word FROM n0),
+d AS (SELECT word, count(*) AS f FROM w GROUP BY word),
+r AS (SELECT w.id, w.word, row_number() OVER (PARTITION BY w.id ORDER BY f, w.word) AS rn, count(*) OVER (PARTITION BY w.id) AS k FROM w JOIN d USING (word)),
+p AS (SELECT * FROM r WHERE rn <= k - ceil(0.7 * k - 1e-9) + 1),
+s AS (SELECT id, list(word) AS l, count(*) AS k FROM w GROUP BY id),
+c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.word = b.word AND a.id < b.id),
+m AS (SELECT x, y, len(list_intersect(sa.l, sb.l)) AS common, sa.k AS ka, sb.k AS kb FROM c JOIN s sa ON sa.id = x JOIN s sb ON sb.id = y)"""
+_NEAR = "common >= 0.7 * (ka + kb - common) - 1e-9"
+
 SQL: dict[str, str] = {
     "p5_found": """WITH n AS (SELECT id, any_value(content) AS content, any_value(retrieval.sparse_keys) AS keys FROM memory_nodes GROUP BY id),
 k AS (SELECT DISTINCT id, lower(trim(u, E' \\t\\n\\r')) AS term FROM (SELECT id, unnest(keys) AS u FROM n)),
@@ -7,14 +18,11 @@ df AS (SELECT term FROM k WHERE term <> '' GROUP BY term HAVING count(*) BETWEEN
 w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM n),
 tf AS (SELECT id, term FROM w GROUP BY id, term HAVING count(*) >= 2)
 SELECT k.id AS node_id, k.term FROM k JOIN df USING (term) JOIN tf ON tf.id = k.id AND tf.term = k.term""",
-    # an exact prefix-filtered join: pairs this similar share one of their rarest words
-    "p3_found": """WITH n AS (SELECT id, any_value(content) AS content FROM memory_nodes GROUP BY id),
-w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS word FROM n),
-d AS (SELECT word, count(*) AS f FROM w GROUP BY word),
-r AS (SELECT w.id, w.word, row_number() OVER (PARTITION BY w.id ORDER BY f, w.word) AS rn, count(*) OVER (PARTITION BY w.id) AS k FROM w JOIN d USING (word)),
-p AS (SELECT * FROM r WHERE rn <= k - ceil(0.7 * k - 1e-9) + 1),
-s AS (SELECT id, list(word) AS l, count(*) AS k FROM w GROUP BY id),
-c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.word = b.word AND a.id < b.id),
-m AS (SELECT x, y, len(list_intersect(sa.l, sb.l)) AS common, sa.k AS ka, sb.k AS kb FROM c JOIN s sa ON sa.id = x JOIN s sb ON sb.id = y)
-SELECT x AS node_id_a, y AS node_id_b FROM m WHERE common >= 0.7 * (ka + kb - common) - 1e-9""",
+    "p3_found": f"WITH {_SIMILAR} SELECT x AS node_id_a, y AS node_id_b FROM m WHERE {_NEAR}",
+    "p3_links": f"""WITH {_SIMILAR}, g AS (SELECT id, min(id) OVER (PARTITION BY list_sort(l)) AS rep FROM s)
+SELECT DISTINCT x AS node_id_a, y AS node_id_b FROM m JOIN g gx ON gx.id = x JOIN g gy ON gy.id = y WHERE {_NEAR} AND gx.rep = x AND gy.rep = y""",
+    "p3_groups": f"""WITH {_SIMILAR}, g AS (SELECT id, min(id) OVER (PARTITION BY list_sort(l)) AS rep, count(*) OVER (PARTITION BY list_sort(l)) AS k FROM s),
+e AS (SELECT x, y FROM m WHERE {_NEAR} UNION ALL SELECT y, x FROM m WHERE {_NEAR}),
+n AS (SELECT gx.rep AS rep, count(DISTINCT gy.rep) AS n FROM e JOIN g gx ON gx.id = x JOIN g gy ON gy.id = y WHERE gx.rep <> gy.rep GROUP BY gx.rep)
+SELECT g.id AS node_id, g.rep AS same_words_as, g.k AS n_copies, coalesce(n.n, 0) AS n_links FROM g LEFT JOIN n USING (rep)""",
 }

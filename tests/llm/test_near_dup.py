@@ -50,6 +50,38 @@ def test_many_copies_and_one_large_bucket(spark):
     assert near_dup.similar_pairs(spark.createDataFrame([], T)).collect() == []
 
 
+def test_links_and_groups_tell_the_same_as_all_pairs(spark):
+    rows = [*corpus(n=120), *[(f"c{i:03d}", "one two three four") for i in range(70)], ("c0x", "four, three TWO one five")]
+    df = spark.createDataFrame(rows, T).withColumn("rep", F.lit("z"))
+    pairs = {tuple(r) for r in near_dup.similar_pairs(df).collect()}
+    links = {tuple(r) for r in near_dup.links(df).collect()}
+    groups = {r["id"]: r for r in near_dup.groups(df).collect()}
+    live = sorted({i for i, t in rows if i and words(t)})
+    assert sorted(groups) == live
+    rep = {i: groups[i]["rep"] for i in live}
+    assert {(a, b) for k, a in enumerate(live) for b in live[k + 1 :] if rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in links} == pairs
+    assert groups["c000"]["n_copies"] == 70 and groups["c000"]["n_links"] == 1 and groups["c0x"]["rep"] == "c0x"
+    assert all(groups[i]["n_links"] == sum(rep[i] in link for link in links) for i in live)
+    assert near_dup.links(spark.createDataFrame([], T)).collect() == [] == near_dup.groups(spark.createDataFrame([], T)).collect()
+
+
+def test_joint_likelihood_estimates_similarity():
+    r = random.Random(4)
+    for n_a, n_b, common in ((40, 40, 32), (60, 30, 28), (50, 50, 20)):
+        got, kept = [], 0
+        for _ in range(80):
+            a = [f"n{r.random()}".replace(".", "") for _ in range(n_a)]
+            b = a[:common] + [f"n{r.random()}".replace(".", "") for _ in range(n_b - common)]
+            x, y = (near_dup.sketch(WordSets([" ".join(t)]))[:, near_dup.SENT] for t in (a, b))
+            d = x.astype(int) - y.astype(int)
+            n = [np.array([float(k)]) for k in (n_a, n_b)]
+            got.append(near_dup.estimate((d > 0).sum(1), (d < 0).sum(1), (d == 0).sum(1), *n)[0])
+            kept += near_dup.not_ruled_out(x.astype(np.uint8), y.astype(np.uint8), *n, 0.7)[0]
+        true = common / (n_a + n_b - common)
+        assert abs(np.mean(got) - true) < 0.02, (n_a, n_b, common, np.mean(got), true)
+        assert kept == 80 if true >= 0.66 else kept < 20 if true < 0.3 else True
+
+
 def test_registers_estimate_similarity_and_merge():
     r = random.Random(9)
     hits, merged = [], True
@@ -92,7 +124,8 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     rows = [(f"v{i:04d}", " ".join(f"k{j}" for j in range(60)) + f" only{i}") for i in range(400)] + corpus(n=60)
     df = spark.createDataFrame(rows, T)
     want = {tuple(r) for r in near_dup.similar_pairs(df).collect()}
-    hot = near_dup.hot_buckets(df.where("text is not null").select("text"), 16, 4, most=50)
+    some = df.where("text is not null")
+    hot = near_dup.hot_buckets(some, some.count(), 16, 4, most=50)
     assert hot and max(hot.values()) >= 8
     monkeypatch.setattr(near_dup, "hot_buckets", lambda *a: hot)
     assert {tuple(r) for r in near_dup.similar_pairs(df).collect()} == want and len(want) > 70_000
