@@ -1,17 +1,18 @@
 """Parent-child links of unknown depth to full hierarchies (problem 1).
 
 Leaf peeling, bottom-up, with splicing of unary chains: in each round every leaf is
-peeled off its parent, and of the nodes with exactly one child an independent set (the local
+peeled off its parent, to which it sends the size of its subtree, and of the nodes with exactly one child an independent set (the local
 maxima of a per-round hash) is spliced out, its child being tied to its parent by a link that
-spans more levels. Splicing keeps the number of rounds logarithmic in the depth, where plain
+spans more levels and carries the sizes of what hangs on it. Splicing keeps the number of rounds logarithmic in the depth, where plain
 peeling needs one round a level. The rounds are then read in reverse: when the nodes of a
-round are visited, their parents are already placed, so that root, depth and path follow from
-one join a round. A link from a node to itself, given or left over by splicing, is what remains of a ring: the
+round are visited, their parents are placed already or are roots, so that root, depth and path follow from
+one join a round, and so does the size of a spliced node from that of its child. A link from a node to itself, given or left over by splicing, is what remains of a ring: the
 nodes that lead there have root ``cycle`` and depth -1.
 
-Each round shuffles only the links that are still there, a constant fraction of those of the round before. No
+Each round shuffles only the links that are still there, a constant fraction of those of the round before, and in reverse only
+the nodes that are placed so far without roots, which grow in the same way: both passes are linear in the number of links. No
 list of children or descendants is gathered in a row, so a root above a third of all
-nodes is an ordinary key: children are only counted, with partial aggregation.
+nodes is an ordinary key: children are counted and sizes summed with partial aggregation. Descendants come out as rows, from the paths.
 
 Defined cases: null ids in a link drop the link; repeated links count once; a node with several parents follows
 the smallest of them; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import ids
 from ledgerloom.session import checkpointed
 
-KEEP, LEAF, SPLICE, RING = 0, 1, 2, 3
+KEEP, LEAF, SPLICE, RING, LONGER = 0, 1, 2, 3, -1
 
 
 def supersede_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,92 +41,102 @@ def supersede_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return links.join(known, links.parent == known.known, "left_semi").join(known, links.child == known.known, "left_semi")
 
 
-def peel(links: DataFrame, with_paths: bool = False, max_rounds: int = 500) -> tuple[DataFrame, int]:
-    """Peel records (node, parent, w, via, kind, round), the last one of each node, and the number of rounds.
+_RECORD = ("node", "parent", "w", "via", "own", "hang", "low", "low_hang", "kind")
 
-    w is the number of levels between node and parent, via the nodes between them, top down (null without paths).
+
+def peel(links: DataFrame, with_paths: bool = False) -> list[DataFrame]:
+    """The peel records of each round, every node that is no root in one of them.
+
+    w is the number of levels between node and parent, via the nodes between them, top down (null without paths), own the node with all that was peeled
+    off it, hang the own of the nodes between node and parent; low is the only child of a spliced node, low_hang the hang of the link to it.
     """
     empty = F.array().cast("array<string>") if with_paths else F.lit(None).cast("array<string>")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     live = links.where("child is not null and parent is not null").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
-    live = live.select("node", "parent", F.lit(1).cast("long").alias("w"), empty.alias("via"))
-    records, r = [], 0
+    live = live.select("node", "parent", one.alias("w"), empty.alias("via"), one.alias("own"), zero.alias("hang"))
+    rounds: list[DataFrame] = []
+    sent = None
     while True:
-        if r >= max_rounds:
-            raise RuntimeError(f"links left after {max_rounds} rounds of peeling")
-        low = live.groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("n"), F.min(F.struct("node", "w", "via")).alias("low"))
-        own = lambda c: F.xxhash64(c, F.lit(r))  # noqa: E731, B023
-        flagged = (
-            live.join(low, live.node == low.p, "left")
-            .withColumn(
-                "kind",
-                F.when(F.col("node") == F.col("parent"), RING)
-                .when(F.col("n").isNull(), LEAF)
-                .when((F.col("n") == 1) & (own(F.col("node")) > own(F.col("low.node"))) & (own(F.col("node")) > own(F.col("parent"))), SPLICE)
-                .otherwise(KEEP),
-            )
-            .select("node", "parent", "w", "via", "kind", F.when(F.col("kind") == SPLICE, F.col("low")).alias("low"))
+        r = len(rounds)
+        child = F.struct("node", "w", "via", "hang")
+        kids = live.select(F.col("parent").alias("p"), child.alias("low"), zero.alias("add"))
+        if sent is not None:
+            kids = kids.unionByName(sent.select(F.col("parent").alias("p"), F.lit(None).cast(kids.schema["low"].dataType).alias("low"), (F.col("own") + F.col("hang")).alias("add")))
+        kids = kids.groupBy("p").agg(F.count("low").alias("n"), F.min("low").alias("low"), F.sum("add").alias("add"))
+        rank = lambda c: F.xxhash64(c, F.lit(r))  # noqa: E731, B023
+        kind = (
+            F.when(F.col("node") == F.col("parent"), RING)
+            .when(F.coalesce("n", zero) == 0, LEAF)
+            .when((F.col("n") == 1) & (rank(F.col("node")) > rank(F.col("low.node"))) & (rank(F.col("node")) > rank(F.col("parent"))), SPLICE)
+            .otherwise(KEEP)
+        )
+        flagged = live.join(kids, live.node == kids.p, "left").withColumn("kind", kind).withColumn("own", F.col("own") + F.coalesce("add", zero))
+        spliced = F.col("kind") == SPLICE
+        itself = F.struct(
+            F.struct("w", "parent", "via", "hang").alias("link"), "node", "own", F.when(spliced, F.col("low.node")).alias("low"), F.when(spliced, F.col("low.hang")).alias("low_hang"), "kind"
         )
-        flagged = checkpointed(flagged)
-        records.append(flagged.where(F.col("kind") != KEEP).select("node", "parent", "w", "via", "kind", F.lit(r).alias("round")))
-        kept = flagged.where(F.col("kind") == KEEP).select("node", "parent", "w", "via")
-        longer = flagged.where(F.col("kind") == SPLICE).select(
-            F.col("low.node").alias("node"),
-            "parent",
-            (F.col("w") + F.col("low.w")).alias("w"),
-            F.concat("via", F.array("node"), "low.via").alias("via") if with_paths else F.col("via"),
+        via = F.concat("via", F.array("node"), "low.via") if with_paths else F.col("via")
+        link = F.struct((F.col("w") + F.col("low.w")).alias("w"), "parent", via.alias("via"), (F.col("hang") + F.col("own") + F.col("low.hang")).alias("hang"))
+        longer = F.struct(link.alias("link"), F.col("low.node").alias("node"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("long").alias("low_hang"), F.lit(LONGER).alias("kind"))
+        rows = flagged.select(F.inline(F.when(spliced, F.array(itself, longer)).otherwise(F.array(itself))))
+        # a child whose parent was spliced out has two links: the longer one holds, and it is peeled later
+        settled = rows.groupBy("node").agg(
+            F.max("link").alias("link"), F.max("own").alias("own"), F.max("low").alias("low"), F.max("low_hang").alias("low_hang"), F.max("kind").alias("kind"), F.min("kind").alias("least")
         )
-        r += 1
-        # a child whose parent was spliced out has two links: the longer one holds
-        live = kept.unionByName(longer).groupBy("node").agg(F.max(F.struct("w", "parent", "via")).alias("m")).select("node", "m.parent", "m.w", "m.via")
-        if flagged.where(F.col("kind").isin(KEEP, SPLICE)).isEmpty():
-            break
-    every = reduce(DataFrame.unionByName, records)
-    last = every.groupBy("node").agg(F.max(F.struct("round", "kind", "w", "parent", "via")).alias("m"))
-    return checkpointed(last.select("node", "m.parent", "m.w", "m.via", "m.kind", "m.round")), r
+        settled = settled.select("node", "link.parent", "link.w", "link.via", "own", "link.hang", "low", "low_hang", F.when(F.col("least") == LONGER, KEEP).otherwise(F.col("kind")).alias("kind"))
+        settled = checkpointed(settled)
+        rounds.append(settled.where(F.col("kind") != KEEP).select(*_RECORD))
+        live, sent = settled.where(F.col("kind") == KEEP).select("node", "parent", "w", "via", "own", "hang"), settled.where(F.col("kind") == LEAF)
+        if live.isEmpty():
+            return rounds
 
 
-def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
-    """(node_id, root_id, depth[, path]) of every node of links(child, parent).
+def hierarchy(links: DataFrame, with_paths: bool = False, with_sizes: bool = False) -> DataFrame:
+    """(node_id, root_id, depth[, path][, n_descendants]) of every node of links(child, parent).
 
     path holds the ids from the root to the node; for nodes that lead into a ring root_id is
-    'cycle', depth -1 and path null.
+    'cycle', depth -1, path null and n_descendants 0.
     """
     links = links.where("child is not null and parent is not null").select("child", "parent")
-    records, rounds = peel(links, with_paths)
-    ring = F.col("kind") == RING
-    roots = links.select(F.col("parent").alias("node")).distinct().join(records, "node", "left_anti")
-    path = F.array("node") if with_paths else F.lit(None).cast("array<string>")
-    placed = [
-        checkpointed(
-            roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), path.alias("path")).unionByName(
-                records.where(ring).select("node", F.lit("cycle").alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-            )
-        )
-    ]
-    for r in range(rounds - 1, -1, -1):
-        now = records.where((F.col("round") == r) & ~ring)
-        above = reduce(DataFrame.unionByName, placed).select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"))
+    rounds = peel(links, with_paths)
+    no_path, zero = F.lit(None).cast("array<string>"), F.lit(0).cast("long")
+    every = reduce(DataFrame.unionByName, rounds)
+    placed = [every.where(F.col("kind") == RING).select("node", F.lit("cycle").alias("root"), F.lit(-1).cast("long").alias("depth"), no_path.alias("path"), zero.alias("size"))]
+    for records in reversed(rounds):
+        now = records.where(F.col("kind").isin(LEAF, SPLICE))
+        so_far = reduce(DataFrame.unionByName, placed)
+        above = so_far.select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"))
+        joined = now.join(above, "parent", "left")
+        size = F.col("own")
+        if with_sizes:  # the child of a spliced node was peeled later, so its size is known
+            joined = joined.join(so_far.select(F.col("node").alias("low"), F.col("size").alias("low_size")), "low", "left")
+            size = F.col("own") + F.coalesce("low_size", zero) + F.coalesce("low_hang", zero)
+        cycle = F.coalesce(F.col("root") == "cycle", F.lit(False))
+        up = F.coalesce("up", F.array("parent"))  # a parent without a record is a root
         placed.append(
             checkpointed(
-                now.join(above, "parent").select(
+                joined.select(
                     "node",
-                    "root",
-                    F.when(F.col("root") == "cycle", F.col("depth")).otherwise(F.col("depth") + F.col("w")).alias("depth"),
-                    (F.concat("up", "via", F.array("node")) if with_paths else F.col("up")).alias("path"),
+                    F.coalesce("root", "parent").alias("root"),
+                    F.when(cycle, F.lit(-1).cast("long")).otherwise(F.coalesce("depth", zero) + F.col("w")).alias("depth"),
+                    (F.when(~cycle, F.concat(up, "via", F.array("node"))) if with_paths else no_path).alias("path"),
+                    F.when(cycle, zero).otherwise(size).alias("size"),
                 )
             )
         )
-    out = reduce(DataFrame.unionByName, placed).select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "path")
-    return out if with_paths else out.drop("path")
+    roots = links.select(F.col("parent").alias("node")).distinct().join(every.select("node"), "node", "left_anti")
+    if with_sizes:
+        held = every.where(F.col("kind") == LEAF).groupBy(F.col("parent").alias("node")).agg((F.sum(F.col("own") + F.col("hang")) + 1).alias("size"))
+        roots = roots.join(held, "node", "left")
+    else:
+        roots = roots.withColumn("size", zero)
+    top = roots.select("node", F.col("node").alias("root"), zero.alias("depth"), (F.array("node") if with_paths else no_path).alias("path"), "size")
+    out = reduce(DataFrame.unionByName, placed).unionByName(top)
+    n = F.greatest(F.coalesce("size", zero) - 1, zero)
+    return out.select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", *(["path"] if with_paths else []), *([n.alias("n_descendants")] if with_sizes else []))
 
 
 def descendants(placed: DataFrame) -> DataFrame:
     """(ancestor_id, node_id, distance): every node beneath every node, from the paths of hierarchy(with_paths=True)."""
     up = placed.where("path is not null").select("node_id", "depth", F.posexplode("path").alias("pos", "ancestor_id"))
     return up.where("ancestor_id <> node_id").select("ancestor_id", "node_id", (F.col("depth") - F.col("pos")).cast("long").alias("distance"))
-
-
-def with_subtree_sizes(placed: DataFrame) -> DataFrame:
-    """hierarchy(with_paths=True) with n_descendants, the number of nodes beneath each node."""
-    n = descendants(placed).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n_descendants"))
-    return placed.join(n, "node_id", "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0).cast("long")))

@@ -5,10 +5,10 @@ key and instant are summed first, so repeated intervals and intervals that touch
 special case. A prefix sum gives the number of intervals that hold; where it leaves or reaches zero a period
 starts or ends, and from an end to the next start there is a gap.
 
-No key is swept in one task: the line of each key is cut into buckets of time, the net sum of
+No key is swept in one task: events are summed by key and instant map-side, the line of each key is cut into buckets of time, the net sum of
 each bucket is carried forward over the (few) buckets of the key, and events are
-summed and paired within their own bucket. A key with a third of all rows is so spread over as
-many tasks as it has buckets.
+paired within their own bucket. A key with a third of all rows is so spread over as
+many tasks as it has buckets, and since times are whole seconds a bucket of a day holds at most 86,400 events, however dense the rows are.
 
 Defined cases: null or empty key, null start, end at or before the start: the interval is skipped;
 null end: open, the period's end is null here and -1 in p2_found; repeated rows change nothing; an
@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import norm, seconds
+from ledgerloom.session import checkpointed
 
 DAY_S = 86_400
 
@@ -35,7 +36,7 @@ def periods(intervals: DataFrame, bucket_s: int = DAY_S) -> DataFrame:
     ok = intervals.where("key is not null and key <> '' and start_s is not null and (end_s is null or end_s > start_s)")
     both = F.array(F.struct(F.col("start_s").alias("t"), F.lit(1).cast("long").alias("d")), F.struct(F.col("end_s").alias("t"), F.lit(-1).cast("long").alias("d")))
     events = ok.select("key", F.inline(both)).where("t is not null").withColumn("b", _bucket(F.col("t"), bucket_s))
-    line = events.repartition("key", "b").groupBy("key", "b", "t").agg(F.sum("d").alias("d")).where("d <> 0")
+    line = checkpointed(events.groupBy("key", "b", "t").agg(F.sum("d").alias("d")).where("d <> 0"))  # read three times
     by_key = W.partitionBy("key").orderBy("b")
     carried = line.groupBy("key", "b").agg(F.sum("d").alias("net"))
     carried = carried.select("key", "b", F.coalesce(F.sum("net").over(by_key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))

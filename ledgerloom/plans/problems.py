@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    placed = hierarchy.with_subtree_sizes(hierarchy.hierarchy(_links(spark, d), with_paths=True))
+    placed = hierarchy.hierarchy(_links(spark, d), with_paths=True, with_sizes=True)
     return placed.select("node_id", "root_id", "depth", F.array_join("path", "/").alias("path"), "n_descendants")
 
 

@@ -47,10 +47,10 @@ def test_random_forests_with_rings(spark):
 def test_long_chain_takes_few_rounds(spark):
     links = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(400)]
     df = spark.createDataFrame(links, LINK)
-    records, rounds = hierarchy.peel(df)
-    assert rounds < 40 and records.count() == 400
-    got = {r["node_id"]: r["depth"] for r in hierarchy.hierarchy(df).collect()}
-    assert got["n0400"] == 0 and got["n0000"] == 400
+    rounds = hierarchy.peel(df)
+    assert len(rounds) < 40 and sum(r.count() for r in rounds) == 400
+    got = {r["node_id"]: (r["depth"], r["n_descendants"]) for r in hierarchy.hierarchy(df, with_sizes=True).collect()}
+    assert got == {f"n{i:04d}": (400 - i, i) for i in range(401)}
 
 
 def test_star_and_several_parents(spark):
@@ -70,7 +70,28 @@ def test_descendants_and_sizes(spark):
     placed = hierarchy.hierarchy(spark.createDataFrame(links, LINK), with_paths=True)
     got = {tuple(r) for r in hierarchy.descendants(placed).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
-    assert {r["node_id"]: r["n_descendants"] for r in hierarchy.with_subtree_sizes(placed).collect()} == {"a": 3, "b": 2, "c": 0, "d": 0, "r": 0}
+    sized = hierarchy.hierarchy(spark.createDataFrame(links, LINK), with_sizes=True)
+    assert sized.columns == ["node_id", "root_id", "depth", "n_descendants"] and {r["node_id"]: r["n_descendants"] for r in sized.collect()} == {"a": 3, "b": 2, "c": 0, "d": 0, "r": 0}
+
+
+def test_sizes_of_random_forests(spark):
+    """Mostly chains, so that leaves, splices and branches meet in all orders; rings and what hangs on them have no size."""
+    r = random.Random(11)
+    links = []
+    for t in range(15):
+        ids = [f"t{t}_{i}" for i in range(r.choice([3, 12, 60]))]
+        links += [(ids[i], ids[r.randrange(i) if r.random() < 0.15 else i - 1]) for i in range(1, len(ids))]
+        if t % 5 == 0:
+            links.append((ids[0], ids[-1]))
+    r.shuffle(links)
+    want = dict.fromkeys({x for pair in links for x in pair}, 0)
+    placed = brute(links)
+    for path in (p for _, _, p in placed.values() if p):
+        for above in path[:-1]:
+            want[above] += 1
+    got = {x["node_id"]: x for x in hierarchy.hierarchy(spark.createDataFrame(links, LINK), with_paths=True, with_sizes=True).collect()}
+    assert {k: x["n_descendants"] for k, x in got.items()} == want
+    assert {k: (x["root_id"], x["depth"], x["path"]) for k, x in got.items()} == placed
 
 
 def test_links_of_three_places(spark):
