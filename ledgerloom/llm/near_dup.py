@@ -9,7 +9,7 @@ sketches merge; two records agree in a register with a probability close to thei
    partition from here on, so a group of copies of any size costs one row in each partition. The pass also gives the
    membership of the record, with its set's registers.
 2. Rows of one band hash meet in one task; a band hash that many different sets share is split into blocks, of which every two meet in a task of their own. There the number of equal register bits
-   and both set sizes rule out most pairs; a pair costs a few array operations on 24 bytes, and only surviving pairs leave the task. The number of tasks follows from the
+   and both set sizes rule out most pairs; a pair costs a few array operations on 20 bytes, and only surviving pairs leave the task. The number of tasks follows from the
    number of records, so that a task holds about ``TASK_BYTES`` at any size of the input.
 3. The similarity of a surviving pair is estimated from its registers by maximum likelihood, jointly from how many are greater, less and equal
    and from both set sizes; pairs whose threshold that likelihood rules out are dropped.
@@ -41,19 +41,20 @@ from ledgerloom.functions.scalars import words as words_of
 from ledgerloom.llm.text import WordSets, mix, text_slices
 from ledgerloom.session import spread
 
-REGISTERS, BASE, BLOCK = 192, 1.05, 1024
+REGISTERS, BASE, BLOCK = 160, 1.05, 1024
 #: The registers that are sent along for the estimate; they are in no band, so that meeting in a band says nothing about them.
-SENT = slice(64, 128)
+SENT = slice(64, 112)
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: A record in a bucket: band hash, set hash, set size, one bit of each register.
-_ROW = np.dtype([("band", "<u4"), ("sid", "<i8"), ("n", "<u2"), ("bits", "<u8", REGISTERS // 64)])
+#: A record in a bucket: 24 bits of the band hash (a partition holds few of them), set hash, logarithm of the set size, one bit of each register.
+_ROW = np.dtype([("band", "<u2"), ("band_low", "u1"), ("size", "u1"), ("sid", "<i8"), ("bits", "<u4", REGISTERS // 32)])
+_SIZE_BASE = 1.05
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Sets whose words are gathered at once, words whose values are held at once, bytes of text in one step, sets a task remembers to have sent.
 _STEP, MOST_WORDS, STEP_BYTES, REMEMBERED = 256, 80_000, 1_200_000, 200_000
 #: Different sets of one bucket that are compared in one task; larger buckets are split into blocks of about this size.
 HOT_ROWS = 16_384
-#: Bytes of band rows in one task, pairs it holds before they leave, blocks that the members of a set are dealt to.
-TASK_BYTES, PAIRS_HELD, BLOCKS = 24_000_000, 1_000_000, 64
+#: Bytes of band rows in one task, and those a sketching task packs at once; pairs a task holds before they leave; blocks that the members of a set are dealt to.
+TASK_BYTES, PACK_BYTES, PAIRS_HELD, BLOCKS = 6_000_000, 32_000_000, 1_000_000, 64
 
 
 def _uniform(hashes: np.ndarray) -> np.ndarray:
@@ -89,8 +90,8 @@ def sketch(sets: WordSets) -> np.ndarray:
 
 
 def bits_of(registers: np.ndarray) -> np.ndarray:
-    """The last bit of every register, packed to 64-bit numbers."""
-    return np.packbits((registers & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    """The last bit of every register, packed to 32-bit numbers."""
+    return np.packbits((registers & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint32)
 
 
 def _least_equal(threshold: float, slack: float = 3.3) -> int:
@@ -99,9 +100,15 @@ def _least_equal(threshold: float, slack: float = 3.3) -> int:
     return int(np.floor(REGISTERS * p - slack * np.sqrt(REGISTERS * p * (1 - p))))
 
 
-def likely(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the threshold can't be ruled out from the number of equal bits and the set sizes."""
-    return (equal >= _least_equal(threshold)) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
+def size_class(n: np.ndarray) -> np.ndarray:
+    """The rounded logarithm of a set's size in one byte."""
+    return np.minimum(np.round(np.log(np.maximum(n, 1)) / np.log(_SIZE_BASE)), 255).astype(np.uint8)
+
+
+def likely(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the threshold can't be ruled out from the number of equal bits and the classes of the set sizes."""
+    apart = np.abs(size_a.astype(np.int16) - size_b)
+    return (equal >= _least_equal(threshold)) & (apart <= np.ceil(-np.log(threshold) / np.log(_SIZE_BASE)) + 1)
 
 
 def log_likelihood(j: np.ndarray, more: np.ndarray, less: np.ndarray, same: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -172,10 +179,10 @@ def _sampled_keys(bands: int, rows: int):
 def hot_buckets(texts: DataFrame, n: int, bands: int, rows: int, most: int = HOT_ROWS) -> dict[int, int]:
     """Band keys that hold more than about so many different sets, with the number of blocks to split each into.
 
-    They are looked for in a sample of a thousandth of the n rows, 20,000 at least, and say only where work is split: results don't depend on it. There
+    They are looked for in a sample of a thousandth of the n rows, 5,000 at least, and say only where work is split: results don't depend on it. There
     are at most bands * n / most of them; of more than a million the smaller ones stay whole, and are compared block by block in one task.
     """
-    share = min(1.0, max(1e-3, 20_000 / max(n, 1)))
+    share = min(1.0, max(1e-3, 5_000 / max(n, 1)))
     sample = texts.sample(share, seed=1) if share < 1 else texts
     keys = sample.mapInArrow(_sampled_keys(bands, rows), "key long, sid long").groupBy("key").agg(F.countDistinct("sid").alias("k"))
     found = keys.where(F.col("k") >= max(10.0, most * share)).orderBy(F.desc("k")).limit(1_000_000).collect()
@@ -195,39 +202,53 @@ def _sketcher(bands: int, rows: int, parts: int, hot: dict[int, int]):
     types = (pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.binary())
     names = [x.split()[0] for x in _SKETCHED.split(", ")]
 
+    def band_rows(sids: np.ndarray, sizes: np.ndarray, registers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        which, under = [], []
+        for h in keys:
+            heavy = np.isin(h, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
+            which.append(np.flatnonzero(~heavy))
+            under.append(h[~heavy])
+            for key in np.unique(h[heavy]):
+                own = np.flatnonzero(h == key)
+                blocks = hot[int(key.view(np.int64))]
+                i = sids[own].view(np.uint64) % np.uint64(blocks)
+                for j in range(blocks):
+                    low, high = np.minimum(i, np.uint64(j)), np.maximum(i, np.uint64(j))
+                    which.append(own)
+                    under.append(mix(key + low * np.uint64(blocks) + high + np.uint64(1)))
+        at, h = np.concatenate(which), np.concatenate(under)
+        out = np.empty(len(at), _ROW)
+        out["band"], out["band_low"] = (h >> np.uint64(40)) & np.uint64(0xFFFF), (h >> np.uint64(32)) & np.uint64(0xFF)
+        out["sid"], out["size"], out["bits"] = sids[at], size_class(sizes)[at], bits_of(registers)[at]
+        return out, ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        out, to = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        order = np.argsort(to, kind="stable")
+        out, to = out[order], to[order]
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+        ends = np.concatenate([cuts[1:], [len(to)]]).astype(int)
+        pieces = [out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+        none = [None] * len(pieces)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((to[cuts], pieces, none, none, none, none), types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch, sets, all_sids, new, registers, keys in _banded(batches, bands, rows):
-            sids, sizes = all_sids[new], sets.sizes[new]
-            which, under = [], []
-            for h in keys:
-                heavy = np.isin(h, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
-                which.append(np.flatnonzero(~heavy))
-                under.append(h[~heavy])
-                for key in np.unique(h[heavy]):
-                    own = np.flatnonzero(h == key)
-                    blocks = hot[int(key.view(np.int64))]
-                    i = sids[own].view(np.uint64) % np.uint64(blocks)
-                    for j in range(blocks):
-                        low, high = np.minimum(i, np.uint64(j)), np.maximum(i, np.uint64(j))
-                        which.append(own)
-                        under.append(mix(key + low * np.uint64(blocks) + high + np.uint64(1)))
-            at, h = np.concatenate(which), np.concatenate(under)
-            out = np.empty(len(at), _ROW)
-            out["band"], out["sid"], out["n"], out["bits"] = h >> np.uint64(32), sids[at], np.minimum(sizes, 65535)[at], bits_of(registers)[at]
-            to = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            out, to = out[order], to[order]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
-            ends = np.concatenate([cuts[1:], [len(to)]]).astype(int)
-            packed = [out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            none = [None] * len(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((to[cuts], packed, none, none, none, none), types, strict=True)], names=names)
+            held.append(band_rows(all_sids[new], sets.sizes[new], registers, keys))
+            size += held[-1][0].nbytes
+            if size > PACK_BYTES:
+                yield packed(held)
+                held, size = [], 0
             who = batch.column("id").take(pa.array(sets.rows)).to_pylist()
             sent: list[bytes | None] = [None] * len(who)
             for i, x in zip(new.tolist(), registers[:, SENT].astype(np.uint8), strict=True):
                 sent[i] = x.tobytes()
             dealt = [xxhash.xxh3_64_intdigest(x) % parts if x is not None else None for x in who]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((dealt, [None] * len(who), all_sids, who, sets.sizes, sent), types, strict=True)], names=names)
+        if held:
+            yield packed(held)
 
     return run
 
@@ -246,16 +267,19 @@ def _emit(threshold: float):
             return
         rows = np.concatenate(held)
         del held
-        rows = rows[np.lexsort((rows["sid"], rows["band"]))]
-        band, sid = rows["band"], rows["sid"]
-        rows = rows[np.concatenate([[True], (band[1:] != band[:-1]) | (sid[1:] != sid[:-1])])]  # the same set from several tasks
-        band, sid, n, bits = rows["band"], np.ascontiguousarray(rows["sid"]), rows["n"].astype(np.int32), np.ascontiguousarray(rows["bits"])
+        band = (rows["band"].astype(np.uint32) << 8) + rows["band_low"]
+        order = np.lexsort((rows["sid"], band))
+        rows, band = rows[order], band[order]
+        sid = rows["sid"]
+        first = np.concatenate([[True], (band[1:] != band[:-1]) | (sid[1:] != sid[:-1])])  # the same set from several tasks
+        rows, band = rows[first], band[first]
+        sid, size, bits = np.ascontiguousarray(rows["sid"]), np.ascontiguousarray(rows["size"]), np.ascontiguousarray(rows["bits"])
         starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(band)]]))
 
         def tested(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int32)
-            ok = likely(REGISTERS - apart, n[i], n[j], threshold)
+            ok = likely(REGISTERS - apart, size[i], size[j], threshold)
             a, b = sid[i[ok]], sid[j[ok]]
             return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
@@ -321,9 +345,11 @@ def members(sketches: DataFrame) -> DataFrame:
     return sketches.mapInArrow(_members, "sid long, id string, n int, regs binary")
 
 
-def representatives(who: DataFrame) -> DataFrame:
-    """(sid, rep, n, regs): the smallest id of each set, with the set's size and registers."""
-    return who.groupBy("sid").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.max("regs").alias("regs"))
+def sets_of(who: DataFrame) -> DataFrame:
+    """(sid, rep, k, n, regs, blocks): the smallest id of each set and its number of records, its size and registers, and the blocks its records are dealt to."""
+    block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
+    sets = who.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("k"), F.min("n").alias("n"), F.max("regs").alias("regs"), F.collect_set(block).alias("blocks"))
+    return sets.where("rep is not null and k > 0 and n > 0 and regs is not null and size(blocks) > 0")  # always so; every use has the same filters and columns, so that one exchange serves them
 
 
 def _estimated(threshold: float):
@@ -344,15 +370,14 @@ def _jaccard_at_least(a: Column, b: Column, threshold: float) -> Column:
 
 def similar_sets(texts: DataFrame, sketches: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, rep_a, rep_b): different word sets whose Jaccard similarity is at least the threshold, verified on the words of their representatives."""
-    reps = representatives(members(sketches))
-    end = lambda k: reps.select(F.col("sid").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
+    sets = sets_of(members(sketches))
+    end = lambda k: sets.select(F.col("sid").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
     pairs = candidates(sketches, threshold).join(end("a"), "a").join(end("b"), "b").select("a", "b", "rep_a", "rep_b", "na", "nb", "ra", "rb")
     pairs = pairs.mapInArrow(_estimated(threshold), "a long, b long, rep_a string, rep_b string")
-    ends = pairs.select("*", F.explode(F.array("rep_a", "rep_b")).alias("id"))
-    with_text = ends.join(texts.where("text is not null").select("id", "text"), "id")
-    text_of = lambda c: F.min(F.when(F.col("id") == F.col(c), F.col("text")))
-    both = with_text.groupBy("a", "b", "rep_a", "rep_b").agg(text_of("rep_a").alias("ta"), text_of("rep_b").alias("tb"))
-    return both.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b", "rep_a", "rep_b")
+    some = texts.where("id is not null and text is not null")
+    text = lambda k: some.select(F.col("id").alias(f"rep_{k}"), F.col("text").alias(f"t{k}"))
+    both = pairs.join(text("a"), "rep_a").join(text("b"), "rep_b")
+    return both.where(_jaccard_at_least(words_of(F.col("ta")), words_of(F.col("tb")), threshold)).select("a", "b", "rep_a", "rep_b").distinct()
 
 
 def links(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
@@ -368,7 +393,7 @@ def groups(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int
     sketches = sketched(texts, bands, rows)
     who = members(sketches)
     n_links = similar_sets(texts, sketches, threshold).select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    sets = who.groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")).join(n_links, "sid", "left")
+    sets = sets_of(who).select("sid", "rep", F.col("k").alias("n_copies")).join(n_links, "sid", "left")
     return who.select("sid", "id").join(sets, "sid").select("id", "rep", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
@@ -377,14 +402,15 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.7, bands: int = 16, row
     texts = texts.select("id", "text")
     sketches = sketched(texts, bands, rows)
     who = members(sketches).select("sid", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block"), "id")
-    held = who.groupBy("sid").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("k"))
+    held = sets_of(members(sketches)).select("sid", "blocks", "k")
     sets = similar_sets(texts, sketches, threshold).select("a", "b")
     # every pair of blocks of the two ends, and of each group of copies with itself
     between = sets.join(held.select(F.col("sid").alias("a"), F.col("blocks").alias("in_a")), "a").join(held.select(F.col("sid").alias("b"), F.col("blocks").alias("in_b")), "b")
     within = held.where("k > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"), F.col("blocks").alias("in_a"), F.col("blocks").alias("in_b"))
-    ends = between.select("a", "b", "in_a", "in_b").unionByName(within).select("a", "b", F.explode("in_a").alias("block_a"), "in_b").select("a", "b", "block_a", F.explode("in_b").alias("block_b"))
-    ends = ends.where("a <> b or block_a <= block_b")
+    ends = between.select("a", "b", "in_a", "in_b", F.lit(False).alias("own")).unionByName(within.withColumn("own", F.lit(True)))
+    ends = ends.select("a", "b", "own", F.explode("in_a").alias("block_a"), "in_b").select("a", "b", "own", "block_a", F.explode("in_b").alias("block_b"))
+    ends = ends.where("not own or block_a <= block_b")
     ids = lambda k, name: who.select(F.col("sid").alias(k), F.col("block").alias(f"block_{k}"), F.col("id").alias(name))
     pairs = ends.join(ids("a", "x"), ["a", "block_a"]).join(ids("b", "y"), ["b", "block_b"])
-    pairs = pairs.where("a <> b and x <> y or a = b and (block_a < block_b or x < y)")
+    pairs = pairs.where("x <> y and (not own or block_a < block_b or x < y)")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
