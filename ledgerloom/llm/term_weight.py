@@ -6,7 +6,7 @@ expectation-maximisation on the histogram of its counts over all records, zero i
 score is the posterior probability of the elite component. The elite are a minority: their share is kept at one half or less, so that
 a term of most records marks none of them.
 
-Each record is counted where it is read. Only terms that are a key of some record are kept: while they are at most ``most_terms``
+Each record is counted where it is read. Only terms that are a key of some record are kept: while they are at most ``most_terms`` of ``most_bytes``
 the set is handed to the counting tasks, beyond that all words are counted and joined with the terms. Histograms are
 built with partial aggregation, so a term in every record is a few rows a task; a histogram has one entry for each distinct count.
 
@@ -91,16 +91,17 @@ def _fitter(n_records: int):
     return run
 
 
-def scores(records: DataFrame, most_terms: int = 200_000) -> DataFrame:
+def scores(records: DataFrame, most_terms: int = 200_000, most_bytes: int = 8_000_000) -> DataFrame:
     """(id, term, tf, df, score) for each key term of records(id, text, keys array<string>).
 
     tf: occurrences in the record's text; df: records that hold the term as a key.
     """
     records = spread(records.where("id is not null").select("id", "text", "keys"))
     terms = records.select(F.explode("keys").alias("key")).distinct().select(norm(F.col("key")).alias("term")).where("term is not null and term <> ''").distinct()
-    some = [r[0] for r in terms.limit(most_terms + 1).collect()]
-    few = len(some) <= most_terms
-    rows = records.mapInArrow(_counter(frozenset(some) if few else None), "id string, term string, tf long, held int")
+    held = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    few = held["n"] <= most_terms and held["bytes"] <= most_bytes
+    some = frozenset(r[0] for r in terms.collect()) if few else None
+    rows = records.mapInArrow(_counter(some), "id string, term string, tf long, held int")
     if not few:
         rows = rows.join(terms, "term", "left_semi")
     # the same filter on both uses, so that one exchange serves them

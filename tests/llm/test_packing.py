@@ -35,6 +35,23 @@ def test_fill_against_the_bound(spark):
         assert n[b] <= -(-total // c) * 1.03 + 2, (b, n[b], total / c)
 
 
+def test_rounds_merge_what_shards_leave(spark):
+    """More shards than one and more rounds than one, nearly as good as one task; the check of packs tells right from wrong."""
+    r = random.Random(7)
+    items = spark.createDataFrame([(i, r.choice([0, r.randrange(1, 90), r.randrange(1, 1500)])) for i in range(4000)], I)
+    budgets = spark.createDataFrame([("s", 256), ("l", 2048)], B)
+    rounds = packing.pack_rounds(items, budgets, shard_items=900)
+    assert len(rounds) >= 2 and all(x.count() for x in rounds)
+    packed = packing.pack(items, budgets, shard_items=900)
+    one = {x["budget_id"]: x["n_packs"] for x in packing.fill_report(packing.pack(items, budgets, shard_items=10**6), budgets).collect()}
+    for x in packing.fill_report(packed, budgets).collect():
+        assert x["least_packs"] <= x["n_packs"] <= one[x["budget_id"]] * 1.01 + 1 and 0.97 < x["fill"] <= 1
+    right = packing.check_packs(packed, items, budgets, slack=0.03).collect()
+    assert [(x["n_items"], x["n_overfull"], x["n_wrong"], x["near_bound"]) for x in right] == [(4000, 0, 0, True)] * 2
+    wrong = packing.check_packs(packed.where("item_id <> 5").selectExpr("*").replace({7: 8}, subset=["item_id"]), items, budgets).collect()
+    assert all(x["n_items"] == 3998 and x["n_wrong"] == 1 for x in wrong)
+
+
 @pytest.mark.parametrize("sizes", [[], [0], [None, 0], [10], [11], [10] * 50, [6] * 40, [35, 1, 9], [5, 5, 5, 5]])
 def test_cases(spark, sizes):
     items, budgets = list(enumerate(sizes)), [("b", 10)]
@@ -46,6 +63,8 @@ def test_repeats_clashes_and_bad_capacity(spark):
     df = spark.createDataFrame([(1, 4), (1, 4), (2, 7), (None, 3)], I).selectExpr("*", "'x' AS budget_id", "1 AS capacity", "2 AS piece")
     rows = packing.pack(df, spark.createDataFrame([("b", 10), ("b", 10)], B)).collect()
     assert sorted((r["item_id"], r["size"]) for r in rows) == [(1, 4), (2, 7)]
+    many = spark.createDataFrame([(f"b{k}", 5 + k) for k in range(450)], B)
+    assert packing.pack(df, many).select("budget_id").distinct().count() == 450 and packing.pack(df, many.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, spark.createDataFrame([("b", 0)], B))
 
