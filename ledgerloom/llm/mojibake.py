@@ -15,7 +15,7 @@ Verified: the original is found in at least as many texts as the form, is not it
 form differs from it. Copies of a text count once; where both are in equally many texts, their rows decide. The form of a run is verified too where the original is in at least as many texts
 as the rarest character of the form is as a run of its own: a meeting of clean characters is rarer than they are, so a
 garbled source that holds much of the corpus is found although its forms outnumber their originals. In a document with verified units, other units that match the same chain are restored too.
-Characters that were lost come back where the corpus knows the word; a replacement character inside or beside a word, or next to
+Characters that were lost come back where the corpus knows the word and something of it is left; a replacement character inside or beside a word, or next to
 another one, is reported even where it does not, and one that stands alone where its line is a line of a text without
 replacement characters but for the characters beyond ASCII. Alone in a line that is found nowhere else it may be meant, and is not reported.
 
@@ -146,6 +146,8 @@ def forms(unit: str, kind: int) -> Iterator[tuple[int, str, str]]:
             continue  # these codes hold all sorts of symbols, whose two bytes look like two letters
         if name.endswith(">utf-8") and LOST not in form:
             continue  # nothing was lost: the form is the text and the unit the garbled one
+        if not form.strip(LOST):
+            continue  # everything was lost: such a form is that of many units, and is reported as lost, not restored
         yield k, form, unit
         if kind == RUN_KIND and name.startswith("utf-8>") and "\xa0" in form:
             for piece in form.split("\xa0"):
@@ -159,14 +161,46 @@ def _long_enough(form: str, is_run: bool) -> bool:
     return len(form) >= 4 or (len(form) == 3 and any(ch.isascii() and ch.isalpha() for ch in form))
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_UNIT_COUNTS = "unit string, kind int, df long, rows long"
+#: Units a task counts before it hands them on, and forms (and their bytes) that are handed to the tasks that look for them.
+COUNTED_AT_ONCE, MOST_FORMS, MOST_FORM_BYTES = 300_000, 200_000, 8_000_000
+
+
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, kind, df, rows): counts of a task; a text is counted by its first row, df, and by every row."""
+
+    def counts(df: Counter, n: Counter) -> pa.RecordBatch:
+        keys = list(n)
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array([df[x] for x in keys], pa.int64()), pa.array(n.values(), pa.int64())], names=["unit", "kind", "df", "rows"])
+
+    df, n = Counter(), Counter()
     for batch in (part for whole in batches for part in text_slices(whole, "text", 2_000_000)):
-        ids, hashes, out, kinds = [], [], [], []
-        for i, h, text in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True):
+        for first, text in zip(batch.column("first").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text and not text.isascii():
-                for unit, kind in units(text):
-                    ids.append(i), hashes.append(h), out.append(unit), kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(out, pa.string()), pa.array(kinds, pa.int32())], names=["id", "hash", "unit", "kind"])
+                own = units(text)
+                n.update(own)
+                if first:
+                    df.update(own)
+        if len(n) > COUNTED_AT_ONCE:
+            yield counts(df, n)
+            df, n = Counter(), Counter()
+    yield counts(df, n)
+
+
+def _matcher(wanted: frozenset[tuple[str, int]] | None):
+    """(id, form, kind) of the units of texts that are wanted; of all tokens and runs where nothing is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in text_slices(whole, "text", 2_000_000)):
+            rows = []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text and not text.isascii():
+                    own = units(text)
+                    rows += [(i, u, k) for u, k in (own if wanted is None else own & wanted) if k != CHAR_KIND]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["id", "form", "kind"])
+
+    return run
 
 
 def _form_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +255,25 @@ def _restorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def garbled_units(docs: DataFrame) -> DataFrame:
+#: Units that one task makes the forms of, some 150 each.
+UNITS_A_TASK = 10_000
+
+
+def garbled_units(docs: DataFrame, most_forms: int = MOST_FORMS) -> DataFrame:
     """(id, form, kind, options) of docs(id, text): units that are garbled forms of other units of the corpus.
 
-    options: array of struct(ok, odf, chain, original), verified ones (ok) first, then by number of texts.
+    options: array of struct(ok, odf, chain, original), one a chain at most, verified ones (ok) first, then by number of texts. While the
+    forms are at most most_forms they are handed to the tasks that look for them, beyond that all units are joined with them.
     """
-    texts = spread(docs.select("id", "text").where("id is not null and text is not null")).select("id", F.xxhash64("text").alias("hash"), "text")
-    found = texts.mapInArrow(_unit_rows, "id long, hash long, unit string, kind int")
-    counted = checkpointed(found.groupBy("unit", "kind").agg(F.count_distinct("hash").alias("df"), F.count("*").alias("rows")))
-    made = counted.mapInArrow(_form_rows, "form string, kind int, original string, odf long, orows long, chain int, long boolean")
+    texts = spread(docs.select("id", "text").where("id is not null and text is not null"))
+    # one row of each text counts for it: the one of the least id; only ids and hashes meet by hash, so a hot text is no hot task
+    hashed = texts.select("id", F.xxhash64("text").alias("hash")).distinct()
+    firsts = hashed.groupBy("hash").agg(F.min("id").alias("id")).select("id").distinct().withColumn("first", F.lit(True))
+    counted = texts.join(firsts, "id", "left").select("first", "text").mapInArrow(_count_units, _UNIT_COUNTS)
+    counted = checkpointed(counted.groupBy("unit", "kind").agg(F.sum("df").alias("df"), F.sum("rows").alias("rows")).where("df > 0"))
+    # dealt by number: the units are few bytes, but their forms are many
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-counted.count() // UNITS_A_TASK))
+    made = counted.repartition(tasks).mapInArrow(_form_rows, "form string, kind int, original string, odf long, orows long, chain int, long boolean")
     seen = counted.where(F.col("kind") != CHAR_KIND).select(F.col("unit").alias("form"), "kind", F.col("df").alias("fdf"), F.col("rows").alias("frows"))
     hits = checkpointed(made.join(seen, ["form", "kind"]))
     # texts with the rarest character of a form as a run of its own; none for tokens, whose characters don't decide
@@ -245,23 +289,34 @@ def garbled_units(docs: DataFrame) -> DataFrame:
     runs_of = F.regexp_extract_all("original", F.lit(r"([^\x00-\x7f]+)"), 1)
     garbled_original = hits.select("original", F.explode(runs_of).alias("run")).distinct().join(bad, "run", "left_semi").select("original").distinct()
     clean = hits.join(garbled_original, "original", "left_anti")
-    option = F.struct(ok.alias("ok"), "odf", (-F.col("chain")).alias("chain"), "original")
-    options = clean.groupBy("form", "kind").agg(F.sort_array(F.collect_set(option), asc=False).alias("options"))
-    return found.join(options, (found.unit == options.form) & (found.kind == options.kind)).select("id", "form", options.kind, "options")
+    # of each chain the original in the most texts, of equal ones the smallest
+    each = clean.select("form", "kind", "chain", "original", "odf", ok.alias("ok")).groupBy("form", "kind", "chain", "original", "ok").agg(F.max("odf").alias("odf"))
+    top = each.groupBy("form", "kind", "chain").agg(F.max(F.struct("ok", "odf")).alias("top"), F.min_by("original", F.struct((~F.col("ok")).alias("not_ok"), (-F.col("odf")).alias("fewer"), "original")).alias("original"))
+    option = F.struct(F.col("top.ok").alias("ok"), F.col("top.odf").alias("odf"), (-F.col("chain")).alias("chain"), "original")
+    options = checkpointed(top.groupBy("form", "kind").agg(F.sort_array(F.collect_list(option), asc=False).alias("options")))
+    held = options.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("form")), F.lit(0)).alias("bytes")).first()
+    few = held["n"] <= most_forms and held["bytes"] <= MOST_FORM_BYTES
+    wanted = frozenset((r["form"], r["kind"]) for r in options.select("form", "kind").collect()) if few else None
+    found = texts.mapInArrow(_matcher(wanted), "id long, form string, kind int").distinct()
+    return found.join(options, ["form", "kind"]).select("id", "form", "kind", "options")
 
 
 def lost_for_good(docs: DataFrame) -> DataFrame:
     """(id) of docs(id, text) with replacement characters that are evidence without a known original."""
-    ascii_only = r"^[\x00-\x7f]*$"
-    rows = docs.select("id", "text").where(F.col("id").isNotNull() & ~F.col("text").rlike(ascii_only))
+    plain = lambda c: F.octet_length(c) == F.char_length(c)
+    rows = docs.select("id", "text").where(F.col("id").isNotNull() & ~plain("text"))
     lost = F.contains("text", F.lit(LOST))
     sure = F.col("text").rlike(LOST_FOR_GOOD)
     line = F.explode(F.split("text", r"[\r\n]+")).alias("line")
     shape = F.trim(F.regexp_replace("line", r"[^\x00-\x7f]+", LOST))
-    lone = rows.where(lost & ~sure).select("id", line).where(F.contains("line", F.lit(LOST)))
+    few = checkpointed(rows.where(lost).select("id", "text", sure.alias("sure")))  # texts with a replacement character
+    lone = few.where("not sure").select("id", line).where(F.contains("line", F.lit(LOST)))
     lone = lone.withColumn("shape", shape).where(F.col("shape").rlike("[A-Za-z0-9]")).select("id", F.xxhash64("shape").alias("shape"))
-    clean = rows.where(~lost).select(line).where(~F.col("line").rlike(ascii_only)).select(F.xxhash64(shape).alias("shape")).distinct()
-    return rows.where(sure).select("id").union(lone.join(clean, "shape", "left_semi").select("id")).distinct()
+    found = few.where("sure").select("id")
+    if not lone.isEmpty():
+        clean = rows.where(~lost).select(line).where(~plain("line")).select(F.xxhash64(shape).alias("shape")).distinct()
+        found = found.union(lone.join(clean, "shape", "left_semi").select("id"))
+    return found.distinct()
 
 
 def garbled(docs: DataFrame) -> DataFrame:

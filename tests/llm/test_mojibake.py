@@ -21,6 +21,9 @@ def test_every_way_is_found_and_undone(spark):
     garbled = {1000 + 10 * k + j: (w(t), t) for k, w in enumerate(WAYS) for j, t in enumerate(CLEAN)}
     df = frame(spark, rows + [(i, g) for i, (g, _) in garbled.items()]).selectExpr("*", "1 AS kind", "'q' AS form")
     assert {r["id"] for r in m.garbled(df).collect()} == set(garbled)
+    some = lambda most: {(r["id"], r["form"], r["kind"], str(r["options"])) for r in m.garbled_units(df, most).collect()}
+    assert some(m.MOST_FORMS) == some(0)  # handed to the tasks, and joined
+    assert all(len({o["chain"] for o in r["options"]}) == len(r["options"]) for r in m.garbled_units(df).collect())
     back = {r["id"]: r["restored"] for r in m.restore(df).collect()}
     wrong = [i for i, (_, t) in garbled.items() if back[i] != t]
     assert len(wrong) <= 0.03 * len(garbled), [(back[i], garbled[i][1]) for i in wrong]
@@ -68,6 +71,26 @@ def test_lost_for_good(spark):
     assert set(back) == set(lost) and all(back[i]["n_lost"] == t.count("�") and back[i]["restored"] == t for i, t in lost.items())
 
 
+def test_counts_leave_the_task_in_parts(spark, monkeypatch):
+    rows = [(i, f"wörd{i} é") for i in range(30)] + [(100 + i, "wörd0 é") for i in range(5)]
+    import pyarrow as pa
+
+    monkeypatch.setattr(m, "COUNTED_AT_ONCE", 3)
+    batch = pa.record_batch([pa.array([i < 100 for i, _ in rows]), pa.array([t for _, t in rows])], names=["first", "text"])
+    total = {}
+    for b in m._count_units(iter([batch.slice(k, 7) for k in range(0, 35, 7)])):
+        for u, k, df, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[u, k] = tuple(x + y for x, y in zip(total.get((u, k), (0, 0)), (df, n), strict=True))
+    assert total["é", m.RUN_KIND] == (30, 35) and total["wörd0", m.TOKEN_KIND] == (1, 6)
+
+
+def test_all_lost_is_not_invented(spark):
+    """A word of which nothing is left is reported, not replaced by some other word of that length."""
+    rows = [(i, "검색 결과 남아") for i in range(20)] + [(99, "검색 ���� 남아")]
+    back = {r["id"]: r["restored"] for r in m.restore(frame(spark, rows)).collect()}
+    assert back == {99: "검색 ���� 남아"}
+
+
 def test_clean_and_empty(spark):
     assert m.garbled(frame(spark, list(enumerate(CLEAN + PLAIN)))).collect() == []
     assert m.garbled(frame(spark, [])).collect() == [] and m.restore(frame(spark, [])).collect() == []
