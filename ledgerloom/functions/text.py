@@ -17,7 +17,8 @@ STOPWORDS = (
     "after before still just only also both note"
 ).split()
 PUNCTUATION = ".,;:!?'\"()[]{}-"
-GLUED = r"([A-Za-z0-9][A-Za-z0-9_/:-]{3,})([.,;:])(\s|$)"
+#: Punctuation glued to a long token: fixed pattern.
+GLUED = r"([A-Za-z0-9][A-Za-z0-9_/:-]{3,})([.,;:])(?=\s|$)"
 
 
 def tokenize(c: Column) -> Column:
@@ -43,12 +44,12 @@ def normalize(c: Column) -> Column:
 
 def detach_punctuation(c: Column) -> Column:
     """punctuation glued to a long token is set apart."""
-    return F.regexp_replace(c, r"([A-Za-z0-9][A-Za-z0-9_/:-]{3,})([.,;:])(?=\s|$)", "$1 $2")
+    return F.regexp_replace(c, GLUED, "$1 $2")
 
 
 def normalized_query(query: str) -> str:
     """F4 and F5 for a query on the driver."""
-    query = re.sub(r"([A-Za-z0-9][A-Za-z0-9_/:-]{3,})([.,;:])(?=\s|$)", r"\1 \2", query)
+    query = re.sub(GLUED, r"\1 \2", query)
     return " ".join(w for w in query.split() if w.strip(PUNCTUATION).lower() not in STOPWORDS)
 
 
@@ -59,10 +60,25 @@ def strip_stopwords(c: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def _literal(span: Column) -> Column:
+    """A pattern that matches the span as it stands, without regard to case; an end of quoting inside it is quoted by itself."""
+    return F.concat(F.lit(r"(?iu)\Q"), F.replace(span, F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
+
+
+def _by_length(spans: Column) -> Column:
+    return F.array_sort(F.filter(spans, lambda s: s.isNotNull() & (s != "")), lambda a, b: F.length(b) - F.length(a))
+
+
 def redact(c: Column, spans: Column, marker: str = "[REDACTED]") -> Column:
     """every span, longest first, replaced without regard to case."""
-    by_length = F.array_sort(F.filter(spans, lambda s: s != ""), lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(by_length, c, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?iu)\Q"), s, F.lit(r"\E")), F.lit(marker.replace("[", r"[")).cast("string")))
+    return F.aggregate(_by_length(spans), c, lambda t, s: F.regexp_replace(t, _literal(s), F.lit(marker)))
+
+
+def redact_counted(c: Column, spans: Column, marker: str = "[REDACTED]") -> Column:
+    """struct(text, n): the same with the number of spans that were replaced."""
+    start = F.struct(c.alias("text"), F.lit(0).cast("long").alias("n"))
+    step = lambda t, s: F.struct(F.regexp_replace(t["text"], _literal(s), F.lit(marker)).alias("text"), (t["n"] + F.coalesce(F.regexp_like(t["text"], _literal(s)), F.lit(False)).cast("long")).alias("n"))
+    return F.aggregate(_by_length(spans), start, step)
 
 
 def dedup_keep_order(c: Column) -> Column:
@@ -77,6 +93,14 @@ def safe_session_id(c: Column) -> Column:
     return F.substring(F.when(safe == "", "session").otherwise(F.coalesce(safe, F.lit("session"))), 1, 200)
 
 
+def raw_safe_name(name: Column, text: Column) -> Column:
+    """a safe file name that keeps its suffix, told apart by a hash of what it holds."""
+    safe = F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}._-]", "-")
+    suffix = F.regexp_extract(safe, r"[^.](\.[^.]+)$", 1)
+    stem = F.regexp_replace(safe, r"(?<=[^.])\.[^.]+$", "")
+    return F.concat(F.when(stem == "", "raw").otherwise(stem), F.lit("-"), F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 12), suffix)
+
+
 def default_sparse_keys(tags: Column, content: Column) -> Column:
     """P10: up to 24 distinct tags and long words, sorted."""
     words = F.transform(F.split(content, r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$", "")))

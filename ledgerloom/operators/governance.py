@@ -39,6 +39,22 @@ def detect_projects(texts: DataFrame, projects: DataFrame) -> DataFrame:
     return words.join(project_aliases(projects), "alias").select("id", "project_id").distinct()
 
 
+def directory(relationships: DataFrame) -> DataFrame:
+    """G1: (project_id, alias, principals, labels) of relationships(project_id, principal_id, label): each project's aliases, who belongs to it, and the terms of its labels."""
+    terms = F.array_distinct(F.flatten(F.collect_list(F.coalesce(tokenize(F.col("label")), F.array().cast("array<string>")))))
+    by = relationships.where("coalesce(project_id, '') <> ''").groupBy("project_id").agg(F.array_sort(F.collect_set("principal_id")).alias("principals"), F.array_sort(terms).alias("labels"))
+    return project_aliases(by).join(by, "project_id")
+
+
+def revoked_access(turns: DataFrame, principals: DataFrame, acl: DataFrame) -> DataFrame:
+    """(project_id, principal_id) that turns(id, speaker_id, text) revoke: the projects that the turn names, or all of the principal's."""
+    who = revocations(turns, principals).where("principal_id is not null")
+    named = detect_projects(turns.select("id", "text").join(who.select("id").distinct(), "id", "left_semi"), acl.select("project_id").distinct())
+    some = who.join(named, "id").select("project_id", "principal_id")
+    every = who.join(named.select("id").distinct(), "id", "left_anti").join(acl, "principal_id").select("project_id", "principal_id")
+    return some.join(acl.select("project_id", "principal_id").distinct(), ["project_id", "principal_id"], "left_semi").unionByName(every).distinct()
+
+
 def revocations(turns: DataFrame, principals: DataFrame) -> DataFrame:
     """(id, principal_id) of turns(id, speaker_id, text) that revoke access: the named principal, else the speaker."""
     said = turns.where(_any_word(F.col("text"), REVOKE_WORDS))
@@ -53,17 +69,23 @@ def allowed(acl: DataFrame, revoked: DataFrame | None = None) -> DataFrame:
     return acl if revoked is None else acl.join(revoked, ["project_id", "principal_id"], "left_anti")
 
 
+#: Stands for all principals.
+EVERYONE = "*"
+
+
 def authorized(nodes: DataFrame, acl: DataFrame, principals: DataFrame) -> DataFrame:
-    """(principal_id, id): nodes(id, project_id) that each of the principals may see; no project is open to all.
+    """(principal_id, id): nodes(id, project_id) that each of the principals may see.
 
-    The principals may be the whole table. Only nodes that stand under several projects can give a pair twice, so only these are made distinct.
+    A node under no project is open to all and comes once, with EVERYONE as principal, so that open nodes are no pairs with all principals. A node
+    may stand under several projects, one a row.
     """
     asked = principals.select("principal_id").where("principal_id is not null").distinct()
-    may = acl.join(asked, "principal_id").select("project_id", "principal_id").distinct()
+    may = acl.join(asked, "principal_id", "left_semi").select("project_id", "principal_id").distinct()
     of = nodes.select("id", F.coalesce("project_id", F.lit("")).alias("project_id")).groupBy("id").agg(F.collect_set("project_id").alias("projects"))
-    free = of.where(F.array_contains("projects", "")).select("id").crossJoin(asked).select("principal_id", "id")
+    free = of.where(F.array_contains("projects", "")).select(F.lit(EVERYONE).alias("principal_id"), "id")
     closed = of.where(~F.array_contains("projects", ""))
     pairs = lambda some: some.select("id", F.explode("projects").alias("project_id")).join(may, "project_id").select("principal_id", "id")
+    # only nodes under several projects can give a pair twice
     return free.unionByName(pairs(closed.where(F.size("projects") == 1))).unionByName(pairs(closed.where(F.size("projects") > 1)).distinct())
 
 
@@ -71,36 +93,44 @@ def authorized(nodes: DataFrame, acl: DataFrame, principals: DataFrame) -> DataF
 SIDES = {"gone": 5, "mine": 8, "others": 5}
 
 
-def _sided(nodes: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """(checkpoint_id, side, id, updated_s, content, tags): forgotten, allowed and other active nodes as each checkpoint sees them."""
-    each = F.array(*[F.struct(F.lit(c).alias("checkpoint_id"), F.lit(p).alias("principal_id")) for c, (p, _) in checkpoints.items()])
-    askers = sorted({p for p, _ in checkpoints.values()})
-    may = acl.where(F.col("principal_id").isin(*askers)).distinct().withColumn("may", F.lit(True))
-    cols = ["checkpoint_id", "side", "id", "updated_s", "content", "tags"]
-    active = view.effective_view(nodes).select("id", "updated_s", "content", "tags", F.coalesce("scope.project", F.lit("")).alias("project_id"), F.inline(each))
-    sided = active.join(may, ["project_id", "principal_id"], "left").withColumn("side", F.when((F.col("project_id") == "") | F.col("may"), "mine").otherwise("others"))
-    gone = view.forgotten_like(nodes).select("id", "updated_s", "content", "tags", F.inline(each)).withColumn("side", F.lit("gone"))
-    return sided.select(*cols).unionByName(gone.select(*cols))
+def _base(nodes: DataFrame) -> DataFrame:
+    """(id, updated_s, content, tags, project_id, gone): forgotten and active nodes."""
+    cols = ["id", "updated_s", "content", "tags", F.coalesce("scope.project", F.lit("")).alias("project_id")]
+    return view.effective_view(nodes).select(*cols, F.lit(False).alias("gone")).unionByName(view.forgotten_like(nodes).select(*cols, F.lit(True).alias("gone")))
+
+
+def _sided(rows: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """rows(checkpoint_id, project_id, gone, ...) with the side they are on for the asker of the checkpoint."""
+    askers = F.create_map(*[F.lit(x) for c, (p, _) in checkpoints.items() for x in (c, p)])
+    may = acl.where(F.col("principal_id").isin(*sorted({p for p, _ in checkpoints.values()}))).select("project_id", "principal_id").distinct().withColumn("may", F.lit(True))
+    joined = rows.withColumn("principal_id", askers[F.col("checkpoint_id")]).join(may, ["project_id", "principal_id"], "left")
+    return joined.withColumn("side", F.when(F.col("gone"), "gone").when((F.col("project_id") == "") | F.col("may"), "mine").otherwise("others")).drop("principal_id", "may")
 
 
-def _sided_hits(rows: DataFrame, checkpoints: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """(checkpoint_id, side, id, score, rank): relevant hits of each side; document frequencies are those of the side."""
-    spark = rows.sparkSession
+def _sided_hits(base: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """(checkpoint_id, side, id, score, rank): relevant hits of each side; document frequencies are those of the side.
+
+    Each node is read once: only nodes that hold a term of a query, or the query, become rows of its checkpoint, and the sides are counted by project.
+    """
+    spark = base.sparkSession
     queries = {c: normalized_query(q) for c, (_, q) in checkpoints.items()}
     terms = {c: Counter(tokens_of(q)) for c, q in queries.items()}
     asked = sorted({t for k in terms.values() for t in k})
     side = ["checkpoint_id", "side"]
+    own = ["id", "updated_s", "project_id", "gone"]
     times = spark.createDataFrame([(c, t, n) for c, k in terms.items() for t, n in sorted(k.items())], "checkpoint_id string, term string, times int")
-    clean = rows.withColumn("content", detach_punctuation(F.col("content")))
+    clean = base.withColumn("content", detach_punctuation(F.col("content")))
     doc = F.concat_ws(" ", F.col("content"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
-    tokens = clean.select(*side, "id", "updated_s", F.explode(F.filter(tokenize(doc), lambda t: t.isin(*asked))).alias("term"))
-    tf = tokens.join(F.broadcast(times), ["checkpoint_id", "term"]).groupBy(*side, "id", "updated_s", "term", "times").agg(F.count("*").alias("tf"))  # the terms of the queries
+    tokens = clean.select(*own, F.explode(F.filter(tokenize(doc), lambda t: t.isin(*asked))).alias("term"))
+    tf = tokens.groupBy(*own, "term").agg(F.count("*").alias("tf")).join(F.broadcast(times), "term")  # the terms of the queries
+    tf = _sided(tf, acl, checkpoints)
     df = tf.groupBy(*side, "term").agg(F.count("*").alias("df"))
-    n = rows.groupBy(*side).agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.lit(c) for c in checkpoints])).alias("checkpoint_id")
+    n = _sided(base.groupBy("project_id", "gone").agg(F.count("*").alias("k")).select("project_id", "gone", "k", each), acl, checkpoints).groupBy(*side).agg(F.sum("k").alias("n"))
     weight = F.log((F.col("n") + 1) / (F.col("df") + F.lit(0.5))) + 1
     scored = tf.join(df, [*side, "term"]).join(n, side).select(*side, "id", "updated_s", (F.col("tf") * F.col("times") * weight).alias("part"))
-    whole = F.coalesce(*[F.when(F.col("checkpoint_id") == c, F.contains(F.lower("content"), F.lit(q.lower()))) for c, q in queries.items() if terms[c]], F.lit(False))
-    phrase = clean.where(whole).select(*side, "id", "updated_s", F.lit(5.0).alias("part"))
+    whole = F.array_compact(F.array(*[F.when(F.contains(F.lower("content"), F.lit(q.lower())), F.lit(c)) for c, q in queries.items() if terms[c]], F.lit(None).cast("string")))
+    phrase = _sided(clean.select(*own, F.explode(whole).alias("checkpoint_id")), acl, checkpoints).select(*side, "id", "updated_s", F.lit(5.0).alias("part"))
     hits = scored.unionByName(phrase).groupBy(*side, "id", "updated_s").agg(F.round(F.sum("part"), 9).alias("score")).where(F.col("score") >= FLOOR)
     w = W.partitionBy(*side).orderBy(F.desc("score"), F.desc("updated_s"), F.desc("id"))
     most = F.coalesce(*[F.when(F.col("side") == k, m) for k, m in SIDES.items()])
@@ -114,8 +144,8 @@ def policy_packs(nodes: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tup
     hit is over three times as good and the query does not look back.
     """
     spark = nodes.sparkSession
-    rows = _sided(nodes, acl, checkpoints)
-    hits = checkpointed(_sided_hits(rows, checkpoints))  # at most 18 rows a checkpoint
+    base = _base(nodes)
+    hits = checkpointed(_sided_hits(base, acl, checkpoints))  # at most 18 rows a checkpoint
     top = lambda k: F.max(F.when(F.col("side") == k, F.col("score"))).alias(k)
     best = hits.groupBy("checkpoint_id").agg(*[top(k) for k in SIDES])
     every = spark.createDataFrame([(c, bool(RETROSPECTIVE.search(q))) for c, (_, q) in checkpoints.items()], "checkpoint_id string, looks_back boolean")
@@ -124,18 +154,19 @@ def policy_packs(nodes: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tup
     decided = every.join(best, "checkpoint_id", "left").select("checkpoint_id", action.alias("action"))
     shown = hits.where("side = 'mine'").join(decided.where("action = 'answer'"), "checkpoint_id").select("checkpoint_id", "id")
     texts = shown.join(nodes.select("id", "content"), "id")
-    masked = texts.join(_protected(texts, rows.where("side <> 'mine'")), ["checkpoint_id", "id"], "left")
+    masked = texts.join(_protected(texts, base, acl, checkpoints), ["checkpoint_id", "id"], "left")
     masked = masked.select("checkpoint_id", "id", "content", redact(F.col("content"), F.coalesce("terms", F.array().cast("array<string>"))).alias("text"))
     touched = masked.groupBy("checkpoint_id").agg(F.bool_or(F.col("text") != F.col("content")).alias("touched"))
     out = decided.join(touched, "checkpoint_id", "left").join(masked.select("checkpoint_id", F.col("id").alias("node_id"), "text"), "checkpoint_id", "left")
     return out.select("checkpoint_id", F.when(F.col("touched"), "answer_redacted").otherwise(F.col("action")).alias("action"), "node_id", "text")
 
 
-def _protected(shown: DataFrame, hidden: DataFrame) -> DataFrame:
-    """(checkpoint_id, id, terms): capitalised names of hidden nodes that shown nodes hold too, joined on the names."""
-    names = hidden.select("checkpoint_id", F.explode(proper_noun_pairs(F.col("content"))).alias("term")).distinct()
+def _protected(shown: DataFrame, base: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """(checkpoint_id, id, terms): capitalised names of shown nodes that a node hidden from the asker holds too, joined on the names."""
     own = shown.select("checkpoint_id", "id", F.explode(F.array_distinct(proper_noun_pairs(F.col("content")))).alias("term"))
-    return own.join(names, ["checkpoint_id", "term"]).groupBy("checkpoint_id", "id").agg(F.collect_set("term").alias("terms"))
+    names = base.select("project_id", "gone", F.explode(F.array_distinct(proper_noun_pairs(F.col("content")))).alias("term")).distinct()
+    met = _sided(own.join(names, "term"), acl, checkpoints).where("side <> 'mine'")
+    return met.groupBy("checkpoint_id", "id").agg(F.collect_set("term").alias("terms"))
 
 
 def leaks(packs: DataFrame, nodes: DataFrame, acl: DataFrame, askers: DataFrame) -> DataFrame:

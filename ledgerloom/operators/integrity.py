@@ -133,6 +133,61 @@ def citations(nodes: DataFrame, raw: DataFrame, most: int = 500) -> DataFrame:
     return flat.join(raw.select("source_id", F.substring("text", 1, most).alias("cited")), "source_id", "left").select("id", "status", "label", "quote", "source_id", "char_start", "char_end", "cited")
 
 
+def recall(nodes: DataFrame, raw: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """The hits of a query with the citations of each: (rank, id, score, label, quote, source_id, char_start, char_end, cited)."""
+    from ledgerloom.operators import retrieval
+
+    hits = retrieval.lexical_search(nodes, {"q": query}, limit).select("rank", "id", "score")
+    found = nodes.join(F.broadcast(hits.select("id")), "id", "left_semi")  # limit rows
+    return hits.join(citations(found, raw), "id").select("rank", "id", "score", "label", "quote", "source_id", "char_start", "char_end", "cited")
+
+
+def missing_fields(rows: DataFrame, json_col: str, required: tuple[str, ...]) -> DataFrame:
+    """V6: (id, field) of required keys that the JSON text of a row lacks; a key that is there and null is not missing, and a text that is no object lacks all."""
+    keys = F.coalesce(F.json_object_keys(F.col(json_col)), F.array().cast("array<string>"))
+    return rows.select("id", F.explode(F.array_except(F.array(*[F.lit(f) for f in required]), keys)).alias("field"))
+
+
+#: The kinds of record, by what their schema version holds, with the prefix of their ids and their fields (fixed values).
+KINDS = {"memory_node": "mem_", "memory_patch": "patch_", "memory_edge": "edge_", "session": "sess_"}
+REQUIRED = {
+    "memory_node": ("schema_version", "id", "type", "scope", "content", "status", "source", "relations"), "memory_patch": ("schema_version", "id", "operation", "target_ids", "new_node_ids", "reason"),
+    "memory_edge": ("schema_version", "id", "from_id", "to_id", "type"), "session": ("schema_version", "id", "agent", "workspace", "project", "started_at", "status"),
+}
+#: Folders whose files are evidence and are not validated (fixed values).
+EVIDENCE = ("raw", "audit")
+
+
+def is_evidence_path(path: Column) -> Column:
+    """A part of the path is one of the folders of evidence."""
+    return F.arrays_overlap(F.split(path, r"[/\\\\]"), F.array(*[F.lit(e) for e in EVIDENCE]))
+
+
+def validate_records(records: DataFrame) -> DataFrame:
+    """V8: (path, problem) of records(path, value), JSON texts of any kind: told apart by schema_version, then held to what their kind needs.
+
+    Files of evidence are left out (P12); a text that is no object, or of no known kind, is a problem by itself.
+    """
+    rows = records.where(~is_evidence_path(F.col("path")))
+    version = F.get_json_object("value", "$.schema_version")
+    kind = F.coalesce(*[F.when(version.rlike(rf"\.{k}\.v0\.1$"), k) for k in KINDS])
+    keys = F.json_object_keys("value")
+    lacks = lambda k: F.transform(F.array_except(F.array(*[F.lit(f) for f in REQUIRED[k]]), keys), lambda f: F.concat(F.lit("missing "), f))
+    prefix = lambda k: F.when(~F.coalesce(F.startswith(F.get_json_object("value", "$.id"), F.lit(KINDS[k])), F.lit(False)), F.array(F.lit("id prefix"))).otherwise(F.array().cast("array<string>"))
+    found = F.when(keys.isNull(), F.array(F.lit("no object"))).when(kind.isNull(), F.array(F.lit("unknown schema_version")))
+    for k in KINDS:
+        found = found.when(kind == k, F.concat(lacks(k), prefix(k)))
+    return rows.select("path", F.explode(found).alias("problem"))
+
+
+def validate_edge_ends(edges: DataFrame, nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """V3: (id, problem) of edges whose ends, or whose source patch if they name one, do not exist; with validate_edges the whole check."""
+    known, done = nodes.select(F.col("id").alias("ref")).distinct(), patches.select(F.col("id").alias("ref")).distinct()
+    end = lambda c, name: edges.select("id", F.coalesce(c, F.lit("")).alias("ref")).join(known, "ref", "left_anti").select("id", F.lit(name).alias("problem"))
+    source = edges.where("coalesce(source_patch_id, '') <> ''").select("id", F.col("source_patch_id").alias("ref")).join(done, "ref", "left_anti").select("id", F.lit("unknown source patch").alias("problem"))
+    return end("from_id", "unknown from").unionByName(end("to_id", "unknown to")).unionByName(source)
+
+
 def _has_forbidden(value: object) -> bool:
     if isinstance(value, dict):
         return any(k.lower() in FORBIDDEN_KEYS or _has_forbidden(v) for k, v in value.items())

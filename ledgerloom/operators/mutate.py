@@ -94,6 +94,38 @@ def rolled_back_links(nodes: DataFrame, patches: DataFrame) -> DataFrame:
     return hit.join(linked, "id").select("patch_id", "id", F.array_except("old", "made").alias("superseded_by"))
 
 
+def rollback_patches(patches: DataFrame) -> DataFrame:
+    """The patch that each rollback writes: (id, operation, target_ids, new_node_ids, reason, rolled_back); its id follows from the patch it undoes."""
+    own = F.concat(F.lit("patch_"), F.substring(F.sha2(F.concat_ws("/", "id", F.lit("rollback")), 256), 1, 12))
+    return patches.where("id is not null").select(
+        own.alias("id"), F.lit("rollback").alias("operation"), ids(F.col("target_ids")).alias("target_ids"), F.array().cast("array<string>").alias("new_node_ids"), F.concat(F.lit("rollback of "), "id").alias("reason"), F.col("id").alias("rolled_back")
+    )
+
+
+def reactivated(nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """(patch_id, id, status, type) of create and rollback patches with new content: their known targets become active, tied to the made node by derived_from."""
+    does = patches.where(F.col("operation").isin("create", "rollback") & (F.coalesce("new_content", F.lit("")) != ""))
+    hit = patch_targets(does).select("patch_id", "id").distinct()
+    return hit.join(nodes.select("id"), "id", "left_semi").select("patch_id", "id", F.lit("active").alias("status"), F.lit("derived_from").alias("type"))
+
+
+def new_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes of rows(content, source, type): trimmed, with an id that follows from content and label; rows without content or source give none."""
+    text = F.trim(F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
+    made = rows.withColumn("content", text).where("content <> '' and source is not null")
+    return made.withColumn("id", F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("\n", "content", F.coalesce("source.label", F.lit(""))), 256), 1, 12))).withColumn("status", F.lit("active"))
+
+
+def forget_by_query(nodes: DataFrame, query: str) -> DataFrame:
+    """(id, status) of the best hit of a query, which is to be forgotten; no hit is an error."""
+    from ledgerloom.operators import retrieval
+
+    hit = retrieval.lexical_search(nodes, {"q": query}, 1).select("id").first()
+    if hit is None:
+        raise LookupError(f"nothing to forget for {query!r}")
+    return nodes.where(F.col("id") == hit["id"]).select("id", F.lit("forgotten").alias("status"))
+
+
 def patch_diff(nodes: DataFrame, patches: DataFrame) -> DataFrame:
     """(patch_id, role, id, status, content) of the nodes a patch names; status null for unknown nodes."""
     side = lambda c, role: patches.select(F.col("id").alias("patch_id"), F.lit(role).alias("role"), F.explode(ids(F.col(c))).alias("id")).distinct()
@@ -108,6 +140,21 @@ def end_sessions(nodes: DataFrame, policy: str) -> DataFrame:
     return own.select("id", F.when(F.lit(policy == "promote"), F.lit(None).cast("string")).otherwise(F.col("scope.session")).alias("session_id"), F.lit(status).alias("status"))
 
 
+def promote_one(nodes: DataFrame, node_id: str) -> DataFrame:
+    """(id, session_id, status) of one overlay node after its promotion; a node that is no overlay gives no row."""
+    return end_sessions(nodes.where(F.col("id") == node_id), "promote")
+
+
+def overlay(rows: DataFrame, session_id: str) -> DataFrame:
+    """rows(id, content, ...) as overlay nodes of a session."""
+    return rows.withColumns({"status": F.lit("active_session"), "session_id": F.lit(session_id)})
+
+
+def resume_sessions(sessions: DataFrame, session_ids: DataFrame) -> DataFrame:
+    """(id, status) of the sessions named by session_ids(id) that have ended or were forked, active again."""
+    return sessions.where(F.col("status").isin("ended", "forked")).join(session_ids.select("id"), "id", "left_semi").select("id", F.lit("active").alias("status"))
+
+
 def fork_sessions(sessions: DataFrame, branch: str = "fork") -> DataFrame:
     """A child of each session with its loaded memories; the child's id follows from parent and branch."""
     child = F.concat(F.lit("sess_"), F.substring(F.sha2(F.concat_ws("/", "id", F.lit(branch)), 256), 1, 12))
@@ -126,22 +173,56 @@ def start_sessions(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
 
 
-def _same(a: str, b: str) -> Column:
-    """Equal but for the fields that an import itself sets."""
-    fields = ("type", "key", "content", "status", "confidence", "priority", "tags")
-    scope = ("user", "workspace", "project", "agent", "session")
-    return F.forall(F.array(*[F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) for f in fields], *[F.col(f"{a}.scope.{f}").eqNullSafe(F.col(f"{b}.scope.{f}")) for f in scope]), lambda x: x)
+#: What is compared of two nodes of one id; what an import itself sets is left out.
+COMPARED = ("type", "key", "content", "status", "confidence", "priority", "tags", "source", "retrieval", "metadata")
+SCOPE = ("user", "workspace", "project", "agent", "session")
+
+
+def _same(a: str, b: str, has: set[str]) -> Column:
+    """H3: equal but for the fields that an import itself sets; maps are compared by their entries."""
+    entries = lambda t: F.array_sort(F.map_entries(F.coalesce(F.col(f"{t}.relations"), F.create_map().cast("map<string,array<string>>"))))
+    rows = [F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) for f in COMPARED if f in has]
+    rows += [F.col(f"{a}.scope.{f}").eqNullSafe(F.col(f"{b}.scope.{f}")) for f in SCOPE]
+    if "relations" in has:
+        rows.append(entries(a).eqNullSafe(entries(b)))
+    return F.forall(F.array(*rows), lambda x: x)
 
 
 def import_nodes(local: DataFrame, remote: DataFrame, origin: str) -> DataFrame:
     """(id, outcome, landed_id) of remote nodes: imported, skipped (equal) or conflict (kept under a new id)."""
     both = remote.alias("r").join(local.alias("l"), F.col("r.id") == F.col("l.id"), "left")
-    outcome = F.when(F.col("l.id").isNull(), "imported").when(_same("r", "l"), "skipped").otherwise("conflict")
+    outcome = F.when(F.col("l.id").isNull(), "imported").when(_same("r", "l", set(remote.columns) & set(local.columns)), "skipped").otherwise("conflict")
     rows = both.select(F.col("r.id").alias("id"), outcome.alias("outcome"))
     fresh = F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("/", F.lit(origin), "id"), 256), 1, 12))
     return rows.withColumn("landed_id", F.when(F.col("outcome") == "conflict", fresh).otherwise(F.col("id")))
 
 
+def merged_nodes(local: DataFrame, remote: DataFrame, landed: DataFrame, origin: str) -> DataFrame:
+    """(id, content, status, contradicts, origin) of the ledger after an import.
+
+    New remote nodes come in under their id; of two that differ the local one becomes conflict_pending, the remote one gets a new id, and each contradicts
+    the other. origin stamps what came from the other ledger, null for the ledger's own.
+    """
+    links = F.coalesce(F.col("relations")["contradicts"], F.array().cast("array<string>"))
+    also = lambda c: F.array_sort(F.array_distinct(F.concat(F.array_compact(links), F.array_compact(F.array(c)))))
+    clash = landed.where("outcome = 'conflict'").select("id", "landed_id")
+    here = local.join(clash, "id", "left").select("id", "content", F.when(F.col("landed_id").isNotNull(), "conflict_pending").otherwise(F.col("status")).alias("status"), also(F.col("landed_id")).alias("contradicts"), F.lit(None).cast("string").alias("origin"))
+    came = remote.join(landed.where("outcome <> 'skipped'"), "id")
+    other = F.when(F.col("outcome") == "conflict", F.col("id"))
+    return here.unionByName(came.select(F.col("landed_id").alias("id"), "content", "status", also(other).alias("contradicts"), F.lit(origin).alias("origin")))
+
+
+def remap_patches(patches: DataFrame, landed: DataFrame) -> DataFrame:
+    """(id, target_ids, new_node_ids) of remote patches with the ids their nodes landed on, in order."""
+    moved = landed.where("landed_id <> id").select(F.col("id").alias("ref"), "landed_id")
+    side = lambda c: patches.select("id", F.lit(c).alias("side"), F.posexplode(ids(F.col(c))).alias("pos", "ref"))
+    rows = side("target_ids").unionByName(side("new_node_ids")).join(moved, "ref", "left").select("id", "side", "pos", F.coalesce("landed_id", "ref").alias("ref"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "ref")))), lambda x: x["ref"])
+    by_patch = rows.groupBy("id").agg(in_order("target_ids").alias("target_ids"), in_order("new_node_ids").alias("new_node_ids"))
+    none = F.array().cast("array<string>")
+    return patches.select("id").join(by_patch, "id", "left").select("id", F.coalesce("target_ids", none).alias("target_ids"), F.coalesce("new_node_ids", none).alias("new_node_ids"))
+
+
 def remap_edges(edges: DataFrame, landed: DataFrame) -> DataFrame:
     """Edges with both ends under the ids their nodes landed on."""
     moved = landed.where("landed_id <> id").select("id", "landed_id")
@@ -149,10 +230,12 @@ def remap_edges(edges: DataFrame, landed: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("new_from", "from_id").alias("from_id"), F.coalesce("new_to", "to_id").alias("to_id"), "type")
 
 
-def export_slice(nodes: DataFrame, patches: DataFrame, edges: DataFrame, sessions: DataFrame, session_ids: list[str] = (), node_ids: list[str] = ()) -> dict[str, DataFrame]:
-    """The part of a ledger that belongs to some sessions and nodes; unknown sessions select nothing."""
-    chosen = sessions.where(F.col("id").isin(*session_ids)) if session_ids else sessions.limit(0)
-    wanted = chosen.select(F.explode(ids(F.col("loaded_memory_ids"))).alias("id")).unionByName(nodes.where(F.col("scope.session").isin(*session_ids) | F.col("id").isin(*node_ids)).select("id")).distinct() if session_ids or node_ids else nodes.limit(0).select("id")
+def export_slice(nodes: DataFrame, patches: DataFrame, edges: DataFrame, sessions: DataFrame, session_ids: DataFrame | None = None, node_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The part of a ledger that belongs to the sessions of session_ids(id) and the nodes of node_ids(id); unknown sessions select nothing."""
+    chosen = sessions.limit(0) if session_ids is None else sessions.join(session_ids.select("id"), "id", "left_semi")
+    named = nodes.select("id").limit(0) if node_ids is None else node_ids.select("id")
+    of_sessions = nodes.select("id", F.col("scope.session").alias("session_id")).join(chosen.select(F.col("id").alias("session_id")), "session_id", "left_semi").select("id")
+    wanted = chosen.select(F.explode(ids(F.col("loaded_memory_ids"))).alias("id")).unionByName(of_sessions).unionByName(named).distinct()
     picked = nodes.join(wanted, "id", "left_semi")
     refs = patches.select("id", F.explode(F.concat(ids(F.col("target_ids")), ids(F.col("new_node_ids")))).alias("ref"))
     by_ref = refs.join(picked.select(F.col("id").alias("ref")), "ref", "left_semi").select("id").distinct()

@@ -1,13 +1,13 @@
 """References to records that do not exist (problem 7).
 
-Keys of parents and the distinct referenced keys are range-partitioned together; each
-range holds its parents as a sorted array, and the references arrive in batches that are probed by one vectorised
-binary search. References are folded to (key, first time, last time) before the shuffle, so a
-key that a third of all references share is one row there. Only keys with a miss ("suspects") are joined with the
-full references again, which gives the rows; their counts per table and period follow by aggregation.
+Keys of parents and the distinct referenced keys are range-partitioned together by a 64-bit hash; each
+range holds its parents as an array sorted by that hash, and the references arrive in batches that are probed by one vectorised
+binary search, whose hits are compared key by key, so that keys with one hash stay apart. References are folded to (key, first time, last time) before the shuffle, so a
+key that a third of all references share is one row there. The number of ranges follows from the number of parents. Only keys with a miss ("suspects") are joined with the
+full references again, in ``SALTS`` parts of each key, which gives the rows; their counts per table and period follow by aggregation.
 
 Defined cases: null and empty references do not count; repeated rows and repeated ids in an
-array count once; a referring row without a time is never late or deleted and has a null period;
+array count once; of parents with one key the earliest times hold; a referring row without a time is never late or deleted and has a null period;
 an empty table gives no rows.
 """
 
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,35 +26,64 @@ from ledgerloom.functions.scalars import ids, seconds
 
 _MAX, _MIN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _SUSPECT = pa.schema([("ns", pa.string()), ("key", pa.string()), ("missing", pa.bool_()), ("parent_s", pa.int64()), ("deleted_s", pa.int64())])
+#: Parents in one range, parts that the references to one key are dealt to.
+RANGE_ROWS, SALTS = 1_000_000, 8
+
+
+class _Parents:
+    """The parents of a range: hashes in order, with the keys and the earliest times of creation and deletion."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        hashes = t.column("h").to_numpy()
+        order = np.argsort(hashes, kind="stable")
+        self.h = hashes[order]
+        text = lambda c: t.column(c).cast(pa.large_string()).combine_chunks().take(pa.array(order))
+        self.ns, self.key = text("ns"), text("key")
+        # repeated rows of a key lie side by side
+        again = np.zeros(len(order), bool)
+        if len(order) > 1:
+            same = pc.and_(pc.equal(self.ns[1:], self.ns[:-1]), pc.equal(self.key[1:], self.key[:-1])).to_numpy(zero_copy_only=False)
+            again[1:] = same & (self.h[1:] == self.h[:-1])
+        first = np.flatnonzero(~again)
+        self.created, self.deleted = (np.minimum.reduceat(t.column(c).to_numpy()[order], first) for c in ("a", "b"))
+        self.h, self.ns, self.key = self.h[first], self.ns.take(pa.array(first)), self.key.take(pa.array(first))
+
+    def probe(self, refs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each reference has a parent, and that one's times."""
+        n = refs.num_rows
+        hit, born, gone = np.zeros(n, bool), np.full(n, _MAX), np.full(n, _MAX)
+        h = refs.column("h").to_numpy(zero_copy_only=False)
+        at, end = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        ns, key = (refs.column(c).cast(pa.large_string()) for c in ("ns", "key"))
+        while len(rows := np.flatnonzero(at < end)):  # once, but for keys of one hash
+            which, of = pa.array(at[rows]), pa.array(rows)
+            same = pc.and_(pc.equal(self.ns.take(which), ns.take(of)), pc.equal(self.key.take(which), key.take(of))).to_numpy(zero_copy_only=False)
+            r, p = rows[same], at[rows[same]]
+            hit[r], born[r], gone[r] = True, np.minimum(born[r], self.created[p]), np.minimum(gone[r], self.deleted[p])
+            at[rows] += 1
+        return hit, np.where(hit, born, _MIN), gone
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tag, ns, key, a, b), parents (tag 0) first: the references (tag 1) whose key is missing or may be late or deleted.
+    """Rows (tag, h, ns, key, a, b), parents (tag 0) first: the references (tag 1) whose key is missing or may be late or deleted.
 
     a, b: of a parent the times of creation and deletion, of a key the first and last time of reference.
     """
     held: list[pa.RecordBatch] = []
-    sorted_parents = None
+    parents: _Parents | None = None
     for batch in batches:
-        tag = batch.column("tag").to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(tag, 1))  # sorted by tag
+        cut = int(np.searchsorted(batch.column("tag").to_numpy(zero_copy_only=False), 1))  # sorted by tag
         if cut:
             held.append(batch.slice(0, cut))
-        if cut == len(tag):
+        if cut == batch.num_rows:
             continue
-        if sorted_parents is None or cut:
-            keys = np.array([f"{n}\x00{k}" for b in held for n, k in zip(b.column("ns").to_pylist(), b.column("key").to_pylist(), strict=True)], dtype=object)
-            order = np.argsort(keys, kind="stable") if len(keys) else np.zeros(0, int)
-            parts = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])[order] if held else np.zeros(0, np.int64) for c in ("a", "b")]
-            sorted_parents = (keys[order].astype(str) if len(keys) else np.zeros(0, "U1"), *parts)
-        parents, created, deleted = sorted_parents
+        if parents is None and held:
+            parents, held = _Parents(held), []
         refs = batch.slice(cut)
-        probe = np.array([f"{n}\x00{k}" for n, k in zip(refs.column("ns").to_pylist(), refs.column("key").to_pylist(), strict=True)])
-        at = np.minimum(np.searchsorted(parents, probe), max(len(parents) - 1, 0))
-        hit = parents[at] == probe if len(parents) else np.zeros(len(probe), bool)
+        n = refs.num_rows
+        hit, born, gone = parents.probe(refs) if parents else (np.zeros(n, bool), np.full(n, _MIN), np.full(n, _MAX))
         first, last = (refs.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        born = np.where(hit, created[at], _MIN) if len(parents) else np.full(len(probe), _MIN)
-        gone = np.where(hit, deleted[at], _MAX) if len(parents) else np.full(len(probe), _MAX)
         keep = np.flatnonzero(~hit | (born > first) | (gone < last))
         if len(keep):
             rows = refs.take(pa.array(keep))
@@ -68,10 +98,13 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     refs = refs.where("ref_id is not null and ref_id <> ''").select("ref_table", "record_id", "ref_field", "ns", "ref_id", "at_s")
     asked = refs.groupBy("ns", F.col("ref_id").alias("key")).agg(F.min("at_s").alias("a"), F.max("at_s").alias("b"))
     lo, hi = F.lit(int(_MIN)), F.lit(int(_MAX))
-    rows = parents.where("key is not null").select(F.lit(0).alias("tag"), "ns", "key", F.coalesce("created_s", lo).alias("a"), F.coalesce("deleted_s", hi).alias("b"))
-    rows = rows.unionByName(asked.select(F.lit(1).alias("tag"), "ns", "key", F.coalesce("a", hi).alias("a"), F.coalesce("b", lo).alias("b")))
-    probed = rows.repartitionByRange("ns", "key").sortWithinPartitions("tag").mapInArrow(_probe, "ns string, key string, missing boolean, parent_s long, deleted_s long")
-    out = refs.join(probed.withColumnRenamed("key", "ref_id"), ["ns", "ref_id"])
+    known = parents.where("key is not null").select(F.lit(0).alias("tag"), "ns", "key", F.coalesce("created_s", lo).alias("a"), F.coalesce("deleted_s", hi).alias("b"))
+    rows = known.unionByName(asked.select(F.lit(1).alias("tag"), "ns", "key", F.coalesce("a", hi).alias("a"), F.coalesce("b", lo).alias("b")))
+    rows = rows.select("tag", F.xxhash64("ns", "key").alias("h"), "ns", "key", "a", "b")
+    parts = max(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parents.count() // RANGE_ROWS))
+    probed = rows.repartitionByRange(parts, "h").sortWithinPartitions("tag").mapInArrow(_probe, "ns string, key string, missing boolean, parent_s long, deleted_s long")
+    salted = probed.withColumnRenamed("key", "ref_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = refs.withColumn("salt", F.pmod(F.xxhash64("record_id", "at_s"), F.lit(SALTS)).cast("int")).join(salted, ["ns", "ref_id", "salt"])
     kinds = F.when(F.col("missing"), F.array(F.lit("missing"))).otherwise(
         F.array_compact(F.array(F.when(F.col("parent_s") > F.col("at_s"), "late"), F.when(F.col("deleted_s") < F.col("at_s"), "deleted")))
     )

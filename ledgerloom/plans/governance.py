@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import detect, episodes, governance, rails, view
+from ledgerloom.operators import detect, episodes, governance, rails, rollups, view
 from ledgerloom.operators.confirmation import confirmation_rail
 from ledgerloom.operators.ledger import nodes, patches
-from ledgerloom.plans.retrieval import N, P, V, lexical_sql, quoted, top_sql
+from ledgerloom.operators.values import value_rail
+from ledgerloom.plans import cases
+from ledgerloom.plans.retrieval import N, P, V, lexical_sql, quoted, rows_sql, top_sql
 from ledgerloom.session import table
 
 TURNS = {
@@ -21,9 +23,10 @@ CHECKPOINTS = {
 
 
 def _turns(s, d) -> DataFrame:
-    """Contents and quotes of all nodes as user turns."""
+    """Contents and quotes of all nodes, and the made turns, as user turns."""
     both = F.array(F.struct(F.lit("content").alias("field"), F.col("content").alias("text")), F.struct(F.lit("quote").alias("field"), F.col("source.quote").alias("text")))
-    return nodes(s, d).select("id", F.inline(both)).where("text is not null and text <> ''")
+    made = s.createDataFrame([(i, "made", t) for i, t in cases.MADE_TURNS], "id string, field string, text string")
+    return nodes(s, d).select("id", F.inline(both)).where("text is not null and text <> ''").unionByName(made)
 
 
 def classify_patch(s, d):
@@ -90,17 +93,17 @@ def project_detect(s, d):
 
 def revocations(s, d):
     turns = patches(s, d).select("id", F.lit(None).cast("string").alias("speaker_id"), F.concat_ws(" ", "reason", "new_content").alias("text"))
-    return governance.revocations(turns.unionByName(_turns(s, d).where("field = 'quote'").select("id", F.lit("prin_000").alias("speaker_id"), "text")), table(s, d, "principals"))
+    return governance.revocations(turns.unionByName(_turns(s, d).where("field <> 'content'").select("id", F.lit("prin_000").alias("speaker_id"), "text")), table(s, d, "principals"))
 
 
 def acl_authorized(s, d):
-    asked = table(s, d, "principals").where(F.col("principal_id").isin("prin_000", "prin_001", "prin_002"))
-    return governance.authorized(view.effective_view(nodes(s, d)).select("id", F.col("scope.project").alias("project_id")), _acl(s, d), asked)
+    """All principals; nodes that are open to all come once."""
+    return governance.authorized(view.effective_view(nodes(s, d)).select("id", F.col("scope.project").alias("project_id")), _acl(s, d), table(s, d, "principals"))
 
 
-def acl_authorized_all(s, d):
-    """All principals; acl_authorized is a sample of three of them."""
-    return governance.authorized(view.effective_view(nodes(s, d)).select("id", F.col("scope.project").alias("project_id")), _acl(s, d), table(s, d, "principals"))
+def revoked_access(s, d):
+    turns = s.createDataFrame([("r1", "prin_000", "please revoke my access"), ("r2", "prin_001", "Access to all of it was revoked"), ("r3", "prin_002", "all is well"), ("r4", None, "revoke it")], "id string, speaker_id string, text string")
+    return governance.revoked_access(turns, table(s, d, "principals").where("false"), _acl(s, d))
 
 
 def _checkpoints(s, d) -> dict[str, tuple[str, str]]:
@@ -131,16 +134,35 @@ def prediction_rows(s, d):
 
 
 def axis_summary(s, d):
-    """Share of nodes by status and type that hold a value with a digit-bearing code."""
+    """Rates of the made scores."""
+    return rollups.axis_rates(s.createDataFrame(cases.SCORED, "query_type string, protected boolean, leaked boolean, useful boolean, answered boolean"))
+
+
+def coded_share(s, d):
+    """Share of nodes by status and type that hold a value with a digit-bearing code."""
     coded = F.size(text.code_spans(F.col("content"))) > 0
     return nodes(s, d).groupBy("status", "type").agg(F.count("*").alias("n"), F.round(F.avg(coded.cast("int")), 6).alias("rate"))
 
 
+def suite_rollup(s, d):
+    return rollups.suite_rollup(s.createDataFrame(cases.SUITES, "name string, ok boolean, score double"))
+
+
+def manifest_counts(s, d):
+    return rollups.manifest_counts(s.createDataFrame(cases.MANIFEST, "query_type string, expected_action string, fields array<string>"), ("expected_action", "gold"))
+
+
+def action_counts(s, d):
+    """Operations of all patches by their first word of reason, with the targets as hits."""
+    p = patches(s, d).select(F.col("operation").alias("action"), F.lower(F.substring_index(F.trim("reason"), " ", 1)).alias("query_type"), F.size(F.coalesce("target_ids", F.array().cast("array<string>"))).alias("hits"))
+    return rollups.action_counts(p)
+
+
 def _triples(s, d) -> DataFrame:
-    """Each superseding node as an answer, the node it replaces as context and its quote as query."""
+    """Each superseding node as an answer, every node it replaces as context and its quote as query."""
     n = nodes(s, d)
-    first = n.select("id", F.col("content").alias("answer"), F.coalesce("source.quote", F.lit("")).alias("query"), F.try_element_at(F.col("relations")["supersedes"], F.lit(1)).alias("old"))
-    return first.join(n.select(F.col("id").alias("old"), F.col("content").alias("context")), "old", "left").select("id", "answer", F.coalesce("context", F.lit("")).alias("context"), "query")
+    own = n.select("id", F.col("content").alias("answer"), F.coalesce("source.quote", F.lit("")).alias("query"), F.explode_outer(F.array_distinct(F.col("relations")["supersedes"])).alias("old"))
+    return own.join(n.select(F.col("id").alias("old"), F.col("content").alias("context")), "old", "left").select("id", "old", "answer", F.coalesce("context", F.lit("")).alias("context"), "query")
 
 
 def pii_spans(s, d):
@@ -152,17 +174,27 @@ def email_spans(s, d):
 
 
 def rail_pii(s, d):
-    return rails.pii_rail(_triples(s, d)).select("id", F.array_join("candidates", "|").alias("candidates"), F.array_join("ungrounded", "|").alias("ungrounded"), "refuse")
+    return rails.pii_rail(_triples(s, d)).select("id", "old", F.array_join("candidates", "|").alias("candidates"), F.array_join("ungrounded", "|").alias("ungrounded"), "refuse")
 
 
 def rail_values(s, d):
-    return _triples(s, d).select("id", rails.value_rail(F.col("answer"), F.col("context"), F.col("query")).alias("v")).select("id", F.array_join("v.candidates", "|").alias("candidates"), F.array_join("v.ungrounded", "|").alias("ungrounded"))
+    return _triples(s, d).select("id", "old", value_rail(F.col("answer"), F.col("context"), F.col("query")).alias("v")).select("id", "old", F.array_join("v.candidates", "|").alias("candidates"), F.array_join("v.ungrounded", "|").alias("ungrounded"))
 
 
 def rail_confirmation(s, d):
-    """Quotes as answers to the question whether the replaced node's name still holds."""
-    rows = _triples(s, d).withColumn("probe", F.concat(F.lit("is the previous name still "), F.substring("context", 1, 60), F.lit("?")))
-    return rows.select("id", confirmation_rail(F.concat(F.lit("Yes, "), "answer"), F.col("context"), F.col("probe")).alias("c")).where("c.span is not null").select("id", "c.span", "c.reason")
+    """Nodes that replace another, as answers to the question in their quote."""
+    return _triples(s, d).select("id", "old", confirmation_rail(F.col("answer"), F.col("context"), F.col("query")).alias("c")).where("c.span is not null").select("id", "old", "c.span", "c.reason")
+
+
+def rail_confirmation_cases(s, d):
+    rows = s.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases.CONFIRMATIONS)], "n long, answer string, context string, query string")
+    return rows.select("n", confirmation_rail(F.col("answer"), F.col("context"), F.col("query")).alias("c")).select("n", "c.reason")
+
+
+def rail_value_cases(s, d):
+    rows = s.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases.VALUES)], "n long, answer string, context string, query string")
+    found = rows.select("n", value_rail(F.col("answer"), F.col("context"), F.col("query")).alias("v"))
+    return found.select("n", F.array_join("v.candidates", "|").alias("candidates"), F.array_join("v.ungrounded", "|").alias("ungrounded"))
 
 
 def episode_replay(s, d):
@@ -172,12 +204,14 @@ def episode_replay(s, d):
 
 
 def rail_facade(s, d):
-    return rails.apply_rails(_triples(s, d)).select("id", "refused", "flagged", "text")
+    return rails.apply_rails(_triples(s, d)).select("id", "old", "refused", "flagged", "text")
 
 
 def rail_postprocess_counts(s, d):
-    """What the rails did, counted."""
-    return rail_facade(s, d).groupBy("flagged", "refused").agg(F.count("*").alias("n"))
+    """Every node's content as the answer of its own checkpoint, held against the nodes it replaces as predictions."""
+    answers = nodes(s, d).select(F.col("id").alias("checkpoint_id"), F.col("content").alias("answer"))
+    said = _triples(s, d).where("old is not null").select(F.col("id").alias("checkpoint_id"), "context", "query")
+    return rails.postprocess_counts(rails.postprocess(answers, said))
 
 
 def leak_targets(s, d):
@@ -188,11 +222,11 @@ def leak_targets(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_patch, classify_turn, correction_triggers, weak_signal, question, conditional, reported_speech, date_keys, value_entries, value_contradiction, patch_candidates, project_detect, revocations, acl_authorized, acl_authorized_all, policy_pack, leak_check, prediction_rows, axis_summary,
-    pii_spans, email_spans, rail_pii, rail_values, rail_confirmation, rail_facade, episode_replay, rail_postprocess_counts, leak_targets,
+    classify_patch, classify_turn, correction_triggers, weak_signal, question, conditional, reported_speech, date_keys, value_entries, value_contradiction, patch_candidates, project_detect, revocations, revoked_access, acl_authorized, policy_pack, leak_check, prediction_rows, axis_summary, coded_share, suite_rollup, manifest_counts, action_counts,
+    pii_spans, email_spans, rail_pii, rail_values, rail_confirmation, rail_confirmation_cases, rail_value_cases, rail_facade, episode_replay, rail_postprocess_counts, leak_targets,
 )}
 
-TU = "tu AS (SELECT id, 'content' AS field, content AS text FROM n WHERE content <> '' UNION ALL SELECT id, 'quote', source.quote FROM n WHERE source.quote <> '')"
+TU = "tu AS (SELECT id, 'content' AS field, content AS text FROM n WHERE content <> '' UNION ALL SELECT id, 'quote', source.quote FROM n WHERE source.quote <> '' UNION ALL SELECT id, 'made', text FROM (VALUES " + ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in cases.MADE_TURNS) + ") m(id, text))"
 
 
 def _hit(t: str, triggers: list[str]) -> str:
@@ -222,11 +256,18 @@ SQL = {
     "conditional": f"WITH {N}, {TU} SELECT id, field FROM tu WHERE contains({_REST}, '만약') OR contains({_REST}, '혹시') OR regexp_matches(lower({_REST}), {quoted(detect.EDGE_L + '(if|in case|unless)' + detect.EDGE_R)}) OR regexp_matches({_REST}, '[가-힣]면([\\s,.]|$)')",
     "reported_speech": f"WITH {N}, {TU} SELECT id, field FROM tu WHERE {_CORR} IS NULL AND regexp_matches(text, '(이)?라고\\s*(했|그러던데|하더라|전했)')",
     "project_detect": f"WITH {N}, {PROJECTS}, a AS (SELECT DISTINCT project_id, lower(CASE WHEN contains(project_id, '_') THEN substr(project_id, strpos(project_id, '_') + 1) ELSE project_id END) AS alias FROM pj), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM n) SELECT DISTINCT id, project_id FROM w JOIN a ON alias = word WHERE alias <> ''",
-    "revocations": f"""WITH {N}, {P}, {TU}, t AS (SELECT id, NULL AS sp, concat_ws(' ', reason, new_content) AS text FROM p UNION ALL SELECT id, 'prin_000', text FROM tu WHERE field = 'quote'), r AS (SELECT * FROM t WHERE {_words(detect.REVOKE_WORDS)}),
+    "revocations": f"""WITH {N}, {P}, {TU}, t AS (SELECT id, NULL AS sp, concat_ws(' ', reason, new_content) AS text FROM p UNION ALL SELECT id, 'prin_000', text FROM tu WHERE field <> 'content'), r AS (SELECT * FROM t WHERE {_words(detect.REVOKE_WORDS)}),
 w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM r), m AS (SELECT id, min(principal_id) AS who FROM w JOIN principals ON lower(split_part(trim(display_name), ' ', 1)) = word GROUP BY id) SELECT r.id, coalesce(m.who, r.sp) AS principal_id FROM r LEFT JOIN m ON m.id = r.id""",
-    "acl_authorized": f"WITH {N}, {V}, {ACL}, ask AS (SELECT principal_id FROM principals WHERE principal_id IN ('prin_000', 'prin_001', 'prin_002')) SELECT ask.principal_id, v.id FROM v JOIN ask ON coalesce(v.scope.project, '') = '' OR EXISTS (FROM acl WHERE acl.project_id = v.scope.project AND acl.principal_id = ask.principal_id)",
-    "acl_authorized_all": f"WITH {N}, {V}, {ACL}, ok AS (SELECT DISTINCT v.id, acl.principal_id FROM v JOIN acl ON acl.project_id = v.scope.project WHERE v.scope.project <> '') SELECT principal_id, id FROM ok JOIN (SELECT DISTINCT principal_id FROM principals) USING (principal_id) UNION ALL SELECT principal_id, id FROM v, (SELECT DISTINCT principal_id FROM principals) WHERE coalesce(v.scope.project, '') = ''",
-    "axis_summary": f"WITH {N} SELECT status, type, count(*) AS n, round(avg((len(list_filter(regexp_extract_all(content, '\\b[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+\\b'), lambda x: regexp_matches(x, '[0-9]'))) > 0)::INT), 6) AS rate FROM n GROUP BY ALL",
+    "acl_authorized": f"WITH {N}, {V}, {ACL} SELECT DISTINCT acl.principal_id, v.id FROM v JOIN acl ON acl.project_id = v.scope.project JOIN principals USING (principal_id) WHERE v.scope.project <> '' UNION ALL SELECT '*', id FROM v WHERE coalesce(v.scope.project, '') = ''",
+    "revoked_access": f"WITH {N}, {ACL} SELECT DISTINCT project_id, principal_id FROM acl WHERE principal_id IN ('prin_000', 'prin_001')",
+    "axis_summary": f"SELECT * FROM (VALUES {rows_sql(cases.RATES)}) t(query_type, n, n_protected, leak_rate, n_useful, utility_rate)",
+    "suite_rollup": f"SELECT * FROM (VALUES {rows_sql(cases.SUITE_TOTAL)}) t(ok, n, score, percent)",
+    "manifest_counts": f"SELECT * FROM (VALUES {rows_sql(cases.MANIFEST_COUNTS)}) t(axis, value, n)",
+    "action_counts": f"""WITH {P}, r AS (SELECT operation AS action, lower(split_part(trim(reason), ' ', 1)) AS query_type, coalesce(len(target_ids), 0) AS hits FROM p)
+SELECT 'action' AS axis, coalesce(action, '') AS value, count(*) AS n, sum(hits)::BIGINT AS n_hits FROM r GROUP BY ALL UNION ALL SELECT 'query_type', coalesce(query_type, ''), count(*), sum(hits)::BIGINT FROM r GROUP BY ALL""",
+    "rail_confirmation_cases": f"SELECT * FROM (VALUES {rows_sql([(k, c[3]) for k, c in enumerate(cases.CONFIRMATIONS)])}) t(n, reason)",
+    "rail_value_cases": f"SELECT * FROM (VALUES {rows_sql([(k, '|'.join(c[3]), '|'.join(c[4])) for k, c in enumerate(cases.VALUES)])}) t(n, candidates, ungrounded)",
+    "coded_share": f"WITH {N} SELECT status, type, count(*) AS n, round(avg((len(list_filter(regexp_extract_all(content, '\\b[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+\\b'), lambda x: regexp_matches(x, '[0-9]'))) > 0)::INT), 6) AS rate FROM n GROUP BY ALL",
     "email_spans": f"WITH {N}, {TU} SELECT DISTINCT id, field, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM tu",
     "leak_targets": f"WITH {N} SELECT id FROM n WHERE contains(lower(content), lower(type)) OR (coalesce(scope.project, '') <> '' AND contains(lower(content), lower(scope.project)))",
     "date_keys": f"""WITH {N}, {TU}, x AS (SELECT id, field, regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS iso, list_transform(regexp_extract_all(text, '\\d{{1,2}}월\\s*\\d{{1,2}}일'), lambda m: lpad(regexp_extract(m, '(\\d+)월', 1), 2, '0') || '-' || lpad(regexp_extract(m, '(\\d+)일', 1), 2, '0')) AS md FROM tu)

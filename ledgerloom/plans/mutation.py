@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import index, integrity, mutate, view
 from ledgerloom.operators.integrity import EDGE_TYPES, NODE_TYPES
 from ledgerloom.operators.ledger import NODE_STATUSES, PATCH_OPERATIONS, REPLACING, RETIRING, SESSION_STATUSES, edges, nodes, patches, sessions
-from ledgerloom.plans.retrieval import AS_OF, DOC, E, N, P, TOKENS, V
+from ledgerloom.plans import cases
+from ledgerloom.plans.retrieval import AS_OF, DOC, E, N, P, TOKENS, V, rows_sql
 from ledgerloom.session import table
 
 ALL_REPLACING = ("update", "supersede", "refine", "expand", "narrow", "merge", "split", "resolve_conflict")
@@ -39,21 +40,25 @@ def status_history(s, d):
 
 
 def rollback(s, d):
-    return mutate.rollback(nodes(s, d), patches(s, d).where("operation = 'merge'"))
+    return mutate.rollback(nodes(s, d), patches(s, d))
 
 
 def rolled_back_links(s, d):
-    return mutate.rolled_back_links(nodes(s, d), patches(s, d).where("operation = 'supersede'")).withColumn("superseded_by", F.array_join(F.array_sort("superseded_by"), ","))
+    return mutate.rolled_back_links(nodes(s, d), patches(s, d)).withColumn("superseded_by", F.array_join(F.array_sort("superseded_by"), ","))
 
 
-def rollback_all(s, d):
-    """Patches of every operation; rollback is the part of merge patches."""
-    return mutate.rollback(nodes(s, d), patches(s, d))
+def rollback_patches(s, d):
+    return mutate.rollback_patches(patches(s, d)).withColumns({"target_ids": F.array_join("target_ids", ","), "new_node_ids": F.array_join("new_node_ids", ",")})
 
 
-def rolled_back_links_all(s, d):
-    """Patches of every operation; rolled_back_links is the part of supersede patches."""
-    return mutate.rolled_back_links(nodes(s, d), patches(s, d)).withColumn("superseded_by", F.array_join(F.array_sort("superseded_by"), ","))
+def reactivated(s, d):
+    return mutate.reactivated(nodes(s, d), patches(s, d))
+
+
+def new_nodes(s, d):
+    """A node of each document that has text, with its source as label."""
+    docs = table(s, d, "documents").select(F.col("text").alias("content"), F.struct(F.col("source").alias("label")).alias("source"), "doc_id").where("source.label is not null")
+    return mutate.new_nodes(docs).select("doc_id", "id", "status", F.length("content").cast("long").alias("n_chars"))
 
 
 def patch_diff(s, d):
@@ -77,8 +82,8 @@ def session_fork(s, d):
 
 
 def session_start_once(s, d):
-    """Sessions named by documents that do not exist yet."""
-    wanted = table(s, d, "documents").where("session_id is not null").select(F.col("session_id").alias("id"))
+    """Sessions named by documents, and made ones, that do not exist yet."""
+    wanted = table(s, d, "documents").where("session_id is not null").select(F.col("session_id").alias("id")).unionByName(s.createDataFrame([(i,) for i in cases.WANTED_SESSIONS], "id string"))
     return mutate.start_sessions(sessions(s, d), wanted)
 
 
@@ -102,14 +107,22 @@ def id_remap(s, d):
     return mutate.remap_edges(edges(s, d), import_merge(s, d))
 
 
-def _slice(s, d):
-    ids_ = [r[0] for r in sessions(s, d).select("id").orderBy("id").limit(5).collect()]
-    return mutate.export_slice(nodes(s, d), patches(s, d), edges(s, d), sessions(s, d), ids_)
+def import_nodes(s, d):
+    """The ledger after the import."""
+    landed = import_merge(s, d)
+    return mutate.merged_nodes(nodes(s, d), _remote(s, d), landed, "peer").withColumn("contradicts", F.array_join("contradicts", ","))
+
+
+def import_patches(s, d):
+    """All patches, as the other ledger's, under the ids their nodes landed on."""
+    return mutate.remap_patches(patches(s, d), import_merge(s, d)).withColumns({"target_ids": F.array_join("target_ids", ","), "new_node_ids": F.array_join("new_node_ids", ",")})
 
 
 def export_slice(s, d):
+    """The part of the ledger that belongs to any session that has ended."""
+    chosen = sessions(s, d).where("status = 'ended'").select("id")
     out = None
-    for kind, df in _slice(s, d).items():
+    for kind, df in mutate.export_slice(nodes(s, d), patches(s, d), edges(s, d), sessions(s, d), chosen).items():
         one = df.select(F.lit(kind).alias("kind"), "id")
         out = one if out is None else out.unionByName(one)
     return out
@@ -128,11 +141,21 @@ def validate_patches(s, d):
 
 
 def validate_edges(s, d):
-    return integrity.validate_edges(edges(s, d))
+    made = s.createDataFrame(cases.BAD_EDGES, "id string, schema_version string, type string")
+    return integrity.validate_edges(edges(s, d).select("id", "schema_version", "type").unionByName(made))
+
+
+def validate_edge_ends(s, d):
+    return integrity.validate_edge_ends(edges(s, d), nodes(s, d), patches(s, d))
+
+
+def validate_records(s, d):
+    return integrity.validate_records(s.createDataFrame(cases.FILES, "path string, value string"))
 
 
 def validate_sessions(s, d):
-    return integrity.validate_sessions(sessions(s, d))
+    made = s.createDataFrame(cases.BAD_SESSIONS, "id string, schema_version string, status string, started_at string")
+    return integrity.validate_sessions(sessions(s, d).select("id", "schema_version", "status", "started_at").unionByName(made))
 
 
 def dangling_refs(s, d):
@@ -156,7 +179,8 @@ def citations(s, d):
 
 
 def forbidden_keys(s, d):
-    return integrity.forbidden_keys(nodes(s, d), "metadata").select("id", "metadata")
+    made = s.createDataFrame(cases.BAD_JSON, "id string, metadata string")
+    return integrity.forbidden_keys(nodes(s, d).select("id", "metadata").unionByName(made), "metadata").select("id")
 
 
 def postings(s, d):
@@ -184,8 +208,8 @@ def source_labels(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    patch_status_ops, patch_replace_ops, patch_edges, patch_replay, patch_replay_asof, status_history, rollback, rolled_back_links, rollback_all, rolled_back_links_all, patch_diff, session_end_promote, session_end_discard, session_merge, session_fork, session_start_once, import_merge, import_counts, id_remap,
-    export_slice, push_select, validate_nodes, validate_patches, validate_edges, validate_sessions, dangling_refs, stale_active, audit_findings, citations, forbidden_keys, postings, day_buckets, adjacency, ntriples, index_summary, source_labels,
+    patch_status_ops, patch_replace_ops, patch_edges, patch_replay, patch_replay_asof, status_history, rollback, rolled_back_links, rollback_patches, reactivated, new_nodes, patch_diff, session_end_promote, session_end_discard, session_merge, session_fork, session_start_once, import_merge, import_counts, import_nodes, import_patches, id_remap,
+    export_slice, push_select, validate_nodes, validate_patches, validate_edges, validate_edge_ends, validate_records, validate_sessions, dangling_refs, stale_active, audit_findings, citations, forbidden_keys, postings, day_buckets, adjacency, ntriples, index_summary, source_labels,
 )}
 
 T = "t AS (SELECT id AS patch_id, operation, created_s, unnest(target_ids) AS id, generate_subscripts(target_ids, 1) AS pos FROM p), tg AS (SELECT * FROM t WHERE id IS NOT NULL AND id <> '')"
@@ -195,7 +219,7 @@ hit AS (SELECT tg.patch_id, tg.pos, n.* FROM tg JOIN mk ON mk.id = tg.patch_id J
 made AS (SELECT 'mem_' || left(sha256(mk.id), 12) AS id, mk.id AS patch_id, g.f.type AS type, g.f.key AS key, g.f.ws AS workspace, g.f.pr AS project, mk.new_content AS content, mk.reason AS quote, 'patch:' || mk.id AS label, g.tags, g.targets,
   CASE mk.operation WHEN 'supersede' THEN 'supersedes' WHEN 'refine' THEN 'refines' WHEN 'expand' THEN 'expands' WHEN 'narrow' THEN 'narrows' WHEN 'merge' THEN 'derived_from' WHEN 'split' THEN 'derived_from' WHEN 'resolve_conflict' THEN 'resolves' END AS relation
   FROM mk JOIN (SELECT patch_id, arg_min(struct_pack(type := type, key := key, ws := scope.workspace, pr := scope.project), pos) AS f, list_sort(list_distinct(flatten(list(coalesce(tags, []))))) AS tags, list_sort(list_distinct(list(id))) AS targets FROM hit GROUP BY patch_id) g ON g.patch_id = mk.id)"""
-_SAME = " AND ".join([f"r.{f} IS NOT DISTINCT FROM l.{f}" for f in ("type", "key", "content", "status", "confidence", "priority", "tags")] + [f'r.scope."{f}" IS NOT DISTINCT FROM l.scope."{f}"' for f in ("user", "workspace", "project", "agent", "session")])
+_SAME = " AND ".join([f"r.{f} IS NOT DISTINCT FROM l.{f}" for f in ("type", "key", "content", "status", "confidence", "priority", "tags", "source", "retrieval", "metadata")] + [f'r.scope."{f}" IS NOT DISTINCT FROM l.scope."{f}"' for f in ("user", "workspace", "project", "agent", "session")])
 IMPORT = f"""rm AS (SELECT * REPLACE (CASE WHEN substr(id, 6, 1) < '4' THEN 'mem_r' || substr(id, 6, 11) ELSE id END AS id, CASE WHEN substr(id, 6, 1) BETWEEN '4' AND '7' THEN content || ' (changed)' ELSE content END AS content) FROM n WHERE substr(id, 5, 1) < '8'),
 oc AS (SELECT r.id, CASE WHEN l.id IS NULL THEN 'imported' WHEN {_SAME} THEN 'skipped' ELSE 'conflict' END AS outcome FROM rm r LEFT JOIN n l ON l.id = r.id),
 im AS (SELECT id, outcome, CASE WHEN outcome = 'conflict' THEN 'mem_' || left(sha256('peer/' || id), 12) ELSE id END AS landed_id FROM oc)"""
@@ -215,8 +239,8 @@ VP = f"""vp AS (SELECT id, 'schema_version' AS problem FROM p WHERE NOT regexp_m
 VE = f"ve AS (SELECT id, 'schema_version' AS problem FROM e WHERE NOT regexp_matches(coalesce(schema_version, ''), '\\.memory_edge\\.v0\\.1$') UNION ALL SELECT id, 'id prefix' FROM e WHERE NOT starts_with(id, 'edge_') UNION ALL SELECT id, 'unknown type' FROM e WHERE coalesce(type, '') NOT IN {EDGE_TYPES})"
 VS = f"vs AS (SELECT id, 'schema_version' AS problem FROM agent_sessions WHERE NOT regexp_matches(coalesce(schema_version, ''), '\\.session\\.v0\\.1$') UNION ALL SELECT id, 'unknown status' FROM agent_sessions WHERE coalesce(status, '') NOT IN {SESSION_STATUSES} UNION ALL SELECT id, 'missing started_at' FROM agent_sessions WHERE started_at IS NULL)"
 STALE = "sx AS (SELECT id, unnest(relations['supersedes']) AS target_id FROM n WHERE status = 'active'), st AS (SELECT DISTINCT id, target_id FROM sx WHERE target_id IN (SELECT id FROM n WHERE status = 'active'))"
-FIVE = "five AS (SELECT id FROM agent_sessions ORDER BY id LIMIT 5)"
-SLICE = f"""{FIVE}, want AS (SELECT unnest(loaded_memory_ids) AS id FROM agent_sessions WHERE id IN (FROM five) UNION SELECT id FROM n WHERE scope.session IN (FROM five)), pn AS (SELECT id FROM n WHERE id IN (SELECT id FROM want WHERE id IS NOT NULL))"""
+ENDED = "ended_ AS (SELECT id FROM agent_sessions WHERE status = 'ended')"
+SLICE = f"""{ENDED}, want AS (SELECT unnest(loaded_memory_ids) AS id FROM agent_sessions WHERE id IN (FROM ended_) UNION SELECT id FROM n WHERE scope.session IN (FROM ended_)), pn AS (SELECT id FROM n WHERE id IN (SELECT id FROM want WHERE id IS NOT NULL))"""
 BLOCK = "substr(split_part(id, '_', -1), 1, 2)"
 DAY = "coalesce(strftime(to_timestamp(coalesce(from_s, created_s)) AT TIME ZONE 'UTC', '%Y-%m-%d'), '')"
 _LABEL = "coalesce(CASE WHEN source.label <> '' THEN source.label END, 'session:' || source.session_ids[1], 'unknown')"
@@ -230,30 +254,38 @@ SQL = {
     "patch_replay_asof": f"WITH {N}, {P}, {T}, l AS (SELECT id, max((created_s, patch_id, {AFTER})) AS m FROM tg WHERE {AFTER} IS NOT NULL AND created_s <= {AS_OF} GROUP BY id) SELECT n.id, coalesce(l.m[3], n.status) AS status, l.m[2] AS by_patch FROM n LEFT JOIN l ON l.id = n.id",
     "status_history": f"""WITH {N}, {P}, {T}, h AS (SELECT DISTINCT id, patch_id, created_s, {AFTER} AS st FROM tg WHERE {AFTER} IS NOT NULL)
 SELECT h.id, patch_id, st AS status, coalesce(lag(st) OVER w, n.status) AS prior_status, h.created_s AS valid_from_s, lead(h.created_s) OVER w AS valid_until_s FROM h JOIN n ON n.id = h.id WINDOW w AS (PARTITION BY h.id ORDER BY h.created_s, patch_id)""",
-    "rollback": f"""WITH {N}, {P}, m AS (SELECT * FROM p WHERE operation = 'merge'), b AS (SELECT id AS patch_id, prior_states, unnest(target_ids) AS nid FROM m), u AS (SELECT patch_id, nid, coalesce(prior_states[nid], 'active') AS status, 0 AS step FROM b UNION ALL SELECT id, unnest(new_node_ids), 'discarded', 1 FROM m)
-SELECT patch_id, nid AS id, max((step, status))[2] AS status FROM u WHERE nid IN (SELECT id FROM n) GROUP BY ALL""",
-    "rolled_back_links": f"""WITH {N}, {P}, h AS (SELECT DISTINCT id AS patch_id, coalesce(new_node_ids, []) AS made, unnest(target_ids) AS id FROM p WHERE operation = 'supersede')
-SELECT h.patch_id, h.id, array_to_string(list_sort(list_distinct(list_filter(n.relations['superseded_by'], lambda x: NOT list_contains(list_filter(h.made, lambda y: y IS NOT NULL AND y <> ''), x)))), ',') AS superseded_by FROM h JOIN n ON n.id = h.id WHERE len(n.relations['superseded_by']) > 0""",
-    "rollback_all": f"""WITH {N}, {P}, m AS (SELECT * FROM p), b AS (SELECT id AS patch_id, prior_states, unnest(target_ids) AS nid FROM m), u AS (SELECT patch_id, nid, coalesce(prior_states[nid], 'active') AS status, 0 AS step FROM b UNION ALL SELECT id, unnest(new_node_ids), 'discarded', 1 FROM m)
+    "rollback": f"""WITH {N}, {P}, m AS (SELECT * FROM p), b AS (SELECT id AS patch_id, prior_states, unnest(target_ids) AS nid FROM m), u AS (SELECT patch_id, nid, coalesce(prior_states[nid], 'active') AS status, 0 AS step FROM b UNION ALL SELECT id, unnest(new_node_ids), 'discarded', 1 FROM m)
 SELECT patch_id, nid AS id, max((step, status))[2] AS status FROM u WHERE nid IN (SELECT id FROM n) GROUP BY ALL""",
-    "rolled_back_links_all": f"""WITH {N}, {P}, h AS (SELECT DISTINCT id AS patch_id, coalesce(new_node_ids, []) AS made, unnest(target_ids) AS id FROM p)
+    "rolled_back_links": f"""WITH {N}, {P}, h AS (SELECT DISTINCT id AS patch_id, coalesce(new_node_ids, []) AS made, unnest(target_ids) AS id FROM p)
 SELECT h.patch_id, h.id, array_to_string(list_sort(list_distinct(list_filter(n.relations['superseded_by'], lambda x: NOT list_contains(list_filter(h.made, lambda y: y IS NOT NULL AND y <> ''), x)))), ',') AS superseded_by FROM h JOIN n ON n.id = h.id WHERE len(n.relations['superseded_by']) > 0""",
+    "rollback_patches": f"WITH {P} SELECT 'patch_' || left(sha256(id || '/rollback'), 12) AS id, 'rollback' AS operation, array_to_string(list_filter(coalesce(target_ids, []), lambda x: x <> ''), ',') AS target_ids, '' AS new_node_ids, 'rollback of ' || id AS reason, id AS rolled_back FROM p",
+    "reactivated": f"WITH {N}, {P}, {T} SELECT DISTINCT tg.patch_id, tg.id, 'active' AS status, 'derived_from' AS type FROM tg JOIN p ON p.id = tg.patch_id JOIN n ON n.id = tg.id WHERE p.operation IN ('create', 'rollback') AND coalesce(p.new_content, '') <> ''",
     "patch_diff": f"WITH {N}, {P}, s AS (SELECT DISTINCT id AS patch_id, 'target' AS role, unnest(target_ids) AS nid FROM p UNION SELECT id, 'new', unnest(new_node_ids) FROM p) SELECT patch_id, role, nid AS id, n.status, n.content FROM s LEFT JOIN n ON n.id = nid WHERE nid IS NOT NULL AND nid <> ''",
     "session_end_promote": f"WITH {N} SELECT id, NULL::VARCHAR AS session_id, 'active' AS status FROM n WHERE status = 'active_session'",
     "session_end_discard": f"WITH {N} SELECT id, scope.session AS session_id, 'discarded' AS status FROM n WHERE status = 'active_session'",
     "session_merge": f"WITH {N} SELECT id, key, CASE WHEN key <> '' AND key IN (SELECT key FROM n WHERE status = 'active' AND coalesce(key, '') <> '') THEN 'conflict_pending' ELSE 'active' END AS status FROM n WHERE status = 'active_session'",
     "session_fork": "SELECT 'sess_' || left(sha256(id || '/fork'), 12) AS id, id AS parent_session_id, agent, workspace, project, 'active' AS status, 'fork' AS branch_name, array_to_string(list_filter(loaded_memory_ids, lambda x: x IS NOT NULL), ',') AS loaded_memory_ids FROM agent_sessions WHERE status = 'active'",
-    "session_start_once": "SELECT DISTINCT session_id AS id FROM documents WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT id FROM agent_sessions)",
+    "session_start_once": f"SELECT DISTINCT id FROM (SELECT session_id AS id FROM documents UNION ALL SELECT * FROM (VALUES {rows_sql([(i,) for i in cases.WANTED_SESSIONS])})) WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM agent_sessions)",
     "import_merge": f"WITH {N}, {IMPORT} SELECT id, outcome, landed_id FROM im",
     "import_counts": f"WITH {N}, {IMPORT} SELECT outcome, count(*) AS n FROM im GROUP BY outcome",
     "id_remap": f"WITH {N}, {E}, {IMPORT}, mv AS (SELECT id, landed_id FROM im WHERE landed_id <> id) SELECT e.id, coalesce(a.landed_id, from_id) AS from_id, coalesce(b.landed_id, to_id) AS to_id, type FROM e LEFT JOIN mv a ON a.id = from_id LEFT JOIN mv b ON b.id = to_id",
     "export_slice": f"""WITH {N}, {P}, {E}, {SLICE} SELECT 'nodes' AS kind, id FROM pn UNION ALL SELECT 'patches', id FROM p WHERE list_has_any(coalesce(target_ids, []), (SELECT list(id) FROM pn)) OR list_has_any(coalesce(new_node_ids, []), (SELECT list(id) FROM pn))
-UNION ALL SELECT 'edges', id FROM e WHERE from_id IN (FROM pn) OR to_id IN (FROM pn) UNION ALL SELECT 'sessions', id FROM five""",
+UNION ALL SELECT 'edges', id FROM e WHERE from_id IN (FROM pn) OR to_id IN (FROM pn) UNION ALL SELECT 'sessions', id FROM ended_""",
     "push_select": f"WITH {N} SELECT id, content FROM n WHERE scope.workspace = 'ws_01' AND status = 'active'",
     "validate_nodes": f"WITH {N}, {VN} FROM vn",
     "validate_patches": f"WITH {P}, {VP} FROM vp",
-    "validate_edges": f"WITH {E}, {VE} FROM ve",
-    "validate_sessions": f"WITH {VS} FROM vs",
+    "validate_edges": f"WITH {E.replace('e AS', 'e0 AS', 1)}, e AS (SELECT id, schema_version, type FROM e0 UNION ALL SELECT * FROM (VALUES {rows_sql(cases.BAD_EDGES)})), {VE} FROM ve",
+    "validate_edge_ends": f"WITH {N}, {P}, {E} SELECT id, 'unknown from' AS problem FROM e WHERE coalesce(from_id, '') NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'unknown to' FROM e WHERE coalesce(to_id, '') NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'unknown source patch' FROM e WHERE coalesce(source_patch_id, '') <> '' AND source_patch_id NOT IN (SELECT id FROM p)",
+    "validate_records": f"SELECT * FROM (VALUES {rows_sql(cases.FILE_PROBLEMS)}) t(path, problem)",
+    "validate_sessions": f"WITH s0 AS (SELECT id, schema_version, status, started_at FROM agent_sessions UNION ALL SELECT * FROM (VALUES {rows_sql(cases.BAD_SESSIONS)})), {VS.replace('agent_sessions', 's0')} FROM vs",
+    "forbidden_keys": f"SELECT * FROM (VALUES {rows_sql([(i,) for i in cases.FORBIDDEN])}) t(id)",
+    "import_nodes": f"""WITH {N}, {IMPORT}, h AS (SELECT n.id, content, CASE WHEN im.landed_id IS NULL THEN status ELSE 'conflict_pending' END AS status, list_concat(coalesce(relations['contradicts'], []), [im.landed_id]) AS c, NULL AS origin FROM n LEFT JOIN im ON im.id = n.id AND outcome = 'conflict'
+  UNION ALL SELECT landed_id, content, status, list_concat(coalesce(relations['contradicts'], []), [CASE WHEN outcome = 'conflict' THEN rm.id END]), 'peer' FROM rm JOIN im ON im.id = rm.id WHERE outcome <> 'skipped')
+SELECT id, content, status, coalesce(array_to_string(list_sort(list_distinct(list_filter(c, lambda x: x IS NOT NULL))), ','), '') AS contradicts, origin FROM h""",
+    "import_patches": f"""WITH {N}, {P}, {IMPORT}, mv AS (SELECT id, landed_id FROM im WHERE landed_id <> id),
+r AS (SELECT id, 't' AS side, unnest(target_ids) AS ref, generate_subscripts(target_ids, 1) AS pos FROM p UNION ALL SELECT id, 'n', unnest(new_node_ids), generate_subscripts(new_node_ids, 1) FROM p),
+g AS (SELECT r.id, string_agg(coalesce(landed_id, ref), ',' ORDER BY pos) FILTER (side = 't') AS t, string_agg(coalesce(landed_id, ref), ',' ORDER BY pos) FILTER (side = 'n') AS n FROM r LEFT JOIN mv ON mv.id = r.ref WHERE ref <> '' GROUP BY r.id)
+SELECT p.id, coalesce(t, '') AS target_ids, coalesce(n, '') AS new_node_ids FROM p LEFT JOIN g ON g.id = p.id""",
     "dangling_refs": f"WITH {N}, {P}, {E}, {DANGLING} FROM dg",
     "stale_active": f"WITH {N}, {STALE} FROM st",
     "audit_findings": f"""WITH {N}, {P}, {E}, {VN}, {VP}, {VE}, {VS}, {DANGLING}, {STALE} SELECT 'doctor' AS finding, (SELECT count(*) FROM vn) + (SELECT count(*) FROM vp) + (SELECT count(*) FROM ve) + (SELECT count(*) FROM vs) + (SELECT count(*) FROM dg) AS n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import ledger, pack, retrieval, view
+from ledgerloom.operators import integrity, ledger, mutate, pack, retrieval, view
 from ledgerloom.operators.ledger import nodes, patches
 from ledgerloom.session import table
 
@@ -127,9 +127,15 @@ def normalized_search(spark, d):
     return _flat(retrieval.normalized_search(_view(spark, d), {"n1": "the budget of the gateway: retention, and drift.", "n2": "Do not merge before ranking"}))
 
 
+#: Hits of made queries: clear, weak, close to the second, alone, alone and weak, equal to the bounds.
+MADE_HITS = [("h1", "a", 20.0, 1), ("h1", "b", 10.0, 2), ("h2", "a", 7.9, 1), ("h2", "b", 1.0, 2), ("h3", "a", 11.4, 1), ("h3", "b", 10.0, 2), ("h4", "a", 9.0, 1), ("h5", "a", 3.0, 1), ("h6", "a", 8.0, 1), ("h6", "b", 4.0, 2)]
+
+
 def confident_hit(spark, d):
-    hits = retrieval.lexical_search(_view(spark, d), ASKED, 2)
-    return retrieval.confident_top_hit(hits, 4.0, 1.0).select("query_id", "id", F.round("score", ROUNDED).alias("score"))
+    """Of the queries of the ledger, and of made ones that fail at the score or at the margin."""
+    made = spark.createDataFrame(MADE_HITS, "query_id string, id string, score double, rank int")
+    hits = retrieval.lexical_search(_view(spark, d), ASKED, 2).select("query_id", "id", "score", "rank").unionByName(made)
+    return retrieval.confident_top_hit(hits).select("query_id", "id", F.round("score", ROUNDED).alias("score"))
 
 
 def exact_value_target(spark, d):
@@ -137,6 +143,17 @@ def exact_value_target(spark, d):
     return retrieval.exact_value_target(_view(spark, d), q).select("query_id", "id", F.col("kind").cast("long").alias("kind"))
 
 
+def recall(spark, d):
+    """Hits with their citations."""
+    raw = table(spark, d, "documents").select(F.concat(F.lit("raw_"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("source_id"), "text")
+    return integrity.recall(_view(spark, d), raw, ASKED["q1"], 10).select(F.col("rank").cast("long").alias("rank"), "id", F.round("score", ROUNDED).alias("score"), "label", "quote", "source_id", "char_start", "char_end", "cited")
+
+
+def forget_by_query(spark, d):
+    """T9."""
+    return mutate.forget_by_query(_view(spark, d), ASKED["q1"])
+
+
 def pack_active(spark, d):
     return pack.active_part(nodes(spark, d), ASKED["q1"], 12, 1500).select(F.col("pos").cast("long").alias("pos"), "id", "n_chars", "used_chars")
 
@@ -172,7 +189,7 @@ def detached_punctuation(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     effective_view, view_with_session, scope_precedence, suppressed_nodes, conflict_nodes, forgotten_like_nodes, retired_targets, unknown_operations, status_counts, point_lookup, tokenize, term_freq, doc_freq, lexical_search, grep_search, graph_search,
-    temporal_search, dense_search, auto_search, exact_auto_search, normalized_search, confident_hit, exact_value_target, pack_active, pack_no_query, pack_suppressed, pack_render, pack_render_toml, sparse_keys, proper_names_and_codes, detached_punctuation,
+    temporal_search, dense_search, auto_search, exact_auto_search, normalized_search, confident_hit, exact_value_target, recall, forget_by_query, pack_active, pack_no_query, pack_suppressed, pack_render, pack_render_toml, sparse_keys, proper_names_and_codes, detached_punctuation,
 )}
 
 #: Common table expressions of the SQL.
@@ -202,6 +219,12 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def rows_sql(rows: list[tuple]) -> str:
+    """Rows of a VALUES clause."""
+    one = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else quoted(x)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
 def lexical_sql(corpus: str, queries: dict[str, str], content: str = "content", name: str = "l") -> str:
     """Scores of all hits as the common table expression name(query_id, id, updated_s, score, reasons)."""
     rows = ", ".join(f"({quoted(q)}, {quoted(t)}, {quoted(x)})" for q, x in queries.items() for t in text.tokens_of(x))
@@ -268,7 +291,11 @@ x AS (SELECT query_id, id, sum(part) AS score, array_to_string(list(mode ORDER B
 f AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part, 0 AS pos, 'grep' AS mode FROM {top_sql("h", 10, "id")} UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank), 1, 'lexical' FROM {top_sql("l", 10)}),
 x AS (SELECT query_id, id, sum(part) AS score, array_to_string(list(mode ORDER BY pos), ',') AS reasons FROM f GROUP BY ALL) {RESULT} FROM {top_sql("x", 10, "score DESC, id DESC")}""",
     "normalized_search": f"WITH {N}, {V}, d AS (SELECT * REPLACE (regexp_replace(content, '([A-Za-z0-9][A-Za-z0-9_/:-]{{3,}})([.,;:])(\\s|$)', '\\1 \\2\\3', 'g') AS content) FROM v), {lexical_sql('d', _NORM)} {RESULT} FROM {top_sql('l', 10)}",
-    "confident_hit": f"WITH {N}, {V}, {lexical_sql('v', ASKED)}, h AS (FROM {top_sql('l', 2)}) SELECT a.query_id, a.id, round(a.score, 6) AS score FROM h a LEFT JOIN h b ON b.query_id = a.query_id AND b.rank = 2 WHERE a.rank = 1 AND a.score >= 4 AND (b.score IS NULL OR a.score >= b.score * 1.0)",
+    "recall": f"""WITH {N}, {V}, {lexical_sql('v', {"q": ASKED["q1"]})}, h AS (FROM {top_sql('l', 10)}), r AS (SELECT 'raw_' || lpad(doc_id::VARCHAR, 6, '0') AS source_id, left(text, 500) AS cited FROM documents),
+s AS (SELECT h.rank, n.id, h.score, coalesce(CASE WHEN source.label <> '' THEN source.label END, 'session:' || source.session_ids[1], 'unknown') AS label, source.quote AS quote, unnest(CASE WHEN len(source.raw_spans) > 0 THEN source.raw_spans ELSE [NULL] END) AS s FROM h JOIN n ON n.id = h.id)
+SELECT rank::BIGINT AS rank, id, round(score, 6) AS score, label, quote, s.source_id AS source_id, s.char_start AS char_start, s.char_end AS char_end, cited FROM s LEFT JOIN r ON r.source_id = s.s.source_id""",
+    "forget_by_query": f"WITH {N}, {V}, {lexical_sql('v', {'q': ASKED['q1']})} SELECT id, 'forgotten' AS status FROM {top_sql('l', 1)}",
+    "confident_hit": f"WITH {N}, {V}, {lexical_sql('v', ASKED)}, h AS (SELECT query_id, id, score, rank FROM {top_sql('l', 2)} UNION ALL SELECT * FROM (VALUES {rows_sql(MADE_HITS)}) m(query_id, id, score, rank)) SELECT a.query_id, a.id, round(a.score, 6) AS score FROM h a LEFT JOIN h b ON b.query_id = a.query_id AND b.rank = 2 WHERE a.rank = 1 AND a.score >= 8 AND (b.score IS NULL OR a.score >= b.score * 1.15)",
     "exact_value_target": f"""WITH {N}, {V}, s(query_id, kind, span) AS (VALUES ('v1', 0, 'lib-19'), ('v1', 0, 'rc-00000'), ('v2', 1, 'orchid ledger'), ('v3', 0, 'nobody_7'), ('v3', 1, 'blue harbor')),
 h AS (SELECT query_id, kind, id FROM v JOIN s ON contains(lower(content), span)) SELECT query_id, id, kind::BIGINT AS kind FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kind, id) = 1""",
     "pack_active": f"WITH {N}, {V}, {_PACK} SELECT pos, id, n_chars, used_chars FROM act",

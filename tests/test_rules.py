@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import codegraph, confirmation, detect, episodes, integrity, rails
+from ledgerloom.operators import codegraph, confirmation, detect, episodes, integrity, rails, values
+from ledgerloom.plans.cases import CONFIRMATIONS, VALUES
 
 
 def one(spark, column, value):
@@ -58,7 +59,30 @@ def test_text_functions(spark):
     assert one(spark, text.strip_stopwords(c), "The budget, of (it) all") == "budget, all" and text.normalized_query("The budget, of (it) all") == "budget , all"
     assert one(spark, text.safe_session_id(c), "..a/b c") == "a-b-c" and one(spark, text.safe_session_id(c), "") == "session"
     assert one(spark, text.redact(c, F.array(F.lit("ab"), F.lit("a.b+c"))), "AB a.b+c xab") == "[REDACTED] [REDACTED] x[REDACTED]"
+    assert one(spark, text.redact(c, F.array(F.lit(r"a\E(b"), F.lit("$1"))), r"x A\E(B $1 y") == "x [REDACTED] [REDACTED] y"
+    got = one(spark, text.redact_counted(c, F.array(F.lit("ab"), F.lit("zz"), F.lit(None), F.lit(""))), "AB ab")
+    assert (got["text"], got["n"]) == ("[REDACTED] [REDACTED]", 1)
     assert one(spark, text.contains_ci(c, "STRASSE"), "die Straße")
+    names = [one(spark, text.raw_safe_name(c, F.lit(x)), n) for n, x in (("a b/c.txt", "1"), ("a b/c.txt", "2"), (None, "1"), (".hidden", "1"), ("x", None))]
+    assert len(set(names)) == 5 and names[0].startswith("a-b-c-") and names[0].endswith(".txt") and names[2].startswith("raw-")
+
+
+def test_modules_and_log(spark):
+    js = "import a, { b } from 'x/y'\nimport \"side\"\n  const q = require('fs')\nimport c from c\nlet z = require('no')\nimport d from \"e.js\"; // from 'f'\nimportant 'g'"
+    assert codegraph._modules(js) == {"x/y", "side", "fs", "e.js"}
+    log = "commit\tc2\tAda\t2026-02-02\n\na.py\nb c.py\n\ncommit\tc1\tBo\t2026-01-01\n\na.py\n"
+    got = [tuple(r) for r in codegraph.history(spark.createDataFrame([(log,), ("",), (None,)], "value string")).collect()]
+    assert sorted(got) == [("c1", 1, "Bo", "2026-01-01", "a.py"), ("c2", 0, "Ada", "2026-02-02", "a.py"), ("c2", 0, "Ada", "2026-02-02", "b c.py")]
+
+
+def test_rails_on_predictions(spark):
+    answers = spark.createDataFrame([("c1", "pay 900,000원"), ("c2", "key is kv_prod_7X3M"), ("c3", "fine"), (None, "x")], "checkpoint_id string, answer string")
+    said = spark.createDataFrame([("c1", "pay 5억", None), ("c1", "pay 5억", None), ("c2", None, None)], "checkpoint_id string, context string, query string")
+    done = rails.postprocess(answers, said)
+    assert {r["checkpoint_id"]: (r["flagged"], r["refused"], [tuple(x) for x in r["by_rule"]]) for r in done.collect()} == {
+        "c1": (True, False, [("900,000", "value")]), "c2": (True, True, [("kv_prod_7X3M", "pii")]), "c3": (False, False, []), None: (False, False, []),
+    }
+    assert rails.postprocess_counts(done).first().asDict() == {"n": 4, "n_flagged": 2, "n_refused": 1, "n_pii": 1, "n_value": 1, "n_confirmation": 0}
 
 
 def test_forbidden_keys(spark):
@@ -66,30 +90,45 @@ def test_forbidden_keys(spark):
     assert [r["id"] for r in integrity.forbidden_keys(spark.createDataFrame(rows, "id string, m string"), "m").collect()] == ["1", "3"]
 
 
-def test_code(spark):
+def test_code(spark, tmp_path):
     files = [("a/x.py", "import os\nfrom a import y\n\nclass K(B):\n    async def f(self, q):\n        pass\n"), ("a/y.py", "def broken(:\n"), ("b.js", "import z from './y'\nexport const go = (a) => a\nfunction run() {}\n"), ("e.txt", "")]
     parsed = codegraph.parse(spark.createDataFrame(files, "path string, text string")).cache()
     got = {(r["path"], r["name"], r["kind"], r["line"]) for r in parsed.selectExpr("path", "inline(symbols)").collect()}
     assert got == {("a/x.py", "K", "class", 4), ("a/x.py", "f", "function", 5), ("b.js", "go", "function", 2), ("b.js", "run", "function", 3)}
     assert {r["path"]: (r["language"], r["lines"]) for r in parsed.collect()} == {"a/x.py": ("python", 7), "a/y.py": ("python", 2), "b.js": ("javascript", 4), "e.txt": ("txt", 0)}
     assert ("a/x.py", "a", "a/__init__.py") not in {tuple(r) for r in codegraph.resolve_imports(parsed).collect()}
+    pairs = spark.createDataFrame([("a/x.py", "b.js", 3), ("a/x.py", "gone.py", 9)], "a string, b string, n long")
+    links = {(r["kind"], r["source"], r["target"], r["weight"]) for r in codegraph.edges(parsed, pairs).collect()}
+    assert ("co_change", "a/x.py", "b.js", 3) in links and ("defines", "b.js", "b.js::go", 1) in links and ("imports", "a/x.py", "os", 1) in links and not any("gone.py" in x for x in links)
+    codegraph.save(parsed, codegraph.edges(parsed, pairs), str(tmp_path / "graph"))
+    files_, links_ = codegraph.load(spark, str(tmp_path / "graph"))
+    assert files_.count() == 4 and {tuple(r) for r in links_.select("kind", "source", "target", "weight").collect()} == links
     hits = codegraph.search(parsed, spark.createDataFrame([("b.js", 9)], "path string, churn long"), "run").collect()
     assert hits[0]["path"] == "b.js" and hits[0]["score"] == 5
 
 
-@pytest.mark.parametrize(
-    ("answer", "context", "query", "reason"),
-    [
-        ("Yes, the former token began with qz", "", "Did the deleted token begin with qz?", "deleted_referent"), ("Yes, Kestrel is Nordwind Cargo", "", "Is it true that Kestrel refers to Nordwind Cargo?", "identity_mapping"),
-        ("Yes, Kestrel refers to Nordwind Cargo", "In the plan Kestrel refers to Nordwind Cargo.", "So Kestrel refers to Nordwind Cargo?", None), ("Yes, the retired token expired in May", "The retired token expired in May", "Is the retired token expired?", None),
-        ("Yes, the retired token expired in May", "The retired token never expired in May", "Is the retired token expired?", "deleted_referent"), ("I don't know", "", "What was the deleted token?", None), ("Yes, sure", "", "Is it sunny?", None), (None, None, None, None), ("\u200bYes.", "", "was the old password removed, the previous password?", "deleted_referent"),
-    ],
-)
+@pytest.mark.parametrize(("answer", "context", "query", "reason"), CONFIRMATIONS)
 def test_confirmations(answer, context, query, reason):
     span, got = confirmation.check(answer, context, query)
     assert got == reason and (span is None) == (reason is None)
 
 
+def test_long_claims_are_cut():
+    span, _ = confirmation.check("Yes, " + "the deleted token was long " * 9, "", "Was the deleted token long?")
+    assert len(span) == 120 and span.endswith("...")
+
+
+@pytest.mark.parametrize(("answer", "context", "query", "found", "loose"), VALUES)
+def test_value_rail(answer, context, query, found, loose):
+    assert values.check(answer, context, query) == (found, loose)
+
+
+def test_bounded_needles():
+    assert not values.contains_bounded("project alders", "project alder") and values.contains_bounded("project_alder은", "project_alder")
+    assert not values.contains_bounded("가나다", "나다") and values.contains_bounded("x나다 y", "나다") and values.contains_bounded("a 12가", "12") and not values.contains_bounded("", "")
+    assert values.contains_bounded("120 12", "12") and not values.contains_bounded("120", "12")
+
+
 def test_replay(spark):
     turns = [
         ("e", 1, "The staging token is kv_prod_42 for Harbor"), ("e", 2, "Lunch is at noon"), ("e", 3, "lunch  IS at noon"), ("e", 4, "Delete kv_prod_42 now, it is retired"), ("e", 5, "Delete the unknown thing"), ("f", 1, None), ("f", 2, "Budget code bx_7 is ten"), ("f", 3, "Actually budget code bx_7 is twelve"), (None, 1, "x"),
