@@ -81,6 +81,24 @@ def lexical_search(nodes: DataFrame, queries: Mapping[str, str], limit: int = 10
     return _top(lexical_scores(nodes, queries), limit)
 
 
+def lexical_join(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """R1, J3 for a table of queries(query_id, query): tokens of nodes and queries meet in a join on the term.
+
+    The scores are those of lexical_search, with the phrase's 5 only where the node shares a token with the query. The limit is the k of each query.
+    """
+    asked = queries.where("query_id is not null and query is not null").select("query_id", "query").distinct()
+    terms = asked.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    tokens = nodes.select("id", "updated_s", F.explode(tokenize(_document())).alias("term"))
+    tf = tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "updated_s", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = nodes.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    weighed = terms.join(df, "term").select("query_id", "term", (F.col("times") * (F.log((n + 1) / (F.col("df") + 0.5)) + 1)).alias("weight"))
+    hits = tf.join(weighed, "term").groupBy("query_id", "id", "updated_s").agg(F.sum(F.col("tf") * F.col("weight")).alias("score"))
+    whole = hits.join(nodes.select("id", F.lower("content").alias("low")), "id").join(asked, "query_id")
+    score = F.round(F.col("score") + F.when(F.contains("low", F.lower("query")), 5.0).otherwise(0.0), 9)
+    return _top(whole.select("query_id", "id", "updated_s", score.alias("score")), limit)
+
+
 def grep_search(nodes: DataFrame, queries: Mapping[str, str], limit: int = 20) -> DataFrame:
     """R2: the query inside content, id or a tag, in order of ids."""
     hit = lambda q: contains_ci(F.col("content"), q) | contains_ci(F.col("id"), q) | F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: contains_ci(t, q))
@@ -141,27 +159,43 @@ def dense_search(vectors: DataFrame, queries: Mapping[str, list[float]], limit:
 
 
 def _block_scores(ids: list[int], unit: np.ndarray, limit: int):
+    """The best rows of a task for each query of a block, with all that equal the last of them, so that ties are settled by the final order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(ids), -np.inf)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column("id").to_numpy()
-            x = np.array(batch.column("vec").to_pylist(), np.float64)
+            vec = batch.column("vec")
+            x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             scores = unit @ (x / np.where(norm == 0, 1, norm)).T
-            # every row as good as the limit-th, so that ties are settled by the final order
-            k = min(limit, scores.shape[1])
-            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            q, j = np.nonzero(scores >= least - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), pa.array(own[j]), pa.array(scores[q, j])], names=["query_id", "id", "score"])
+            if scores.shape[1] >= limit:
+                least = np.maximum(least, -np.partition(-scores, limit - 1, axis=1)[:, limit - 1])
+            q, j = np.nonzero(scores >= least[:, None] - 1e-12)
+            held.append((q, batch.column("id").to_numpy()[j], scores[q, j]))
+            n += len(q)
+            if n > 4 * limit * len(ids) + 100_000:
+                held, n = _prune(held, least)
+        if held:
+            q, own, score = _prune(held, least)[0][0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), pa.array(own), pa.array(score)], names=["query_id", "id", "score"])
 
     return run
 
 
+def _prune(held: list[tuple[np.ndarray, ...]], least: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], int]:
+    q, own, score = (np.concatenate(x) for x in zip(*held, strict=True))
+    keep = score >= least[q] - 1e-12
+    return [(q[keep], own[keep], score[keep])], int(keep.sum())
+
+
 def dense_search_all(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int = 4096) -> DataFrame:
     """R5 for a table of queries(id, vec) against all vectors(id, vec), both with long ids.
 
-    The queries go to the tasks in blocks of bounded size, each task keeps the best rows of its batches by one matrix product, and the
+    The queries go to the tasks in blocks of bounded size, a scan a block; each task keeps its best rows by one matrix product a batch, and the
     best of all tasks follow. A vector without length has similarity 0 to all.
     """
     blocks = max(1, -(-queries.count() // block))

@@ -94,6 +94,12 @@ def lexical_search(spark, d):
     return _flat(retrieval.lexical_search(_view(spark, d), ASKED))
 
 
+def lexical_join(spark, d):
+    """Every principal's name as a query."""
+    asked = table(spark, d, "principals").select(F.col("principal_id").alias("query_id"), F.col("display_name").alias("query"))
+    return _flat(retrieval.lexical_join(_view(spark, d), asked, 5))
+
+
 def grep_search(spark, d):
     return _flat(retrieval.grep_search(_view(spark, d), EXACT))
 
@@ -167,6 +173,15 @@ def pack_suppressed(spark, d):
     return pack.suppressed_part(n, pack.active_part(n, ASKED["q1"], 12, 1500), 3000).select(F.col("pos").cast("long").alias("pos"), "id", "status", "preview")
 
 
+def pack_record(spark, d):
+    """K1."""
+    return pack.pack_record(nodes(spark, d), ASKED["q1"], 12, 3000).select("section", "pos", "id", "status", "used_chars")
+
+
+def pack_sections(spark, d):
+    return pack.render_sections(pack.pack_record(nodes(spark, d), ASKED["q1"], 12, 3000))
+
+
 def pack_render(spark, d):
     return pack.render_markdown(pack.active_part(nodes(spark, d), ASKED["q1"], 12, 1500))
 
@@ -188,8 +203,8 @@ def detached_punctuation(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    effective_view, view_with_session, scope_precedence, suppressed_nodes, conflict_nodes, forgotten_like_nodes, retired_targets, unknown_operations, status_counts, point_lookup, tokenize, term_freq, doc_freq, lexical_search, grep_search, graph_search,
-    temporal_search, dense_search, auto_search, exact_auto_search, normalized_search, confident_hit, exact_value_target, recall, forget_by_query, pack_active, pack_no_query, pack_suppressed, pack_render, pack_render_toml, sparse_keys, proper_names_and_codes, detached_punctuation,
+    effective_view, view_with_session, scope_precedence, suppressed_nodes, conflict_nodes, forgotten_like_nodes, retired_targets, unknown_operations, status_counts, point_lookup, tokenize, term_freq, doc_freq, lexical_search, lexical_join, grep_search, graph_search,
+    temporal_search, dense_search, auto_search, exact_auto_search, normalized_search, confident_hit, exact_value_target, recall, forget_by_query, pack_active, pack_no_query, pack_suppressed, pack_record, pack_sections, pack_render, pack_render_toml, sparse_keys, proper_names_and_codes, detached_punctuation,
 )}
 
 #: Common table expressions of the SQL.
@@ -291,6 +306,12 @@ x AS (SELECT query_id, id, sum(part) AS score, array_to_string(list(mode ORDER B
 f AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part, 0 AS pos, 'grep' AS mode FROM {top_sql("h", 10, "id")} UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank), 1, 'lexical' FROM {top_sql("l", 10)}),
 x AS (SELECT query_id, id, sum(part) AS score, array_to_string(list(mode ORDER BY pos), ',') AS reasons FROM f GROUP BY ALL) {RESULT} FROM {top_sql("x", 10, "score DESC, id DESC")}""",
     "normalized_search": f"WITH {N}, {V}, d AS (SELECT * REPLACE (regexp_replace(content, '([A-Za-z0-9][A-Za-z0-9_/:-]{{3,}})([.,;:])(\\s|$)', '\\1 \\2\\3', 'g') AS content) FROM v), {lexical_sql('d', _NORM)} {RESULT} FROM {top_sql('l', 10)}",
+    "lexical_join": f"""WITH {N}, {V}, q AS (SELECT DISTINCT principal_id AS query_id, display_name AS query FROM principals WHERE principal_id IS NOT NULL AND display_name IS NOT NULL), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, lower(unnest(regexp_extract_all(query, '{TOKENS}'))) AS term FROM q) GROUP BY ALL),
+tf AS (SELECT id, updated_s, term, count(*) AS tf FROM (SELECT id, updated_s, lower(unnest(regexp_extract_all({DOC}, '{TOKENS}'))) AS term FROM v) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, ln(((SELECT greatest(1, count(*)) FROM v) + 1)::DOUBLE / (count(*) + 0.5)::DOUBLE) + 1 AS idf FROM tf GROUP BY term),
+h AS (SELECT query_id, tf.id, tf.updated_s, sum(tf * times * idf) AS s FROM tf JOIN qt USING (term) JOIN df USING (term) GROUP BY ALL),
+l AS (SELECT h.query_id, h.id, h.updated_s, round(s + CASE WHEN contains(lower(v.content), lower(q.query)) THEN 5 ELSE 0 END, 9) AS score FROM h JOIN v USING (id) JOIN q USING (query_id))
+SELECT query_id, id, round(score, 6) AS score, rank FROM {top_sql('l', 5)}""",
     "recall": f"""WITH {N}, {V}, {lexical_sql('v', {"q": ASKED["q1"]})}, h AS (FROM {top_sql('l', 10)}), r AS (SELECT 'raw_' || lpad(doc_id::VARCHAR, 6, '0') AS source_id, left(text, 500) AS cited FROM documents),
 s AS (SELECT h.rank, n.id, h.score, coalesce(CASE WHEN source.label <> '' THEN source.label END, 'session:' || source.session_ids[1], 'unknown') AS label, source.quote AS quote, unnest(CASE WHEN len(source.raw_spans) > 0 THEN source.raw_spans ELSE [NULL] END) AS s FROM h JOIN n ON n.id = h.id)
 SELECT rank::BIGINT AS rank, id, round(score, 6) AS score, label, quote, s.source_id AS source_id, s.char_start AS char_start, s.char_end AS char_end, cited FROM s LEFT JOIN r ON r.source_id = s.s.source_id""",

@@ -55,10 +55,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one in ``spark.checkpoint.dir``, a temporary one only where none is set."""
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``; a temporary one only where none is set and all is one machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -42,6 +42,11 @@ def guard(df: DataFrame) -> None:
         raise ContainerError(f"a record holds one of {', '.join(FORBIDDEN_KEYS)}")
 
 
+def narrowed(sessions: DataFrame, session_ids: list[str] | None = None) -> DataFrame:
+    """The sessions of a pack of the whole ledger: all, or those of the given ids; other sections are never narrowed."""
+    return sessions if session_ids is None else sessions.where(F.col("id").isin(*session_ids))
+
+
 def write(root: str, spark: SparkSession, **sections: DataFrame) -> dict:
     """Write the sections below root, then the header, whose presence marks a complete container."""
     header = {"container": MAGIC, "version": VERSION, "sections": []}

@@ -42,21 +42,36 @@ def read_raw(spark: SparkSession, path: str, most: int | None = 300) -> DataFram
     return lines.where("line <> ''").select("source_id", (F.col("k") + 1).alias("line_no"), (F.col("line") if most is None else F.substring("line", 1, most)).alias("line"))
 
 
-def grep(nodes: DataFrame, raw: DataFrame, needle: str, limit: int = 20) -> DataFrame:
-    """(kind, id, line_no, text): nodes with the needle in content, id or a tag by id, then raw lines by source and line.
+def grep(nodes: DataFrame, raw: DataFrame, needle: str, limit: int = 20, tags: bool = True) -> DataFrame:
+    """(kind, id, line_no, text): nodes with the needle in content, id or (with tags) a tag by id, then raw lines by source and line.
 
     A node's text is whole, a raw line is shown to its first 300 characters. raw is searched as it is given: read it with most=None.
     """
     n = F.lit(needle.lower())
-    memory = nodes.where(F.contains(F.lower("content"), n) | F.contains(F.lower("id"), n) | F.exists("tags", lambda t: F.contains(F.lower(t), n))).select(F.lit("memory").alias("kind"), "id", F.lit(0).alias("line_no"), F.col("content").alias("text"))
+    tagged = F.coalesce(F.exists("tags", lambda t: F.contains(F.lower(t), n)), F.lit(False)) if tags else F.lit(False)
+    memory = nodes.where(F.contains(F.lower("content"), n) | F.contains(F.lower("id"), n) | tagged).select(F.lit("memory").alias("kind"), "id", F.lit(0).alias("line_no"), F.col("content").alias("text"))
     lines = raw.where(F.contains(F.lower("line"), n)).select(F.lit("raw").alias("kind"), F.col("source_id").alias("id"), F.col("line_no").cast("int").alias("line_no"), F.substring("line", 1, 300).alias("text"))
     return memory.unionByName(lines).orderBy("kind", "id", "line_no").limit(limit)
 
 
-def read_code(spark: SparkSession, path: str, pattern: str = "*.{py,js,ts,tsx,jsx,rs,go,java,rb,sh,toml,md}") -> DataFrame:
-    """(path, text) of code files below a folder."""
+#: Folders that hold no code of one's own.
+SKIPPED = ("node_modules", "__pycache__", "build", "dist", "target", "venv", "coverage", "vendor")
+
+
+def read_code(spark: SparkSession, path: str, pattern: str = "*.{py,js,ts,tsx,jsx,rs,go,java,rb,sh,toml,md}", skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(path, text) of code files below a folder, without folders that are skipped or begin with a dot."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    whole = F.col("_metadata.file_path")
+    parts = F.slice(F.split(F.replace(whole, F.lit(path.rstrip("/")), F.lit("")), "/"), 1, 1_000)
+    inside = F.filter(parts, lambda x, i: i < F.size(parts) - 1)
+    out = F.exists(inside, lambda x: x.isin(*skip) | (x.startswith(".") & (x != ".")))
+    return rows.where(~out).select(whole.alias("path"), F.col("value").alias("text"))
+
+
+def event_message(text: Column) -> Column:
+    """A message as a JSON object: the text itself where it is one, else an object that holds it as raw_stdin."""
+    keys = F.json_object_keys(text)
+    return F.when(keys.isNotNull(), text).otherwise(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("raw_stdin"))))
 
 
 def event_prompt(message: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import raw_safe_name
+
 
 def _versions(spark: SparkSession, root: str) -> DataFrame | None:
     try:
@@ -43,3 +45,8 @@ def load(spark: SparkSession, root: str, version: int | None = None) -> DataFram
 def append_audit(events: DataFrame, root: str) -> None:
     """Audit events are only ever appended."""
     events.write.mode("append").json(f"{root}/audit")
+
+
+def append_raw(texts: DataFrame, root: str) -> None:
+    """texts(name, text) are only ever appended, under a name that tells them apart."""
+    texts.select(raw_safe_name(F.col("name"), F.col("text")).alias("source_id"), "text").write.mode("append").json(f"{root}/raw")

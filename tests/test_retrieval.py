@@ -2,6 +2,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from ledgerloom.functions.text import tokens_of
 from ledgerloom.operators import pack, retrieval
 
@@ -89,3 +92,63 @@ def test_pack_budget(spark):
             want.append(i)
         got = pack.active_part(df, "beta", 12, budget).orderBy("pos").collect()
         assert [g["id"] for g in got] == want and got[-1]["used_chars"] == used
+
+
+def test_join_on_terms_is_the_search(spark):
+    r = random.Random(4)
+    words = "cache router drift budget gateway team plan old".split()
+    nodes = [(f"n{i:02d}", i % 7, " ".join(r.choices(words, k=r.randrange(0, 9))), r.choice([None, [], ["old"]])) for i in range(60)]
+    df = spark.createDataFrame(nodes, "id string, updated_s long, content string, tags array<string>")
+    asked = {"a": "router drift drift", "b": "team plan", "c": "zzz", "d": ""}
+    queries = spark.createDataFrame([*asked.items(), ("e", None), (None, "team"), ("a", asked["a"])], "query_id string, query string")
+    want = {(x["query_id"], x["id"], x["score"], x["rank"]) for x in retrieval.lexical_search(df, asked, 6).collect()}
+    assert {(x["query_id"], x["id"], x["score"], x["rank"]) for x in retrieval.lexical_join(df, queries, 6).collect()} == want
+
+
+def test_suppressed_rows_by_brute_force(spark):
+    r = random.Random(8)
+    for budget in (0, 5, 40, 400):
+        rows = [(f"n{i:03d}", r.choice(["forgotten", "expired", "active"]), r.choice(["", "", "x" * r.randrange(1, 20)])) for i in range(80)]
+        df = spark.createDataFrame(rows, "id string, status string, content string")
+        active = spark.createDataFrame([(3,)], "used_chars long")
+        want, run = [], 3
+        for i, status, text in sorted(x for x in rows if x[1] != "active"):
+            run += len(text)
+            if want and run > budget:
+                break
+            want.append((i, status, text))
+            if run > budget:
+                break
+        got = [tuple(x) for x in pack.suppressed_part(df, active, budget).orderBy("pos").select("pos", "id", "status", "preview").collect()]
+        assert got == [(k + 1, *w) for k, w in enumerate(want)], budget
+    assert pack.suppressed_part(df.limit(0), active, 5).collect() == []
+
+
+def test_pack_record_and_renderings(spark):
+    rows = [("a", "active", "billing cache"), ("b", "active", "billing"), ("c", "expired", "gone"), ("d", "forgotten", "")]
+    df = spark.createDataFrame(rows, "id string, status string, content string").withColumns(
+        {"key": F.lit(None).cast("string"), "tags": F.array().cast("array<string>"), "updated_s": F.lit(1).cast("long"), "scope": F.struct(*[F.lit(None).cast("string").alias(f) for f in ("user", "workspace", "project", "agent", "session")])}
+    )
+    record = pack.pack_record(df, "billing cache")
+    got = {(r["section"], r["pos"], r["id"], r["used_chars"]) for r in record.collect()}
+    assert got == {("active", 1, "a", 13), ("active", 2, "b", 20), ("suppressed", 1, "c", 24), ("suppressed", 2, "d", None)}
+    assert pack.render_sections(record).first()["text"] == "## Active\n- [a] billing cache\n- [b] billing\n\n## Suppressed\n- [c] (expired)\n- [d] (forgotten)"
+    code = spark.createDataFrame([(2, "file", "", "x.py"), (1, "symbol", "go", "b.js")], "rank int, kind string, name string, path string")
+    assert pack.render_code(code).first()["text"] == "- symbol go in b.js\n- file x.py"
+
+
+def test_dense_search_keeps_the_best_of_a_task(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, size=(300, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.dense_search_all(df, df.where("id % 100 = 0"), 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(norm == 0, 1, norm)
+    for q in (0, 100, 200):
+        s = unit @ unit[q]
+        order = sorted(range(300), key=lambda i: (-round(float(s[i]), 9), i))[:7]
+        assert sorted(round(float(s[got[q, k + 1]]), 9) for k in range(7)) == sorted(round(float(s[i]), 9) for i in order)

@@ -79,3 +79,39 @@ def test_messages(spark):
     rows = [('{"prompt": "p", "sessionId": "s"}',), ('{"messages": [], "session_id": "", "thread_id": "t"}',), ("not json",)]
     df = spark.createDataFrame(rows, "m string").select(readers.event_prompt(F.col("m")).alias("p"), readers.event_session(F.col("m")).alias("s"))
     assert [tuple(r) for r in df.collect()] == [("p", "s"), (rows[1][0], "t"), ("not json", None)]
+
+
+def test_small_sources(spark, tmp_path):
+    for name in ("a.py", "node_modules/b.js", ".git/c.py", "src/.x/d.py", "src/e.py", "notes.txt"):
+        os.makedirs(os.path.dirname(tmp_path / "code" / name), exist_ok=True)
+        (tmp_path / "code" / name).write_text("x = 1")
+    got = [r["path"].split("/code/")[1] for r in readers.read_code(spark, str(tmp_path / "code")).collect()]
+    assert sorted(got) == ["a.py", "src/e.py"]
+    rows = spark.createDataFrame([('{"a": 1}',), ("plain",), (None,), ("[1]",)], "t string").select(readers.event_message(F.col("t")).alias("m")).collect()
+    assert [json.loads(r["m"]) for r in rows] == [{"a": 1}, {"raw_stdin": "plain"}, {"raw_stdin": ""}, {"raw_stdin": "[1]"}]
+    tagged = frame(spark, node("mem_1", content="x", tags=["alpha"]))
+    none = spark.createDataFrame([], "source_id string, line_no int, line string")
+    assert readers.grep(tagged, none, "alpha").count() == 1 and readers.grep(tagged, none, "alpha", tags=False).count() == 0
+    texts = spark.createDataFrame([("n.txt", "one"), ("n.txt", "two"), (None, None)], "name string, text string")
+    snapshots.append_raw(texts, str(tmp_path / "ledger"))
+    snapshots.append_raw(texts.limit(1), str(tmp_path / "ledger"))
+    back = spark.read.json(str(tmp_path / "ledger" / "raw"))
+    assert back.count() == 4 and back.select("source_id").distinct().count() == 3
+    sessions = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    assert container.narrowed(sessions).count() == 2 and [r["id"] for r in container.narrowed(sessions, ["s2", "x"]).collect()] == ["s2"]
+
+
+def test_batches_of_a_stream(spark, tmp_path):
+    """ST3: events come in, are appended, and a batch operator runs on each micro-batch; a batch that is run again replaces its own part."""
+    from ledgerloom.streaming import sessions as streams
+
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "a.json").write_text('{"session_id": "s", "prompt": "one"}\n{"sessionId": "t", "message": "two"}\n')
+    make = lambda b: b.select(readers.event_session(F.col("value")).alias("session"), readers.event_prompt(F.col("value")).alias("prompt"))
+    run = lambda: streams.each_batch(spark.readStream.text(str(tmp_path / "in")), make, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run()
+    (tmp_path / "in" / "b.json").write_text('{"thread_id": "u", "input": "three"}\n')
+    run()
+    run()
+    got = {(r["session"], r["prompt"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("s", "one"), ("t", "two"), ("u", "three")}
