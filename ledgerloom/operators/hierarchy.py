@@ -97,41 +97,38 @@ def hierarchy(links: DataFrame, with_paths: bool = False, with_sizes: bool = Fal
     path holds the ids from the root to the node; for nodes that lead into a ring root_id is
     'cycle', depth -1, path null and n_descendants 0.
     """
-    links = links.where("child is not null and parent is not null").select("child", "parent")
+    links = checkpointed(links.where("child is not null and parent is not null").select("child", "parent"))  # read for the peel and for the roots
     rounds = peel(links, with_paths)
     no_path, zero = F.lit(None).cast("array<string>"), F.lit(0).cast("long")
-    every = reduce(DataFrame.unionByName, rounds)
-    placed = [every.where(F.col("kind") == RING).select("node", F.lit("cycle").alias("root"), F.lit(-1).cast("long").alias("depth"), no_path.alias("path"), zero.alias("size"))]
+    # what leads into a ring is known before anything is placed
+    rings = [r.where(F.col("kind") == RING).select("node", F.lit("cycle").alias("root"), F.lit(-1).cast("long").alias("depth"), no_path.alias("path"), zero.alias("size")) for r in rounds]
+    placed = checkpointed(reduce(DataFrame.unionByName, rings))
     for records in reversed(rounds):
         now = records.where(F.col("kind").isin(LEAF, SPLICE))
-        so_far = reduce(DataFrame.unionByName, placed)
-        above = so_far.select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"))
+        above = placed.select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"))
         joined = now.join(above, "parent", "left")
         size = F.col("own")
         if with_sizes:  # the child of a spliced node was peeled later, so its size is known
-            joined = joined.join(so_far.select(F.col("node").alias("low"), F.col("size").alias("low_size")), "low", "left")
+            joined = joined.join(placed.select(F.col("node").alias("low"), F.col("size").alias("low_size")), "low", "left")
             size = F.col("own") + F.coalesce("low_size", zero) + F.coalesce("low_hang", zero)
         cycle = F.coalesce(F.col("root") == "cycle", F.lit(False))
         up = F.coalesce("up", F.array("parent"))  # a parent without a record is a root
-        placed.append(
-            checkpointed(
-                joined.select(
-                    "node",
-                    F.coalesce("root", "parent").alias("root"),
-                    F.when(cycle, F.lit(-1).cast("long")).otherwise(F.coalesce("depth", zero) + F.col("w")).alias("depth"),
-                    (F.when(~cycle, F.concat(up, "via", F.array("node"))) if with_paths else no_path).alias("path"),
-                    F.when(cycle, zero).otherwise(size).alias("size"),
-                )
-            )
+        new = joined.select(
+            "node",
+            F.coalesce("root", "parent").alias("root"),
+            F.when(cycle, F.lit(-1).cast("long")).otherwise(F.coalesce("depth", zero) + F.col("w")).alias("depth"),
+            (F.when(~cycle, F.concat(up, "via", F.array("node"))) if with_paths else no_path).alias("path"),
+            F.when(cycle, zero).otherwise(size).alias("size"),
         )
-    roots = links.select(F.col("parent").alias("node")).distinct().join(every.select("node"), "node", "left_anti")
+        placed = checkpointed(placed.unionByName(new))  # grows as fast as the rounds, so that all of them together write a few times the nodes
+    roots = links.select(F.col("parent").alias("node")).distinct().join(placed.select("node"), "node", "left_anti")
     if with_sizes:
-        held = every.where(F.col("kind") == LEAF).groupBy(F.col("parent").alias("node")).agg((F.sum(F.col("own") + F.col("hang")) + 1).alias("size"))
-        roots = roots.join(held, "node", "left")
+        leaves = [r.where(F.col("kind") == LEAF).select(F.col("parent").alias("node"), (F.col("own") + F.col("hang")).alias("size")) for r in rounds]
+        roots = roots.join(reduce(DataFrame.unionByName, leaves).groupBy("node").agg((F.sum("size") + 1).alias("size")), "node", "left")
     else:
         roots = roots.withColumn("size", zero)
     top = roots.select("node", F.col("node").alias("root"), zero.alias("depth"), (F.array("node") if with_paths else no_path).alias("path"), "size")
-    out = reduce(DataFrame.unionByName, placed).unionByName(top)
+    out = placed.unionByName(top)
     n = F.greatest(F.coalesce("size", zero) - 1, zero)
     return out.select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", *(["path"] if with_paths else []), *([n.alias("n_descendants")] if with_sizes else []))
 
