@@ -1,7 +1,7 @@
 """Replay of episodes turn by turn (G6, ST2): each turn makes, replaces or forgets a fact, judged against the facts so far.
 
-Turns within an episode depend on each other, episodes do not: every episode is one group. The group is a conversation, whose
-length is bounded by what was said in it; no key of the data decides its size.
+Turns within an episode depend on each other in order, episodes do not: every episode is one group, played by one task. Facts are indexed by
+their terms there, so a turn costs what shares a term with it. An episode that held a third of all turns would still be one task: the replay is sequential by definition.
 """
 
 from __future__ import annotations
@@ -23,47 +23,69 @@ CODE = re.compile(r"\b[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+\b")
 FORGET, SUPERSEDE = (20.0, 1.2), (8.0, 1.15)
 
 
-def _target(text: str, live: dict[int, list[str]], contents: dict[int, str], least: float, margin: float) -> int | None:
-    """The fact that a turn means: one that holds a code of it, else a clear lexical hit."""
-    for code in (c.lower() for c in CODE.findall(text) if re.search(r"\d", c)):
-        for k in live:
-            if code in contents[k]:
+class Facts:
+    """The live facts of an episode, indexed by their terms: a turn meets only facts that share a term with it."""
+
+    def __init__(self) -> None:
+        self.live: dict[int, Counter[str]] = {}
+        self.postings: dict[str, dict[int, int]] = {}
+
+    def add(self, turn: int, text: str) -> None:
+        self.live[turn] = Counter(tokens_of(text))
+        for t, n in self.live[turn].items():
+            self.postings.setdefault(t, {})[turn] = n
+
+    def drop(self, turn: int) -> None:
+        for t in self.live.pop(turn):
+            del self.postings[t][turn]
+            if not self.postings[t]:
+                del self.postings[t]
+
+    def with_code(self, code: str) -> int | None:
+        """The first fact that holds a code; a code is part of one token."""
+        found = [min(facts) for t, facts in self.postings.items() if code in t]
+        return min(found, default=None)
+
+    def target(self, text: str, least: float, margin: float) -> int | None:
+        """The fact that a turn means: one that holds a code of it, else a clear lexical hit."""
+        for code in (c.lower() for c in CODE.findall(text) if re.search(r"\d", c)):
+            if (k := self.with_code(code)) is not None:
                 return k
-    query = Counter(tokens_of(normalized_query(text)))
-    df = Counter(t for tokens in live.values() for t in set(tokens))
-    scored = []
-    for k, tokens in live.items():
-        c = Counter(tokens)
-        scored.append((sum(n * c[t] * (math.log((len(live) + 1) / (df[t] + 0.5)) + 1) for t, n in query.items() if c[t]), k))
-    scored.sort(reverse=True)
-    if not scored or scored[0][0] < least or (len(scored) > 1 and scored[0][0] < margin * scored[1][0]):
-        return None
-    return scored[0][1]
+        scores: dict[int, float] = {}
+        for t, n in Counter(tokens_of(normalized_query(text))).items():
+            held = self.postings.get(t, {})
+            weight = math.log((len(self.live) + 1) / (len(held) + 0.5)) + 1
+            for k, c in held.items():
+                scores[k] = scores.get(k, 0.0) + n * c * weight
+        best = sorted(((s, k) for k, s in scores.items()), reverse=True)[:2]
+        if not best or best[0][0] < least or (len(best) > 1 and best[0][0] < margin * best[1][0]):
+            return None
+        return best[0][1]
 
 
 def _play(key: tuple, turns: pd.DataFrame) -> pd.DataFrame:
-    live: dict[int, list[str]] = {}
-    contents: dict[int, str] = {}
+    facts = Facts()
     seen: set[str] = set()
     log: list[tuple] = []
     status: dict[int, str] = {}
     for turn, text, kind in turns.sort_values(["turn"])[["turn", "text", "kind"]].itertuples(index=False):
         plain = " ".join(text.lower().split())
-        target = _target(text, live, contents, *(FORGET if kind == "forget" else SUPERSEDE)) if kind != "create" else None
+        target = facts.target(text, *(FORGET if kind == "forget" else SUPERSEDE)) if kind != "create" else None
         if kind == "forget":
             log.append((turn, "forget", target))
             if target is not None:
-                live.pop(target)
+                facts.drop(target)
                 status[target] = "forgotten"
             continue
         if plain in seen and target is None:
             log.append((turn, "duplicate", None))
             continue
         if target is not None:
-            live.pop(target)
+            facts.drop(target)
             status[target] = "superseded"
         seen.add(plain)
-        live[turn], contents[turn], status[turn] = tokens_of(text), text.lower(), "active"
+        facts.add(turn, text)
+        status[turn] = "active"
         log.append((turn, "supersede" if target is not None else "create", target))
     rows = [(key[0], turn, action, target, status.get(turn)) for turn, action, target in log]
     return pd.DataFrame(rows, columns=["episode_id", "turn", "action", "fact_turn", "status"]).astype({"fact_turn": "Int64"})

@@ -36,7 +36,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_state(spark: SparkSession, d: str) -> DataFrame:
     """The whole state with its tombstones."""
-    state = changefeed.fold(changefeed.patch_changes(table(spark, d, "memory_patches")))
+    return _state(changefeed.fold(changefeed.patch_changes(table(spark, d, "memory_patches"))))
+
+
+def p4_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same state from two parts of the feed that lie mixed in time: one is folded first and is the base of the other."""
+    changes = changefeed.patch_changes(table(spark, d, "memory_patches"))
+    early = F.pmod(F.xxhash64("seq"), F.lit(2)) == 0
+    return _state(changefeed.fold(changes.where(~early), changefeed.fold(changes.where(early))))
+
+
+def _state(state: DataFrame) -> DataFrame:
     live = changefeed.live(state).select("key", F.col("seq").alias("live_seq"))
     return state.where("is_set is not null").join(live, "key", "left").select(
         F.col("key").alias("node_id"), (F.col("is_set.rank") == changefeed.INSERT).alias("is_live"), F.coalesce("live_seq", "is_set.seq").alias("patch_id")
@@ -51,7 +61,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(p7_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p4_found, p4_state, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p4_found, p4_state, p4_resumed, p7_found, p7_report)}
 
 _LINKS = """
 known AS (SELECT DISTINCT id FROM memory_nodes),
@@ -107,6 +117,7 @@ SELECT k AS node_key, 'period' AS kind, s AS start_s, CASE WHEN e = 900000000000
 UNION ALL SELECT k, 'gap', e, n FROM nxt WHERE n IS NOT NULL""",
     "p4_found": f"WITH {_FEED} SELECT k AS node_id, {_SET_BY} AS patch_id FROM st WHERE s[3] = 1",
     "p4_state": f"WITH {_FEED} SELECT k AS node_id, s[3] = 1 AS is_live, {_SET_BY} AS patch_id FROM st WHERE s IS NOT NULL",
+    "p4_resumed": f"WITH {_FEED} SELECT k AS node_id, s[3] = 1 AS is_live, {_SET_BY} AS patch_id FROM st WHERE s IS NOT NULL",
     "p7_found": f"WITH {_ORPHANS} FROM orphans",
     "p7_report": f"WITH {_ORPHANS} SELECT ref_table, ref_field, kind, period, count(*) AS n_refs, count(DISTINCT record_id) AS n_records FROM orphans GROUP BY ALL",
 }
