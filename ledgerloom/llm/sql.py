@@ -24,8 +24,8 @@ k AS (SELECT DISTINCT id, lower(trim(u, E' \\t\\n\\r')) AS term FROM (SELECT id,
 df AS (SELECT term, count(*) AS df FROM k WHERE term <> '' GROUP BY term),
 w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM n),
 tf AS (SELECT id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM df) GROUP BY id, term),
-some AS (SELECT term, tf::DOUBLE AS c, count(*)::DOUBLE AS f FROM tf GROUP BY term, tf),
-hist AS (SELECT term, c, f FROM some UNION ALL SELECT df.term, 0, (SELECT count(*) FROM n) - coalesce(x.f, 0) FROM df LEFT JOIN (SELECT term, sum(f) AS f FROM some GROUP BY term) x USING (term)),
+occ AS (SELECT term, tf::DOUBLE AS c, count(*)::DOUBLE AS f FROM tf GROUP BY term, tf),
+hist AS (SELECT term, c, f FROM occ UNION ALL SELECT df.term, 0, (SELECT count(*) FROM n) - coalesce(x.f, 0) FROM df LEFT JOIN (SELECT term, sum(f) AS f FROM occ GROUP BY term) x USING (term)),
 em(term, step, share, elite, rest) AS (
   SELECT term, 0, least(greatest(sum(f) FILTER (c > 0) / sum(f) * 0.5, 1e-12), 0.5), greatest(sum(f * c * c) / greatest(sum(f * c), 1e-9), 1) + 0.1, greatest(sum(f * c) / sum(f) * 0.2, 1e-9) FROM hist GROUP BY term
   UNION ALL
