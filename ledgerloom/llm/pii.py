@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import crf
-from ledgerloom.llm.pii_sentences import Maker
+from ledgerloom.llm.pii_sentences import KO_ROLES, Maker
 from ledgerloom.llm.text import text_slices
 from ledgerloom.session import spread
 
@@ -220,12 +220,14 @@ class Ties:
 def model(sentences: int = TRAINING_SENTENCES, seed: int = SEED) -> crf.Crf:
     """The field fitted to made texts; windows are cut from them as from any text.
 
-    A token's own word is left out of its features in a part of the texts, so that wording counts for less than shape. The skip potentials
+    Words are left out of the features in a part of the texts, so that wording counts for less than shape, and the words of names always, since the
+    names of a text are none of these. The skip potentials
     are fitted on other texts than the rest, so that the model's certainty there is what it is on unseen text.
     """
     maker = Maker(seed)
     known = Directory(maker.known_given, maker.known_family, maker.known_korean)
     rng = random.Random(seed)
+    roles = {"w=" + w for w in KO_ROLES}  # what is left before a form of address is a name
     data = []
     for _ in range(sentences):
         text, spans = maker.sentence()
@@ -233,8 +235,11 @@ def model(sentences: int = TRAINING_SENTENCES, seed: int = SEED) -> crf.Crf:
             marks = list(TOKEN.finditer(text, a, b))
             drop = 1.0 if rng.random() < 0.15 else 0.25
             feats = chain_features([m[0] for m in marks], known)
-            feats = [[x for x in f if ":w=" not in x or rng.random() >= drop] for f in feats]
-            data.append((feats, label(text, spans, marks)))
+            gold = label(text, spans, marks)
+            of_names = [m[0].casefold() for m, y in zip(marks, gold, strict=True) if y.endswith("-name")]
+            own = {"w=" + w[:16] for w in of_names} | {"e=" + w[-2:] for w in of_names if "가" <= w[0] <= "힣"}
+            kept = lambda x: (f := x.partition(":")[2]) not in own and (f[:2] != "w=" or f in roles or rng.random() >= drop)  # noqa: E731, B023
+            data.append(([[x for x in f if kept(x)] for f in feats], gold))
     field = crf.train(data, LABELS)
     tokens, lengths, gold, skips = [], [], [], []
     for _ in range(sentences // 4):

@@ -97,7 +97,9 @@ _FRAMES: dict[str, list[tuple[list[str], list[str]]]] = {
 _COUNTED = "order invoice ticket parcel serial isbn part lot batch case article build epoch offset checksum row port seq job range run item receipt voucher tracking chapter page line lines score size total sum count id# ref sku version release sprint shard bucket key step node block frame bytes tokens bestellung rechnung commande facture pedido factura 주문 주문번호 송장 번호표 페이지 버전".split()
 _UNITS = "ms s kb MB GB % rows files days hours km kg EUR USD items points tests 원 개 분 초 시간".split()
 _SENTENCE = ["{w} {w} {T} {w}.", "the {T} {w} {w}", "{T}: {w} {w}", "{W} {w} {w} {T}", "see {T}", "{w} ({T})", "{T}, {T} {w}", "{w} {w}. {W} {w}", "{w} {w}. {W} {W2} {w}", "{W} {w} {w} {w}", "{pw} {w} {pw}", "{Pw} {w} {w}", "{pw}, {ref} {w} {ref}", "{ref}; {pw}", "{w} {T} {n} {w}", "{T} {n}", "{U} {w}", "{U} {U2} {w}", "{w} {Pw} {W}", "{Pw}'s {w} {w}", "at {n}:{n2} {w}"]
-_KO_SENTENCE = ["{k} {k} {k}", "{k} {pw} {k}", "고객님 {k}", "여러분께 {k}", "회원님 {k} {k}", "선생님이 {k}", "팀장님 {k}", "담당자에게 {k}", "담당자 {k}", "이용자 님 {k}", "대표 님께 {k}", "{k} 씨앗 {k}"]
+_KO_SENTENCE = ["{k} {k} {k}", "{k} {pw} {k}", "고객님 {k}", "여러분께 {k}", "회원님 {k} {k}", "선생님이 {k}", "팀장님 {k}", "담당자에게 {k}", "담당자 {k}", "{role} 님 {k}", "{role} 님께 {k}", "{role} 님이 {k}", "{role}님 {k}", "{k} {role} 님 {k}", "담당자 {role} {k}", "{k} 씨앗 {k}"]
+#: Whom a form of address follows without being a name.
+KO_ROLES = "고객 회원 사용자 이용자 선생 팀장 부장 과장 차장 대리 사장 회장 대표 원장 교수 박사 기사 관리자 담당자 작성자 독자 시청자 구독자 참석자 신청자 보호자 학부모 의원 위원 이사 감독 작가".split()
 
 
 class Maker:
@@ -225,7 +227,7 @@ class Maker:
         r = self.r
         made = {
             "w": lambda: r.choice(_PLAIN), "W": lambda: r.choice(_PLAIN).capitalize(), "W2": lambda: r.choice(_TITLE_B).capitalize(), "T": self.title, "pw": self.word, "Pw": lambda: self.word().capitalize(), "ref": self.ref, "n": lambda: str(r.randint(1, 23)), "n2": lambda: str(r.randint(10, 59)),
-            "U": lambda: r.choice(_TITLE_B).upper(), "U2": lambda: r.choice(_PLAIN).upper(), "k": lambda: r.choice(_OTHER["ko"]),
+            "U": lambda: r.choice(_TITLE_B).upper(), "U2": lambda: r.choice(_PLAIN).upper(), "k": lambda: r.choice(_OTHER["ko"]), "role": lambda: r.choice(KO_ROLES),
         }
         return re.sub(r"\{(\w+)\}", lambda m: made[m[1]](), template)
 
@@ -254,7 +256,7 @@ class Maker:
         out, spans = "", []
         lang = r.choice(["en", "en", "en", "en", "de", "fr", "es", "pt", "ko"])
         for k in range(1 if r.random() < 0.75 else 2):
-            kind = r.choice(["name", "name", "name", "korean", "email", "email", "phone", "phone", "idnum", "idnum", "address", "address"])
+            kind = r.choice(["name", "name", "name", "korean", "korean", "email", "email", "phone", "phone", "idnum", "idnum", "address", "address"])
             frames = _FRAMES[kind]
             before, behind = frames[0] if len(frames) == 1 else frames[["en", "de", "fr", "es", "pt", "ko"].index(lang)]
             made = self._entity(kind)
@@ -262,9 +264,11 @@ class Maker:
             lead = r.choice(before) if x < 0.6 else self._some(r.randint(1, 3), lang) if x < 0.85 else "" if k == 0 else " "
             if kind == "korean" and not lead.strip():
                 lead = ""
+            if kind == "korean" and r.random() < 0.5:
+                lead = ""
             if k:
                 out += r.choice([" ", ", ", "; ", " / ", " - ", " | ", "\n", ". "])
-            elif r.random() < 0.3:
+            elif lead and r.random() < 0.3:
                 out += self._some(r.randint(1, 3), lang)
             if r.random() < 0.1:
                 lead = lead.capitalize()
