@@ -46,13 +46,18 @@ def directory(relationships: DataFrame) -> DataFrame:
     return project_aliases(by).join(by, "project_id")
 
 
-def revoked_access(turns: DataFrame, principals: DataFrame, acl: DataFrame) -> DataFrame:
-    """(project_id, principal_id) that turns(id, speaker_id, text) revoke: the projects that the turn names, or all of the principal's."""
+def revoked_turns(turns: DataFrame, principals: DataFrame, acl: DataFrame) -> DataFrame:
+    """(id, project_id, principal_id) that each of turns(id, speaker_id, text) revokes: the projects that the turn names, or all of the principal's."""
     who = revocations(turns, principals).where("principal_id is not null")
     named = detect_projects(turns.select("id", "text").join(who.select("id").distinct(), "id", "left_semi"), acl.select("project_id").distinct())
-    some = who.join(named, "id").select("project_id", "principal_id")
-    every = who.join(named.select("id").distinct(), "id", "left_anti").join(acl, "principal_id").select("project_id", "principal_id")
-    return some.join(acl.select("project_id", "principal_id").distinct(), ["project_id", "principal_id"], "left_semi").unionByName(every).distinct()
+    some = who.join(named, "id").select("id", "project_id", "principal_id")
+    every = who.join(named.select("id").distinct(), "id", "left_anti").join(acl, "principal_id").select("id", "project_id", "principal_id")
+    return some.join(acl.select("project_id", "principal_id").distinct(), ["project_id", "principal_id"], "left_semi").select("id", "project_id", "principal_id").unionByName(every).distinct()
+
+
+def revoked_access(turns: DataFrame, principals: DataFrame, acl: DataFrame) -> DataFrame:
+    """(project_id, principal_id) that some of turns(id, speaker_id, text) revokes."""
+    return revoked_turns(turns, principals, acl).select("project_id", "principal_id").distinct()
 
 
 def revocations(turns: DataFrame, principals: DataFrame) -> DataFrame:

@@ -203,6 +203,14 @@ def episode_replay(s, d):
     return episodes.replay(docs)
 
 
+def episode_access(s, d):
+    """The same turns under the access list of their session's project."""
+    of = table(s, d, "agent_sessions").select(F.col("id").alias("episode_id"), F.col("project").alias("project_id")).dropDuplicates(["episode_id"])
+    docs = table(s, d, "documents").where("session_id is not null").select(F.col("session_id").alias("episode_id"), F.col("doc_id").alias("turn"), "text", F.lit("prin_000").alias("speaker_id"))
+    done = episodes.replay_with_access(docs.join(of, "episode_id", "left"), table(s, d, "principals"), _acl(s, d))
+    return done.withColumn("access", F.array_join("access", ","))
+
+
 def rail_facade(s, d):
     return rails.apply_rails(_triples(s, d)).select("id", "old", "refused", "flagged", "text")
 
@@ -223,7 +231,7 @@ def leak_targets(s, d):
 
 QUERIES = {f.__name__: f for f in (
     classify_patch, classify_turn, correction_triggers, weak_signal, question, conditional, reported_speech, date_keys, value_entries, value_contradiction, patch_candidates, project_detect, revocations, revoked_access, acl_authorized, policy_pack, leak_check, prediction_rows, axis_summary, coded_share, suite_rollup, manifest_counts, action_counts,
-    pii_spans, email_spans, rail_pii, rail_values, rail_confirmation, rail_confirmation_cases, rail_value_cases, rail_facade, episode_replay, rail_postprocess_counts, leak_targets,
+    pii_spans, email_spans, rail_pii, rail_values, rail_confirmation, rail_confirmation_cases, rail_value_cases, rail_facade, episode_replay, episode_access, rail_postprocess_counts, leak_targets,
 )}
 
 TU = "tu AS (SELECT id, 'content' AS field, content AS text FROM n WHERE content <> '' UNION ALL SELECT id, 'quote', source.quote FROM n WHERE source.quote <> '' UNION ALL SELECT id, 'made', text FROM (VALUES " + ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in cases.MADE_TURNS) + ") m(id, text))"

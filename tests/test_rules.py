@@ -139,6 +139,21 @@ def test_replay(spark):
     }
 
 
+def test_replay_under_a_policy(spark):
+    turns = [
+        ("e", 1, "The staging token is kv_prod_42 for Harbor", "u1", "proj_alder"), ("e", 2, "Budget of birch is ten", "u2", "proj_birch"), ("e", 3, "please revoke my access to alder", "u2", "proj_alder"),
+        ("e", 4, "Actually kv_prod_42 is the live token", "u1", "proj_birch"), ("e", 5, "a new alder fact entirely", "u1", "proj_alder"), ("e", 6, "revoke all of it for bo", "u1", None), ("e", 7, "no project here", "u1", None), ("f", 1, "alder again", "u2", "proj_alder"),
+    ]
+    principals = spark.createDataFrame([("u1", "Ada Lind"), ("u2", "Cy Berg"), ("u3", "Bo Voss")], "principal_id string, display_name string")
+    acl = spark.createDataFrame([("proj_alder", "u1"), ("proj_alder", "u2"), ("proj_birch", "u2"), ("proj_birch", "u3"), ("proj_alder", "u3")], "project_id string, principal_id string")
+    df = spark.createDataFrame(turns, "episode_id string, turn long, text string, speaker_id string, project_id string")
+    got = {(r["episode_id"], r["turn"]): (r["action"], r["access"]) for r in episodes.replay_with_access(df, principals, acl).collect()}
+    assert got["e", 1] == ("create", ["u1"]) and got["e", 2] == ("create", ["u2"])  # u2 out of alder, u3 out of all
+    assert got["e", 4] == ("supersede", ["u1"])  # takes over who may see what it replaces
+    assert got["e", 5] == ("create", ["u1"]) and got["e", 7] == ("create", []) and got["f", 1] == ("create", ["u1", "u2", "u3"])
+    assert {(r["episode_id"], r["turn"], r["action"]) for r in episodes.replay(df).collect()} == {(*k, v[0]) for k, v in got.items()}
+
+
 def test_small_functions(spark):
     from ledgerloom.functions import scalars
     from ledgerloom.operators import governance
