@@ -47,6 +47,7 @@ def _words(words: list[str]) -> str:
     return "(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in words) + ")"
 
 
+#: Fixed patterns, of the lists above: what asks, what commits, what denies.
 _I = re.I | re.S
 _removed = re.compile(rf"\b{_words(REMOVED)}\b|{_words(REMOVED_KO)}|{_words(FORMER_KO)}\s*{TOKEN_KO}", _I)
 _protected = re.compile(rf"\b{_words(PROTECTED)}s?\b|{_words(PROTECTED_KO)}", _I)

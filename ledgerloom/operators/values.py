@@ -30,11 +30,12 @@ CURRENCY = ["원", "달러", "USD", "%", "퍼센트"]
 UNSEEN = "​‌‍⁠﻿"
 
 ORDINARY = frozenset(COURTESY + MEETING)
+#: Fixed patterns: what counts as a value. Numbers, the more specific kind first: dates, grouped numbers, amounts with multipliers, amounts with a unit, long
+#: numbers; names are runs of capitalised words, and runs of Latin words that touch Hangul.
 _GAP = rf"[\s{UNSEEN}]+"
 _UNIT, _TIMES = "|".join(CURRENCY), "|".join(MULTIPLIER)
 _TERM = rf"\d+(?:\.\d+)?(?:{_TIMES})+"
 _TERMS = rf"{_TERM}(?:\s?{_TERM})*"
-#: Kinds of numbers, the more specific first: dates, grouped numbers, amounts with multipliers, amounts with a unit, long numbers.
 NUMBERS = [
     re.compile(p)
     for p in (
