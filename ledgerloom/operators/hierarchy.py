@@ -9,6 +9,9 @@ round are visited, their parents are placed already or are roots, so that root,
 one join a round, and so does the size of a spliced node from that of its child. A link from a node to itself, given or left over by splicing, is what remains of a ring: the
 nodes that lead there have root ``cycle`` and depth -1.
 
+When no more than ``BASE_ROWS`` links are left, counted, one task does the rounds that would follow: it peels them leaf by leaf, sends the sizes up and ties every
+node to the parent outside that it ends at; what can't be peeled there lies on a ring. The remaining rounds have a few rows each and would cost a job each.
+
 Each round shuffles only the links that are still there, a constant fraction of those of the round before, and in reverse only
 the nodes that are placed so far without roots, which grow in the same way: both passes are linear in the number of links. No
 list of children or descendants is gathered in a row, so a root above a third of all
@@ -20,15 +23,20 @@ the smallest of them; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import ids
 from ledgerloom.session import checkpointed
 
-KEEP, LEAF, SPLICE, RING, LONGER = 0, 1, 2, 3, -1
+#: Kinds of record; BASE is a node that the last task ties to a parent above its own.
+KEEP, LEAF, SPLICE, RING, BASE, LONGER = 0, 1, 2, 3, 4, -1
+#: Links, and ids of spliced nodes that they carry, that one task peels at the end.
+BASE_ROWS, BASE_IDS = 10_000, 1_000_000
 
 
 def supersede_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,7 +52,40 @@ def supersede_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 _RECORD = ("node", "parent", "w", "via", "own", "hang", "low", "low_hang", "kind")
 
 
-def peel(links: DataFrame, with_paths: bool = False) -> list[DataFrame]:
+def _peel_base(with_paths: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = {r.node: r for r in pd.concat(held).itertuples(index=False)}
+        waiting = dict.fromkeys(rows, 0)
+        for r in rows.values():
+            if r.parent in rows:
+                waiting[r.parent] += 1
+        size = {n: int(r.own) for n, r in rows.items()}
+        order = [n for n in rows if not waiting[n]]
+        for n in order:  # grows while it is read
+            p = rows[n].parent
+            if p in rows:
+                size[p] += size[n] + int(rows[n].hang)
+                waiting[p] -= 1
+                if not waiting[p]:
+                    order.append(p)
+        out = {n: (n, r.parent, int(r.w), None, 0, int(r.hang), None, None, RING) for n, r in rows.items() if waiting[n]}
+        for n in reversed(order):
+            r = rows[n]
+            via = list(r.via) if with_paths else None
+            if r.parent not in rows or r.parent in out and out[r.parent][-1] == RING:
+                out[n] = (n, r.parent, int(r.w), via, size[n], int(r.hang), None, None, LEAF)
+            else:
+                _, top, w, up, *_ = out[r.parent]
+                out[n] = (n, top, w + int(r.w), [*up, r.parent, *via] if with_paths else None, size[n], 0, None, None, BASE)
+        yield pd.DataFrame(list(out.values()), columns=_RECORD)
+
+    return run
+
+
+def peel(links: DataFrame, with_paths: bool = False, base_rows: int = BASE_ROWS) -> list[DataFrame]:
     """The peel records of each round, every node that is no root in one of them.
 
     w is the number of levels between node and parent, via the nodes between them, top down (null without paths), own the node with all that was peeled
@@ -87,24 +128,30 @@ def peel(links: DataFrame, with_paths: bool = False) -> list[DataFrame]:
         settled = checkpointed(settled)
         rounds.append(settled.where(F.col("kind") != KEEP).select(*_RECORD))
         live, sent = settled.where(F.col("kind") == KEEP).select("node", "parent", "w", "via", "own", "hang"), settled.where(F.col("kind") == LEAF)
-        if live.isEmpty():
+        left = live.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.size("via"), F.lit(0))), F.lit(0)).alias("ids")).first()
+        if not left["n"]:
             return rounds
+        if left["n"] <= base_rows and left["ids"] <= BASE_IDS:
+            add = sent.groupBy(F.col("parent").alias("p")).agg(F.sum(F.col("own") + F.col("hang")).alias("add"))
+            rest = live.join(add, live.node == add.p, "left").select("node", "parent", "w", "via", (F.col("own") + F.coalesce("add", zero)).alias("own"), "hang")
+            schema = "node string, parent string, w long, via array<string>, own long, hang long, low string, low_hang long, kind int"
+            return [*rounds, checkpointed(rest.repartition(1).mapInPandas(_peel_base(with_paths), schema))]
 
 
-def hierarchy(links: DataFrame, with_paths: bool = False, with_sizes: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, with_paths: bool = False, with_sizes: bool = False, base_rows: int = BASE_ROWS) -> DataFrame:
     """(node_id, root_id, depth[, path][, n_descendants]) of every node of links(child, parent).
 
     path holds the ids from the root to the node; for nodes that lead into a ring root_id is
     'cycle', depth -1, path null and n_descendants 0.
     """
     links = checkpointed(links.where("child is not null and parent is not null").select("child", "parent"))  # read for the peel and for the roots
-    rounds = peel(links, with_paths)
+    rounds = peel(links, with_paths, base_rows)
     no_path, zero = F.lit(None).cast("array<string>"), F.lit(0).cast("long")
     # what leads into a ring is known before anything is placed
     rings = [r.where(F.col("kind") == RING).select("node", F.lit("cycle").alias("root"), F.lit(-1).cast("long").alias("depth"), no_path.alias("path"), zero.alias("size")) for r in rounds]
     placed = checkpointed(reduce(DataFrame.unionByName, rings))
     for records in reversed(rounds):
-        now = records.where(F.col("kind").isin(LEAF, SPLICE))
+        now = records.where(F.col("kind").isin(LEAF, SPLICE, BASE))
         above = placed.select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"))
         joined = now.join(above, "parent", "left")
         size = F.col("own")

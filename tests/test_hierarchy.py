@@ -27,8 +27,11 @@ def brute(links):
 
 
 def run(spark, links):
+    """By rounds to the end; the last task must give the same."""
     df = spark.createDataFrame(links, LINK)
-    return {r["node_id"]: (r["root_id"], r["depth"], r["path"]) for r in hierarchy.hierarchy(df, with_paths=True).collect()}
+    by_rounds, by_task = ({r["node_id"]: (r["root_id"], r["depth"], r["path"], r["n_descendants"]) for r in hierarchy.hierarchy(df, True, True, base_rows).collect()} for base_rows in (0, hierarchy.BASE_ROWS))
+    assert by_rounds == by_task
+    return {k: v[:3] for k, v in by_rounds.items()}
 
 
 def test_random_forests_with_rings(spark):
@@ -47,10 +50,11 @@ def test_random_forests_with_rings(spark):
 def test_long_chain_takes_few_rounds(spark):
     links = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(400)]
     df = spark.createDataFrame(links, LINK)
-    rounds = hierarchy.peel(df)
-    assert len(rounds) < 40 and sum(r.count() for r in rounds) == 400
-    got = {r["node_id"]: (r["depth"], r["n_descendants"]) for r in hierarchy.hierarchy(df, with_sizes=True).collect()}
-    assert got == {f"n{i:04d}": (400 - i, i) for i in range(401)}
+    for base_rows in (0, 100, hierarchy.BASE_ROWS):
+        rounds = hierarchy.peel(df, base_rows=base_rows)
+        assert len(rounds) < 40 and sum(r.count() for r in rounds) == 400
+        got = {r["node_id"]: (r["depth"], r["n_descendants"]) for r in hierarchy.hierarchy(df, with_sizes=True, base_rows=base_rows).collect()}
+        assert got == {f"n{i:04d}": (400 - i, i) for i in range(401)}
 
 
 def test_star_and_several_parents(spark):
@@ -89,9 +93,10 @@ def test_sizes_of_random_forests(spark):
     for path in (p for _, _, p in placed.values() if p):
         for above in path[:-1]:
             want[above] += 1
-    got = {x["node_id"]: x for x in hierarchy.hierarchy(spark.createDataFrame(links, LINK), with_paths=True, with_sizes=True).collect()}
-    assert {k: x["n_descendants"] for k, x in got.items()} == want
-    assert {k: (x["root_id"], x["depth"], x["path"]) for k, x in got.items()} == placed
+    for base_rows in (0, 40, hierarchy.BASE_ROWS):
+        got = {x["node_id"]: x for x in hierarchy.hierarchy(spark.createDataFrame(links, LINK), with_paths=True, with_sizes=True, base_rows=base_rows).collect()}
+        assert {k: x["n_descendants"] for k, x in got.items()} == want
+        assert {k: (x["root_id"], x["depth"], x["path"]) for k, x in got.items()} == placed
 
 
 def test_links_of_three_places(spark):
