@@ -149,7 +149,7 @@ def policy_packs(nodes: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tup
     hit is over three times as good and the query does not look back.
     """
     spark = nodes.sparkSession
-    base = _base(nodes)
+    base = checkpointed(_base(nodes))  # read for terms, phrases, counts and names
     hits = checkpointed(_sided_hits(base, acl, checkpoints))  # at most 18 rows a checkpoint
     top = lambda k: F.max(F.when(F.col("side") == k, F.col("score"))).alias(k)
     best = hits.groupBy("checkpoint_id").agg(*[top(k) for k in SIDES])
@@ -158,7 +158,7 @@ def policy_packs(nodes: DataFrame, acl: DataFrame, checkpoints: Mapping[str, tup
     action = F.when(F.col("gone").isNotNull() & ~F.coalesce(overridden, F.lit(False)), "no_memory").when(F.col("mine").isNotNull(), "answer").when(F.col("others").isNotNull(), "refuse").otherwise("no_memory")
     decided = every.join(best, "checkpoint_id", "left").select("checkpoint_id", action.alias("action"))
     shown = hits.where("side = 'mine'").join(decided.where("action = 'answer'"), "checkpoint_id").select("checkpoint_id", "id")
-    texts = shown.join(nodes.select("id", "content"), "id")
+    texts = shown.join(base.select("id", "content"), "id")
     masked = texts.join(_protected(texts, base, acl, checkpoints), ["checkpoint_id", "id"], "left")
     masked = masked.select("checkpoint_id", "id", "content", redact(F.col("content"), F.coalesce("terms", F.array().cast("array<string>"))).alias("text"))
     touched = masked.groupBy("checkpoint_id").agg(F.bool_or(F.col("text") != F.col("content")).alias("touched"))
