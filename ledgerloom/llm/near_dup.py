@@ -4,19 +4,22 @@ SetSketch: every register holds the minimum of an exponentially distributed hash
 as its truncated logarithm to a base near 1. Registers of a union are the maxima of the registers, so
 sketches merge; two records agree in a register with a probability close to their Jaccard similarity.
 
-1. One pass sketches each record's word set. Its registers are banded, and each band gives a row (band hash, set
-   hash, size, one bit of each register). Records with the same words have the same set hash and are one row a
+1. One pass sketches each record's word set and gives rows (bucket, set hash, size, one bit of each register). Records with the same words have the same set hash and are one row a
    partition from here on, so a group of copies of any size costs one row in each partition. The pass also gives the
    membership of the record, with its set's registers.
-2. Rows of one band hash meet in one task; a band hash that many different sets share is split into blocks, of which every two meet in a task of their own. There the number of equal register bits
-   and both set sizes rule out most pairs; a pair costs a few array operations on 20 bytes, and only surviving pairs leave the task. The number of tasks follows from the
-   number of records, so that a task holds about ``TASK_BYTES`` at any size of the input.
+   Buckets of a set of more than ``PREFIX_WORDS`` words are its registers' bands. Smaller sets meet by their rarest words: texts of one sentence pattern share bands without
+   being similar enough, and their pairs in bands grow with the square of the table. Of all words put in one order, the rarest first, two sets as similar as the threshold
+   t share one of the first n - ceil(2t/(1+t) n) + 1 words of the smaller set and n - ceil(t n) + 1 of the larger, so this misses no pair. Sets of more than t ``PREFIX_WORDS`` words give bands too,
+   so that a pair on either side of the bound meets. The order is that of the words' numbers in a sample; any order gives the same pairs, this one small buckets.
+2. Rows of one bucket meet in one task; a bucket that many different sets share is split into blocks, of which every two meet in a task of their own. There both set sizes
+   and the number of equal register bits rule out most pairs; a pair costs a few array operations on 20 bytes, and only surviving pairs leave the task. The number of tasks follows from the
+   number of rows, so that a task holds about ``TASK_BYTES`` at any size of the input.
 3. The similarity of a surviving pair is estimated from its registers by maximum likelihood, jointly from how many are greater, less and equal
    and from both set sizes; pairs whose threshold that likelihood rules out are dropped.
 4. The rest are verified exactly on the words of the two texts.
 
-Recall: with ``rows`` registers a band and ``bands`` bands a pair of similarity s is missed with probability
-(1 - s**rows)**bands, 0.9 % at 0.7, 0.02 % at 0.8; by the bit test with 0.04 % and by the likelihood test with 0.02 % at 0.7. Two different word sets
+Recall: with ``rows`` registers a band and ``bands`` bands a pair of similarity s of which one set is larger than ``PREFIX_WORDS`` is missed with probability
+(1 - s**rows)**bands, 1.2 % at 0.7, 0.02 % at 0.8; by the bit test with 0.04 % and by the likelihood test with 0.02 % at 0.7. Two different word sets
 with one 64-bit hash would be taken for copies; at 10**9 records the chance of one such pair is 3 %.
 
 Copies: ``similar_pairs`` names every pair of records, also within a group of copies; both ends are dealt to ``BLOCKS`` blocks there, so that no task gets
@@ -45,7 +48,7 @@ REGISTERS, BASE, BLOCK = 160, 1.05, 1024
 #: The registers that are sent along for the estimate; they are in no band, so that meeting in a band says nothing about them.
 SENT = slice(64, 112)
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: A record in a bucket: 24 bits of the band hash (a partition holds few of them), set hash, logarithm of the set size, one bit of each register.
+#: A record in a bucket: 22 bits of the bucket's hash (a partition holds few of them) and two of its role, set hash, logarithm of the set size, one bit of each register.
 _ROW = np.dtype([("band", "<u2"), ("band_low", "u1"), ("size", "u1"), ("sid", "<i8"), ("bits", "<u4", REGISTERS // 32)])
 _SIZE_BASE = 1.05
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -53,6 +56,11 @@ _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 _STEP, MOST_WORDS, STEP_BYTES, REMEMBERED = 256, 80_000, 1_200_000, 200_000
 #: Different sets of one bucket that are compared in one task; larger buckets are split into blocks of about this size.
 HOT_ROWS = 16_384
+#: Words up to which sets meet by their rarest words; above half of it bands are fewer rows. Rows of the sample that orders the words, at least, and words that are put in order by it.
+PREFIX_WORDS, ORDER_ROWS, ORDERED = 96, 20_000, 100_000
+#: Roles in a bucket: as the smaller set of a pair, where both ends are so split that it meets larger ones only; as either; as the larger set only.
+SMALLER, EITHER, LARGER = 0, 1, 2
+_WORD_KEY, _LARGER_KEY = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 #: Bytes of band rows in one task, and those a sketching task packs at once; pairs a task holds before they leave; blocks that the members of a set are dealt to.
 TASK_BYTES, PACK_BYTES, PAIRS_HELD, BLOCKS = 6_000_000, 32_000_000, 1_000_000, 64
 
@@ -145,9 +153,31 @@ def not_ruled_out(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b:
     return (best >= at) | (2 * gain <= slack * slack)
 
 
-def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple]:
+def prefixes(sets: WordSets, of: np.ndarray, threshold: float, times: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in of, key, role) of the rarest words of the sets of: EITHER where two sets that share the word there may be a pair whichever is larger,
+    LARGER where only with a smaller set. times: how often the more frequent words stand in a sample, by hash."""
+    known = np.array(sorted(times), np.uint64)
+    often = np.zeros(len(sets.hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, sets.hashes), len(known) - 1)
+        often = np.where(known[at] == sets.hashes, np.array([times[k] for k in known.tolist()], np.int64)[at], 0)
+    order = np.lexsort((sets.hashes, often))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    sizes = sets.sizes[of]
+    starts = np.cumsum(sizes) - sizes
+    who = np.repeat(np.arange(len(of)), sizes)
+    at = np.arange(len(who)) - starts[who]
+    ranked = np.sort(who * np.int64(len(order) + 1) + place[sets.flat[sets.starts[of][who] + at]])
+    most = lambda share: sizes - np.ceil(share * sizes - 1e-6).astype(np.int64) + 1
+    keep = at < most(threshold)[who]
+    role = np.where(at < most(2 * threshold / (1 + threshold))[who], EITHER, LARGER)[keep]
+    return who[keep], mix(sets.hashes[order[ranked[keep] % (len(order) + 1)]] + _WORD_KEY), role
+
+
+def _met(batches: Iterator[pa.RecordBatch], bands: int, rows: int, threshold: float, times: dict[int, int]) -> Iterator[tuple]:
     """Of each step: the batch, its word sets, their hashes, which of them the task has not met before, and for these
-    the registers and band keys (bands x sets)."""
+    the registers and the buckets (place in new, key, role)."""
     seen: set[int] = set()
     for whole in batches:
         for batch in text_slices(whole, "text", STEP_BYTES):
@@ -159,32 +189,64 @@ def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             if len(seen) > REMEMBERED:
                 seen.clear()
             registers = sketch(sets)[new]
-            keys = np.empty((bands, len(new)), np.uint64)
+            small = np.flatnonzero(sets.sizes[new] <= PREFIX_WORDS)
+            own, key, role = prefixes(sets, new[small], threshold, times)
+            owns, keys, roles = [small[own]], [key], [role]
+            large = np.flatnonzero(sets.sizes[new] > threshold * PREFIX_WORDS - 1e-6)
             for k in range(bands):
-                h = np.full(len(new), k + 1, np.uint64)
+                h = np.full(len(large), k + 1, np.uint64)
                 for j in range(rows):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, k * rows + j])
-                keys[k] = h
-            yield batch, sets, sids, new, registers, keys
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[large, k * rows + j])
+                owns.append(large)
+                keys.append(h)
+                roles.append(np.full(len(large), EITHER))
+            yield batch, sets, sids, new, registers, (np.concatenate(owns), np.concatenate(keys), np.concatenate(roles))
 
 
-def _sampled_keys(bands: int, rows: int):
+def _larger_key(key: np.ndarray) -> np.ndarray:
+    """What the larger sets of a bucket are counted and split under."""
+    return mix(key + _LARGER_KEY)
+
+
+def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in text_slices(whole, "text", STEP_BYTES):
+            sets = WordSets(batch.column("text").to_pylist())
+            times = np.bincount(sets.flat, minlength=len(sets.hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(sets.hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"])
+
+
+def frequent_words(texts: DataFrame, n: int) -> dict[int, int]:
+    """Hashes of the words that stand in several rows of a sample of a thousandth of the n rows, 20,000 at least, with their numbers there.
+
+    They say only in which order words are taken, which the results don't depend on.
+    """
+    share = min(1.0, max(1e-3, ORDER_ROWS / max(n, 1)))
+    sample = texts.sample(share, seed=2) if share < 1 else texts
+    found = sample.mapInArrow(_sampled_words, "word long, times long").groupBy("word").agg(F.sum("times").alias("times")).where("times > 1")
+    found = found.orderBy(F.desc("times"), "word").limit(ORDERED).toArrow()
+    return dict(zip(found["word"].to_numpy().view(np.uint64).tolist(), found["times"].to_pylist(), strict=True))
+
+
+def _sampled_keys(bands: int, rows: int, threshold: float, times: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sids, new, _, keys in _banded(batches, bands, rows):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(sids[new], bands))], names=["key", "sid"])
+        for _, _, sids, new, _, (own, key, role) in _met(batches, bands, rows, threshold, times):
+            key = np.where(role == LARGER, _larger_key(key), key)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sids[new][own])], names=["key", "sid"])
 
     return run
 
 
-def hot_buckets(texts: DataFrame, n: int, bands: int, rows: int, most: int = HOT_ROWS) -> dict[int, int]:
-    """Band keys that hold more than about so many different sets, with the number of blocks to split each into.
+def hot_buckets(texts: DataFrame, n: int, bands: int, rows: int, threshold: float = 0.7, times: dict[int, int] | None = None, most: int = HOT_ROWS) -> dict[int, int]:
+    """Keys of buckets that hold more than about so many different sets, with the number of blocks to split each into; larger sets have keys of their own.
 
-    They are looked for in a sample of a thousandth of the n rows, 5,000 at least, and say only where work is split: results don't depend on it. There
-    are at most bands * n / most of them; of more than a million the smaller ones stay whole, and are compared block by block in one task.
+    They are looked for in a sample of a thousandth of the n rows, 5,000 at least, and say only where work is split: results don't depend on it. Of more
+    than a million the smaller ones stay whole, and are compared block by block in one task.
     """
+    times = frequent_words(texts, n) if times is None else times
     share = min(1.0, max(1e-3, 5_000 / max(n, 1)))
     sample = texts.sample(share, seed=1) if share < 1 else texts
-    keys = sample.mapInArrow(_sampled_keys(bands, rows), "key long, sid long").groupBy("key").agg(F.countDistinct("sid").alias("k"))
+    keys = sample.mapInArrow(_sampled_keys(bands, rows, threshold, times), "key long, sid long").groupBy("key").agg(F.countDistinct("sid").alias("k"))
     found = keys.where(F.col("k") >= max(10.0, most * share)).orderBy(F.desc("k")).limit(1_000_000).collect()
     return {r["key"]: int(np.ceil(r["k"] / share / most)) + 1 for r in found}
 
@@ -192,33 +254,42 @@ def hot_buckets(texts: DataFrame, n: int, bands: int, rows: int, most: int = HOT
 _SKETCHED = "part int, packed binary, sid long, id string, n int, regs binary"
 
 
-def _sketcher(bands: int, rows: int, parts: int, hot: dict[int, int]):
-    """Rows of each band, packed to one row for each step and task, and the members.
+def _sketcher(bands: int, rows: int, parts: int, hot: dict[int, int], threshold: float, times: dict[int, int]):
+    """Rows of each bucket, packed to one row for each step and task, and the members.
 
     The rows of a hot key are dealt to blocks by set hash, and a block meets every block in a task of its own: rows of blocks i and j are
-    sent under the key of (i, j). Members are dealt by the hash of their id, so that a group of copies is spread too.
+    sent under the key of (i, j), in the same way blocks of smaller and of larger sets. Members are dealt by the hash of their id, so that a group of copies is spread too.
     """
     hot_keys = np.array(sorted(hot), np.int64).view(np.uint64)
     types = (pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.binary())
     names = [x.split()[0] for x in _SKETCHED.split(", ")]
 
-    def band_rows(sids: np.ndarray, sizes: np.ndarray, registers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        which, under = [], []
-        for h in keys:
-            heavy = np.isin(h, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
-            which.append(np.flatnonzero(~heavy))
-            under.append(h[~heavy])
-            for key in np.unique(h[heavy]):
-                own = np.flatnonzero(h == key)
-                blocks = hot[int(key.view(np.int64))]
-                i = sids[own].view(np.uint64) % np.uint64(blocks)
-                for j in range(blocks):
-                    low, high = np.minimum(i, np.uint64(j)), np.maximum(i, np.uint64(j))
-                    which.append(own)
-                    under.append(mix(key + low * np.uint64(blocks) + high + np.uint64(1)))
-        at, h = np.concatenate(which), np.concatenate(under)
+    def split(sids: np.ndarray, own: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(own, key, role) of the rows of hot keys."""
+        order = np.argsort(keys, kind="stable")
+        for of in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+            key = keys[of[:1]]
+            large = _larger_key(key)
+            some, more = (np.uint64(hot.get(int(k.view(np.int64)[0]), 1)) for k in (key, large))
+            small_own, large_own = own[of[roles[of] == EITHER]], own[of[roles[of] == LARGER]]
+            i, j = sids[small_own].view(np.uint64) % some, sids[large_own].view(np.uint64) % more
+            for k in np.arange(some, dtype=np.uint64):
+                yield small_own, mix(key + np.minimum(i, k) * some + np.maximum(i, k) + np.uint64(1)), EITHER
+                yield large_own, mix(large + k * more + j + np.uint64(1)), LARGER
+            for k in np.arange(more, dtype=np.uint64):
+                yield small_own, mix(large + i * more + k + np.uint64(1)), SMALLER
+
+    def bucket_rows(sids: np.ndarray, sizes: np.ndarray, registers: np.ndarray, own: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, h, role = own, keys, roles
+        if len(hot_keys):
+            heavy = np.isin(keys, hot_keys) | np.isin(_larger_key(keys), hot_keys)
+            at, h, role = own[~heavy], keys[~heavy], roles[~heavy]
+            if heavy.any():
+                dealt = list(split(sids, own[heavy], keys[heavy], roles[heavy]))
+                at, h = (np.concatenate([x, *(d[c] for d in dealt)]) for c, x in enumerate((at, h)))
+                role = np.concatenate([role, *(np.full(len(d[0]), d[2]) for d in dealt)])
         out = np.empty(len(at), _ROW)
-        out["band"], out["band_low"] = (h >> np.uint64(40)) & np.uint64(0xFFFF), (h >> np.uint64(32)) & np.uint64(0xFF)
+        out["band"], out["band_low"] = (h >> np.uint64(40)) & np.uint64(0xFFFF), (h >> np.uint64(32)) & np.uint64(0x3F) | role.astype(np.uint64) << np.uint64(6)
         out["sid"], out["size"], out["bits"] = sids[at], size_class(sizes)[at], bits_of(registers)[at]
         return out, ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
 
@@ -235,8 +306,8 @@ def _sketcher(bands: int, rows: int, parts: int, hot: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for batch, sets, all_sids, new, registers, keys in _banded(batches, bands, rows):
-            held.append(band_rows(all_sids[new], sets.sizes[new], registers, keys))
+        for batch, sets, all_sids, new, registers, buckets in _met(batches, bands, rows, threshold, times):
+            held.append(bucket_rows(all_sids[new], sets.sizes[new], registers, *buckets))
             size += held[-1][0].nbytes
             if size > PACK_BYTES:
                 yield packed(held)
@@ -261,23 +332,28 @@ def _emit(threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], schema=_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a partition: rows are sorted by band, and the pairs of each bucket are tested in blocks."""
+        """Pairs of a partition: rows are sorted by bucket and role, and the pairs of each bucket are tested in blocks."""
         held = [np.frombuffer(x.as_buffer(), _ROW) for b in batches for x in b.column("packed").drop_null()]
         if not held:
             return
         rows = np.concatenate(held)
         del held
-        band = (rows["band"].astype(np.uint32) << 8) + rows["band_low"]
+        band = (rows["band"].astype(np.uint32) << 8) + ((rows["band_low"] & 0x3F) << 2) + (rows["band_low"] >> 6)
         order = np.lexsort((rows["sid"], band))
         rows, band = rows[order], band[order]
         sid = rows["sid"]
         first = np.concatenate([[True], (band[1:] != band[:-1]) | (sid[1:] != sid[:-1])])  # the same set from several tasks
         rows, band = rows[first], band[first]
         sid, size, bits = np.ascontiguousarray(rows["sid"]), np.ascontiguousarray(rows["size"]), np.ascontiguousarray(rows["bits"])
+        role, band = (band & 3).astype(np.int8), band >> 2
         starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(band)]]))
+        smaller = np.add.reduceat(role != LARGER, starts)
 
         def tested(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            roles = role[i] + role[j]  # rows are in order of role: either with either or larger, smaller with larger
+            meet = (roles >= EITHER + EITHER) & (roles <= EITHER + LARGER) & ((role[j] != LARGER) | (size[i] <= size[j]))
+            i, j = i[meet], j[meet]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int32)
             ok = likely(REGISTERS - apart, size[i], size[j], threshold)
             a, b = sid[i[ok]], sid[j[ok]]
@@ -285,7 +361,7 @@ def _emit(threshold: float):
 
         out: list[np.ndarray] = []
         held_pairs = 0
-        for some in _blocks(starts, sizes, tested):
+        for some in _blocks(starts, sizes, smaller, tested):
             out.append(some)
             held_pairs += some.shape[1]
             if held_pairs > PAIRS_HELD:
@@ -297,19 +373,21 @@ def _emit(threshold: float):
     return run
 
 
-def _blocks(starts: np.ndarray, sizes: np.ndarray, tested: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
-    """What tested gives for all pairs of rows of each bucket, a bounded number of pairs at a time."""
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):  # buckets of one size together
+def _blocks(starts: np.ndarray, sizes: np.ndarray, smaller: np.ndarray, tested: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+    """What tested gives for all pairs of rows of each bucket of which one is among the first, the smaller sets, a bounded number of pairs at a time."""
+    some = (sizes > 1) & (smaller > 0)
+    starts, sizes, smaller = starts[some], sizes[some], smaller[some]
+    for size in np.unique(sizes[sizes <= 64]):  # buckets of one size together
         i, j = np.triu_indices(size, 1)
         of = starts[sizes == size]
         step = max(1, 500_000 // len(i))
         for at in range(0, len(of), step):
             o = of[at : at + step, None]
             yield tested((o + i).ravel(), (o + j).ravel())
-    for start, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-        for lo in range(0, size, BLOCK):
+    for start, size, few in zip(starts[sizes > 64], sizes[sizes > 64], smaller[sizes > 64], strict=True):
+        for lo in range(0, few, BLOCK):
             for lo2 in range(lo, size, BLOCK):
-                i, j = (g.ravel() for g in np.meshgrid(np.arange(lo, min(lo + BLOCK, size)), np.arange(lo2, min(lo2 + BLOCK, size)), indexing="ij"))
+                i, j = (g.ravel() for g in np.meshgrid(np.arange(lo, min(lo + BLOCK, few)), np.arange(lo2, min(lo2 + BLOCK, size)), indexing="ij"))
                 up = i < j
                 yield tested(start + i[up], start + j[up])
 
@@ -325,14 +403,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b
 
 
-def sketched(texts: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
-    """The one pass over texts(id, text): packed band rows and members, dealt to tasks. candidates() and members() read it, in one plan by one exchange."""
+def sketched(texts: DataFrame, bands: int = 16, rows: int = 4, threshold: float = 0.7) -> DataFrame:
+    """The one pass over texts(id, text): packed bucket rows and members, dealt to tasks. candidates() of that threshold and members() read it, in one plan by one exchange."""
     if bands * rows > SENT.start:
         raise ValueError(f"bands * rows is more than {SENT.start}")
     some = spread(texts.where("id is not null and text is not null").select("id", "text"))
     n = texts.count()
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands * _ROW.itemsize // TASK_BYTES))
-    return some.mapInArrow(_sketcher(bands, rows, parts, hot_buckets(some, n, bands, rows)), _SKETCHED).repartitionById(parts, F.col("part"))
+    times = frequent_words(some, n)
+    hot = hot_buckets(some, n, bands, rows, threshold, times)
+    return some.mapInArrow(_sketcher(bands, rows, parts, hot, threshold, times), _SKETCHED).repartitionById(parts, F.col("part"))
 
 
 def candidates(sketches: DataFrame, threshold: float) -> DataFrame:
@@ -383,14 +463,14 @@ def similar_sets(texts: DataFrame, sketches: DataFrame, threshold: float = 0.7)
 def links(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of representatives (the smallest id of records with the same words) at least as similar as the threshold."""
     texts = texts.select("id", "text")
-    sets = similar_sets(texts, sketched(texts, bands, rows), threshold)
+    sets = similar_sets(texts, sketched(texts, bands, rows, threshold), threshold)
     return sets.select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"))
 
 
 def groups(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id, rep, n_copies, n_links) of every record with a word: its representative, the records with the same words, and the other sets that are similar."""
     texts = texts.select("id", "text")
-    sketches = sketched(texts, bands, rows)
+    sketches = sketched(texts, bands, rows, threshold)
     who = members(sketches)
     n_links = similar_sets(texts, sketches, threshold).select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
     sets = sets_of(who).select("sid", "rep", F.col("k").alias("n_copies")).join(n_links, "sid", "left")
@@ -400,7 +480,7 @@ def groups(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int
 def similar_pairs(texts: DataFrame, threshold: float = 0.7, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records at least as similar as the threshold, copies included."""
     texts = texts.select("id", "text")
-    sketches = sketched(texts, bands, rows)
+    sketches = sketched(texts, bands, rows, threshold)
     who = members(sketches).select("sid", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block"), "id")
     held = sets_of(members(sketches)).select("sid", "blocks", "k")
     sets = similar_sets(texts, sketches, threshold).select("a", "b")

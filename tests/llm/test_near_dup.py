@@ -129,3 +129,59 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     assert hot and max(hot.values()) >= 8
     monkeypatch.setattr(near_dup, "hot_buckets", lambda *a: hot)
     assert {tuple(r) for r in near_dup.similar_pairs(df).collect()} == want and len(want) > 70_000
+
+
+def test_texts_of_one_pattern_are_no_candidates(spark):
+    r = random.Random(5)
+    name = lambda: f"n{r.randrange(10**9)}"
+    rows = [(f"p{i:04d}", f"We agreed that {name()} owns {r.choice(['backup', 'scope'])} while {name()} only watches") for i in range(3000)]
+    rows += [(f"q{i:04d}", rows[i][1].replace("only", "just")) for i in range(50)]
+    df = spark.createDataFrame(rows, T)
+    assert near_dup.candidates(near_dup.sketched(df), 0.7).count() < 5_000
+    assert {tuple(x) for x in near_dup.similar_pairs(df).collect()} == {(f"p{i:04d}", f"q{i:04d}") for i in range(50)}
+
+
+def test_long_sets_meet_in_bands_and_across_the_bound(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(120):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(50, 190))]
+        rows += [(f"d{i:03d}", " ".join(base)), (f"d{i:03d}e", " ".join(base[: round(len(base) * r.choice([0.6, 0.72, 0.8, 0.95]))]))]
+    sizes = {i: len(set(t.split())) for i, t in rows}
+    want = brute(rows, 0.7)
+    got = {tuple(x) for x in near_dup.similar_pairs(spark.createDataFrame(rows, T)).collect()}
+    assert not got - want and len(want - got) <= 0.03 * len(want)
+    assert {(sizes[a] > near_dup.PREFIX_WORDS) + (sizes[b] > near_dup.PREFIX_WORDS) for a, b in got} == {0, 1, 2}
+
+
+def test_prefixes_share_a_word_in_any_order():
+    r = random.Random(7)
+    vocab = [f"w{i}" for i in range(30)]
+    sets = WordSets([" ".join(r.sample(vocab, r.randrange(1, 20))) for _ in range(250)])
+    words_in = [set(sets.flat[s : s + n].tolist()) for s, n in zip(sets.starts, sets.sizes, strict=True)]
+    for threshold in (0.5, 0.7, 0.9):
+        for times in ({}, {h: r.randrange(1, 9) for h in sets.hashes.tolist()[::2]}):
+            own, key, role = near_dup.prefixes(sets, np.arange(len(sets.sizes)), threshold, times)
+            roles = [{} for _ in words_in]
+            for i, k, x in zip(own.tolist(), key.tolist(), role.tolist(), strict=True):
+                roles[i][k] = x
+            for i, a in enumerate(words_in):
+                for j, b in enumerate(words_in):
+                    if i != j and len(a) <= len(b) and len(a & b) >= threshold * len(a | b) - 1e-9:
+                        assert any(x == near_dup.EITHER and k in roles[j] for k, x in roles[i].items()), (threshold, a, b)
+
+
+def test_hot_words_are_split_by_smaller_and_larger_sets(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(f"s{i:04d}", f"kept x{r.randrange(150)} y{r.randrange(3)} one two three four five six") for i in range(700)]
+    df = spark.createDataFrame(rows, T)
+    want = brute(rows, 0.7)
+    times = near_dup.frequent_words(df, len(rows))
+    hot = near_dup.hot_buckets(df, len(rows), 16, 4, 0.7, times, most=40)
+    sets = WordSets([t for _, t in rows])
+    _, key, role = near_dup.prefixes(sets, np.arange(len(sets.sizes)), 0.7, times)
+    large = near_dup._larger_key(key[role == near_dup.LARGER]).view(np.int64).tolist()
+    assert set(large) & set(hot) and set(key[role == near_dup.EITHER].view(np.int64).tolist()) & set(hot)
+    monkeypatch.setattr(near_dup, "hot_buckets", lambda *a: hot)
+    got = {tuple(x) for x in near_dup.similar_pairs(df).collect()}
+    assert not got - want and len(want - got) <= 0.01 * len(want)
